@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import AFFECTED_KEPT, BOTS, CHECKS, CONTENT_TYPES, GROUNDING_TYPES, PILLARS, THIN_WORDS
+from ..dims import AFFECTED_KEPT, BOTS, CHECKS, CONTENT_TYPES, GROUNDING_TYPES, THIN_WORDS
 from ..functions.fragments import q
+from .page_features import keep_where
 from .robots import ai_access, blocks_everyone
 
 _USABLE = "(error IS NULL AND coalesce(status_code, 0) < 400)"
@@ -285,7 +286,7 @@ def affected_pages(features: DataFrame, order: str, key: str = "site_id") -> Dat
 def js_reasons(features: DataFrame, order: str, key: str = "site_id") -> DataFrame:
     """Up to three distinct reasons why pages need scripts, in crawl order."""
     reasons = (
-        features.filter(F.expr(f"{_USABLE} AND js_dependent"))
+        keep_where(features.filter(F.expr(_USABLE)), "js_dependent")
         .groupBy(key, "js_dependent_reason")
         .agg(F.min(order).alias("ord"))
     )

@@ -152,3 +152,12 @@ def page_features(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
         if exprs:
             stage = stage.withColumns(exprs)
     return stage.select(*keep, "url", "error", "truncated", *wanted)
+
+
+def keep_where(features: DataFrame, condition: str) -> DataFrame:
+    """Rows whose features satisfy ``condition``.
+
+    A plain filter would be pushed below the projection and repeat the feature's whole expression
+    tree for every use of it; a generator is evaluated after the features and drops the other rows.
+    """
+    return features.withColumn("_kept", F.explode(F.expr(f"if({condition}, array(true), array())"))).drop("_kept")

@@ -53,6 +53,7 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int = HARD_PAGE_CAP, ma
     """
     if "allowed" in edges.columns:
         edges = edges.filter("allowed").drop("allowed")
+    edges = materialise(edges.select("site_id", "src", "pos", "dst"), "edges")
     visited = materialise(
         seeds.select("site_id", "url", F.lit(0).alias("depth"), F.lit(1).alias("rank")), "reach_0"
     )
@@ -68,8 +69,8 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int = HARD_PAGE_CAP, ma
             .select("site_id", "url", "first.parent_rank", "first.pos")
             .join(visited.select("site_id", "url"), ["site_id", "url"], "left_anti")
         )
-        # One row per site.
-        so_far = visited.groupBy("site_id").agg(F.max("rank").alias("reached"))
+        # One row per site; the last level holds the highest rank of every site still growing.
+        so_far = frontier.groupBy("site_id").agg(F.max("rank").alias("reached"))
         level = (
             _rank_level(found, cap)
             .join(so_far, "site_id")

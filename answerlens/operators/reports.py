@@ -14,6 +14,7 @@ from ..dims import plan_dim
 from ..functions.text import percent_1dp
 from ..functions.urls import host_of
 from . import tracker as T
+from .page_features import keep_where
 
 DEFAULT_PRODUCT = "AnswerLens"
 DEFAULT_COLOUR = "#4f46e5"
@@ -120,7 +121,7 @@ def audit_pages_list(features: DataFrame, key: str = "site_id") -> DataFrame:
 
 
 def js_pages(features: DataFrame) -> DataFrame:
-    return features.filter("js_dependent")
+    return keep_where(features, "js_dependent")
 
 
 def blocked_bots(access: DataFrame) -> DataFrame:

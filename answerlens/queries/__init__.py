@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["tracking", "relational"]
+MODULES = ["tracking", "relational", "site_audit"]
 
 
 def registry() -> dict:
