@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import AFFECTED_SHOWN, EFFORT_DIVISOR, SEVERITY_RANK, fix_catalogue
+from ..functions.fragments import let
 
-_DIVISOR = "CASE effort " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in EFFORT_DIVISOR.items()) + " END"
+_DIVISOR = "CASE i.effort " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in EFFORT_DIVISOR.items()) + " END"
 _RANK = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY_RANK.items()) + " END"
 
 
@@ -16,23 +17,25 @@ def with_issues(scored: DataFrame) -> DataFrame:
 
     At most thirty per site, so they are derived and sorted inside the row.
     """
-    impact = (
-        "floor((1D - c.score) * (c.weight / get(filter(pillars, p -> p.id = c.pillar), 0).check_weight) "
-        "* (get(filter(pillars, p -> p.id = c.pillar), 0).weight / weight_sum) * 100 * 100 + 0.5D) / 100"
-    )
-    priority = f"floor(i.impact_points / ({_DIVISOR.replace('effort', 'i.effort', 1)}) * 100 + 0.5D) / 100"
+    impact = "floor((1D - c.score) * (c.weight / p.check_weight) * (p.weight / weight_sum) * 10000 + 0.5D) / 100"
     derived = (
-        f"transform(filter(checks, c -> c.score < 0.999D), c -> named_struct('pos', c.pos, 'code', c.code, "
-        f"'pillar', c.pillar, 'severity', c.severity, 'effort', c.effort, 'title', c.title, 'detail', c.detail, "
-        f"'check_score', c.score, 'impact_points', {impact}))"
+        "transform(filter(checks, c -> c.score < 0.999D), c -> "
+        + let(
+            "get(filter(pillars, p -> p.id = c.pillar), 0)",
+            "p",
+            "named_struct('pos', c.pos, 'code', c.code, 'pillar', c.pillar, 'severity', c.severity, 'effort', c.effort, "
+            f"'title', c.title, 'detail', c.detail, 'check_score', c.score, 'impact_points', {impact})",
+        )
+        + ")"
     )
+    prioritised = f"transform({derived}, i -> named_struct('i', i, 'priority', floor(i.impact_points / ({_DIVISOR}) * 100 + 0.5D) / 100))"
     # Criticals first, then priority, then severity, then catalogue order.
     ordered = (
-        f"array_sort(transform({derived}, i -> named_struct('not_critical', if(i.severity = 'critical', 0, 1), "
-        f"'by_priority', -({priority}), 'severity_rank', {_RANK.format('i.severity')}, 'pos', i.pos, "
-        f"'code', i.code, 'pillar', i.pillar, 'severity', i.severity, 'effort', i.effort, 'title', i.title, "
-        f"'detail', i.detail, 'check_score', i.check_score, 'impact_points', i.impact_points, "
-        f"'priority_score', {priority})))"
+        f"array_sort(transform({prioritised}, x -> named_struct('not_critical', if(x.i.severity = 'critical', 0, 1), "
+        f"'by_priority', -x.priority, 'severity_rank', {_RANK.format('x.i.severity')}, 'pos', x.i.pos, "
+        "'code', x.i.code, 'pillar', x.i.pillar, 'severity', x.i.severity, 'effort', x.i.effort, 'title', x.i.title, "
+        "'detail', x.i.detail, 'check_score', x.i.check_score, 'impact_points', x.i.impact_points, "
+        "'priority_score', x.priority)))"
     )
     return scored.withColumn("issues", F.expr(ordered))
 
@@ -42,7 +45,7 @@ def issue_rows(with_issue_array: DataFrame, key: str = "site_id") -> DataFrame:
 
     The catalogue has thirty rows whatever the data, so its broadcast is bounded.
     """
-    rows = with_issue_array.select(key, F.posexplode("issues").alias("rank", "i")).select(
+    rows = with_issue_array.selectExpr(key, "posexplode(slice(issues, 1, 64)) AS (rank, i)").select(
         key, (F.col("rank") + 1).alias("rank"), "i.code", "i.pillar", "i.severity", "i.effort", "i.severity_rank",
         "i.detail", "i.check_score", "i.impact_points", "i.priority_score",
     )

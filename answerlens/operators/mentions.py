@@ -43,8 +43,8 @@ def _alternation(patterns: str) -> str:
 
 def _may_overlap(names: str) -> str:
     """Some name ends with the words another begins with, so two matches could share part of a span."""
-    words = f"filter(split(lower({{0}}), {q(r'[^\p{L}\p{N}]+')}, -1), w -> w != '')"
-    ta, tb = words.format("oa"), words.format("ob")
+    not_word = q(r"[^\p{L}\p{N}]+")
+    ta, tb = (f"filter(split(lower({n}), {not_word}, -1), w -> w != '')" for n in ("oa", "ob"))
     shared = (
         "exists(sequence(1, least(size(wa), size(wb)) - 1), ok -> slice(wb, size(wb) - ok + 1, ok) = slice(wa, 1, ok))"
     )
@@ -149,11 +149,9 @@ def build_query(prompts: DataFrame, sites: DataFrame, competitors: DataFrame) ->
     )
 
 
-_DOMAIN = (
-    "regexp_replace(lower(regexp_replace(regexp_extract({0}, "
-    + q(r"(?i)^https?:[/\\]{2,}([^/\\?#]*)")
-    + ", 1), '^.*@|:[0-9]*$', '')), '^www[.]', '')"
-)
+def _domain(url: str) -> str:
+    authority = f"regexp_extract({url}, {q(r'(?i)^https?:[/\\]{2,}([^/\\?#]*)')}, 1)"
+    return f"regexp_replace(lower(regexp_replace({authority}, '^.*@|:[0-9]*$', '')), '^www[.]', '')"
 
 
 def _domain_matches(candidate: str, target: str) -> str:
@@ -171,7 +169,7 @@ def dedupe_urls_sql(urls: str) -> str:
         f"transform(dr, dk -> {key})", "dks",
         "filter(dr, (dx, di) -> array_position(dks, dks[di]) = di + 1)",
     )
-    dom = _DOMAIN.format("dd.url")
+    dom = _domain("dd.url")
     return let(
         f"coalesce({real}, array())", "dr",
         f"transform({first}, dd -> named_struct('url', dd.url, 'title', dd.title, 'domain', {dom}))",
@@ -190,10 +188,12 @@ def excerpt_sql(text: str, index: str) -> str:
 
 def sentiment_sql(text: str, index: str) -> str:
     """More praise than criticism near the mention, or the reverse, or neutral."""
-    guard = "(?i)(?<![A-Za-z0-9_])(?:{0})(?![A-Za-z0-9_])"
+    def guard(terms: str) -> str:
+        return q(f"(?i)(?<![A-Za-z0-9_])(?:{terms})(?![A-Za-z0-9_])")
+
     near = f"substr({text}, greatest(0, {index} - {SENTIMENT_REACH}) + 1, {index} + {SENTIMENT_REACH} - greatest(0, {index} - {SENTIMENT_REACH}))"
     window = f"if({index} < 0, substr({text}, 1, {SENTIMENT_HEAD}), {near})"
-    score = f"regexp_count(sw, {q(guard.format(POSITIVE_TERMS))}) - regexp_count(sw, {q(guard.format(NEGATIVE_TERMS))})"
+    score = f"regexp_count(sw, {guard(POSITIVE_TERMS)}) - regexp_count(sw, {guard(NEGATIVE_TERMS)})"
     verdict = "CASE WHEN sc > 0 THEN 'positive' WHEN sc < 0 THEN 'negative' ELSE 'neutral' END"
     return let(window, "sw", let(score, "sc", verdict))
 

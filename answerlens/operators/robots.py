@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import BOTS
+from ..functions.fragments import let, q
 from ..functions.text import trim_ws
 from ..sources.pages import body_cap
 
-_EMPTY_RULES = "array<struct<is_allow:boolean,path:string,len:int,literal:boolean,regex:string>>"
+_RULES = "array<struct<is_allow:boolean,path:string,len:int,literal:boolean,regex:string>>"
+_NO_RULES = f"cast(array() AS {_RULES})"
 
 
 def robots_status(files: DataFrame) -> DataFrame:
@@ -109,88 +111,62 @@ def parsed_robots(files: DataFrame) -> DataFrame:
     One shuffle: the window and both aggregates share the partitioning by origin.
     """
     status = robots_status(files)
-    lines = robots_groups(robots_lines(status))
-    value = F.col("value")
-    rule = F.struct(
-        F.col("pos"),
-        (F.col("field") == "allow").alias("is_allow"),
-        value.alias("path"),
-        F.length(value).alias("len"),
-        (~value.rlike(r"\*|\$$")).alias("literal"),
-        pattern_regex(value).alias("regex"),
-    )
-    delay = value.try_cast("double")
+    lines = robots_groups(robots_lines(status)).withColumn("regex", pattern_regex(F.col("value")))
+    rule = (
+        "named_struct('pos', pos, 'is_allow', field = 'allow', 'path', value, 'len', length(value), "
+        "'literal', NOT value RLIKE '[*]|[$]$', 'regex', regex)"
+    )
+    delay = "try_cast(value AS double)"
     groups = lines.groupBy("origin", "group_id").agg(
-        F.collect_list(F.when(F.col("field") == "user-agent", F.lower("value"))).alias("agents"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("field").isin("allow", "disallow") & (value != ""), rule))
-        ).alias("ordered_rules"),
-        F.max_by(
-            F.when(F.col("field") == "crawl-delay", delay),
-            F.when((F.col("field") == "crawl-delay") & (delay >= 0), F.col("pos")),
-        ).alias("crawl_delay"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("field") == "sitemap", F.struct("pos", "value")))
-        ).alias("maps"),
-    )
-    kept = F.when(
-        F.col("group_id") > 0,
-        F.struct(
-            "group_id",
-            "agents",
-            F.transform(
-                "ordered_rules", lambda r: F.struct(r["is_allow"], r["path"], r["len"], r["literal"], r["regex"])
-            )
-            .cast(_EMPTY_RULES)
-            .alias("rules"),
-            "crawl_delay",
+        F.expr("collect_list(if(field = 'user-agent', lower(value), NULL)) AS agents"),
+        F.expr(
+            f"array_sort(collect_list(if(field IN ('allow', 'disallow') AND value != '', {rule}, NULL))) AS ordered"
+        ),
+        F.expr(
+            f"max_by({delay}, if(field = 'crawl-delay' AND {delay} >= 0 AND {delay} < double('Infinity'), pos, NULL)) "
+            "AS crawl_delay"
+        ),
+        F.expr(
+            "array_sort(collect_list(if(field = 'sitemap', named_struct('pos', pos, 'value', value), NULL))) AS maps"
         ),
     )
+    kept = (
+        "if(group_id > 0, named_struct('group_id', group_id, 'agents', agents, 'rules', cast(transform(ordered, "
+        "r -> named_struct('is_allow', r.is_allow, 'path', r.path, 'len', r.len, 'literal', r.literal, 'regex', "
+        f"r.regex)) AS {_RULES}), 'crawl_delay', crawl_delay), NULL)"
+    )
     per_origin = groups.groupBy("origin").agg(
-        F.array_sort(F.collect_list(kept), _by_group).alias("groups"),
-        F.transform(F.array_sort(F.flatten(F.collect_list("maps"))), lambda m: m["value"]).alias("sitemaps"),
+        F.expr(f"array_sort(collect_list({kept}), (a, b) -> a.group_id - b.group_id) AS groups"),
+        F.expr("transform(array_sort(flatten(collect_list(maps))), m -> m.value) AS sitemaps"),
     )
     joined = status.drop("body").join(per_origin, "origin", "left")
     return joined.withColumns({"sitemaps": F.coalesce("sitemaps", F.array().cast("array<string>"))})
 
 
-def _by_group(a: Column, b: Column) -> Column:
-    return (a["group_id"] - b["group_id"]).cast("int")
-
-
-def group_for(groups: Column, ua: Column) -> Column:
+def group_for(groups: str, ua: str) -> str:
     """The group that speaks to ``ua``: longest agent that starts its name, else the first ``*``."""
-    needle = F.lower(ua)
-    named = F.flatten(
-        F.transform(
-            groups,
-            lambda g: F.transform(
-                F.filter(g["agents"], lambda a: (a != "*") & F.startswith(needle, a)),
-                lambda a: F.struct((-F.length(a)).alias("rank"), g["group_id"].alias("group_id")),
-            ),
-        )
+    named = (
+        f"flatten(transform({groups}, g -> transform(filter(g.agents, a -> a != '*' AND startswith(lower({ua}), a)), "
+        "a -> named_struct('rank', -length(a), 'group_id', g.group_id))))"
     )
-    best = F.get(F.array_sort(named), 0)["group_id"]
-    wild = F.get(F.filter(groups, lambda g: F.array_contains(g["agents"], "*")), 0)["group_id"]
-    wanted = F.coalesce(best, wild)
-    return F.get(F.filter(groups, lambda g: g["group_id"] == wanted), 0)
+    wild = f"get(filter({groups}, g -> array_contains(g.agents, '*')), 0).group_id"
+    wanted = f"coalesce(get(array_sort({named}), 0).group_id, {wild})"
+    return let(wanted, "gw", f"get(filter({groups}, g -> g.group_id = gw), 0)")
 
 
-def rules_for(groups: Column, ua: Column) -> Column:
+def rules_for(groups: str, ua: str) -> str:
     """Rules that bind ``ua``; empty when none do."""
-    return F.coalesce(group_for(groups, ua)["rules"], F.array().cast(_EMPTY_RULES))
+    return f"coalesce({group_for(groups, ua)}.rules, {_NO_RULES})"
 
 
-def path_allowed(rules: Column, path: Column) -> Column:
+def path_allowed(rules: str, path: str) -> str:
     """Longest matching rule decides, allow wins a tie, no match is allowed."""
-
-    def step(acc: Column, r: Column) -> Column:
-        matches = F.when(r["literal"], F.startswith(path, r["path"])).otherwise(F.regexp_like(path, r["regex"]))
-        better = (r["len"] > acc["len"]) | ((r["len"] == acc["len"]) & r["is_allow"])
-        return F.when(better & matches, F.struct(r["len"].alias("len"), r["is_allow"].alias("allow"))).otherwise(acc)
-
-    start = F.struct(F.lit(-1).alias("len"), F.lit(True).alias("allow"))
-    return F.aggregate(rules, start, step)["allow"]
+    matches = f"if(r.literal, startswith({path}, r.path), regexp_like({path}, r.regex))"
+    better = "(r.len > acc.len OR (r.len = acc.len AND r.is_allow))"
+    return (
+        f"aggregate({rules}, named_struct('len', -1, 'allow', true), (acc, r) -> if({better} AND {matches}, "
+        "named_struct('len', r.len, 'allow', r.is_allow), acc), acc -> acc.allow)"
+    )
 
 
 def robots_allowed(paths: DataFrame, robots: DataFrame) -> DataFrame:
@@ -201,46 +177,39 @@ def robots_allowed(paths: DataFrame, robots: DataFrame) -> DataFrame:
     """
     wanted = paths.select("origin", "ua").distinct()
     rules = wanted.join(robots.select("origin", "groups"), "origin", "left").select(
-        "origin", "ua", rules_for(F.col("groups"), F.col("ua")).alias("rules")
+        "origin", "ua", F.expr(rules_for("groups", "ua")).alias("rules")
     )
     return (
         paths.join(rules, ["origin", "ua"], "left")
-        .withColumn("allowed", path_allowed(F.coalesce("rules", F.array().cast(_EMPTY_RULES)), F.col("path")))
+        .withColumn("allowed", F.expr(path_allowed(f"coalesce(rules, {_NO_RULES})", "path")))
         .drop("rules")
     )
 
 
-def ai_access(groups: Column) -> Column:
+def ai_access(groups: str = "groups") -> Column:
     """Access of each scored crawler to the home page, as ``array<struct>`` in display order."""
-
-    def one(bot: dict) -> Column:
-        needle = F.lit(bot["ua"].lower())
-        mentioned = F.coalesce(
-            F.exists(groups, lambda g: F.exists(g["agents"], lambda a: (a != "*") & F.startswith(needle, a))),
-            F.lit(False),
-        )
-        allowed = path_allowed(rules_for(groups, F.lit(bot["ua"])), F.lit("/"))
-        return F.struct(
-            F.lit(bot["ua"]).alias("ua"),
-            F.lit(bot["vendor"]).alias("vendor"),
-            F.lit(bot["purpose"]).alias("purpose"),
-            F.lit(bot["primary"]).alias("is_primary"),
-            allowed.alias("allowed"),
-            (~allowed & mentioned).alias("explicitly_blocked"),
-            mentioned.alias("mentioned"),
-        )
-
-    return F.array(*[one(b) for b in BOTS])
+    bots = ", ".join(
+        f"named_struct('ua', {q(b['ua'])}, 'vendor', {q(b['vendor'])}, 'purpose', {q(b['purpose'])}, "
+        f"'is_primary', {str(b['primary']).lower()})"
+        for b in BOTS
+    )
+    allowed = path_allowed(rules_for(groups, "b.ua"), "'/'")
+    mentioned = (
+        f"coalesce(exists({groups}, g -> exists(g.agents, a -> a != '*' AND startswith(lower(b.ua), a))), false)"
+    )
+    row = (
+        "named_struct('ua', b.ua, 'vendor', b.vendor, 'purpose', b.purpose, 'is_primary', b.is_primary, "
+        "'allowed', ok, 'explicitly_blocked', NOT ok AND said, 'mentioned', said)"
+    )
+    return F.expr(f"transform(array({bots}), b -> {let(allowed, 'ok', let(mentioned, 'said', row))})")
 
 
 def ai_access_matrix(robots: DataFrame) -> DataFrame:
     """One row per origin and scored crawler."""
-    return robots.select("origin", F.explode(ai_access(F.col("groups"))).alias("a")).select("origin", "a.*")
+    return robots.select("origin", F.explode(ai_access()).alias("a")).select("origin", "a.*")
 
 
-def blocks_everyone(groups: Column) -> Column:
+def blocks_everyone(groups: str = "groups") -> Column:
     """The first ``*`` group disallows the whole site; Allow rules are not considered."""
-    first = F.get(F.filter(groups, lambda g: F.array_contains(g["agents"], "*")), 0)
-    return F.coalesce(
-        F.exists(first["rules"], lambda r: ~r["is_allow"] & r["path"].isin("/", "/*")), F.lit(False)
-    )
+    first = f"get(filter({groups}, g -> array_contains(g.agents, '*')), 0).rules"
+    return F.expr(f"coalesce(exists({first}, r -> NOT r.is_allow AND r.path IN ('/', '/*')), false)")

@@ -76,7 +76,7 @@ _SUMMARY_SQL = (
 
 
 def pillar_rows(scored: DataFrame, key: str = "site_id") -> DataFrame:
-    return scored.select(key, F.explode("pillars").alias("p")).select(key, "p.*")
+    return scored.selectExpr(key, "explode(slice(pillars, 1, 8)) AS p").select(key, "p.*")
 
 
 def serialise_pillars(scored: DataFrame, key: str = "site_id") -> DataFrame:

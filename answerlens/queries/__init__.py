@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["tracking", "relational", "site_audit"]
+MODULES = ["tracking", "relational", "site_audit", "citations", "streams"]
 
 
 def registry() -> dict:

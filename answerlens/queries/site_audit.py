@@ -151,7 +151,7 @@ def robots_status(s, sf):
 
 def robots_group_for(s, sf):
     r = _robots(s, sf)
-    cols = [F.struct(F.lit(b["ua"]).alias("ua"), B.group_for(F.col("groups"), F.lit(b["ua"]))["group_id"].alias("group_id")) for b in BOTS]
+    cols = [F.struct(F.lit(b["ua"]).alias("ua"), F.expr(B.group_for("groups", f"'{b['ua']}'") + ".group_id").alias("group_id")) for b in BOTS]
     return flat(r.select("origin", F.explode(F.array(*cols)).alias("g")).select("origin", "g.ua", "g.group_id"))
 
 
@@ -168,7 +168,7 @@ def ai_access_matrix(s, sf):
 
 
 def robots_blocks_everyone(s, sf):
-    return flat(_robots(s, sf).select("origin", B.blocks_everyone(F.col("groups")).alias("blocked")))
+    return flat(_robots(s, sf).select("origin", B.blocks_everyone().alias("blocked")))
 
 
 def _surf(*cols):
