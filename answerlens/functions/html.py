@@ -109,8 +109,9 @@ def _inner_balanced(doc: str, opening: str) -> str:
     """Inner HTML of the first element matching ``opening``, same-tag nesting respected."""
     name = f"lower(regexp_extract({doc}, {q(f'(?is){opening}')}, 1))"
     rest = f"regexp_extract({doc}, {q(rf'(?is){opening}(.*)\z')}, 2)"
-    pieces = f"split({rest}, concat('(?i)(?=</?', {name}, {q(r'[\s>/])')}), -1)"
-    # The first piece follows the opening tag; a piece that closes the element is left out.
+    pieces = f"split(concat(' ', {rest}), concat('(?i)(?=</?', {name}, {q(r'[\s>/])')}), -1)"
+    # The first piece is what follows the opening tag (a space keeps it apart from a tag at once);
+    # the piece that closes the element is left out.
     walk = (
         "aggregate(bp, named_struct('depth', 1, 'kept', 0), (wa, wp) -> if(wa.depth <= 0, wa, named_struct("
         "'depth', wa.depth + if(startswith(wp, '</'), -1, if(wa.kept > 0, 1, 0)), 'kept', wa.kept + 1)), "
