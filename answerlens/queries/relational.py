@@ -298,7 +298,6 @@ def validate_fk(s, sf):
 
 
 def domain_scalars(s, sf):
-    from ..functions.dates import period_month, relative_age
     from ..functions.urls import clean_domain
 
     c = V.competitors(s, sf)
@@ -354,14 +353,31 @@ def score_tone_q(s, sf):
     return flat(V.view(s, sf, "audits").filter("overall_score IS NOT NULL").select("audit_id", score_tone(F.col("overall_score")).alias("tone")))
 
 
-def labels_q(s, sf):
-    from ..functions.dates import effort_label, engine_label, severity_label
+def engine_label_q(s, sf):
+    from ..functions.dates import engine_label
 
-    i = V.view(s, sf, "issues").groupBy("severity", "effort").agg(F.count("*").alias("n")).select(
-        severity_label(F.col("severity")).alias("a"), effort_label(F.col("effort")).alias("b"), "n")
-    c = V.view(s, sf, "checks").groupBy("engine").agg(F.count("*").alias("n")).select(
-        engine_label(F.col("engine")).alias("a"), F.lit("engine").alias("b"), "n")
-    return flat(i.unionByName(c))
+    return flat(V.view(s, sf, "checks").groupBy(engine_label(F.col("engine")).alias("label")).agg(F.count("*").alias("n")))
+
+
+def severity_label_q(s, sf):
+    from ..functions.dates import severity_label
+
+    return flat(V.view(s, sf, "issues").groupBy(severity_label(F.col("severity")).alias("label")).agg(F.count("*").alias("n")))
+
+
+def effort_label_q(s, sf):
+    from ..functions.dates import effort_label
+
+    return flat(V.view(s, sf, "issues").groupBy(effort_label(F.col("effort")).alias("label")).agg(F.count("*").alias("n")))
+
+
+def pillar_label_q(s, sf):
+    from ..dims import PILLARS
+    from ..functions.dates import pillar_label
+
+    ids = F.array(*[F.lit(p["id"]) for p in PILLARS])
+    c = V.view(s, sf, "checks").select(F.get(ids, (F.col("check_id") % 6).cast("int")).alias("pillar"))
+    return flat(c.groupBy(pillar_label(F.col("pillar")).alias("label")).agg(F.count("*").alias("n")))
 
 
 def ratios_q(s, sf):
@@ -521,8 +537,10 @@ QUERIES = {
     "day_bucket": (day_bucket_q, "SELECT cast(cast(checked_at AS date) AS varchar) AS day, count(*) AS checks FROM v_checks GROUP BY 1"),
     "grade_for": (grade_for_q, "SELECT audit_id, substr('FFFFFFFFEEEDDDCCBBAAA', cast(overall_score // 5 AS int) + 1, 1) AS grade FROM v_audits WHERE overall_score IS NOT NULL"),
     "score_tone": (score_tone_q, "SELECT audit_id, CASE WHEN overall_score < 50 THEN 'bad' WHEN overall_score < 80 THEN 'warn' ELSE 'good' END AS tone FROM v_audits WHERE overall_score IS NOT NULL"),
-    "labels": (labels_q, "SELECT upper(substr(severity, 1, 1)) || substr(severity, 2) AS a, CASE effort WHEN 'low' THEN 'Quick win' WHEN 'medium' THEN 'Half-day' ELSE 'Dev project' END AS b, count(*) AS n FROM v_issues GROUP BY 1, 2 "
-               "UNION ALL SELECT CASE engine WHEN 'chatgpt' THEN 'ChatGPT' WHEN 'perplexity' THEN 'Perplexity' WHEN 'claude' THEN 'Claude' ELSE 'Google AI Overviews' END, 'engine', count(*) FROM v_checks GROUP BY 1"),
+    "engine_label": (engine_label_q, "SELECT CASE engine WHEN 'chatgpt' THEN 'ChatGPT' WHEN 'perplexity' THEN 'Perplexity' WHEN 'claude' THEN 'Claude' ELSE 'Google AI Overviews' END AS label, count(*) AS n FROM v_checks GROUP BY 1"),
+    "severity_label": (severity_label_q, "SELECT upper(substr(severity, 1, 1)) || substr(severity, 2) AS label, count(*) AS n FROM v_issues GROUP BY 1"),
+    "effort_label": (effort_label_q, "SELECT CASE effort WHEN 'low' THEN 'Quick win' WHEN 'medium' THEN 'Half-day' ELSE 'Dev project' END AS label, count(*) AS n FROM v_issues GROUP BY 1"),
+    "pillar_label": (pillar_label_q, "SELECT CASE check_id % 6 WHEN 0 THEN 'AI crawler access' WHEN 1 THEN 'Content without JavaScript' WHEN 2 THEN 'Structured data' WHEN 3 THEN 'Answerability' WHEN 4 THEN 'Answer surface' ELSE 'Entity clarity' END AS label, count(*) AS n FROM v_checks GROUP BY 1"),
     "clamp01_safe_ratio": (ratios_q, "WITH r AS (SELECT check_id, CASE WHEN rival_a > 0 THEN rival_b / rival_a ELSE 0.0 END AS r FROM v_checks) SELECT check_id, least(1.0, greatest(0.0, cast(r AS double))) AS clamped, floor(cast(r AS double) * 10 - 5 + 0.5) AS rounded FROM r"),
     "median_rounded": (median_rounded_q, "SELECT site_id, cast(floor(median(k) + 0.5) AS bigint) AS median_k FROM v_checks GROUP BY 1"),
     "is_public_url": (is_public_url_q, "WITH p AS (SELECT check_id, check_id % 256 AS a, k * 2 AS b FROM v_checks) SELECT check_id, check_id % 4 IN (0, 1) AND NOT (a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..dims import BOTS, CHECKS, PILLARS, fix_catalogue
+from ..dims import BOTS, CHECKS, COPY, PILLARS, fix_catalogue
 from ..functions.links import normalise_link
 from ..operators import checks as K
 from ..operators import issues as I
@@ -15,6 +15,7 @@ from ..operators import score as S
 from ..operators import sinks
 from ..operators import surface as U
 from ..operators.page_features import page_features
+from ..session import materialise
 from ..sources.pages import body_cap, body_is_truncated, page_gate, scan_pages
 from ..sources.site_files import scan_site_files
 from . import views as V
@@ -43,21 +44,31 @@ def _robots(s, sf):
     return B.parsed_robots(files.filter("kind = 'robots'").drop("kind"))
 
 
-def _surface(s, sf):
-    return U.answer_surface(scan_site_files(V.site_files(s, sf)), _robots(s, sf))
+def _surface(s, sf, robots=None):
+    return U.answer_surface(scan_site_files(V.site_files(s, sf)), robots if robots is not None else _robots(s, sf))
 
 
 def _hosts(s, sf):
     return V.view(s, sf, "hosts").select("site_id", "origin", "brand_name")
 
 
-def _scored(s, sf):
-    facts = K.site_facts(_features(s, sf, CHECK_FEATURES), _hosts(s, sf), _robots(s, sf), _surface(s, sf))
-    return S.with_score(K.with_checks(facts))
+def _checked(s, sf, features=None):
+    robots = _robots(s, sf)
+    features = features if features is not None else _features(s, sf, CHECK_FEATURES)
+    return K.with_checks(K.site_facts(features, _hosts(s, sf), robots, _surface(s, sf, robots)))
 
 
-def _issues(s, sf):
-    return I.with_issues(_scored(s, sf))
+def _scored(s, sf, features=None):
+    return S.with_score(_checked(s, sf, features))
+
+
+def _issues(s, sf, features=None):
+    return I.with_issues(_scored(s, sf, features))
+
+
+def _stored_features(s, sf):
+    """Features that several branches read: written once, so pages are analysed once."""
+    return materialise(_features(s, sf, CHECK_FEATURES), "page_features")
 
 
 def _feature(*names):
@@ -180,7 +191,7 @@ def _surf(*cols):
 
 def _check_query(codes):
     def run(s, sf):
-        rows = K.check_rows(K.with_checks(K.site_facts(_features(s, sf, CHECK_FEATURES), _hosts(s, sf), _robots(s, sf), _surface(s, sf))))
+        rows = K.check_rows(_checked(s, sf))
         return flat(rows.filter(F.col("code").isin(*codes)).select("site_id", "code", "score", "weight", "passed"))
 
     return run
@@ -240,9 +251,9 @@ def check_affected(s, sf):
 
 
 def issue_affected(s, sf):
-    feats = _features(s, sf, CHECK_FEATURES)
+    feats = _stored_features(s, sf)
     aff = K.affected_pages(feats, "page_id")
-    rows = I.issue_rows(_issues(s, sf)).select("site_id", "code")
+    rows = I.issue_rows(_issues(s, sf, feats)).select("site_id", "code")
     return flat(I.issue_affected(rows, aff).select("site_id", "code", "affected_count", F.size("affected_sample").alias("shown"), "affected_total"))
 
 
@@ -279,8 +290,8 @@ def audit_flags(s, sf):
 
 
 def audit_kpis(s, sf):
-    feats = _features(s, sf, CHECK_FEATURES)
-    rows = I.issue_rows(_issues(s, sf)).withColumn(
+    feats = _stored_features(s, sf)
+    rows = I.issue_rows(_issues(s, sf, feats)).withColumn(
         "status", F.expr("CASE WHEN effort = 'high' THEN 'in_progress' WHEN severity = 'low' THEN 'ignored' ELSE 'open' END"))
     return flat(R.audit_kpis(rows, feats))
 
@@ -304,9 +315,10 @@ def sink_issues(s, sf):
 
 
 def sink_audit(s, sf):
-    scored = I.with_issues(_scored(s, sf))
+    feats = _stored_features(s, sf)
+    scored = materialise(_issues(s, sf, feats), "scored")
     plan = I.action_plan(scored).groupBy("site_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("step", "title", "detail", "timeframe")))).alias("action_plan"))
-    gate = G.audit_gate(_features(s, sf, ["h1_count"]), "page_id")
+    gate = G.audit_gate(feats, "page_id")
     outcome = (scored.select("site_id", "overall", "grade", F.col("pages_crawled").alias("pages"), "summary")
                .join(S.serialise_pillars(scored), "site_id").join(plan, "site_id", "left").join(gate, "site_id")
                .select(F.col("site_id").alias("audit_id"), "status", "reason", "overall", "grade", "pillar_scores", "action_plan", "pages",
@@ -651,7 +663,13 @@ QUERIES = {
         "SELECT site_id, CASE WHEN nc > 0 THEN site_id || ' scores ' || overall || '/100 and has ' || nc || ' critical ' || CASE WHEN nc = 1 THEN 'problem' ELSE 'problems' END || '. First: ' || lead || '. After that ' || nq || CASE WHEN nq = 1 THEN ' fix is quick.' ELSE ' fixes are quick.' END "
         "WHEN overall >= 80 THEN site_id || ' scores ' || overall || '/100, which is strong. ' || ni || CASE WHEN ni = 1 THEN ' refinement remains' ELSE ' refinements remain' END || ', led by ' || lower(lead) || '.' "
         "ELSE site_id || ' scores ' || overall || '/100 over ' || pages || CASE WHEN pages = 1 THEN ' page' ELSE ' pages' END || '. ' || ni || CASE WHEN ni = 1 THEN ' issue limits' ELSE ' issues limit' END || ' citations. Start with ' || lower(lead) || '.' END AS executive_summary FROM s")),
-    "action_plan": (action_plan, None),
+    "action_plan": (action_plan, oracle(
+        f"WITH {_ISS}, k AS (SELECT *, row_number() OVER (PARTITION BY site_id, CASE WHEN severity = 'critical' THEN 0 WHEN effort = 'low' THEN 1 ELSE 2 END ORDER BY rank) AS rn, "
+        "CASE WHEN severity = 'critical' THEN 0 WHEN effort = 'low' THEN 1 ELSE 2 END AS cls, count(*) FILTER (severity = 'critical') OVER (PARTITION BY site_id) AS nc FROM iss), "
+        "w AS (SELECT site_id, code, CASE WHEN cls < 2 THEN 'This week' WHEN effort = 'high' THEN 'This quarter' ELSE 'This month' END AS timeframe, row_number() OVER (PARTITION BY site_id ORDER BY cls, rank) AS step "
+        "FROM k WHERE CASE cls WHEN 0 THEN rn <= 2 WHEN 1 THEN rn <= 3 - least(nc, 2) ELSE rn <= 2 END), "
+        "c AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(c, t, COPY[c][2].replace("'", "''")) for c, _, _, _, _, t in CHECKS) + ") t(code, title, fix)) "
+        "SELECT site_id, step, w.code, timeframe, title, array_to_string(list_slice(string_split(fix, '. '), 1, 2), '. ') AS detail FROM w JOIN c ON c.code = w.code WHERE step <= 5")),
     "fix_catalogue": (fix_catalogue_q, oracle(
         f"WITH {_ISS}, cat AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{p}', '{sv}', '{ef}')" for c, p, _, sv, ef, _ in CHECKS) + ") t(code, pillar, severity, effort)) "
         "SELECT cat.code, cat.pillar, cat.severity, cat.effort, count(iss.site_id) AS sites FROM cat LEFT JOIN iss ON iss.code = cat.code GROUP BY 1, 2, 3, 4")),

@@ -18,9 +18,19 @@ _DEFAULTS = {
 }
 
 
+# Page analysis costs far more than reading, so a table this small is spread over all cores.
+SPREAD_BELOW = 256 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, key: str = "url") -> DataFrame:
+    """Repartition a table that Spark estimates as small; larger ones are analysed where they are read."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SPREAD_BELOW else df
+
+
 def scan_pages(source: DataFrame | str, spark: SparkSession | None = None) -> DataFrame:
     """Read a page table (path or DataFrame) and add the columns it lacks."""
-    df = spark.read.parquet(source) if isinstance(source, str) else source
+    df = spread_small(spark.read.parquet(source) if isinstance(source, str) else source)
     if "body" not in df.columns:
         df = df.withColumnRenamed("html", "body")
     missing = {k: F.lit(v).cast(t) for k, (v, t) in _DEFAULTS.items() if k not in df.columns}
