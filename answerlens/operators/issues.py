@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import AFFECTED_SHOWN, EFFORT_DIVISOR, SEVERITY_RANK, fix_catalogue
 from ..functions.fragments import let
+from .ranking import row_number_by_bucket
 
 _DIVISOR = "CASE i.effort " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in EFFORT_DIVISOR.items()) + " END"
 _RANK = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY_RANK.items()) + " END"
@@ -66,11 +67,12 @@ def issue_affected(issues: DataFrame, affected: DataFrame, key: str = "site_id")
 
 
 def stored_order(issues: DataFrame, key: str = "site_id") -> DataFrame:
-    """Rank in storage order: criticals first, then priority; ties by code."""
-    w = Window.partitionBy(key).orderBy(
-        (F.col("severity") != "critical"), F.col("priority_score").desc(), F.col("code")
-    )
-    return issues.withColumn("stored_rank", F.row_number().over(w))
+    """Rank in storage order: criticals first, then priority; ties by code.
+
+    Ranked by (critical, whole priority) buckets, so no task sorts all issues of a key.
+    """
+    bucket = F.struct(F.col("severity") != "critical", -F.floor("priority_score"))
+    return row_number_by_bucket(issues, [key], bucket, [F.col("priority_score").desc(), F.col("code")], "stored_rank")
 
 
 def issue_filter_status(issues: DataFrame, which: str) -> DataFrame:

@@ -48,16 +48,17 @@ def run_totals(workspaces: DataFrame, queue: DataFrame, checks: DataFrame) -> Da
 
 def run_summary(workspaces: DataFrame, totals: DataFrame) -> DataFrame:
     """One row: workspaces considered and eligible, prompts run, checks written."""
-    considered = workspaces.filter(F.col("plan_status").isin("active", "trialing")).agg(
-        F.count("*").alias("workspaces_considered")
+    zero = F.lit(0).cast("bigint")
+    considered = workspaces.filter(F.col("plan_status").isin("active", "trialing")).select(
+        F.lit(1).alias("considered"), zero.alias("eligible"), zero.alias("prompts_run"), zero.alias("checks_written")
     )
-    eligible = totals.agg(
-        F.count("*").alias("workspaces_eligible"),
-        F.coalesce(F.sum("prompts_run"), F.lit(0)).alias("prompts_run"),
-        F.coalesce(F.sum("checks_written"), F.lit(0)).alias("checks_written"),
+    eligible = totals.select(zero.alias("considered"), F.lit(1).alias("eligible"), "prompts_run", "checks_written")
+    return considered.unionByName(eligible).agg(
+        F.coalesce(F.sum("considered"), zero).alias("workspaces_considered"),
+        F.coalesce(F.sum("eligible"), zero).alias("workspaces_eligible"),
+        F.coalesce(F.sum("prompts_run"), zero).alias("prompts_run"),
+        F.coalesce(F.sum("checks_written"), zero).alias("checks_written"),
     )
-    # Two one-row aggregates side by side.
-    return considered.join(eligible, F.lit(True))
 
 
 def usage_counter(stored: DataFrame, increments: DataFrame) -> DataFrame:

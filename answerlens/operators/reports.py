@@ -252,8 +252,12 @@ def audit_report_data(
     )
 
 
-def citation_report_data(sites: DataFrame, checks: DataFrame, prompts: DataFrame, as_of: datetime) -> DataFrame:
-    """One nested document per site: visibility, engines, prompts, benchmark and daily history."""
+def citation_report_data(sites: DataFrame, checks: DataFrame, prompts: DataFrame, as_of: datetime) -> dict[str, DataFrame]:
+    """The citation report of every site: a ``header`` document per site, and ``prompts`` and ``benchmark`` rows.
+
+    Only lists with a fixed bound are nested in the header (four engines, one entry per day of the
+    window). Prompts and competitors grow with the site, so they stay rows.
+    """
     newest = T.latest_checks(checks, prompts)
     visibility = T.current_visibility(checks, sites).select(
         "site_id", F.struct("checks", "cited", "visibility", "avg_sov").alias("visibility")
@@ -261,16 +265,16 @@ def citation_report_data(sites: DataFrame, checks: DataFrame, prompts: DataFrame
     engines = T.engine_totals(newest).groupBy("site_id").agg(
         F.array_sort(F.collect_list(F.struct("engine", "checks", "cited", "visibility"))).alias("by_engine")
     )
-    matrix = T.prompt_matrix(newest).groupBy("site_id").agg(
-        F.array_sort(F.collect_list(F.struct("prompt_id", "results"))).alias("prompts")
-    )
-    bench = T.competitor_benchmark(checks, sites).groupBy("site_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "name", "is_brand", "mentions", "presence"))).alias("benchmark")
-    )
+    matrix = T.prompt_matrix(newest)
+    tracked = matrix.groupBy("site_id").agg(F.count("*").alias("n_prompts"))
     history = T.history_collapse(T.visibility_history(checks, as_of)).groupBy("site_id").agg(
         F.array_sort(F.collect_list(F.struct("day", "visibility"))).alias("history")
     )
-    out = sites.select("site_id", F.struct("name", "origin", "brand_name").alias("site"))
-    for part in (visibility, T.any_simulated(newest), engines, matrix, bench, history):
-        out = out.join(part, "site_id", "left")
-    return out.na.fill(False, ["any_simulated"])
+    header = sites.select("site_id", F.struct("name", "origin", "brand_name").alias("site"))
+    for part in (visibility, T.any_simulated(newest), engines, tracked, history):
+        header = header.join(part, "site_id", "left")
+    return {
+        "header": header.na.fill(False, ["any_simulated"]).na.fill(0, ["n_prompts"]),
+        "prompts": matrix,
+        "benchmark": T.competitor_benchmark(checks, sites),
+    }

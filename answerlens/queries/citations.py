@@ -135,14 +135,19 @@ def sink_checks(s, sf):
     return flat(sinks.sink_checks(rows).groupBy("day", "engine").agg(F.count("*").alias("checks"), F.count("error").alias("errors"), F.sum("brand_mentions").alias("mentions")))
 
 
+def _report(s, sf):
+    return R.citation_report_data(V.sites(s, sf), V.checks(s, sf), V.prompts(s, sf), AS_OF)
+
+
 def citation_report_data(s, sf):
-    doc = R.citation_report_data(V.sites(s, sf), V.checks(s, sf), V.prompts(s, sf), AS_OF)
-    return flat(doc.select(
+    return flat(_report(s, sf)["header"].select(
         "site_id", F.col("site.name").alias("name"), F.col("visibility.checks").alias("checks"), F.col("visibility.avg_sov").alias("avg_sov"), "any_simulated",
         F.expr("coalesce(array_join(transform(by_engine, e -> concat(e.engine, ':', e.checks, ':', e.cited)), '|'), '')").alias("engines"),
-        F.expr("coalesce(size(prompts), 0)").alias("n_prompts"),
-        F.expr("coalesce(array_join(transform(benchmark, b -> concat(b.name, ':', b.mentions)), '|'), '')").alias("benchmark"),
-        F.expr("coalesce(size(history), 0)").alias("n_days")))
+        "n_prompts", F.expr("coalesce(size(history), 0)").alias("n_days")))
+
+
+def citation_report_prompts(s, sf):
+    return flat(_report(s, sf)["prompts"].select("site_id", "prompt_id", F.expr("array_join(transform(results, r -> r.engine), '|')").alias("engines")))
 
 
 def audit_report_data(s, sf):
@@ -250,12 +255,10 @@ QUERIES = {
         f"WITH {_AN} SELECT strftime(DATE '2024-01-01' + cast(conv_id % 20 AS int), '%Y-%m-%d') AS day, engine, count(*) AS checks, count(*) FILTER (bad) AS errors, cast(sum(b) AS bigint) AS mentions FROM an GROUP BY 1, 2")),
     "citation_report_data": (citation_report_data, oracle(
         f"WITH {_NEWEST}, e AS (SELECT site_id, string_agg(engine || ':' || k || ':' || g, '|' ORDER BY engine) AS engines, bool_or(sim) AS sim FROM (SELECT site_id, engine, count(*) AS k, count(*) FILTER (brand_cited) AS g, bool_or(mode = 'simulated') AS sim FROM newest GROUP BY 1, 2) GROUP BY 1), "
-        "n AS (SELECT site_id, count(DISTINCT prompt_id) AS k FROM newest GROUP BY 1), v AS (SELECT site_id, count(*) AS checks, cast(sum(cast(round(share_of_voice * 10000) AS bigint)) AS bigint) AS u, cast(sum(brand_mentions) AS bigint) AS m, count(*) FILTER (brand_cited) AS ap, "
-        "cast(sum(rival_a) AS bigint) AS ra, cast(sum(rival_b) AS bigint) AS rb, count(*) FILTER (rival_a > 0) AS aa, count(*) FILTER (rival_b > 0) AS ab FROM state GROUP BY 1), h AS (SELECT site_id, count(DISTINCT cast(checked_at AS date)) AS k FROM v_checks WHERE error IS NULL AND checked_at > TIMESTAMP '2023-11-02' GROUP BY 1), "
-        "bb AS (SELECT s.site_id, s.brand_name AS nm, coalesce(m, 0) AS mm, coalesce(ap, 0) AS aa, 0 AS o FROM v_sites s LEFT JOIN v USING (site_id) UNION ALL SELECT site_id, 'Rival A', ra, aa, 1 FROM v UNION ALL SELECT site_id, 'Rival B', rb, ab, 1 FROM v), "
-        "b AS (SELECT site_id, string_agg(nm || ':' || mm, '|' ORDER BY mm DESC, aa DESC, o, nm) AS benchmark FROM bb GROUP BY 1) "
-        "SELECT s.site_id, s.name, coalesce(v.checks, 0) AS checks, coalesce((2 * u + 10 * v.checks) // nullif(20 * v.checks, 0), 0) / 10.0 AS avg_sov, coalesce(sim, false) AS any_simulated, coalesce(engines, '') AS engines, coalesce(n.k, 0) AS n_prompts, benchmark, coalesce(h.k, 0) AS n_days "
-        "FROM v_sites s LEFT JOIN v USING (site_id) LEFT JOIN e USING (site_id) LEFT JOIN n USING (site_id) LEFT JOIN b USING (site_id) LEFT JOIN h USING (site_id)")),
+        "n AS (SELECT site_id, count(DISTINCT prompt_id) AS k FROM newest GROUP BY 1), v AS (SELECT site_id, count(*) AS checks, cast(sum(cast(round(share_of_voice * 10000) AS bigint)) AS bigint) AS u FROM state GROUP BY 1), h AS (SELECT site_id, count(DISTINCT cast(checked_at AS date)) AS k FROM v_checks WHERE error IS NULL AND checked_at > TIMESTAMP '2023-11-02' GROUP BY 1) "
+        "SELECT s.site_id, s.name, coalesce(v.checks, 0) AS checks, coalesce((2 * u + 10 * v.checks) // nullif(20 * v.checks, 0), 0) / 10.0 AS avg_sov, coalesce(sim, false) AS any_simulated, coalesce(engines, '') AS engines, coalesce(n.k, 0) AS n_prompts, coalesce(h.k, 0) AS n_days "
+        "FROM v_sites s LEFT JOIN v USING (site_id) LEFT JOIN e USING (site_id) LEFT JOIN n USING (site_id) LEFT JOIN h USING (site_id)")),
+    "citation_report_prompts": (citation_report_prompts, oracle(f"WITH {_NEWEST} SELECT site_id, prompt_id, string_agg(engine, '|' ORDER BY engine, check_id) AS engines FROM newest GROUP BY 1, 2")),
     "audit_report_data": (audit_report_data, oracle(
         "WITH i AS (SELECT audit_id, count(*) AS k FROM v_issues WHERE status <> 'ignored' GROUP BY 1) SELECT a.audit_id, coalesce(s.name, regexp_replace(a.origin, '^https://', '')) AS name, overall_score AS overall, '-' AS grade, coalesce(k, 0) AS n_issues, "
         "a.audit_id % 2 = 0 AS allowed, pages_crawled FROM v_audits a LEFT JOIN v_sites s USING (site_id) LEFT JOIN i USING (audit_id) WHERE status = 'complete' AND a.site_id IS NOT NULL")),

@@ -24,6 +24,8 @@ SPREAD_BELOW = 256 * 1024 * 1024
 
 def spread_small(df: DataFrame, key: str = "url") -> DataFrame:
     """Repartition a table that Spark estimates as small; larger ones are analysed where they are read."""
+    if df.isStreaming:
+        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SPREAD_BELOW else df
 
