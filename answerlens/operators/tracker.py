@@ -101,40 +101,42 @@ def current_visibility(checks: DataFrame, sites: DataFrame) -> DataFrame:
 def competitor_benchmark(checks: DataFrame, sites: DataFrame) -> DataFrame:
     """Brand and competitors of each site on one scale, over the current state.
 
-    Competitor lists are exploded and combined on the map side by (site, name).
+    The state is read once: each check is exploded to one entry for the brand and one per competitor,
+    combined on the map side by (site, name). The brand's entries also count the checks. A site
+    without checks keeps a brand row of zeros.
     """
-    state = current_state(checks).select(
-        "site_id", "brand_cited", "brand_mentions", "competitor_mentions"
-    )
-    per_site = state.groupBy("site_id").agg(
-        F.count("*").alias("total_checks"),
-        F.sum("brand_mentions").alias("mentions"),
-        F.count_if("brand_cited").alias("appearances"),
+    entry = "named_struct('is_brand', {0}, 'name', {1}, 'mentions', cast({2} AS bigint), 'appeared', {3})"
+    brand = entry.format("true", "cast(NULL AS string)", "brand_mentions", "brand_cited")
+    rival = entry.format("false", "m.name", "m.mentions", "m.mentions > 0")
+    entries = current_state(checks).select(
+        "site_id",
+        F.explode(F.expr(f"concat(array({brand}), coalesce(transform(competitor_mentions, m -> {rival}), array()))")).alias("e"),
     )
-    brand = (
-        sites.select("site_id", F.col("brand_name").alias("name"))
-        .join(per_site, "site_id", "left")
-        .na.fill(0, ["total_checks", "mentions", "appearances"])
-        .select("site_id", "name", F.lit(True).alias("is_brand"), "mentions", "appearances", "total_checks")
+    named = entries.groupBy("site_id", "e.is_brand", "e.name").agg(
+        F.sum("e.mentions").alias("mentions"), F.count_if("e.appeared").alias("appearances"), F.count("*").alias("n")
     )
-    rivals = (
-        state.select("site_id", F.explode("competitor_mentions").alias("m"))
-        .groupBy("site_id", F.col("m.name").alias("name"))
-        .agg(
-            F.sum("m.mentions").alias("mentions"),
-            F.count_if(F.col("m.mentions") > 0).alias("appearances"),
+    is_brand = F.coalesce("is_brand", F.lit(True))
+    by_site = Window.partitionBy("site_id")
+    rows = (
+        sites.select("site_id", "brand_name")
+        .join(named, "site_id", "left")
+        .select(
+            "site_id",
+            F.when(is_brand, F.col("brand_name")).otherwise(F.col("name")).alias("name"),
+            is_brand.alias("is_brand"),
+            F.coalesce("mentions", F.lit(0)).alias("mentions"),
+            F.coalesce("appearances", F.lit(0)).alias("appearances"),
+            F.coalesce(F.max(F.when(F.col("is_brand"), F.col("n"))).over(by_site), F.lit(0)).alias("total_checks"),
         )
-        .join(per_site.select("site_id", "total_checks"), "site_id")
-        .select("site_id", "name", F.lit(False).alias("is_brand"), "mentions", "appearances", "total_checks")
+        .filter(F.col("name").isNotNull())
     )
-    rows = brand.unionByName(rivals).filter(F.col("name").isNotNull())
-    w = Window.partitionBy("site_id").orderBy(
+    ranked = by_site.orderBy(
         F.col("mentions").desc(), F.col("appearances").desc(), F.col("is_brand").desc(), "name"
     )
     return rows.select(
         "*",
         percent_1dp(F.col("appearances"), F.col("total_checks")).alias("presence"),
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(ranked).alias("rank"),
     )
 
 

@@ -246,7 +246,8 @@ def recommend_top8(s, sf):
 
 
 def check_affected(s, sf):
-    feats = _features(s, sf, ["js_dependent", "word_count", "jsonld_blocks", "jsonld_invalid", "h1_count", "heading_skips", "title_length"])
+    wanted = ["js_dependent", "word_count", "jsonld_blocks", "jsonld_invalid", "h1_count", "heading_skips", "title_length"]
+    feats = materialise(_features(s, sf, wanted), "page_features")
     return flat(K.affected_pages(feats, "page_id"))
 
 

@@ -31,8 +31,8 @@ _BENCH = (
     "count(*) FILTER (brand_cited) AS a FROM state GROUP BY 1), "
     "raw AS (SELECT s.site_id, s.brand_name AS name, true AS is_brand, coalesce(m, 0) AS mentions, coalesce(a, 0) AS appearances, "
     "coalesce(n, 0) AS total_checks FROM v_sites s LEFT JOIN tot USING (site_id) "
-    "UNION ALL SELECT site_id, 'Rival A', false, cast(sum(rival_a) AS bigint), count(*) FILTER (rival_a > 0), count(*) FROM state GROUP BY 1 "
-    "UNION ALL SELECT site_id, 'Rival B', false, cast(sum(rival_b) AS bigint), count(*) FILTER (rival_b > 0), count(*) FROM state GROUP BY 1), "
+    "UNION ALL SELECT site_id, 'Rival A', false, cast(sum(rival_a) AS bigint), count(*) FILTER (rival_a > 0), count(*) FROM state SEMI JOIN v_sites USING (site_id) GROUP BY 1 "
+    "UNION ALL SELECT site_id, 'Rival B', false, cast(sum(rival_b) AS bigint), count(*) FILTER (rival_b > 0), count(*) FROM state SEMI JOIN v_sites USING (site_id) GROUP BY 1), "
     f"bench AS (SELECT *, {_PCT.format(n='appearances', d='total_checks')} AS presence, row_number() OVER "
     "(PARTITION BY site_id ORDER BY mentions DESC, appearances DESC, is_brand DESC, name) AS rank FROM raw) "
 )
