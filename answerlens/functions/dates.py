@@ -51,5 +51,9 @@ def severity_label(severity: Column) -> Column:
     return F.initcap(severity)
 
 
+# Display names of efforts.
+EFFORT_LABELS = {"low": "Quick win", "medium": "Half-day", "high": "Dev project"}
+
+
 def effort_label(effort: Column) -> Column:
-    return F.try_element_at(lit_map({"low": "Quick win", "medium": "Half-day", "high": "Dev project"}), effort)
+    return F.try_element_at(lit_map(EFFORT_LABELS), effort)

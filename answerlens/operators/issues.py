@@ -170,6 +170,7 @@ def prompt_suggestions(sites: DataFrame) -> DataFrame:
     """Five prompts worth tracking per site, from its brand and first topic."""
     provider = F.coalesce("topic", F.lit("provider"))
     service = F.coalesce("topic", F.lit("service"))
+    # The five templates.
     prompts = F.array(
         F.format_string("best %s in the UK", provider),
         F.format_string("%s reviews", F.col("brand_name")),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..dims import ENGINES, NEGATIVE_TERMS, POSITIVE_TERMS
 from ..functions.fragments import collapse_ws, let, q
 from ..functions.text import SPACE_CHARS, SPACES
+from ..functions.urls import domain_suffixes
 
 URLS_KEPT = 25
 EXCERPT = 420
@@ -278,11 +279,7 @@ def join_domain_suffix(cited: DataFrame, targets: DataFrame) -> DataFrame:
 
     Each host is exploded to its few dot suffixes instead of testing ``endsWith`` against every target.
     """
-    suffixes = (
-        "transform(sequence(1, size(split(domain, '[.]', -1))), "
-        "i -> array_join(slice(split(domain, '[.]', -1), i, 127), '.'))"
-    )
-    exploded = cited.filter("domain != ''").withColumn("target", F.explode(F.expr(suffixes)))
+    exploded = cited.filter("domain != ''").withColumn("target", F.explode(domain_suffixes(F.col("domain"))))
     return exploded.join(targets, "target")
 
 

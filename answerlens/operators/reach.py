@@ -36,6 +36,26 @@ def crawl_robots_skip(edges: DataFrame, robots: DataFrame, sites: DataFrame, ua:
     return edges.join(decided, ["site_id", "dst"])
 
 
+def crawl_seeds(seeds: DataFrame, robots: DataFrame, sites: DataFrame, ua: str) -> DataFrame:
+    """Seeds with ``allowed`` and, where robots.txt refuses ``ua``, the error of their only page row.
+
+    A refused seed is reported as an outcome of one skipped page, never as an empty crawl.
+    """
+    path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1), r"^(?=\?|$)", "/")
+    asked = seeds.select("site_id", "url").join(sites.select("site_id", "origin"), "site_id")
+    decided = robots_allowed(
+        asked.select("site_id", "url", "origin", F.lit(ua).alias("ua"), path.alias("path")), robots
+    )
+    refusal = F.concat(F.lit("robots.txt disallows "), F.lit(ua), F.lit(" from "), F.col("path"))
+    return decided.select(
+        "site_id",
+        "url",
+        "allowed",
+        F.when(~F.col("allowed"), refusal).alias("error"),
+        F.when(F.col("allowed"), 0).otherwise(1).alias("skipped_by_robots"),
+    )
+
+
 def _rank_level(level: DataFrame, cap: int) -> DataFrame:
     """Discovery order inside a level: parent's rank, then link position; no more than can be used.
 

@@ -377,6 +377,15 @@ def crawl_robots_skip(s, sf):
     return flat(G.skipped_by_robots(edges, reached, _seeds(s, sf)).join(n, "site_id"))
 
 
+def crawl_seeds(s, sf):
+    seeds = _seeds(s, sf)
+    sites = seeds.select("site_id", F.regexp_extract("url", "^(https://[^/]+)", 1).alias("origin"))
+    rule = F.when(F.col("site_id") % 2 == 0, F.lit("Disallow: /p/")).otherwise(F.lit("Disallow: /q/"))
+    files = seeds.select(F.regexp_extract("url", "^(https://[^/]+)", 1).alias("origin"), F.lit(200).alias("status_code"),
+                         F.concat(F.lit("User-agent: visibility"), F.expr("chr(10)"), rule).alias("body"))
+    return flat(G.crawl_seeds(seeds, B.parsed_robots(files), sites, "VisibilityBot"))
+
+
 # --- DuckDB side -----------------------------------------------------------------------------
 
 _STRIP = "v_body"
@@ -690,6 +699,9 @@ QUERIES = {
     "sink_audit": (sink_audit, oracle(
         f"WITH {_SCORE}, g AS (SELECT site_id, bool_or({_USE}) AS fine, count(*) AS k FROM pf GROUP BY 1) SELECT site_id AS audit_id, CASE WHEN fine THEN 'complete' ELSE 'failed' END AS status, CASE WHEN fine THEN overall END AS overall_score, "
         "CASE WHEN fine THEN k ELSE 0 END AS pages_crawled, cast(90000 AS bigint) AS duration_ms, CASE WHEN fine THEN true END AS has_plan, NOT fine AS has_error FROM g JOIN og USING (site_id)")),
+    "crawl_seeds": (crawl_seeds, oracle(
+        "SELECT DISTINCT site_id, base || '0' AS url, site_id % 2 = 1 AS allowed, CASE WHEN site_id % 2 = 0 THEN 'robots.txt disallows VisibilityBot from /p/0' END AS error, "
+        "1 - site_id % 2 AS skipped_by_robots FROM v_graph_pages")),
     "crawl_edges": (crawl_edges, oracle("SELECT site_id, url AS src, unnest(range(0, 4)) AS pos, base || unnest([2 * local + 1, 2 * local + 2, 0, local]) AS dst FROM v_graph_pages")),
     "crawl_reach": (crawl_reach, oracle(f"WITH RECURSIVE {_TREE} SELECT site_id, {_U8} AS url, depth, n + 1 AS rank FROM walk")),
     "crawl_cap": (crawl_cap, oracle(f"WITH RECURSIVE {_TREE}, f AS (SELECT site_id, count(*) AS all_found FROM walk WHERE n < 2 * {GRAPH_CAP - 1} + 1 GROUP BY 1) SELECT site_id, least({GRAPH_CAP}, all_found) AS pages, all_found > {GRAPH_CAP} AS capped FROM f")),
