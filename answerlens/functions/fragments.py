@@ -8,11 +8,17 @@ Each helper takes and returns SQL expression text.
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from .text import SPACES
 
-_ENTITIES = json.dumps({name: chr(code) for name, code in name2codepoint.items()}, ensure_ascii=False)
+# References that browsers also read without a semicolon in text (but not in attributes).
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_ENTITIES = json.dumps(
+    {n: html5[n] for n in _BARE} | {name: chr(code) for name, code in name2codepoint.items()}, ensure_ascii=False
+)
+_CLOSED = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+_OPEN = f"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(_BARE)})"
 
 
 def q(text: str) -> str:
@@ -41,9 +47,11 @@ def blank_to_null(x: str) -> str:
     return f"nullif({x}, '')"
 
 
-def _decode_piece(piece: str) -> str:
+def _decode_piece(piece: str, in_text: bool) -> str:
     """``piece`` is the text after an ampersand."""
-    ref = f"regexp_extract({piece}, {q('^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});')}, 1)"
+    ref = f"regexp_extract({piece}, {q(_CLOSED)}, 1)"
+    if in_text:
+        ref = f"coalesce(nullif({ref}, ''), regexp_extract({piece}, {q(_OPEN)}, 1))"
     number = (
         "if(lower(substr(er, 1, 2)) = '#x', try_cast(conv(substr(er, 3), 16, 10) AS BIGINT), "
         "try_cast(substr(er, 2) AS BIGINT))"
@@ -53,11 +61,11 @@ def _decode_piece(piece: str) -> str:
         "decode(unhex(lpad(hex(en), 8, '0')), 'UTF-32'), NULL)"
     )
     value = f"if(startswith(er, '#'), {let(number, 'en', char)}, try_element_at(from_json({q(_ENTITIES)}, 'map<string,string>'), er))"
-    return let(ref, "er", f"coalesce(concat(nullif({value}, ''), substr({piece}, length(er) + 2)), concat('&', {piece}))")
+    return let(ref, "er", f"coalesce(concat(nullif({value}, ''), substr({piece}, length(er) + if(substr({piece}, length(er) + 1, 1) = ';', 2, 1))), concat('&', {piece}))")
 
 
-def decode_entities(x: str) -> str:
+def decode_entities(x: str, in_text: bool = True) -> str:
     """HTML character references to characters; the text itself when it has no ampersand."""
     pieces = f"split({x}, '&', -1)"
-    decoded = f"transform({pieces}, (ep, ei) -> if(ei = 0, ep, {_decode_piece('ep')}))"
+    decoded = f"transform({pieces}, (ep, ei) -> if(ei = 0, ep, {_decode_piece('ep', in_text)}))"
     return f"if(contains({x}, '&'), array_join({decoded}, ''), {x})"

@@ -55,7 +55,7 @@ def attr(tag: str, name: str) -> str:
     pattern = q(rf"""(?i)[\s"']{name}(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s>/]))""")
     quoted = q("""^["']""")
     bare = f"if(av RLIKE {quoted}, substr(av, 2, length(av) - 2), av)"
-    value = let(f"regexp_extract({tag}, {pattern}, 1)", "av", let(bare, "ab", decode_entities("ab")))
+    value = let(f"regexp_extract({tag}, {pattern}, 1)", "av", let(bare, "ab", decode_entities("ab", in_text=False)))
     return f"if({tag} RLIKE {pattern}, {value}, NULL)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..dims import plan_dim
 from .ranking import trailing_count
 from .reports import with_plan
-from .tracker import latest, top_k
+from .tracker import top_k
 
 STALE_HOURS = 144
 PROMPTS_PER_RUN = 200

@@ -73,13 +73,13 @@ def sink_checks(results: DataFrame) -> DataFrame:
 def append_checks(results: DataFrame, path: str) -> None:
     """Append to the history, partitioned by day.
 
-    Rows of a day are spread over writers by prompt, so a day with most of the rows is not one task.
+    The rebalance hint lets adaptive execution split a day with most of the rows over many writers and
+    gather days with few, so neither one task nor many small files result.
     """
-    rows = sink_checks(results)
-    rows.repartition("day", F.pmod(F.xxhash64("prompt_id"), F.lit(32))).write.mode("append").partitionBy("day").parquet(path)
+    sink_checks(results).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def overwrite_audits(rows: DataFrame, path: str) -> None:
     """Replace only the month partitions present in ``rows``."""
     tagged = rows.withColumn("month", F.date_format("started_at", "yyyy-MM"))
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    tagged.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_bucket
-from ..functions.text import js_round, percent_1dp, ratio_round
+from ..functions.text import percent_1dp, ratio_round
 
 SCALE = 10000  # share of voice is stored with four decimals
 

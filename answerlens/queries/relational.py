@@ -10,7 +10,6 @@ from ..operators import issues as I
 from ..operators import quotas as Q
 from ..operators import reports as R
 from ..operators import score as S
-from ..operators import tracker as T
 from ..operators import validate as C
 from . import views as V
 from .views import AS_OF, PERIOD, flat, oracle
