@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from .fragments import collapse_ws, decode_entities, let, q, trim_ws, word_count
 
+# The rest of a tag up to its end. Up to eight "<" may stand inside; possessive, so text without any ">"
+# is not scanned again from every "<".
+TAG_END = r"[^<>]*+(?:<[^<>]*+){0,8}+>"
+
 # Elements whose text is not page content; mount points of script frameworks.
 STRIPPED = "script|style|noscript|template|svg|iframe|nav|footer|header|aside"
 MOUNT_IDS = ["root", "__next", "app", "application"]
@@ -27,11 +31,11 @@ def strip_comments(html: str) -> str:
 
 def strip_scripts(html: str) -> str:
     """Drop the contents of script and style, keeping the opening tags."""
-    return f"regexp_replace({html}, {q(r'(?is)(<(script|style)(?=[\s>/])[^>]*>).*?(?:</\2\s*>|\z)')}, '$1')"
+    return f"regexp_replace({html}, {q(rf'(?is)(<(script|style)(?=[\s>/]){TAG_END}).*?(?:</\2\s*>|\z)')}, '$1')"
 
 
 def strip_tags(html: str) -> str:
-    return f"regexp_replace({html}, '<[/!?A-Za-z][^>]*>', '')"
+    return f"regexp_replace({html}, '<[/!?A-Za-z]{TAG_END}', '')"
 
 
 def node_text(html: str) -> str:
@@ -41,13 +45,13 @@ def node_text(html: str) -> str:
 
 def body_of(no_comments: str) -> str:
     """From after the body tag; without one, everything but the head."""
-    after = f"regexp_replace({no_comments}, {q(r'(?is)\A.*?<body(?=[\s>/])[^>]*>')}, '')"
-    headless = f"regexp_replace({no_comments}, {q(r'(?is)<(head|title)(?=[\s>/])[^>]*>.*?</\1\s*>')}, '')"
+    after = f"regexp_replace({no_comments}, {q(rf'(?is)\A.*?<body(?=[\s>/]){TAG_END}')}, '')"
+    headless = f"regexp_replace({no_comments}, {q(rf'(?is)<(head|title)(?=[\s>/]){TAG_END}.*?</\1\s*>')}, '')"
     return f"if({no_comments} RLIKE {q(r'(?i)<body[\s>/]')}, {after}, {headless})"
 
 
 def strip_blocks(body: str) -> str:
-    return f"regexp_replace({body}, {q(rf'(?is)<({STRIPPED})(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\z)')}, '')"
+    return f"regexp_replace({body}, {q(rf'(?is)<({STRIPPED})(?=[\s>/]){TAG_END}.*?(?:</\1\s*>|\z)')}, '')"
 
 
 def attr(tag: str, name: str) -> str:
@@ -61,7 +65,7 @@ def attr(tag: str, name: str) -> str:
 
 def tags(doc: str, name: str) -> str:
     """Opening tags of one element, in order."""
-    return f"regexp_extract_all({doc}, {q(rf'(?i)<{name}(?=[\s>/])[^>]*>')}, 0)"
+    return f"regexp_extract_all({doc}, {q(rf'(?i)<{name}(?=[\s>/]){TAG_END}')}, 0)"
 
 
 def count_tags(doc: str, names: str) -> str:
@@ -69,7 +73,7 @@ def count_tags(doc: str, names: str) -> str:
 
 
 def first_inner(doc: str, name: str) -> str:
-    return f"regexp_extract({doc}, {q(rf'(?is)<{name}(?=[\s>/])[^>]*>(.*?)(?:</{name}\s*>|\z)')}, 1)"
+    return f"regexp_extract({doc}, {q(rf'(?is)<{name}(?=[\s>/]){TAG_END}(.*?)(?:</{name}\s*>|\z)')}, 1)"
 
 
 def metas(doc: str) -> str:
@@ -84,7 +88,7 @@ def meta_content(meta: str, key: str, value: str) -> str:
 
 def headings(doc: str) -> str:
     """Ordered non-empty headings as ``array<struct<level, text>>``."""
-    raw = f"regexp_extract_all({doc}, {q(r'(?is)<h[1-6](?=[\s>/])[^>]*>.*?(?:</h[1-6]\s*>|\z)')}, 0)"
+    raw = f"regexp_extract_all({doc}, {q(r'(?is)<h[1-6](?=[\s>/])' + TAG_END + r'.*?(?:</h[1-6]\s*>|\z)')}, 0)"
     parsed = f"transform({raw}, hd -> named_struct('level', int(substr(hd, 3, 1)), 'text', {node_text('hd')}))"
     return f"filter({parsed}, hh -> hh.text != '')"
 
@@ -102,7 +106,7 @@ def question_headings(outline: str) -> str:
 
 
 def first_paragraph(stripped_body: str) -> str:
-    return node_text(f"regexp_extract({stripped_body}, {q(rf'(?is)<p(?=[\s>/])[^>]*>(.*?)(?:{_P_END})')}, 1)")
+    return node_text(f"regexp_extract({stripped_body}, {q(rf'(?is)<p(?=[\s>/]){TAG_END}(.*?)(?:{_P_END})')}, 1)")
 
 
 def _inner_balanced(doc: str, opening: str) -> str:
@@ -123,10 +127,10 @@ def _inner_balanced(doc: str, opening: str) -> str:
 def spa_root_empty(doc: str) -> str:
     """A framework mount point holds fewer than 30 words."""
     patterns = [
-        (i, rf"""<([a-z][a-z0-9\-]*)\s(?:[^>]*\s)?id\s*=\s*["']?{i}(?=["'\s>])[^>]*>""") for i in MOUNT_IDS
+        (i, rf"""<([a-z][a-z0-9\-]*)\s(?:[^<>]{{0,2000}}\s)?id\s*=\s*["']?{i}(?=["'\s>]){TAG_END}""") for i in MOUNT_IDS
     ]
-    patterns.append(("data-reactroot", r"<([a-z][a-z0-9\-]*)\s(?:[^>]*\s)?data-reactroot(?=[\s=>/])[^>]*>"))
-    patterns.append(("astro-island", r"<(astro-island)(?=[\s>/])[^>]*>"))
+    patterns.append(("data-reactroot", r"<([a-z][a-z0-9\-]*)\s(?:[^<>]{0,2000}\s)?data-reactroot(?=[\s=>/])" + TAG_END))
+    patterns.append(("astro-island", r"<(astro-island)(?=[\s>/])" + TAG_END))
     tests = []
     for word, p in patterns:
         few = let(node_text(_inner_balanced(doc, p)), "mt", f"{word_count('mt')} < 30")
@@ -135,11 +139,11 @@ def spa_root_empty(doc: str) -> str:
 
 
 def noscript_text(html: str) -> str:
-    blocks = f"regexp_extract_all({html}, {q(r'(?is)<noscript(?=[\s>/])[^>]*>(.*?)(?:</noscript\s*>|\z)')}, 1)"
+    blocks = f"regexp_extract_all({html}, {q(rf'(?is)<noscript(?=[\s>/]){TAG_END}(.*?)(?:</noscript\s*>|\z)')}, 1)"
     return f"if({html} RLIKE '(?i)<noscript', {strip_tags(f'array_join({blocks}, {q('')})')}, '')"
 
 
 def rel_author_text(doc: str) -> str:
-    pattern = r"""(?is)<([a-z][a-z0-9]*)\s(?:[^>]*\s)?rel\s*=\s*(?:"author"|'author'|author(?=[\s>]))[^>]*>(.*?)</\1\s*>"""
+    pattern = r"""(?is)<([a-z][a-z0-9]*)\s(?:[^<>]{0,2000}\s)?rel\s*=\s*(?:"author"|'author'|author(?=[\s>]))""" + TAG_END + r"(.*?)(?:</\1\s*>|\z)"
     inner = strip_tags(f"regexp_extract({doc}, {q(pattern)}, 2)")
     return f"if(contains({doc}, 'author'), {let(inner, 'ra', trim_ws(decode_entities('ra')))}, '')"

@@ -7,6 +7,7 @@ last level until the depth bound. No recursion over a table, no shuffle, no row
 from __future__ import annotations
 
 from .fragments import blank_to_null, let, q, trim_ws
+from .html import TAG_END
 
 # How deep the two walks go.
 SET_DEPTH = 12
@@ -18,8 +19,9 @@ _NO_STRINGS = "cast(array() AS array<string>)"
 _OBJECT = q(r"^\s*\{")
 _CONTAINER = q(r"^\s*[\[{]")
 _BLOCK = (
-    r"""(?is)<script\s(?:[^>]*\s)?type\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s>]))"""
-    r"""[^>]*>(.*?)(?:</script\s*>|\z)"""
+    r"""(?is)<script\s(?:[^<>]{0,2000}\s)?type\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s>]))"""
+    + TAG_END
+    + r"(.*?)(?:</script\s*>|\z)"
 )
 
 

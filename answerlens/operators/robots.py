@@ -72,7 +72,7 @@ def robots_rules(grouped: DataFrame) -> DataFrame:
         "pos",
         F.col("field").alias("rule_type"),
         F.col("value").alias("path"),
-        pattern_regex(F.col("value")).alias("regex"),
+        F.expr(pattern_regex("value")).alias("regex"),
     )
 
 
@@ -97,12 +97,21 @@ def robots_sitemaps(lines: DataFrame) -> DataFrame:
     )
 
 
-def pattern_regex(path: Column) -> Column:
-    """Start-anchored regex of a robots path: ``*`` is any run, a last ``$`` is the end."""
-    body = F.regexp_replace(path, r"\$$", "")
-    escaped = F.regexp_replace(body, r"([.+?^$(){}|\[\]\\])", r"\\$1")
-    tail = F.when(path.endswith("$"), F.lit("$")).otherwise(F.lit(""))
-    return F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit(".*")), tail)
+def pattern_regex(path: str) -> str:
+    """Start-anchored regex of a robots path: ``*`` is any run, a last ``$`` is the end.
+
+    Each run stops at the first place its next piece fits and never gives it back, which is enough for
+    such patterns, so a rule full of ``*`` stays linear in the path.
+    """
+    special = q(r"([.+?^${}()|\[\]\\])")
+    escaped = f"regexp_replace(regexp_replace({path}, '[$]$', ''), {special}, {q(r'\\$1')})"
+    anchored = f"endswith({path}, '$')"
+    piece = (
+        f"CASE WHEN pi = 0 THEN pc WHEN pi = size(pp) - 1 AND {anchored} THEN concat('.*', pc) "
+        "ELSE concat('(?>.*?', pc, ')') END"
+    )
+    pieces = let(f"split({escaped}, '[*]', -1)", "pp", f"array_join(transform(pp, (pc, pi) -> {piece}), '')")
+    return f"concat('^', {pieces}, if({anchored}, '$', ''))"
 
 
 def parsed_robots(files: DataFrame) -> DataFrame:
@@ -111,7 +120,7 @@ def parsed_robots(files: DataFrame) -> DataFrame:
     One shuffle: the window and both aggregates share the partitioning by origin.
     """
     status = robots_status(files)
-    lines = robots_groups(robots_lines(status)).withColumn("regex", pattern_regex(F.col("value")))
+    lines = robots_groups(robots_lines(status)).withColumn("regex", F.expr(pattern_regex("value")))
     rule = (
         "named_struct('pos', pos, 'is_allow', field = 'allow', 'path', value, 'len', length(value), "
         "'literal', NOT value RLIKE '[*]|[$]$', 'regex', regex)"

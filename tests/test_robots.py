@@ -81,3 +81,17 @@ def test_surface(spark, robots):
     assert (a["sitemap"]["present"], a["sitemap"]["url_count"], a["sitemap"]["source"]) == (True, 2, "robots")
     assert not got["star"]["llms_txt"]["present"] and not got["star"]["sitemap"]["present"]
     assert got["star"]["sitemap"]["url"] == "star/sitemap.xml"
+
+
+def test_pattern_regex_agrees_with_globs(spark):
+    from fnmatch import fnmatchcase
+
+    from pyspark.sql import functions as F
+
+    rules = ["/a*b*c", "/*.pdf$", "/*a*a*$", "/x$", "/", "/*", "/a$b", "/(x)+*[y]", "*", "/**b", "$", "/*a*a*a*a*a*a*a*a*b"]
+    paths = ["/abc", "/a-b-c-d", "/acb", "/f.pdf", "/f.pdf?x", "/xaxa", "/aa", "/x", "/xy", "/a$b", "/(x)+1[y]2", "/bb", "", "/" + "a" * 3000]
+    df = spark.createDataFrame([(r, p) for r in rules for p in paths], "rule string, path string")
+    for row in df.withColumn("hit", F.expr(f"regexp_like(path, {B.pattern_regex('rule')})")).collect():
+        rule, end = (row["rule"][:-1], "") if row["rule"].endswith("$") else (row["rule"], "*")
+        want = fnmatchcase(row["path"], rule.replace("[", "[[]") + end)
+        assert row["hit"] == want, (row["rule"], row["path"][:40])
