@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from answerlens.llm import quality, shards, simhash, toxicity
+from answerlens.llm import decontaminate, quality, shards, simhash, toxicity
 
 QUERIES: dict = {
     "op3_simhash_trie": (simhash.op3_simhash_trie, None),
     "op4_counterfactual_toxicity": (toxicity.op4_counterfactual_toxicity, None),
+    "op6_fm_index": (decontaminate.op6_fm_index, decontaminate.SQL),
     "op8_compression_quality": (quality.op8_compression_quality, None),
     "op10_sampled_splitters": (shards.op10_sampled_splitters, None),
 }
