@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from answerlens.llm import decontaminate, quality, shards, simhash, toxicity
+from answerlens.llm import decontaminate, outliers, quality, shards, simhash, toxicity
 
 QUERIES: dict = {
+    "op1_mcd_outliers": (outliers.op1_mcd_outliers, None),
     "op3_simhash_trie": (simhash.op3_simhash_trie, None),
     "op4_counterfactual_toxicity": (toxicity.op4_counterfactual_toxicity, None),
     "op6_fm_index": (decontaminate.op6_fm_index, decontaminate.SQL),
