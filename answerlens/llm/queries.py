@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from answerlens.llm import context_tree, decontaminate, outliers, quality, secret_scan, shards, simhash, toxicity
+from answerlens.llm import context_tree, decontaminate, outliers, packing, quality, secret_scan, shards, simhash, toxicity
 
 QUERIES: dict = {
     "op1_mcd_outliers": (outliers.op1_mcd_outliers, None),
     "op2_context_tree": (context_tree.op2_context_tree, None),
     "op3_simhash_trie": (simhash.op3_simhash_trie, None),
     "op4_counterfactual_toxicity": (toxicity.op4_counterfactual_toxicity, None),
+    "op5_lexical_packing": (packing.op5_lexical_packing, None),
     "op6_fm_index": (decontaminate.op6_fm_index, decontaminate.SQL),
     "op8_compression_quality": (quality.op8_compression_quality, None),
     "op9_randomness_battery": (secret_scan.op9_randomness_battery, None),
