@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from answerlens.llm import context_tree, decontaminate, outliers, packing, quality, secret_scan, shards, simhash, toxicity
+from answerlens.llm import context_tree, decontaminate, outliers, packing, quality, secret_scan, shards, simhash, substrings, toxicity
 
 QUERIES: dict = {
     "op1_mcd_outliers": (outliers.op1_mcd_outliers, None),
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op4_counterfactual_toxicity": (toxicity.op4_counterfactual_toxicity, None),
     "op5_lexical_packing": (packing.op5_lexical_packing, None),
     "op6_fm_index": (decontaminate.op6_fm_index, decontaminate.SQL),
+    "op7_run_length_index": (substrings.op7_run_length_index, None),
     "op8_compression_quality": (quality.op8_compression_quality, None),
     "op9_randomness_battery": (secret_scan.op9_randomness_battery, None),
     "op10_sampled_splitters": (shards.op10_sampled_splitters, None),
