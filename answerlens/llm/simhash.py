@@ -34,13 +34,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` of every row of ``docs(doc_id, text)``; fp is the 64 bits as a long."""
+    """``(doc_id, fp, text_hash)`` of every row of ``docs(doc_id, text)``; fp is the 64 bits as a long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, width, seed) for t in batch.column("text").to_pylist()], dtype="u8").view("i8")
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps), batch.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    named = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+    return map_batches(named, run, "doc_id long, fp long, text_hash long")
 
 
 def trie_pairs(keys: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +184,8 @@ def near_links(fps: DataFrame, budget: int = 2, most: int = 20_000) -> DataFrame
     return placed.mapInArrow(_join_tasks(budget), "u long, v long")
 
 
-def near_groups(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs(doc_id, text)``.
+def near_groups(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 2, keep_hash: bool = False) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for each row of ``docs(doc_id, text)``, with ``text_hash`` where asked for.
 
     Copies share a fingerprint and meet before the join. Documents without words have fingerprint zero
     and link like any other. A null id keeps its row; its component is the smallest id it reaches,
@@ -194,7 +195,7 @@ def near_groups(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 2
     fps = table.groupBy("fp").agg(F.min("doc_id").alias("node"))
     roots = components(near_links(fps.where("node IS NOT NULL"), budget))
     named = fps.join(roots, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("component_id"))
-    return table.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return table.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id", *(["text_hash"] if keep_hash else []))
 
 
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
