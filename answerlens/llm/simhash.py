@@ -56,11 +56,11 @@ def trie_pairs(keys: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray
     b0, b1 = np.where(own, lo, mid), hi.copy()
     d = np.zeros(len(lo), dtype="int64")
     left, right = [], []
-    for bit in range(BITS - 1, -1, -1):
+    for bit in range(BITS - 1, -2, -1):
         one = (a1 - a0 == 1) & (b1 - b0 == 1)
         if one.any():  # both are leaves: the rest of the bits at once
             x, y = a0[one], b0[one]
-            near = (x != y) & (np.bitwise_count(keys[x] ^ keys[y]) <= budget)
+            near = np.bitwise_count(keys[x] ^ keys[y]) <= budget
             left.append(x[near])
             right.append(y[near])
             a0, a1, b0, b1, d = (v[~one] for v in (a0, a1, b0, b1, d))
