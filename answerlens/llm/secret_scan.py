@@ -86,17 +86,18 @@ def _thresholds(tested: DataFrame, level: float) -> dict[str, int]:
     return {r["class"]: r["bin"] for r in good.groupBy("class").agg(F.min("bin").alias("bin")).collect()}
 
 
-def find_secrets(docs: DataFrame, level: float = 0.01) -> DataFrame:
+def find_secrets(docs: DataFrame, level: float = 0.01, keep_text: bool = True) -> DataFrame:
     """Adds ``secrets``, an array of (start, end, kind) in code points, to each row of ``docs(text)``.
 
     The kinds ``assign``, ``access`` and ``hex`` are fixed patterns, found left to right without overlap per
     kind. ``random`` are further tokens of 20 or more symbols that look drawn at random; among the tokens of
     one alphabet and length the share of ordinary words is held to ``level``, so short tokens need a clearer
     result. They never overlap a fixed one. Null and empty texts have none; repeated rows are equal. The
-    columns come back as they were, with a column ``secrets`` replaced.
+    columns come back as they were, with a column ``secrets`` replaced; without ``keep_text`` the text stays
+    out of the table between the two passes and of the result.
     """
     docs = docs.drop("secrets")
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     stages = [_found(text, name, *rule) for name, rule in BASE.items()] + [_found(text, "random", CANDIDATE, 0, 20)]
     first = docs.select(*own, *[c for columns, _ in stages for c in columns])
@@ -124,7 +125,7 @@ def redacted(text: str = "text", secrets: str = "secrets", mark: str = "[secret]
 
 
 def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_secrets(documents(spark, sf_dir, "doc_id", "text"))
+    out = find_secrets(documents(spark, sf_dir, "doc_id", "text"), keep_text=False)
 
     def shown(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
