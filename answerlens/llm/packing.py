@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,8 @@ class WordEncoder:
     are encoded whole. At most ``most`` words are kept.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,15 +49,17 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words, each with its leading space, in one string; bytes tell which ids are whose."""
-        ids = self.whole(" " + " ".join(words)).astype("<u2")
-        ends = np.cumsum(self.lengths[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words]), side="left") + 1
-        raw = ids.tobytes()
-        at = 0
-        for w, cut in zip(words, cuts.tolist(), strict=True):
-            self.kept[w] = raw[2 * at : 2 * cut]
-            at = cut
+        """Encodes new words, each with its leading space, in a few strings; the spaces tell which ids are whose."""
+        step = max(1, len(words) // 8 + 1)
+        groups = [words[i : i + step] for i in range(0, len(words), step)]
+        texts = [" " + " ".join(g) for g in groups]
+        for group, text, got in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u2")
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")
+            first = np.cumsum(self.lengths[ids]) - self.lengths[ids]  # the byte at which each id begins
+            cuts = (2 * np.searchsorted(first, np.append(np.flatnonzero(raw == 32), len(raw)))).tolist()
+            data = ids.tobytes()
+            self.kept.update(zip(group, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids as unsigned 16-bit numbers."""
@@ -64,10 +68,10 @@ class WordEncoder:
         if len(self.kept) + len(new) > self.most:
             self.kept.clear()
             new = set().union(*(s[1:] for s in split if s))
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or "\x1c" <= w[0] <= "\x1f" or "\x1c" <= w[-1] <= "\x1f"}
+        odd = {w for w in new if not w or w.strip() != w}
         for w in odd:
             self.kept[w] = self.whole(" " + w).astype("<u2").tobytes()
-        plain = sorted(new - odd)
+        plain = list(new - odd) if odd else list(new)
         if plain:
             self._learn(plain)
         out = []
