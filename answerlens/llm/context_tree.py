@@ -105,9 +105,49 @@ def mix(keys: np.ndarray, lv: Level, depth: int, p: list[np.ndarray] | None) ->
     return out
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, at = np.unique(grams, return_inverse=True)
-    return u, np.bincount(at, counts, len(u))
+    if not len(grams):
+        return grams, counts
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(counts[order], first)
+
+
+class KeyTable:
+    """Values by key, open addressing; a lookup is a probe or two instead of a search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, "i8")
+        self.values = np.zeros(1 << self.bits)
+        slot, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            at = slot[todo]
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[todo[free]]
+            done = self.keys[at] == keys[todo]
+            self.values[at[done]] = values[todo[done]]
+            todo = todo[~done]
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype("i8")
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        miss = np.flatnonzero(self.keys[slot] != keys)
+        while len(miss):
+            if (self.keys[slot[miss]] == -1).any():
+                raise KeyError("a key that no table entry holds")
+            slot[miss] = (slot[miss] + 1) & (len(self.keys) - 1)
+            miss = miss[self.keys[slot[miss]] != keys[miss]]
+        return self.values[slot]
 
 
 def lower_levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
@@ -156,8 +196,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def take(kind: bool) -> None:
             if held[kind]:
                 key, _, void = gram_keys(held[kind])
-                u, c = np.unique(np.delete(key, void), return_counts=True)
-                grams.append((u, c * kind))
+                keys = np.sort(np.delete(key, void))
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                grams.append((keys[first], np.diff(np.append(first, len(keys))) * kind))
                 held[kind], size[kind] = [], 0
 
         for text, use in zip(batch.column("text").to_pylist(), learned, strict=True):
@@ -171,11 +212,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 take(use)
         take(True)
         take(False)
-        if sum(len(g[0]) for g in grams) > 3_000_000:
+        if sum(len(g[0]) for g in grams) > 1_500_000:
             grams = [reduced()]
-            if len(grams[0][0]) > 1_500_000:
+            if len(grams[0][0]) > 750_000:
                 yield emit(*grams.pop())
-        if len(words) > 300_000:
+        if len(words) > 200_000:
             yield emit([word_key(w) for w in words], list(words.values()))
             words.clear()
     if grams:
@@ -184,30 +225,57 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([*map(word_key, words), END], [*words.values(), ends])
 
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct keys that each block needs."""
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        texts = batch.column("text").to_pylist()
-        for b in np.unique(block):
-            parts, words, held, size = [], set(), [], 0
-            for i in np.flatnonzero(block == b):
-                raw = normal(texts[i])
-                words.update(raw.split())
-                held.append(raw)
-                size += len(raw)
-                if size > 1_000_000:
+def _requests(common):
+    """The distinct keys that each block needs beside the ``common`` ones (sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value[0]
+
+        def rare(keys: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            return keys[known[at] != keys] if len(known) else keys
+
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            texts = batch.column("text").to_pylist()
+            for b in np.unique(block):
+                parts, words, held, size = [], set(), [], 0
+                for i in np.flatnonzero(block == b):
+                    raw = normal(texts[i])
+                    words.update(raw.split())
+                    held.append(raw)
+                    size += len(raw)
+                    if size > 1_000_000:
+                        key, _, void = gram_keys(held)
+                        parts.append(rare(_distinct(np.delete(key, void))))
+                        held, size = [], 0
+                if held:
                     key, _, void = gram_keys(held)
-                    parts.append(np.unique(np.delete(key, void)))
-                    held, size = [], 0
-            if held:
-                key, _, void = gram_keys(held)
-                parts.append(np.unique(np.delete(key, void)))
-            keys = np.concatenate([np.unique(np.concatenate(parts)), np.array([END, *map(word_key, words)], "i8")])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b), pa.int64()), pa.array(keys)], ["block", "key"])
-
-
-def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 32 << 20) -> DataFrame:
+                    parts.append(rare(_distinct(np.delete(key, void))))
+                named = rare(np.sort(np.array([END, *map(word_key, words)], "i8")))
+                keys = np.concatenate([_distinct(np.concatenate(parts)), named])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b), pa.int64()), pa.array(keys)], ["block", "key"])
+
+    return run
+
+
+def _common(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries with the highest counts, at most ``most``: found by a histogram of counts, not by a sort."""
+    step = F.floor(F.log2(F.col("n") + 1) * 8)
+    bins = model.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("b")).collect()  # some hundred rows
+    total, least = 0, None
+    for r in bins:
+        total += r["c"]
+        if total > most:
+            break
+        least = r["b"]
+    if least is None:
+        return np.empty(0, "i8"), np.empty(0)
+    got = model.where(step >= least).select("key", "v").toPandas().sort_values("key")
+    return got["key"].to_numpy("i8"), got["v"].to_numpy("f8")
+
+
+def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 24 << 20, common: int = 400_000) -> DataFrame:
     """Scores every row of ``docs(doc_id, text)`` with models learned from the rows where ``learn`` holds.
 
     The text model weights all context depths from 0 to ``DEPTH`` bytes: each byte is eight binary decisions,
@@ -216,7 +284,8 @@ def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 32 <<
     other rows hold travel along with count zero. Contexts of ``TOP`` bytes and more are weighted by subtree
     (a subtree has at most 256 ** 3 entries), the short ones on the driver from one table of at most
     256 ** TOP entries. The result, a log probability for each context and byte, is as large as the corpus
-    is varied, so it is joined to what each block of documents needs and never sent whole to a task.
+    is varied, so it is joined to what each block of documents needs and never sent whole to a task; only
+    the ``common`` most frequent entries, a set number, go to all tasks.
 
     Adds n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte. Null text is empty and
     has only its end; without rows to learn from every bit has probability one half.
@@ -259,24 +328,25 @@ def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 32 <<
             p = None
             for depth, lv in reversed(list(enumerate([*(Level(**lv) for lv in shared.value), *lower_levels(keys, counts)]))):
                 p = mix(keys, lv, depth, p)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sum(np.log10(x) for x in p))], ["key", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sum(np.log10(x) for x in p)), pa.array(counts.astype("i8"))], ["key", "v", "n"])
 
-    model = ordered.mapInArrow(logs, "key long, v double").unionByName(table.where("key < 0").select("key", F.col("n").cast("double").alias("v")))
+    model = ordered.mapInArrow(logs, "key long, v double, n long").unionByName(table.where("key < 0").select("key", F.col("n").cast("double").alias("v"), "n"))
     model = materialise(model, "model")
+    often = spark.sparkContext.broadcast(_common(model, common))
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     placed = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
-    wanted = placed.mapInArrow(_requests, "block long, key long").join(model, "key").select("block", "key", "v")
+    wanted = placed.mapInArrow(_requests(often), "block long, key long").join(model, "key").select("block", "key", "v")
     scale = float(np.log10(total + kinds + 1))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(right["key"].to_numpy(), kind="stable")
-        keys, values = right["key"].to_numpy()[order], right["v"].to_numpy()[order]
+        keys, first = np.unique(np.concatenate([right["key"].to_numpy(), often.value[0]]), return_index=True)
+        values = np.concatenate([right["v"].to_numpy(), often.value[1]])[first]
         split = int(np.searchsorted(keys, 0))
         words = dict(zip(keys[:split].tolist(), values[:split].tolist(), strict=True))
         end = words.get(END, 0.0)
-        keys, values = keys[split:], values[split:]
+        table = KeyTable(keys[split:], values[split:])
         memo: dict[bytes, float] = {}
         n_tokens, known, base, scores, sizes = [], [], [], [], []
 
@@ -287,8 +357,10 @@ def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 32 <<
 
         def finish(held: list[bytes]) -> None:
             key, begin, void = gram_keys(held)
-            v = values[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]
-            v[void] = 0.0
+            real = np.ones(len(key), bool)
+            real[void] = False
+            v = np.zeros(len(key))
+            v[real] = table.get(key[real])
             scores.append(np.add.reduceat(v, begin))
 
         held, size = [], 0
