@@ -8,16 +8,14 @@ Each helper takes and returns SQL expression text.
 from __future__ import annotations
 
 import json
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from .text import SPACES
 
 # References that browsers also read without a semicolon in text (but not in attributes).
 _BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-_ENTITIES = json.dumps(
-    {n: html5[n] for n in _BARE} | {name: chr(code) for name, code in name2codepoint.items()}, ensure_ascii=False
-)
-_CLOSED = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+_ENTITIES = json.dumps({n.removesuffix(";"): c for n, c in html5.items()}, ensure_ascii=False)
+_CLOSED = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 _OPEN = f"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(_BARE)})"
 
 

@@ -1,17 +1,19 @@
 """HTML extraction as SQL fragments. All native; nothing here leaves the JVM.
 
-Known differences from a full parser: attribute values that contain ``>``, and blocks of one
-tag nested in the same tag when stripped. An unclosed stripped block runs to the end of the page.
-Every pattern consumes a page once, so a page full of unclosed tags stays linear.
+An unclosed stripped block runs to the end of the page, and so does a tag that never ends
+(``close_tail`` cuts it first). Every pattern consumes a page once, so a page full of unclosed
+tags stays linear.
 """
 
 from __future__ import annotations
 
 from .fragments import collapse_ws, decode_entities, let, q, trim_ws, word_count
 
-# The rest of a tag up to its end. Up to eight "<" may stand inside; possessive, so text without any ">"
-# is not scanned again from every "<".
-TAG_END = r"[^<>]*+(?:<[^<>]*+){0,8}+>"
+# The rest of a tag up to its end; quoted values may hold ">". A quote that is never closed counts as a
+# plain character. Possessive, so nothing is scanned twice.
+TAG_END = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+>"""
+# Attributes before the wanted one.
+_BEFORE = r"""(?:[^<>"'\s]++|\s|"[^"]*+"|'[^']*+')*?\s"""
 
 # Elements whose text is not page content; mount points of script frameworks.
 STRIPPED = "script|style|noscript|template|svg|iframe|nav|footer|header|aside"
@@ -25,6 +27,13 @@ _P_END = (
 )
 
 
+def close_tail(html: str) -> str:
+    """Without a tag at the end of the page that is never closed."""
+    tail = f"substring_index({html}, '>', -1)"
+    cut = f"concat(left({html}, length({html}) - length(ct)), regexp_replace(ct, {q(r'(?s)<[/!?A-Za-z].*')}, ''))"
+    return let(tail, "ct", f"if(contains(ct, '<'), {cut}, {html})")
+
+
 def strip_comments(html: str) -> str:
     return f"if(contains({html}, '<!--'), regexp_replace({html}, {q(r'(?s)<!--.*?(?:-->|\z)')}, ''), {html})"
 
@@ -35,7 +44,7 @@ def strip_scripts(html: str) -> str:
 
 
 def strip_tags(html: str) -> str:
-    return f"regexp_replace({html}, '<[/!?A-Za-z]{TAG_END}', '')"
+    return f"regexp_replace({html}, {q('<[/!?A-Za-z]' + TAG_END)}, '')"
 
 
 def node_text(html: str) -> str:
@@ -51,7 +60,23 @@ def body_of(no_comments: str) -> str:
 
 
 def strip_blocks(body: str) -> str:
-    return f"regexp_replace({body}, {q(rf'(?is)<({STRIPPED})(?=[\s>/]){TAG_END}.*?(?:</\1\s*>|\z)')}, '')"
+    """Without the stripped elements; one nested in its like ends with the outer one. Scripts and styles do not nest."""
+    pieces = f"split(concat(' ', {body}), {q(rf'(?i)(?=</?(?:{STRIPPED})[\s>/])')}, -1)"
+    name = f"lower(regexp_extract(bp, {q('^</?([A-Za-z]+)')}, 1))"
+    after = f"regexp_replace(bp, {q(rf'(?s)^</[A-Za-z]+{TAG_END}')}, '')"
+    outside = (
+        "if(startswith(bp, '<') AND NOT startswith(bp, '</'), named_struct('out', ba.out, 'inside', bn, 'depth', 1), "
+        "named_struct('out', concat(ba.out, bp), 'inside', '', 'depth', 0))"
+    )
+    inside = (
+        "CASE WHEN bn != ba.inside OR (NOT startswith(bp, '</') AND bn IN ('script', 'style')) THEN ba "
+        "WHEN NOT startswith(bp, '</') THEN named_struct('out', ba.out, 'inside', bn, 'depth', ba.depth + 1) "
+        f"WHEN ba.depth = 1 THEN named_struct('out', concat(ba.out, {after}), 'inside', '', 'depth', 0) "
+        "ELSE named_struct('out', ba.out, 'inside', bn, 'depth', ba.depth - 1) END"
+    )
+    step = let(name, "bn", f"if(ba.depth = 0, {outside}, {inside})")
+    start = "named_struct('out', '', 'inside', '', 'depth', 0)"
+    return f"substr(aggregate({pieces}, {start}, (ba, bp) -> {step}, ba -> ba.out), 2)"
 
 
 def attr(tag: str, name: str) -> str:
@@ -127,9 +152,9 @@ def _inner_balanced(doc: str, opening: str) -> str:
 def spa_root_empty(doc: str) -> str:
     """A framework mount point holds fewer than 30 words."""
     patterns = [
-        (i, rf"""<([a-z][a-z0-9\-]*)\s(?:[^<>]{{0,2000}}\s)?id\s*=\s*["']?{i}(?=["'\s>]){TAG_END}""") for i in MOUNT_IDS
+        (i, rf"""<([a-z][a-z0-9\-]*){_BEFORE}id\s*=\s*(?:"{i}"|'{i}'|{i}(?=[\s>])){TAG_END}""") for i in MOUNT_IDS
     ]
-    patterns.append(("data-reactroot", r"<([a-z][a-z0-9\-]*)\s(?:[^<>]{0,2000}\s)?data-reactroot(?=[\s=>/])" + TAG_END))
+    patterns.append(("data-reactroot", r"<([a-z][a-z0-9\-]*)" + _BEFORE + r"data-reactroot(?=[\s=>/])" + TAG_END))
     patterns.append(("astro-island", r"<(astro-island)(?=[\s>/])" + TAG_END))
     tests = []
     for word, p in patterns:
@@ -144,6 +169,6 @@ def noscript_text(html: str) -> str:
 
 
 def rel_author_text(doc: str) -> str:
-    pattern = r"""(?is)<([a-z][a-z0-9]*)\s(?:[^<>]{0,2000}\s)?rel\s*=\s*(?:"author"|'author'|author(?=[\s>]))""" + TAG_END + r"(.*?)(?:</\1\s*>|\z)"
+    pattern = r"""(?is)<([a-z][a-z0-9]*)""" + _BEFORE + r"""rel\s*=\s*(?:"author"|'author'|author(?=[\s>]))""" + TAG_END + r"(.*?)(?:</\1\s*>|\z)"
     inner = strip_tags(f"regexp_extract({doc}, {q(pattern)}, 2)")
     return f"if(contains({doc}, 'author'), {let(inner, 'ra', trim_ws(decode_entities('ra')))}, '')"

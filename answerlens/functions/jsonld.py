@@ -1,33 +1,30 @@
 """JSON-LD extraction as SQL fragments.
 
 A page's blocks are walked inside the row: one ``aggregate`` that appends the children of the
-last level until the depth bound. No recursion over a table, no shuffle, no row explosion.
+last level, as many times as the deepest block nests. No recursion over a table, no shuffle, no row explosion.
 """
 
 from __future__ import annotations
 
 from .fragments import blank_to_null, let, q, trim_ws
-from .html import TAG_END
+from .html import TAG_END, attr
 
-# How deep the two walks go.
-SET_DEPTH = 12
-FIND_DEPTH = 10
-
-NODES = "array<struct<path:string,depth:int,raw:string>>"
+NODES = "array<struct<path:array<int>,depth:int,raw:string>>"
 _NO_NODES = f"cast(array() AS {NODES})"
 _NO_STRINGS = "cast(array() AS array<string>)"
 _OBJECT = q(r"^\s*\{")
 _CONTAINER = q(r"^\s*[\[{]")
-_BLOCK = (
-    r"""(?is)<script\s(?:[^<>]{0,2000}\s)?type\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s>]))"""
-    + TAG_END
-    + r"(.*?)(?:</script\s*>|\z)"
-)
+_OPEN = rf"<script(?=[\s>/]){TAG_END}"
+_SCRIPT = rf"(?is){_OPEN}.*?(?:</script\s*>|\z)"
 
 
 def blocks(no_comments: str) -> str:
     """Ordered non-blank bodies of the JSON-LD scripts."""
-    raw = f"regexp_extract_all({no_comments}, {q(_BLOCK)}, 1)"
+    scripts = f"regexp_extract_all({no_comments}, {q(_SCRIPT)}, 0)"
+    kind = attr("js.open", "type")
+    opened = f"transform({scripts}, jo -> named_struct('open', regexp_extract(jo, {q(f'(?is)^{_OPEN}')}, 0), 'whole', jo))"
+    typed = f"filter({opened}, js -> lower(trim({kind})) = 'application/ld+json')"
+    raw = f"transform({typed}, jt -> regexp_replace(substr(jt.whole, length(jt.open) + 1), {q(r'(?is)</script\s*>$')}, ''))"
     found = f"filter(transform({raw}, jb -> {trim_ws('jb')}), jf -> jf != '')"
     return f"if(contains({no_comments}, 'ld+json'), {found}, {_NO_STRINGS})"
 
@@ -40,7 +37,7 @@ def _children(n: str) -> str:
     )
     numbered = (
         f"transform(coalesce({values}, {_NO_STRINGS}), (cv, ci) -> named_struct("
-        f"'path', concat({n}.path, '/', lpad(string(ci), 6, '0')), 'depth', {n}.depth + 1, 'raw', cv))"
+        f"'path', array_append({n}.path, ci), 'depth', {n}.depth + 1, 'raw', cv))"
     )
     return f"filter({numbered}, ck -> ck.raw RLIKE {_CONTAINER})"
 
@@ -48,11 +45,17 @@ def _children(n: str) -> str:
 def nodes(ld_blocks: str) -> str:
     """Every object and array of every block that parses, in document (depth-first) order."""
     roots = (
-        f"cast(filter(transform({ld_blocks}, (rb, ri) -> named_struct('path', lpad(string(ri), 6, '0'), "
+        f"cast(filter(transform({ld_blocks}, (rb, ri) -> named_struct('path', array(ri), "
         f"'depth', 0, 'raw', rb)), rn -> try_parse_json(rn.raw) IS NOT NULL AND rn.raw RLIKE {_CONTAINER}) AS {NODES})"
     )
     level = f"flatten(transform(filter(na, nn -> nn.depth = nl - 1), nc -> {_children('nc')}))"
-    walked = f"aggregate(sequence(1, {SET_DEPTH}), {roots}, (na, nl) -> cast(concat(na, {level}) AS {NODES}))"
+    brackets = f"regexp_replace(array_join({ld_blocks}, ''), {q(r'(?s)"(?:[^"\\]++|\\.)*+"|[^\[\]{}]+')}, '')"
+    deepest = (
+        f"aggregate(split({brackets}, ''), named_struct('at', 0, 'most', 1), (da, dx) -> CASE WHEN dx IN ('{{', '[') "
+        "THEN named_struct('at', da.at + 1, 'most', greatest(da.most, da.at + 1)) WHEN dx IN ('}', ']') "
+        "THEN named_struct('at', greatest(da.at - 1, 0), 'most', da.most) ELSE da END, da -> da.most)"
+    )
+    walked = f"aggregate(sequence(1, {deepest}), {roots}, (na, nl) -> cast(concat(na, {level}) AS {NODES}))"
     return f"if(size({ld_blocks}) > 0, array_sort({walked}), {_NO_NODES})"
 
 
@@ -92,7 +95,7 @@ def same_as(ld_nodes: str) -> str:
 def valid_count(ld_nodes: str) -> str:
     """Blocks that parse and state at least one ``@type``."""
     typed = f"filter({_holders(ld_nodes, '@type')}, vn -> size({_strings_at('vn.raw', '@type')}) > 0)"
-    return f"size(array_distinct(transform({typed}, vt -> substr(vt.path, 1, 6))))"
+    return f"size(array_distinct(transform({typed}, vt -> vt.path[0])))"
 
 
 def find_string(ld_nodes: str, *keys: str) -> str:
@@ -111,5 +114,5 @@ def find_string(ld_nodes: str, *keys: str) -> str:
         options += [own, named]
     value = let("try_parse_json(fn.raw)", "fv", f"coalesce({', '.join(options)})")
     mentions = " OR ".join(f"contains(fh.raw, {q(f'"{k}"')})" for k in keys)
-    holders = f"filter({ld_nodes}, fh -> fh.depth <= {FIND_DEPTH} AND fh.raw RLIKE {_OBJECT} AND ({mentions}))"
+    holders = f"filter({ld_nodes}, fh -> fh.raw RLIKE {_OBJECT} AND ({mentions}))"
     return f"get(filter(transform({holders}, fn -> {value}), fw -> fw IS NOT NULL), 0)"

@@ -14,10 +14,6 @@ from ..functions.links import base_parts, normalise_links
 from ..functions.text import blank_to_null as null_if_blank
 from ..sources.pages import body_cap, body_is_truncated, page_gate
 
-OUTLINE_KEPT = 80
-LINKS_KEPT = 300
-FAQ_WINDOW = 4000
-
 _HREFS = f"filter(transform({H.tags('doc', 'a')}, ht -> {H.attr('ht', 'href')}), hx -> hx != '')"
 _CANONICAL = f"filter({H.tags('doc', 'link')}, ct -> {H.attr('ct', 'rel')} = 'canonical')"
 _NOINDEX = q("(?<![a-z0-9_])noindex(?![a-z0-9_])")
@@ -40,7 +36,7 @@ _JS_REASON = """CASE WHEN error IS NOT NULL THEN NULL
 # Stages of (column, SQL); each stage may use columns of the stages before it, so costly
 # intermediates (comment-free source, visible text, outline, JSON-LD nodes) are computed once.
 STAGES: list[dict[str, str]] = [
-    {"html": H.strip_comments("body")},
+    {"html": H.strip_comments(H.close_tail("body"))},
     {
         "doc": H.strip_scripts("html"),
         "main": H.strip_blocks(H.body_of("html")),
@@ -62,7 +58,7 @@ STAGES: list[dict[str, str]] = [
         "meta_description": trim_ws(H.meta_content("meta", "name", "description")),
         "h1": blank_to_null(H.node_text(H.first_inner("doc", "h1"))),
         "h1_count": H.count_tags("doc", "h1"),
-        "heading_outline": f"slice(outline, 1, {OUTLINE_KEPT})",
+        "heading_outline": "outline",
         "heading_skips": H.heading_skips("outline"),
         "question_headings": H.question_headings("outline"),
         "word_count": word_count("visible_text"),
@@ -80,7 +76,7 @@ STAGES: list[dict[str, str]] = [
         "author": blank_to_null(_AUTHOR_CHAIN),
         "canonical": let("get(canonicals, 0)", "ca", H.attr("ca", "href")).replace("canonicals", _CANONICAL),
         "noindex": f"coalesce(lower({H.meta_content('meta', 'name', 'robots')}) RLIKE {_NOINDEX}, false)",
-        "internal_links": f"if(error IS NULL, slice(array_distinct({normalise_links('hrefs', 'base')}), 1, {LINKS_KEPT}), "
+        "internal_links": f"if(error IS NULL, array_distinct({normalise_links('hrefs', 'base')}), "
         "cast(array() AS array<string>))",
     },
     {
@@ -92,7 +88,7 @@ STAGES: list[dict[str, str]] = [
     {
         "js_dependent": "js_dependent_reason IS NOT NULL",
         "has_faq": "has_faq_schema OR details_count >= 2 OR question_headings >= 2 OR "
-        f"substr(visible_text, 1, {FAQ_WINDOW}) RLIKE {q(H.FAQ_PHRASE)}",
+        f"visible_text RLIKE {q(H.FAQ_PHRASE)}",
     },
 ]
 FEATURES = [
@@ -130,11 +126,11 @@ def _closure(wanted: Iterable[str]) -> set[str]:
     return need
 
 
-def page_features(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
+def page_features(pages: DataFrame, only: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Features of every page; a page that cannot be analysed carries ``error`` and empty features.
 
     ``only`` names the features wanted and keeps the plan as small as they allow. Identifying columns
-    pass through and page bodies are dropped.
+    pass through and page bodies are dropped. Whole bodies are analysed; ``cap`` cuts them at so many bytes.
     """
     wanted = only or FEATURES
     need = _closure(wanted)
@@ -144,8 +140,8 @@ def page_features(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
         *keep,
         F.coalesce(null_if_blank(F.col("final_url")), F.col("url")).alias("url"),
         error.alias("error"),
-        body_is_truncated(F.col("body")).alias("truncated"),
-        F.when(error.isNull(), body_cap(F.col("body"))).otherwise(F.lit("")).alias("body"),
+        body_is_truncated(F.col("body"), cap).alias("truncated"),
+        F.when(error.isNull(), body_cap(F.col("body"), cap)).otherwise(F.lit("")).alias("body"),
     )
     for columns in STAGES:
         exprs = {k: F.expr(v) for k, v in columns.items() if k in need}

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..dims import BOTS
 from ..functions.fragments import let, q
 from ..functions.text import trim_ws
-from ..sources.pages import body_cap
 
 _RULES = "array<struct<is_allow:boolean,path:string,len:int,literal:boolean,regex:string>>"
 _NO_RULES = f"cast(array() AS {_RULES})"
@@ -26,7 +25,7 @@ def robots_status(files: DataFrame) -> DataFrame:
     return files.select(
         *[c for c in files.columns if c not in ("status_code", "body")],
         effective.alias("status_code"),
-        F.when(effective.isNull() | (effective >= 400), F.lit("")).otherwise(body_cap(F.col("body"))).alias("body"),
+        F.when(effective.isNull() | (effective >= 400), F.lit("")).otherwise(F.col("body")).alias("body"),
         (status.isNull() | F.coalesce(effective.isin(404, 410, 403), F.lit(False))).alias("permissive_by_absence"),
     )
 

@@ -115,10 +115,14 @@ def scan_pages_q(s, sf):
     return flat(p.select("page_id", "url", "status_code", "content_type", F.octet_length("body").alias("bytes"), "depth", "error"))
 
 
+BODY_CUT = 1500  # bytes; most pages are longer
+
+
 def body_cap_q(s, sf):
-    # Bodies are repeated until most of them pass the cap.
-    p = V.view(s, sf, "page_rows").select("page_id", F.expr("repeat(html, 900)").alias("body"))
-    return flat(p.select("page_id", body_is_truncated(F.col("body")).alias("truncated"), F.length(body_cap(F.col("body"))).alias("kept_chars")))
+    body = F.col("html")
+    return flat(V.view(s, sf, "page_rows").select(
+        "page_id", body_is_truncated(body, BODY_CUT).alias("truncated"), F.length(body_cap(body, BODY_CUT)).alias("kept_chars")
+    ))
 
 
 def page_gate_q(s, sf):
@@ -415,7 +419,7 @@ _PF = (
     f"pf AS (SELECT *, len(list_filter(range(2, len(hs) + 1), lambda i: hs[i].l - hs[i - 1].l > 1)) AS skips, {_txt('fp')} AS fpt, "
     "CASE WHEN err IS NOT NULL THEN NULL WHEN spa AND wc < 200 THEN 'The mount point of a script framework is empty in the HTML' WHEN wc < 120 AND nsrc >= 3 THEN 'The HTML holds ' || wc || ' words and ' || nsrc || ' scripts' "
     "WHEN plea THEN 'A noscript block asks for JavaScript' WHEN ratio < 0.03 AND wc < 300 THEN 'Visible text is ' || (floor(ratio * 1000 + 0.5) / 10) || '% of the HTML' END AS why, "
-    "list_contains(ty, 'FAQPage') AS faqs, list_contains(ty, 'FAQPage') OR nd >= 2 OR qh >= 2 OR regexp_matches(substr(vt, 1, 4000), '(?i)\\b(frequently asked questions|faqs?)\\b') AS faq, "
+    "list_contains(ty, 'FAQPage') AS faqs, list_contains(ty, 'FAQPage') OR nd >= 2 OR qh >= 2 OR regexp_matches(vt, '(?i)\\b(frequently asked questions|faqs?)\\b') AS faq, "
     "trim(" + _DEC.format("regexp_extract(doc, '(?is)<title>(.*?)</title>', 1)") + ") AS ttl, "
     "nullif(trim(" + _DEC.format("regexp_extract(doc, 'name=\"description\" content=\"([^\"]*)\"', 1)") + "), '') AS md, "
     "CASE WHEN len(good) > 0 AND good[1] LIKE '%@graph%' THEN 'Writer ' || page_id WHEN doc LIKE '%content=\"Meta Writer\"%' THEN 'Meta Writer' END AS author, "
@@ -575,10 +579,10 @@ _U8 = "'https://s' || site_id || '.example.com/p/' || n"
 QUERIES = {
     "scan_pages": (scan_pages_q, oracle("SELECT page_id, url, cast(status_code AS bigint) AS status_code, content_type, strlen(html) AS bytes, cast(0 AS bigint) AS depth, error FROM v_page_rows")),
     "body_cap": (body_cap_q, oracle(
-        "WITH b AS (SELECT page_id, html, strlen(html) AS nb, 2097152 // strlen(html) AS whole, 2097152 % strlen(html) AS rest FROM v_page_rows), "
-        "c AS (SELECT *, list_max(list_filter(range(0, length(html) + 1), lambda i: strlen(substr(html, 1, i)) <= rest)) AS part FROM b) "
-        "SELECT page_id, nb * 900 > 2097152 AS truncated, CASE WHEN nb * 900 <= 2097152 THEN length(html) * 900 ELSE whole * length(html) + part + "
-        "CASE WHEN strlen(substr(html, 1, part)) < rest THEN 1 ELSE 0 END END AS kept_chars FROM c")),
+        "WITH b AS (SELECT page_id, html, strlen(html) AS nb, "
+        f"list_max(list_filter(range(0, least(length(html), {BODY_CUT}) + 1), lambda i: strlen(substr(html, 1, i)) <= {BODY_CUT})) AS part FROM v_page_rows) "
+        f"SELECT page_id, nb > {BODY_CUT} AS truncated, CASE WHEN nb <= {BODY_CUT} THEN length(html) ELSE part + "
+        f"CASE WHEN strlen(substr(html, 1, part)) < {BODY_CUT} THEN 1 ELSE 0 END END AS kept_chars FROM b")),
     "page_gate": (page_gate_q, oracle("SELECT page_id, CASE WHEN error IS NOT NULL THEN error WHEN trim(html) = '' THEN 'Empty response body' WHEN content_type <> 'text/html' THEN 'Not HTML (' || content_type || ')' END AS reason FROM v_page_rows")),
     "domain_of": (domain_of_q, oracle("SELECT page_id, regexp_replace(lower(host), '^www[.]', '') AS domain FROM v_page_rows")),
     "host_of": (host_of_q, oracle("SELECT page_id, host FROM v_page_rows")),
@@ -591,7 +595,7 @@ QUERIES = {
     "pf_meta_description": (_feature("meta_description"), _pf("SELECT page_id, md AS meta_description FROM pf")),
     "pf_h1": (_feature("h1"), _pf(f"SELECT page_id, nullif({_txt(chr(40) + 'regexp_extract(doc, ' + chr(39) + '(?is)<h1[ >].*?</h1>' + chr(39) + ')' + chr(41))}, '') AS h1 FROM pf")),
     "pf_h1_count": (_feature("h1_count"), _pf("SELECT page_id, nh1 AS h1_count FROM pf")),
-    "pf_heading_outline": (heading_outline, _pf("SELECT page_id, array_to_string(list_transform(hs[1:80], lambda h: h.l || ':' || h.t), '|') AS outline FROM pf")),
+    "pf_heading_outline": (heading_outline, _pf("SELECT page_id, array_to_string(list_transform(hs, lambda h: h.l || ':' || h.t), '|') AS outline FROM pf")),
     "pf_heading_skips": (_feature("heading_skips"), _pf("SELECT page_id, skips AS heading_skips FROM pf")),
     "pf_question_headings": (_feature("question_headings"), _pf("SELECT page_id, qh AS question_headings FROM pf")),
     "pf_jsonld_blocks": (_feature("jsonld_blocks"), _pf("SELECT page_id, nld AS jsonld_blocks FROM pf")),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import BODY_CAP
 from ..functions.text import trim_ws
 
 # Columns a crawl may lack, with the value they then take.
@@ -18,35 +17,25 @@ _DEFAULTS = {
 }
 
 
-# Page analysis costs far more than reading, so a table this small is spread over all cores.
-SPREAD_BELOW = 256 * 1024 * 1024
-
-
-def spread_small(df: DataFrame, key: str = "url") -> DataFrame:
-    """Repartition a table that Spark estimates as small; larger ones are analysed where they are read."""
-    if df.isStreaming:
-        return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SPREAD_BELOW else df
-
-
 def scan_pages(source: DataFrame | str, spark: SparkSession | None = None) -> DataFrame:
     """Read a page table (path or DataFrame) and add the columns it lacks."""
-    df = spread_small(spark.read.parquet(source) if isinstance(source, str) else source)
+    df = spark.read.parquet(source) if isinstance(source, str) else source
     if "body" not in df.columns:
         df = df.withColumnRenamed("html", "body")
     missing = {k: F.lit(v).cast(t) for k, (v, t) in _DEFAULTS.items() if k not in df.columns}
     return df.withColumns(missing) if missing else df
 
 
-def body_is_truncated(body: Column) -> Column:
-    return F.coalesce(F.octet_length(body) > BODY_CAP, F.lit(False))
+def body_is_truncated(body: Column, cap: int | None = None) -> Column:
+    return F.lit(False) if cap is None else F.coalesce(F.octet_length(body) > cap, F.lit(False))
 
 
-def body_cap(body: Column) -> Column:
-    """The first 2 MB of a body, cut on bytes."""
-    cut = F.make_valid_utf8(F.substring(body.cast("binary"), 1, BODY_CAP).cast("string"))
-    return F.when(body_is_truncated(body), cut).otherwise(body)
+def body_cap(body: Column, cap: int | None = None) -> Column:
+    """The first ``cap`` bytes of a body, cut between characters; the whole body without one."""
+    if cap is None:
+        return body
+    cut = F.make_valid_utf8(F.substring(body.cast("binary"), 1, cap).cast("string"))
+    return F.when(body_is_truncated(body, cap), cut).otherwise(body)
 
 
 def page_gate(error: Column, body: Column, content_type: Column) -> Column:
