@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import AFFECTED_KEPT, BOTS, CHECKS, CONTENT_TYPES, GROUNDING_TYPES, THIN_WORDS
+from ..dims import AFFECTED_SHOWN, BOTS, CHECKS, CONTENT_TYPES, GROUNDING_TYPES, THIN_WORDS
 from ..functions.fragments import q
 from .page_features import keep_where
 from .robots import ai_access, blocks_everyone
@@ -254,23 +254,28 @@ _AFFECTED = {
 }
 
 
-def affected_pages(features: DataFrame, order: str, key: str = "site_id") -> DataFrame:
-    """``(site, code, affected, affected_total)``: the first 25 failing pages in crawl order and the full count.
-
-    The rank is filtered at once, so each task keeps 25 rows per group before the shuffle; the total
-    comes from a combined count.
-    """
+def affected_rows(features: DataFrame, order: str, key: str = "site_id") -> DataFrame:
+    """``(site, code, ord, item)``: every failing page of every check, one row each."""
     items = ", ".join(
         f"if({fails}, named_struct('code', '{code}', 'item', {item}), NULL)"
         for code, (fails, item) in _AFFECTED.items()
     )
-    failing = (
+    return (
         features.filter(F.expr(_USABLE))
         .select(key, F.col(order).alias("ord"), F.explode(F.expr(f"array_compact(array({items}))")).alias("a"))
         .select(key, "ord", "a.code", "a.item")
     )
+
+
+def affected_pages(features: DataFrame, order: str, key: str = "site_id", shown: int = AFFECTED_SHOWN) -> DataFrame:
+    """``(site, code, affected, affected_total)`` for display: the first ``shown`` failing pages in crawl order, the count of all.
+
+    All of them are ``affected_rows``. The rank is filtered at once, so each task keeps ``shown`` rows per
+    group before the shuffle; the total comes from a combined count.
+    """
+    failing = affected_rows(features, order, key)
     by_group = Window.partitionBy(key, "code").orderBy("ord", "item")
-    first = failing.withColumn("rn", F.row_number().over(by_group)).filter(F.col("rn") <= AFFECTED_KEPT)
+    first = failing.withColumn("rn", F.row_number().over(by_group)).filter(F.col("rn") <= shown)
     listed = first.groupBy(key, "code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "item"))), lambda x: x["item"]).alias("affected")
     )
@@ -278,8 +283,8 @@ def affected_pages(features: DataFrame, order: str, key: str = "site_id") -> Dat
     return listed.join(totals, [key, "code"])
 
 
-def js_reasons(features: DataFrame, order: str, key: str = "site_id") -> DataFrame:
-    """Up to three distinct reasons why pages need scripts, in crawl order."""
+def js_reasons(features: DataFrame, order: str, key: str = "site_id", shown: int = 3) -> DataFrame:
+    """For display: the first ``shown`` distinct reasons why pages need scripts, in crawl order."""
     reasons = (
         keep_where(features.filter(F.expr(_USABLE)), "js_dependent")
         .groupBy(key, "js_dependent_reason")
@@ -288,7 +293,7 @@ def js_reasons(features: DataFrame, order: str, key: str = "site_id") -> DataFra
     by_site = Window.partitionBy(key).orderBy("ord", "js_dependent_reason")
     return (
         reasons.withColumn("rn", F.row_number().over(by_site))
-        .filter(F.col("rn") <= 3)
+        .filter(F.col("rn") <= shown)
         .groupBy(key)
         .agg(
             F.transform(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import AFFECTED_SHOWN, EFFORT_DIVISOR, SEVERITY_RANK, fix_catalogue
+from ..dims import EFFORT_DIVISOR, SEVERITY_RANK, fix_catalogue
 from ..functions.fragments import let
-from .ranking import row_number_by_bucket
+from .ranking import row_number_by_range
 
 _DIVISOR = "CASE i.effort " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in EFFORT_DIVISOR.items()) + " END"
 _RANK = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY_RANK.items()) + " END"
@@ -57,11 +57,11 @@ def issue_rows(with_issue_array: DataFrame, key: str = "site_id") -> DataFrame:
 
 
 def issue_affected(issues: DataFrame, affected: DataFrame, key: str = "site_id") -> DataFrame:
-    """Affected count (of the 25 kept), the ten shown, and the full total."""
+    """Affected count, the sample that ``affected`` lists for display, and the count again as stored total."""
     return issues.join(affected, [key, "code"], "left").select(
         *issues.columns,
-        F.coalesce(F.size("affected"), F.lit(0)).alias("affected_count"),
-        F.coalesce(F.slice("affected", 1, AFFECTED_SHOWN), F.array().cast("array<string>")).alias("affected_sample"),
+        F.coalesce("affected_total", F.lit(0)).alias("affected_count"),
+        F.coalesce("affected", F.array().cast("array<string>")).alias("affected_sample"),
         F.coalesce("affected_total", F.lit(0)).alias("affected_total"),
     )
 
@@ -69,10 +69,10 @@ def issue_affected(issues: DataFrame, affected: DataFrame, key: str = "site_id")
 def stored_order(issues: DataFrame, key: str = "site_id") -> DataFrame:
     """Rank in storage order: criticals first, then priority; ties by code.
 
-    Ranked by (critical, whole priority) buckets, so no task sorts all issues of a key.
+    Ranked over ranges taken from the data, so no task sorts all issues of a key.
     """
-    bucket = F.struct(F.col("severity") != "critical", -F.floor("priority_score"))
-    return row_number_by_bucket(issues, [key], bucket, [F.col("priority_score").desc(), F.col("code")], "stored_rank")
+    order = [F.expr("severity = 'critical'").desc(), F.col("priority_score").desc(), F.col("code")]
+    return row_number_by_range(issues, [key], order, "stored_rank")
 
 
 def issue_filter_status(issues: DataFrame, which: str) -> DataFrame:

@@ -14,7 +14,6 @@ from ..functions.fragments import collapse_ws, let, q
 from ..functions.text import SPACE_CHARS, SPACES
 from ..functions.urls import domain_suffixes
 
-URLS_KEPT = 25
 EXCERPT = 420
 SENTIMENT_REACH = 250
 SENTIMENT_HEAD = 600
@@ -132,24 +131,25 @@ def build_dictionary(sites: DataFrame, competitors: DataFrame) -> DataFrame:
 
 
 def build_query(prompts: DataFrame, sites: DataFrame, competitors: DataFrame) -> DataFrame:
-    """Prompt with its site's brand, domain and competitors by name."""
-    rivals = competitors.groupBy("site_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("name", "domain", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")))
-        ).alias("competitors")
-    )
+    """Prompt with its site's brand and domain, and how many competitors the site has.
+
+    The competitors stay rows of their own (``query_competitors``), once a site and not once a prompt.
+    """
+    rivals = competitors.groupBy("site_id").agg(F.count("*").alias("n_rivals"))
     site = sites.select("site_id", "brand_name", "brand_aliases", "domain")
     return (
         prompts.select("prompt_id", "site_id", "prompt", "locale")
         .join(site, "site_id")
         .join(rivals, "site_id", "left")
-        .withColumn(
-            "competitors",
-            F.coalesce("competitors", F.array().cast("array<struct<name:string,domain:string,aliases:array<string>>>")),
-        )
+        .withColumn("n_rivals", F.coalesce("n_rivals", F.lit(0)))
     )
 
 
+def query_competitors(competitors: DataFrame) -> DataFrame:
+    """``(site_id, name, domain, aliases)``: what the prompts of a site are compared with."""
+    return competitors.select("site_id", "name", "domain", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
 def _domain(url: str) -> str:
     authority = f"regexp_extract({url}, {q(r'(?i)^https?:[/\\]{2,}([^/\\?#]*)')}, 1)"
     return f"regexp_replace(lower(regexp_replace({authority}, '^.*@|:[0-9]*$', '')), '^www[.]', '')"
@@ -209,7 +209,11 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
     rows = answers if "error" in answers.columns else answers.withColumn("error", F.lit(None).cast("string"))
     if "excerpt_override" not in rows.columns:
         rows = rows.withColumn("excerpt_override", F.lit(None).cast("string"))
-    joined = rows.join(dictionary.select("site_id", "brand_domain", "entities"), "site_id")
+    joined = rows.join(dictionary.select("site_id", "brand_domain", "entities"), "site_id", "left")
+    # An answer whose site has no dictionary is kept as an errored row.
+    orphan = F.col("entities").isNull() & F.col("error").isNull()
+    joined = joined.withColumn("error", F.when(orphan, F.lit("The site has no dictionary")).otherwise(F.col("error")))
+    joined = joined.withColumn("entities", F.coalesce("entities", F.array().cast(dictionary.schema["entities"].dataType)))
     usable = joined.withColumns(
         {
             "usable": F.expr("error IS NULL AND excerpt_override IS NULL"),
@@ -255,7 +259,7 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
                 "if(all_mentions > 0, floor(brand_mentions / all_mentions * 10000 + 0.5D) / 10000, 0D)"
             ),
             "citation_urls": F.expr(
-                f"transform(slice(links, 1, {URLS_KEPT}), lx -> named_struct('url', lx.url, 'title', lx.title, "
+                f"transform(links, lx -> named_struct('url', lx.url, 'title', lx.title, "
                 f"'domain', lx.domain, 'is_brand', {_domain_matches('lx.domain', 'brand_domain')}))"
             ),
             "competitor_mentions": F.expr(

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import plan_dim
-from .ranking import trailing_count
+from .ranking import row_number_by_range, trailing_count
 from .reports import with_plan
 from .tracker import top_k
 
 STALE_HOURS = 144
-PROMPTS_PER_RUN = 200
 FREE_AUDITS_PER_DAY = 5
 
 
@@ -23,14 +22,20 @@ def eligible_workspaces(workspaces: DataFrame) -> DataFrame:
 
 
 def stale_prompts(
-    prompts: DataFrame, as_of: datetime, stale_hours: int = STALE_HOURS, k: int = PROMPTS_PER_RUN
+    prompts: DataFrame, as_of: datetime, stale_hours: int = STALE_HOURS, k: int | None = None
 ) -> DataFrame:
-    """Active prompts due for a check, never-checked first, at most ``k`` per workspace."""
+    """All active prompts due for a check, never-checked first, with their place in the workspace's queue.
+
+    ``k`` keeps only the first of each queue, for a run of limited size.
+    """
     before = as_of - timedelta(hours=stale_hours)
     due = prompts.filter(
         F.col("is_active") & (F.col("last_checked_at").isNull() | (F.col("last_checked_at") < F.lit(before)))
     )
-    return top_k(due, ["workspace_id"], [F.col("last_checked_at").asc_nulls_first(), F.col("prompt_id")], k, "queue_pos")
+    order = [F.col("last_checked_at").asc_nulls_first(), F.col("prompt_id")]
+    if k is not None:
+        return top_k(due, ["workspace_id"], order, k, "queue_pos")
+    return row_number_by_range(due, ["workspace_id"], order, "queue_pos")
 
 
 def run_totals(workspaces: DataFrame, queue: DataFrame, checks: DataFrame) -> DataFrame:

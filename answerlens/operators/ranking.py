@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def row_number_by_bucket(
     df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str = "rn"
@@ -32,6 +34,36 @@ def row_number_by_bucket(
     )
 
 
+def row_number_by_range(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", ranges: int | None = None) -> DataFrame:
+    """``row_number`` over ``keys`` by ``order``, for keys that may hold most of the rows.
+
+    Rows are range-partitioned by (keys, order), so a hot key lies in many ranges in turn; each range is
+    numbered alone and moved on by the counts of the ranges before it. Ranges follow the data; their
+    number is ``ranges``, or that of the session's shuffle partitions. The ranges are a stored table, so
+    that both passes see the same ones.
+    """
+    spark = df.sparkSession
+    count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(count, *[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    cut = materialise(cut, "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        cut.groupBy(*keys, "_range")
+        .agg(F.count("*").alias("_n"))
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return (
+        cut.withColumn("_rn", F.row_number().over(inside))
+        .join(offsets, same)
+        .withColumn(name, (F.col("_rn") + F.col("_offset")).cast("int"))
+        .select(*df.columns, name)
+    )
+
+
 def carry_forward(
     df: DataFrame, key: str, bucket: Column, order: list[str], value: str, name: str
 ) -> DataFrame:

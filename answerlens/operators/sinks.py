@@ -16,11 +16,11 @@ def sink_pages(features: DataFrame, key: str = "audit_id", order: str = "crawl_p
     return rows.withColumn("issues", issues).drop("error", "visible_text", "internal_links")
 
 
-def sink_issues(issues: DataFrame, tailored: DataFrame | None = None) -> DataFrame:
-    """Issue rows; tailored text is appended to the explanation and flags the row."""
+def sink_issues(issues: DataFrame, tailored: DataFrame | None = None, key: str = "site_id") -> DataFrame:
+    """Issue rows; the text tailored to an audit's issue (``key, code, text``) is appended to its explanation and flags the row."""
     if tailored is None:
         return issues.withColumn("ai_generated", F.lit(False))
-    joined = issues.join(tailored.select("code", F.col("text").alias("_tailored")), "code", "left")
+    joined = issues.join(tailored.select(key, "code", F.col("text").alias("_tailored")), [key, "code"], "left")
     has = F.coalesce("_tailored", F.lit("")) != ""
     return joined.withColumns(
         {

@@ -50,20 +50,19 @@ def run_audit(
     features = store(page_features(scan_pages(pages)), "page_features")
     robots = store(B.parsed_robots(files.filter("kind = 'robots'").drop("kind")), "robots")
     surface = answer_surface(scan_site_files(files), robots)
-    facts = K.site_facts(features, sites, robots, surface)
+    gate = store(audit_gate(features, order), "gate")
+    # A site that fails the gate is not scored: it gets its reason, and no checks, issues or plan.
+    passed = sites.join(gate.filter("status = 'complete'"), "site_id", "left_semi")
+    facts = K.site_facts(features, passed, robots, surface)
     scored = store(I.with_issues(S.with_score(K.with_checks(facts))), "scored")
-    gate = audit_gate(features, order)
-    scores = scored.join(gate, "site_id").select(
+    counted = features.groupBy("site_id").agg(F.count("*").alias("crawled"))
+    scores = gate.join(scored, "site_id", "left").join(counted, "site_id", "left").join(sites.select("site_id", F.col("origin").alias("home")), "site_id").select(
         "site_id",
-        "origin",
+        F.col("home").alias("origin"),
         "status",
         "reason",
-        # A site without a usable page gets no score.
-        *[
-            F.when(F.col("status") == "complete", F.col(c)).alias(c)
-            for c in ("overall", "raw_overall", "grade", "ceiling_reason", "summary")
-        ],
-        "pages_crawled",
+        "overall", "raw_overall", "grade", "ceiling_reason", "summary",
+        F.coalesce("pages_crawled", "crawled").alias("pages_crawled"),
     )
     issues = I.issue_affected(I.issue_rows(scored), K.affected_pages(features, order))
     return AuditTables(

@@ -38,7 +38,7 @@ _PLANS = (
 _UP = "(SELECT p2.plan FROM plans p2 WHERE p2.plan_pos = x.plan_pos + 1)"
 _DUE = (
     "due AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY last_checked_at ASC NULLS FIRST, prompt_id) AS queue_pos "
-    "FROM v_prompts WHERE is_active AND (last_checked_at IS NULL OR last_checked_at < TIMESTAMP '2024-01-25 00:00:00') QUALIFY queue_pos <= 200)"
+    "FROM v_prompts WHERE is_active AND (last_checked_at IS NULL OR last_checked_at < TIMESTAMP '2024-01-25 00:00:00'))"
 )
 
 
@@ -189,8 +189,13 @@ def build_query(s, sf):
 
     df = bq(V.prompts(s, sf), V.sites(s, sf), V.competitors(s, sf))
     return flat(df.select("prompt_id", "brand_name", "domain", "locale",
-                          F.expr("array_join(transform(competitors, c -> c.name), '|')").alias("rivals"),
-                          F.size("competitors").alias("n_rivals")))
+                          "n_rivals"))
+
+
+def query_competitors(s, sf):
+    from ..operators.mentions import query_competitors as qc
+
+    return flat(qc(V.competitors(s, sf)).select("site_id", "name", "domain", F.size("aliases").alias("n_aliases")))
 
 
 def issue_filter_status(s, sf):
@@ -482,8 +487,9 @@ QUERIES = {
                      "QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, seq) = 1"),
     "engines_allowed": (engines_allowed, "SELECT prompt_id, array_to_string(list_filter(string_split(engine_csv, ','), lambda e: list_contains(list_slice(['chatgpt', 'perplexity', 'google_aio', 'claude'], 1, engines_limit), e)), '|') AS allowed_engines FROM v_prompts"),
     "engines_disallowed": (engines_disallowed, "SELECT prompt_id, array_to_string(list_filter(string_split(engine_csv, ','), lambda e: NOT list_contains(list_slice(['chatgpt', 'perplexity', 'google_aio', 'claude'], 1, engines_limit), e)), '|') AS disallowed_engines FROM v_prompts"),
-    "build_query": (build_query, "SELECT p.prompt_id, s.brand_name, s.domain, p.locale, coalesce(c.rivals, '') AS rivals, coalesce(n, 0) AS n_rivals FROM v_prompts p JOIN v_sites s USING (site_id) "
-                    "LEFT JOIN (SELECT site_id, string_agg(name, '|' ORDER BY name) AS rivals, count(*) AS n FROM v_competitors GROUP BY 1) c USING (site_id)"),
+    "query_competitors": (query_competitors, "SELECT site_id, name, domain, cast(coalesce(len(string_split(alias_csv, ',')), 0) AS bigint) AS n_aliases FROM v_competitors"),
+    "build_query": (build_query, "SELECT p.prompt_id, s.brand_name, s.domain, p.locale, coalesce(n, 0) AS n_rivals FROM v_prompts p JOIN v_sites s USING (site_id) "
+                    "LEFT JOIN (SELECT site_id, count(*) AS n FROM v_competitors GROUP BY 1) c USING (site_id)"),
     "issue_filter_status": (issue_filter_status, "WITH w AS (SELECT audit_id, 'all' AS which FROM v_issues UNION ALL SELECT audit_id, 'open' FROM v_issues WHERE status IN ('open', 'in_progress') "
                             "UNION ALL SELECT audit_id, 'done' FROM v_issues WHERE status IN ('fixed', 'ignored') UNION ALL SELECT audit_id, 'report' FROM v_issues WHERE status <> 'ignored') SELECT audit_id, which, count(*) AS n FROM w GROUP BY 1, 2"),
     "issue_status_counts": (issue_status_counts, "SELECT audit_id, count(*) FILTER (status IN ('open', 'in_progress')) AS open_issues, count(*) FILTER (status IN ('fixed', 'ignored')) AS done_issues FROM v_issues GROUP BY 1"),

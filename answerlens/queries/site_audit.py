@@ -314,9 +314,10 @@ def sink_pages(s, sf):
 
 def sink_issues(s, sf):
     rows = I.issue_rows(_issues(s, sf))
-    tailored = rows.filter("severity = 'critical'").select("code").distinct().select("code", F.lit("Tailored.").alias("text"))
+    # Every other site gets texts of its own.
+    tailored = rows.filter("severity = 'critical' AND length(site_id) % 2 = 0").select("site_id", "code", F.concat(F.lit("For "), "site_id").alias("text"))
     out = sinks.sink_issues(rows, tailored)
-    return flat(out.select("site_id", "code", "ai_generated", F.endswith("what_it_means", F.lit("\n\nTailored.")).alias("tailored")))
+    return flat(out.select("site_id", "code", "ai_generated", F.endswith("what_it_means", F.concat(F.lit("\n\nFor "), "site_id")).alias("tailored")))
 
 
 def sink_audit(s, sf):
@@ -664,10 +665,10 @@ QUERIES = {
         f"WITH {_PF}, f AS (SELECT * FROM pf WHERE {_USE}), a AS (SELECT site_id, page_id, 'nojs.server_rendered' AS code, url AS item FROM f WHERE why IS NOT NULL UNION ALL SELECT site_id, page_id, 'nojs.sufficient_depth', url FROM f WHERE wc < 300 "
         "UNION ALL SELECT site_id, page_id, 'schema.present', url FROM f WHERE nld = 0 UNION ALL SELECT site_id, page_id, 'schema.valid', url FROM f WHERE ninv > 0 UNION ALL SELECT site_id, page_id, 'answer.single_h1', url || ' (' || nh1 || ' H1s)' FROM f WHERE nh1 <> 1 "
         "UNION ALL SELECT site_id, page_id, 'answer.heading_hierarchy', url || ' (' || skips || ' skips)' FROM f WHERE skips > 0 UNION ALL SELECT site_id, page_id, 'entity.titles', url FROM f WHERE length(ttl) < 10), "
-        "r AS (SELECT *, row_number() OVER (PARTITION BY site_id, code ORDER BY page_id) AS rn FROM a) SELECT site_id, code, string_agg(item, '|' ORDER BY page_id) FILTER (rn <= 25) AS affected, count(*) AS affected_total FROM r GROUP BY 1, 2")),
+        "r AS (SELECT *, row_number() OVER (PARTITION BY site_id, code ORDER BY page_id) AS rn FROM a) SELECT site_id, code, string_agg(item, '|' ORDER BY page_id) FILTER (rn <= 10) AS affected, count(*) AS affected_total FROM r GROUP BY 1, 2")),
     "issue_affected": (issue_affected, oracle(
         f"WITH {_ISS}, a AS (SELECT site_id, unnest(['nojs.server_rendered', 'nojs.sufficient_depth', 'schema.present', 'schema.valid', 'answer.single_h1', 'answer.heading_hierarchy', 'entity.titles']) AS code, "
-        "unnest([js, thin, n - wld, inv, bh1, sk, n - tt]) AS k FROM b) SELECT i.site_id, i.code, least(25, coalesce(k, 0)) AS affected_count, least(10, coalesce(k, 0)) AS shown, coalesce(k, 0) AS affected_total FROM iss i LEFT JOIN a USING (site_id, code)")),
+        "unnest([js, thin, n - wld, inv, bh1, sk, n - tt]) AS k FROM b) SELECT i.site_id, i.code, coalesce(k, 0) AS affected_count, least(10, coalesce(k, 0)) AS shown, coalesce(k, 0) AS affected_total FROM iss i LEFT JOIN a USING (site_id, code)")),
     "js_reasons": (js_reasons, oracle(
         f"WITH {_PF}, r AS (SELECT site_id, why, min(page_id) AS o FROM pf WHERE {_USE} AND why IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY o, why) AS rn FROM r) "
         "SELECT site_id, string_agg(why, '|' ORDER BY rn) AS reasons FROM k WHERE rn <= 3 GROUP BY 1")),
@@ -699,7 +700,7 @@ QUERIES = {
     "sink_pages": (sink_pages, oracle(
         "WITH k AS (SELECT length(site_id) % 4 AS audit_id, regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+') AS url, page_id, CASE WHEN error IS NOT NULL THEN error WHEN content_type <> 'text/html' THEN 'Not HTML (' || content_type || ')' ELSE '' END AS issues FROM v_page_rows) "
         "SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY audit_id, url ORDER BY page_id) = 1")),
-    "sink_issues": (sink_issues, _is("SELECT site_id, code, severity = 'critical' AS ai_generated, severity = 'critical' AS tailored FROM iss")),
+    "sink_issues": (sink_issues, _is("SELECT site_id, code, severity = 'critical' AND length(site_id) % 2 = 0 AS ai_generated, severity = 'critical' AND length(site_id) % 2 = 0 AS tailored FROM iss")),
     "sink_audit": (sink_audit, oracle(
         f"WITH {_SCORE}, g AS (SELECT site_id, bool_or({_USE}) AS fine, count(*) AS k FROM pf GROUP BY 1) SELECT site_id AS audit_id, CASE WHEN fine THEN 'complete' ELSE 'failed' END AS status, CASE WHEN fine THEN overall END AS overall_score, "
         "CASE WHEN fine THEN k ELSE 0 END AS pages_crawled, cast(90000 AS bigint) AS duration_ms, CASE WHEN fine THEN true END AS has_plan, NOT fine AS has_error FROM g JOIN og USING (site_id)")),
