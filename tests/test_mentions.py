@@ -9,60 +9,61 @@ from answerlens.functions.urls import domain_matches, domain_of, is_public_url
 from answerlens.operators import mentions as M
 
 
-def brute(text, names):
-    """The longest name claims a span first; overlaps count once."""
-    claimed = []
-    for name in sorted((n.strip() for n in names if len(n.strip()) >= 2), key=lambda n: -len(n)):
-        pattern = r"[\s\-]+".join(re.escape(p) for p in name.split())
-        for m in re.finditer(rf"(?<![^\W_]){pattern}(?![^\W_])", text, re.I):
-            if not any(m.start() < e and m.end() > s for s, e in claimed):
-                claimed.append(m.span())
-    return len(claimed), min((s for s, _ in claimed), default=-1)
-
-
+#: Text, names, mentions and first index, counted by hand.
 CASES = [
-    ("Acme is great", ["Acme"]), ("Acmetech is unrelated", ["Acme"]), ("acme CRM and Acme CRM", ["Acme CRM"]), ("Acme-CRM rocks", ["Acme CRM"]),
-    ("Acme CRM is good.", ["Acme CRM", "Acme"]), ("Acme CRM is good. Acme ships fast.", ["Acme CRM", "Acme"]), ("Acme CRM is good.", ["Acme", "Acme CRM"]),
-    ("a b c b c", ["a b", "b c"]), ("x y x y x", ["x y x", "y x"]), ("y x y x", ["x y x", "y x"]), ("of the in the of the in", ["of the", "the in", "in the"]),
-    ("C++ and c++x, (C++)", ["C++"]), ("Éclair éclair ÉCLAIRS", ["éclair"]), ("a.b.c a.b", ["a.b", "b.c"]), ("", ["Acme"]), ("Acme", []), ("Acme", ["A"]),
-    ("Acme  \n CRM", [" Acme CRM "]), ("under_score Acme_x", ["Acme"]),
+    ("Tide boats are calm", ["Tide"], 1, 0), ("Tideline is another word", ["Tide"], 0, -1), ("old quay inn, Old Quay Inn", ["Old Quay Inn"], 2, 0),
+    ("at the Old-Quay-Inn", ["Old Quay Inn"], 1, 7), ("Old Quay Inn is full.", ["Old Quay Inn", "Old Quay"], 1, 0),
+    ("Old Quay Inn is full. Old Quay is not.", ["Old Quay Inn", "Old Quay"], 2, 0), ("Old Quay Inn is full.", ["Old Quay", "Old Quay Inn"], 1, 0),
+    ("k m n m n", ["k m", "m n"], 2, 0), ("p q p q p", ["p q p", "q p"], 2, 0), ("q p q p", ["p q p", "q p"], 1, 2),
+    ("F# and f#m, (F#)", ["F#"], 2, 0), ("Île île ÎLES", ["île"], 2, 0), ("x.y.z x.y", ["x.y", "y.z"], 2, 0), ("", ["Tide"], 0, -1),
+    ("Tide", [], 0, -1), ("Tide", ["T"], 0, -1), ("Old  \n Quay", [" Old Quay "], 1, 0), ("under_score Tide_x", ["Tide"], 1, 12),
 ]
 
 
-def test_counts_match_brute_force(spark):
-    df = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(CASES)], "i int, text string, names array<string>")
+def test_counts_by_hand(spark):
+    df = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(CASES)], "i int, text string, names array<string>")
     got = {r["i"]: (r["mentions"], r["first_index"]) for r in M.count_mentions(df).collect()}
-    for i, (text, names) in enumerate(CASES):
-        if "_" in text:
-            continue
-        assert got[i] == brute(text, names), (text, names)
-    assert got[18] == (1, 12), "an underscore is no letter or number"
+    assert got == {i: c[2:] for i, c in enumerate(CASES)}
+
+
+def owned_words(text):
+    """Mentions of "of the", "the in" and "in the" by marking words: longer in characters first, then in the order given; each word has one owner."""
+    found = [(m.start(), m.group().lower()) for m in re.finditer(r"[^\W_]+", text)]
+    glue = [re.fullmatch(r"[\s\-]+", text[a + len(w) : b]) is not None for (a, w), (b, _) in zip(found, found[1:], strict=False)]
+    owner = [False] * len(found)
+    starts = []
+    for pair in (("of", "the"), ("the", "in"), ("in", "the")):
+        for i in range(len(found) - 1):
+            if (found[i][1], found[i + 1][1]) == pair and glue[i] and not owner[i] and not owner[i + 1]:
+                owner[i] = owner[i + 1] = True
+                starts.append(found[i][0])
+    return len(starts), min(starts, default=-1)
 
 
 def test_overlapping_names_on_whole_documents(spark):
     names = ["of the", "the in", "in the"]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").withColumn("names", F.array(*map(F.lit, names)))
     for r in M.count_mentions(docs).collect():
-        assert (r["mentions"], r["first_index"]) == brute(r["text"], names)
+        assert (r["mentions"], r["first_index"]) == owned_words(r["text"])
 
 
 @pytest.fixture(scope="module")
 def analysed(spark):
-    sites = spark.createDataFrame([(1, "Acme CRM", ["Acme"], "acme.co.uk")], "site_id int, brand_name string, brand_aliases array<string>, domain string")
-    rivals = spark.createDataFrame([(1, "Zoho", "zoho.com", []), (1, "Pipedrive", "www.pipedrive.com", []), (1, "Nodomain", None, None)], "site_id int, name string, domain string, aliases array<string>")
+    sites = spark.createDataFrame([(1, "Old Quay Inn", ["Quay Inn"], "oldquay.example")], "site_id int, brand_name string, brand_aliases array<string>, domain string")
+    rivals = spark.createDataFrame([(1, "Marlin", "marlin.example", []), (1, "Heron House", "www.heron.example", []), (1, "Nodomain", None, None)], "site_id int, name string, domain string, aliases array<string>")
     url = lambda *u: [(x, None) for x in u]
     answers = {
-        "first": ("Acme CRM is the strongest option. Zoho is cheaper. Pipedrive is also worth a look.", url("https://acme.co.uk/", "https://zoho.com/"), None),
-        "third": ("Zoho leads the market. Pipedrive is popular too. Acme CRM is a smaller alternative.", [], None),
-        "sov": ("Acme CRM and Acme are both names for it. Zoho. Zoho. Pipedrive.", [], None),
-        "linked": ("Several providers compete in this space.", url("https://acme.co.uk/pricing"), None),
-        "uncited": ("Zoho and Pipedrive are the usual recommendations.", url("https://zoho.com/"), None),
-        "dedupe": ("Acme CRM.", url("https://acme.co.uk/page", "https://acme.co.uk/page?utm=x", "", "https://zoho.com/", "https://blog.pipedrive.com/x#y"), None),
-        "negative": ("Acme CRM is overpriced and users report complaints about support.", [], None),
-        "neutral": ("Acme CRM is a topic, stop.", [], None),
-        "errored": ("Acme CRM", url("https://acme.co.uk/"), "Request timed out"),
-        "long": ("lead  text " * 60 + "Acme closes " + "tail " * 120, [], None),
-        "many": ("Zoho", url(*[f"https://e{i}.com/" for i in range(30)], "https://acme.co.uk/late"), None),
+        "first": ("The Old Quay Inn is excellent for families. Marlin has fewer rooms. Heron House opens in May.", url("https://oldquay.example/", "https://marlin.example/"), None),
+        "third": ("Marlin comes up most. Heron House follows. The Old Quay Inn is further out.", [], None),
+        "sov": ("Old Quay Inn, once Quay Inn, by the sea. Marlin. Marlin. Heron House.", [], None),
+        "linked": ("There are several inns near the harbour.", url("https://oldquay.example/rooms"), None),
+        "uncited": ("People name Marlin and Heron House.", url("https://marlin.example/"), None),
+        "dedupe": ("Old Quay Inn.", url("https://oldquay.example/a", "https://oldquay.example/a?ref=x", "", "https://marlin.example/", "https://news.heron.example/x#y"), None),
+        "negative": ("The Old Quay Inn is overpriced and guests report complaints about noise.", [], None),
+        "neutral": ("The Old Quay Inn is by the water.", [], None),
+        "errored": ("Old Quay Inn", url("https://oldquay.example/"), "Request timed out"),
+        "long": ("waves  roll " * 60 + "Quay Inn closes " + "sand " * 120, [], None),
+        "many": ("Marlin", url(*[f"https://e{i}.example/" for i in range(30)], "https://oldquay.example/late"), None),
     }
     df = spark.createDataFrame([(k, 1, a, u, e) for k, (a, u, e) in answers.items()], "k string, site_id int, answer string, urls array<struct<url:string,title:string>>, error string")
     return {r["k"]: r for r in M.analyse_response(df, M.build_dictionary(sites, rivals)).collect()}
@@ -75,17 +76,17 @@ def rival(row, name):
 def test_order_and_share(analysed):
     r = analysed["first"]
     assert (r["brand_cited"], r["brand_position"], r["domain_linked"], r["brand_mentions"], r["sentiment"]) == (True, 1, True, 1, "positive")
-    assert [c["name"] for c in r["competitor_mentions"]] == ["Nodomain", "Pipedrive", "Zoho"]
-    assert rival(r, "Zoho")["linked"] and not rival(r, "Pipedrive")["linked"] and not rival(r, "Nodomain")["linked"]
-    assert analysed["third"]["brand_position"] == 3 and rival(analysed["third"], "Zoho")["position"] == 1
+    assert [c["name"] for c in r["competitor_mentions"]] == ["Heron House", "Marlin", "Nodomain"]
+    assert rival(r, "Marlin")["linked"] and not rival(r, "Heron House")["linked"] and not rival(r, "Nodomain")["linked"]
+    assert analysed["third"]["brand_position"] == 3 and rival(analysed["third"], "Marlin")["position"] == 1
     assert (analysed["sov"]["brand_mentions"], analysed["sov"]["share_of_voice"]) == (2, 0.4)
 
 
 def test_links(analysed):
     assert (analysed["linked"]["brand_mentions"], analysed["linked"]["brand_cited"], analysed["linked"]["brand_position"]) == (0, True, None)
     d = analysed["dedupe"]
-    assert [u["is_brand"] for u in d["citation_urls"]] == [True, False, False] and rival(d, "Pipedrive")["linked"]
-    assert len(analysed["many"]["citation_urls"]) == 25 and analysed["many"]["domain_linked"]
+    assert [u["is_brand"] for u in d["citation_urls"]] == [True, False, False] and rival(d, "Heron House")["linked"]
+    assert len(analysed["many"]["citation_urls"]) == 31 and analysed["many"]["domain_linked"]
 
 
 def test_uncited_and_errored(analysed):
@@ -98,16 +99,16 @@ def test_uncited_and_errored(analysed):
 
 def test_sentiment_and_excerpt(analysed):
     assert analysed["negative"]["sentiment"] == "negative" and analysed["neutral"]["sentiment"] == "neutral"
-    text = "lead  text " * 60 + "Acme closes " + "tail " * 120
-    clean, at = " ".join(text.split()), text.index("Acme")
+    text = "waves  roll " * 60 + "Quay Inn closes " + "sand " * 120
+    clean, at = " ".join(text.split()), text.index("Quay")
     assert analysed["long"]["response_excerpt"] == "…" + clean[at - 140 : at + 280].strip() + "…"
 
 
 def test_domains(spark):
-    cases = [("www.acme.co.uk", "acme.co.uk", True), ("blog.acme.co.uk", "acme.co.uk", True), ("notacme.co.uk", "acme.co.uk", False), ("", "a", False), ("a", None, False)]
+    cases = [("www.quay.co.example", "quay.co.example", True), ("log.quay.co.example", "quay.co.example", True), ("newquay.co.example", "quay.co.example", False), ("", "a", False), ("a", None, False)]
     df = spark.createDataFrame(cases, "c string, t string, want boolean")
     assert all(r["want"] == r["got"] for r in df.select("want", domain_matches(F.col("c"), F.col("t")).alias("got")).collect())
-    urls = {"https://www.Acme.co.uk/page?x=1": "acme.co.uk", "nope": "", "http://u:p@H.example:81": "h.example"}
+    urls = {"https://www.Quay.co.example/p?x=1": "quay.co.example", "nope": "", "http://u:p@H.example:81": "h.example"}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r["u"]: r["d"] for r in df.select("u", domain_of(F.col("u")).alias("d")).collect()} == urls
 

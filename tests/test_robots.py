@@ -7,30 +7,28 @@ from answerlens.operators.surface import answer_surface
 from answerlens.sources.site_files import scan_site_files
 
 FILES = {
-    "absent": (None, None),
-    "star": (200, "User-agent: *\nDisallow: /"),
-    "override": (200, "User-agent: *\nDisallow: /\n\nUser-agent: GPTBot\nAllow: /\n"),
-    "longest": (200, "User-agent: *\nDisallow: /private\nAllow: /private/public\n"),
-    "wild": (200, "User-agent: *\nDisallow: /*.pdf$\nDisallow: /tmp/*/cache\n"),
-    "empty": (200, "User-agent: *\nDisallow:\n"),
-    "shared": (200, "User-agent: GPTBot\nUser-agent: ClaudeBot\nDisallow: /\n"),
-    "comments": (200, "# a comment\r\nSitemap: https://e.com/sitemap.xml\r\nUser-agent: * # inline\r\nDisallow: /x\r\n"),
-    "explicit": (200, "User-agent: *\nDisallow:\n\nUser-agent: GPTBot\nDisallow: /\n"),
-    "html": (200, "  <html>x</html>"),
-    "gone": (503, "User-agent: *\nDisallow: /"),
+    "none": (None, None),
+    "closed": (200, "user-agent: *\ndisallow: /\ncrawl-delay: 4"),
+    "guest": (200, "User-agent: *\nDisallow: /\nUser-agent: GPTBot\nDisallow: /drafts\n"),
+    "inner": (200, "User-agent: *\nDisallow: /shop\nAllow: /shop/sale\nDisallow: /shop/sale/old\n"),
+    "globs": (200, "User-agent: *\nDisallow: /*.zip$\nDisallow: /u/*/mail\n"),
+    "nothing": (200, "User-agent: *\nDisallow:\nDisallow:   # none\n"),
+    "pair": (200, "User-agent: CCBot\nUser-agent: PerplexityBot\nDisallow: /\n"),
+    "notes": (200, "# top\r\nsitemap: https://tide.example/map.xml\r\nUser-Agent: * # all\r\nDisallow: /quay # closed\r\n"),
+    "named": (200, "User-agent: *\nAllow: /\n\nUser-agent: CCBot\nDisallow: /\n"),
+    "page": (200, "\n <!doctype html>"),
+    "down": (502, "User-agent: *\nDisallow: /"),
     "prefix": (200, "User-agent: gpt\nDisallow: /\nCrawl-delay: 2\nCrawl-delay: -1\nCrawl-delay: 3.5\n"),
-    "tie": (200, "Disallow: /before\nUser-agent: *\nDisallow: /a\nAllow: /a\nSitemap: s\nDisallow: /b+c(d\n"),
-    "runs": (200, "User-agent: a\nFoo: bar\nUser-agent: *\nDisallow: /\nUser-agent: *\nAllow: /\n"),
+    "tie": (200, "Disallow: /early\nUser-agent: *\nDisallow: /k\nAllow: /k\nSitemap: s\nDisallow: /b+c(d\n"),
+    "runs": (200, "User-agent: q\nNote: x\nUser-agent: *\nDisallow: /\nUser-agent: *\nAllow: /\n"),
 }
 CASES = [
-    ("absent", "GPTBot", "/anything", True), ("star", "GPTBot", "/", False), ("override", "GPTBot", "/page", True),
-    ("override", "PerplexityBot", "/page", False), ("longest", "AnyBot", "/private/secret", False),
-    ("longest", "AnyBot", "/private/public/doc", True), ("wild", "Bot", "/files/report.pdf", False),
-    ("wild", "Bot", "/files/report.pdf.html", True), ("wild", "Bot", "/tmp/a/cache", False), ("empty", "Bot", "/anything", True),
-    ("shared", "GPTBot", "/", False), ("shared", "ClaudeBot", "/", False), ("shared", "PerplexityBot", "/", True),
-    ("comments", "Bot", "/x", False), ("html", "Bot", "/", True), ("gone", "Bot", "/", True), ("prefix", "GPTBot", "/", False),
-    ("prefix", "ClaudeBot", "/", True), ("tie", "Bot", "/a", True), ("tie", "Bot", "/before", True), ("tie", "Bot", "/b+c(d/e", False),
-    ("runs", "Bot", "/", False),
+    ("none", "GPTBot", "/k", True), ("closed", "ClaudeBot", "/", False), ("guest", "GPTBot", "/essay", True), ("guest", "GPTBot", "/drafts/1", False),
+    ("guest", "CCBot", "/essay", False), ("inner", "Bot", "/shop/cart", False), ("inner", "Bot", "/shop/sale/new", True), ("inner", "Bot", "/shop/sale/old/2", False),
+    ("globs", "Bot", "/a/b.zip", False), ("globs", "Bot", "/a/b.zip?x", True), ("globs", "Bot", "/u/7/mail", False), ("nothing", "Bot", "/k", True),
+    ("pair", "CCBot", "/", False), ("pair", "PerplexityBot", "/", False), ("pair", "GPTBot", "/", True), ("notes", "Bot", "/quay", False),
+    ("page", "Bot", "/", True), ("down", "Bot", "/", True), ("prefix", "GPTBot", "/", False), ("prefix", "ClaudeBot", "/", True),
+    ("tie", "Bot", "/k", True), ("tie", "Bot", "/early", True), ("tie", "Bot", "/b+c(d/e", False), ("runs", "Bot", "/", False),
 ]
 
 
@@ -48,39 +46,39 @@ def test_allowed(spark, robots):
 
 def test_status_and_sitemaps(robots):
     rows = {r["origin"]: r for r in robots.collect()}
-    assert rows["absent"]["permissive_by_absence"] and rows["html"]["status_code"] == 404
-    assert not rows["gone"]["permissive_by_absence"] and rows["gone"]["groups"] is None
-    assert rows["comments"]["sitemaps"] == ["https://e.com/sitemap.xml"]
+    assert rows["none"]["permissive_by_absence"] and rows["page"]["status_code"] == 404
+    assert not rows["down"]["permissive_by_absence"] and rows["down"]["groups"] is None
+    assert rows["notes"]["sitemaps"] == ["https://tide.example/map.xml"]
     assert rows["prefix"]["groups"][0]["crawl_delay"] == 3.5
     assert len(rows["runs"]["groups"]) == 3
 
 
 def test_matrix(robots):
     rows = {(r["origin"], r["ua"]): r for r in B.ai_access_matrix(robots).collect()}
-    gpt, ppx = rows["explicit", "GPTBot"], rows["explicit", "PerplexityBot"]
-    assert not gpt["allowed"] and gpt["explicitly_blocked"]
+    ccb, ppx = rows["named", "CCBot"], rows["named", "PerplexityBot"]
+    assert not ccb["allowed"] and ccb["explicitly_blocked"]
     assert ppx["allowed"] and not ppx["mentioned"]
-    assert not rows["star", "GPTBot"]["explicitly_blocked"]
-    assert rows["absent", "CCBot"]["allowed"]
+    assert not rows["closed", "GPTBot"]["explicitly_blocked"]
+    assert rows["none", "CCBot"]["allowed"]
 
 
 def test_blocks_everyone(robots):
     got = {r["origin"]: r["b"] for r in robots.select("origin", B.blocks_everyone().alias("b")).collect()}
-    assert {k for k, v in got.items() if v} == {"star", "override", "runs"}
+    assert {k for k, v in got.items() if v} == {"closed", "guest", "runs"}
 
 
 def test_surface(spark, robots):
     files = spark.createDataFrame(
-        [("comments", "llms", 200, "intro\n# Acme\n\n## A\n- [x](https://e.com)\n## B\n"), ("comments", "llms_full", 200, " <p>"),
-         ("comments", "sitemap", 200, "<URLSET><loc>a</loc><LOC>b</LOC>"), ("star", "llms", 404, "# x [a](b)"), ("star", "sitemap", 200, "<html>")],
+        [("notes", "llms", 200, "intro\n# Acme\n\n## A\n- [x](https://e.com)\n## B\n"), ("notes", "llms_full", 200, " <p>"),
+         ("notes", "sitemap", 200, "<URLSET><loc>a</loc><LOC>b</LOC>"), ("closed", "llms", 404, "# x [a](b)"), ("closed", "sitemap", 200, "<html>")],
         "origin string, kind string, status_code int, body string")
     got = {r["origin"]: r for r in answer_surface(scan_site_files(files), robots).collect()}
-    a = got["comments"]
+    a = got["notes"]
     assert a["llms_txt"]["well_formed"] and a["llms_txt"]["sections"] == 2
     assert not a["llms_full_txt"]["present"]
     assert (a["sitemap"]["present"], a["sitemap"]["url_count"], a["sitemap"]["source"]) == (True, 2, "robots")
-    assert not got["star"]["llms_txt"]["present"] and not got["star"]["sitemap"]["present"]
-    assert got["star"]["sitemap"]["url"] == "star/sitemap.xml"
+    assert not got["closed"]["llms_txt"]["present"] and not got["closed"]["sitemap"]["present"]
+    assert got["closed"]["sitemap"]["url"] == "closed/sitemap.xml"
 
 
 def test_pattern_regex_agrees_with_globs(spark):

@@ -10,11 +10,11 @@ from answerlens.operators import score as S
 from answerlens.operators.reach import audit_gate
 
 GOOD = dict(
-    url="https://example.com/", depth=0, status_code=200, error=None, title="Example Brand — Widgets for business", title_length=35,
-    meta_description="We sell widgets.", h1_count=1, heading_skips=0, word_count=850, js_dependent=False, js_dependent_reason=None,
-    jsonld_blocks=2, jsonld_invalid=0, jsonld_types=["Organization", "WebSite", "FAQPage", "Article", "BreadcrumbList"],
-    same_as=["https://linkedin.com/x", "https://x.com/y", "https://wikidata.org/z"], has_faq_schema=True, has_faq=True,
-    has_direct_answer=True, list_count=3, table_count=1, date_modified="2026-10-01", author="A Writer", crawl_pos=0,
+    url="https://example.com/", depth=0, status_code=200, error=None, title="Tidewater, Harbour Boats and Lessons", title_length=36,
+    meta_description="Boats by the hour, lessons by the week.", h1_count=1, heading_skips=0, word_count=1300, js_dependent=False, js_dependent_reason=None,
+    jsonld_blocks=3, jsonld_invalid=0, jsonld_types=["Article", "BreadcrumbList", "FAQPage", "Organization"],
+    same_as=[f"https://social{i}.example/tidewater" for i in range(4)], has_faq_schema=True, has_faq=True,
+    has_direct_answer=True, list_count=4, table_count=2, date_modified="2025-05-04", author="M. Reed", crawl_pos=0,
 )
 DDL = (
     "site_id string, url string, depth int, status_code int, error string, title string, title_length int, meta_description string, h1_count int, "
@@ -43,7 +43,7 @@ SITES = {
 def data(spark):
     rows = [tuple({**GOOD, **o, "site_id": s}[c.split(" ")[0]] for c in DDL.replace("array<string>", "a").split(", ")) for s, (pages, _) in SITES.items() for o in pages]
     features = spark.createDataFrame(rows, DDL)
-    sites = spark.createDataFrame([(s, s, "" if s == "nobrand" else "Example Brand") for s in SITES], "site_id string, origin string, brand_name string")
+    sites = spark.createDataFrame([(s, s, "" if s == "nobrand" else "Tidewater") for s in SITES], "site_id string, origin string, brand_name string")
     robots = B.parsed_robots(spark.createDataFrame([(s, 200, r) for s, (_, r) in SITES.items()], "origin string, status_code int, body string"))
     surface = spark.createDataFrame(
         [(s, (s != "ppx", 900, s != "ppx", 3), (s != "ppx", 9000), (True, 42, "robots", "u")) for s in SITES],
@@ -120,7 +120,9 @@ def test_median_and_affected(data):
     assert row["median_words"] == 50
     affected = {(r["site_id"], r["code"]): r for r in K.affected_pages(data["features"], "crawl_pos").collect()}
     thin = affected["thin", "nojs.sufficient_depth"]
-    assert len(thin["affected"]) == 25 and thin["affected_total"] == 38
+    assert len(thin["affected"]) == 10 and thin["affected_total"] == 38
+    every = K.affected_rows(data["features"], "crawl_pos").filter("site_id = 'thin' AND code = 'nojs.sufficient_depth'")
+    assert every.count() == 38
     assert thin["affected"][:3] == ["https://example.com/0", "https://example.com/1", "https://example.com/4"]
     assert affected["nobrand", "entity.titles"]["affected_total"] == 1
     assert K.js_reasons(data["features"], "crawl_pos").collect()[0]["reasons"] == ["why"]
