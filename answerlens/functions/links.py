@@ -91,9 +91,14 @@ def normalise_links(hrefs: str, base: str) -> str:
         f"'path', if(lp.path = '/', '/', coalesce(nullif(regexp_replace(lp.path, '/+$', ''), ''), '/')), "
         f"'n', size(lp.params), 'kept', filter(lp.params, lq -> NOT lq RLIKE {q(TRACKING_PARAM)})))"
     )
+    # Once a parameter has been dropped the rest is written anew, as a form is: name=value, spaces as plus signs.
+    name, value = "regexp_extract(fp, '(?s)^([^=]*)', 1)", "regexp_extract(fp, '(?s)=(.*)$', 1)"
+    coded = [f"url_encode(coalesce(try_url_decode({v}), {v}))" for v in (name, value)]
+    anew = f"array_join(transform(filter(lp.kept, fe -> fe != ''), fp -> concat({coded[0]}, '=', {coded[1]})), '&')"
+    as_is = let("array_join(lp.kept, " + q("&") + ")", "lj", _percent_encode("lj", _QUERY_UNSAFE))
     query = (
         "if(NOT lp.asked OR (size(lp.kept) = 0 AND lp.n > 0), '', "
-        f"concat('?', {let('array_join(lp.kept, ' + q('&') + ')', 'lj', _percent_encode('lj', _QUERY_UNSAFE))}))"
+        f"concat('?', if(size(lp.kept) < lp.n, {anew}, {as_is})))"
     )
     return (
         f"transform({kept}, lp -> concat(lp.scheme, '://', lp.host, {_percent_encode('lp.path', _PATH_UNSAFE)}, {query}))"

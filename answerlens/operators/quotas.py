@@ -38,6 +38,22 @@ def stale_prompts(
     return row_number_by_range(due, ["workspace_id"], order, "queue_pos")
 
 
+def prompts_touched(prompts: DataFrame, checks: DataFrame) -> DataFrame:
+    """Prompts with ``last_checked_at`` moved on to their newest check (``prompt_id, checked_at``), never back."""
+    newest = checks.groupBy("prompt_id").agg(F.max("checked_at").alias("_at"))
+    return prompts.join(newest, "prompt_id", "left").withColumn("last_checked_at", F.greatest("last_checked_at", "_at")).select(*prompts.columns)
+
+
+def run_log(totals: DataFrame, as_of: datetime, failures: DataFrame | None = None) -> DataFrame:
+    """One row per workspace of a scheduled run: status, counts and the error of a run that failed (``workspace_id, error``)."""
+    failed = failures.groupBy("workspace_id").agg(F.min("error").alias("error")) if failures is not None else None
+    rows = totals.join(failed, "workspace_id", "left") if failed is not None else totals.withColumn("error", F.lit(None).cast("string"))
+    return rows.select(
+        "workspace_id", F.lit(as_of).alias("run_at"), F.when(F.col("error").isNull(), "complete").otherwise("failed").alias("status"),
+        "prompts_run", "checks_written", "error",
+    )
+
+
 def run_totals(workspaces: DataFrame, queue: DataFrame, checks: DataFrame) -> DataFrame:
     """Per eligible workspace: prompts run and checks written by this run."""
     run = queue.groupBy("workspace_id").agg(F.count("*").alias("prompts_run"))

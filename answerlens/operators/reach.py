@@ -8,22 +8,23 @@ executor costs one level at most.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import HARD_PAGE_CAP
 from ..session import materialise
+from .ranking import row_number_by_range
 from .robots import robots_allowed
 
 _VISITED = ["site_id", "url", "depth", "rank"]
+_ORIGIN = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"
 
 
 def crawl_edges(features: DataFrame) -> DataFrame:
-    """``(site_id, src, dst, pos)`` of every distinct internal link of pages without an error."""
-    return (
-        features.filter("error IS NULL")
-        .select("site_id", F.col("url").alias("src"), F.posexplode("internal_links").alias("pos", "dst"))
-    )
+    """``(site_id, src, dst, pos)`` of every distinct link of pages without an error to their own origin."""
+    edges = features.filter("error IS NULL").select("site_id", F.col("url").alias("src"), F.posexplode("internal_links").alias("pos", "dst"))
+    return edges.filter(F.lower(F.regexp_extract("src", _ORIGIN, 0)) == F.lower(F.regexp_extract("dst", _ORIGIN, 0)))
 
 
 def crawl_robots_skip(edges: DataFrame, robots: DataFrame, sites: DataFrame, ua: str) -> DataFrame:
@@ -56,19 +57,23 @@ def crawl_seeds(seeds: DataFrame, robots: DataFrame, sites: DataFrame, ua: str)
     )
 
 
-def _rank_level(level: DataFrame, cap: int) -> DataFrame:
+def _rank_level(level: DataFrame, cap: int | None) -> DataFrame:
     """Discovery order inside a level: parent's rank, then link position; no more than can be used.
 
-    ``cap + 1`` rows per site are enough to fill the cap and to know that more remained.
+    ``cap + 1`` rows per site are enough to fill the cap and to know that more remained; without a cap a
+    level is ranked over ranges, as a site may hold most of it.
     """
+    if cap is None:
+        return row_number_by_range(level, ["site_id"], [F.col("parent_rank"), F.col("pos")], "level_rank")
     w = Window.partitionBy("site_id").orderBy("parent_rank", "pos")
     return level.withColumn("level_rank", F.row_number().over(w)).filter(F.col("level_rank") <= cap + 1)
 
 
-def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int = HARD_PAGE_CAP, max_depth: int = HARD_PAGE_CAP) -> DataFrame:
+def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int | None = None, max_depth: int | None = None) -> DataFrame:
     """Pages reached from each site's seed in breadth-first order: ``(site_id, url, depth, rank)``.
 
-    First visit wins; a page past the cap is not expanded. Edges may carry ``allowed``; those that do
+    First visit wins. The whole graph is walked; with ``cap`` a page past it is not expanded, with ``max_depth``
+    the walk ends at that level. Edges may carry ``allowed``; those that do
     not are dropped. The result keeps one row beyond the cap where a site had more (``rank > cap``).
     """
     if "allowed" in edges.columns:
@@ -78,8 +83,8 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int = HARD_PAGE_CAP, ma
         seeds.select("site_id", "url", F.lit(0).alias("depth"), F.lit(1).alias("rank")), "reach_0"
     )
     frontier, levels = visited, [visited]
-    for depth in range(1, max_depth + 1):
-        open_pages = frontier.filter(F.col("rank") < cap).select(
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        open_pages = (frontier if cap is None else frontier.filter(F.col("rank") < cap)).select(
             "site_id", F.col("url").alias("src"), F.col("rank").alias("parent_rank")
         )
         found = (
@@ -95,7 +100,7 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int = HARD_PAGE_CAP, ma
             _rank_level(found, cap)
             .join(so_far, "site_id")
             .withColumn("rank", F.col("level_rank") + F.col("reached"))
-            .filter(F.col("rank") <= cap + 1)
+            .filter(F.lit(True) if cap is None else F.col("rank") <= cap + 1)
             .select("site_id", "url", F.lit(depth).alias("depth"), "rank")
         )
         frontier = materialise(level, f"reach_{depth}")
@@ -111,9 +116,9 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int = HARD_PAGE_CAP, ma
     return visited.select(*_VISITED)
 
 
-def skipped_by_robots(edges: DataFrame, reached: DataFrame, seeds: DataFrame, cap: int = HARD_PAGE_CAP) -> DataFrame:
+def skipped_by_robots(edges: DataFrame, reached: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:
     """Distinct disallowed links of the expanded pages, counted once each, per site."""
-    expanded = reached.filter(F.col("rank") < cap).select("site_id", F.col("url").alias("src"))
+    expanded = (reached if cap is None else reached.filter(F.col("rank") < cap)).select("site_id", F.col("url").alias("src"))
     refused = (
         edges.filter(~F.col("allowed"))
         .join(expanded, ["site_id", "src"], "left_semi")
@@ -127,7 +132,7 @@ def skipped_by_robots(edges: DataFrame, reached: DataFrame, seeds: DataFrame, ca
     )
 
 
-def crawl_cap(reached: DataFrame, cap: int = HARD_PAGE_CAP) -> DataFrame:
+def crawl_cap(reached: DataFrame, cap: int) -> DataFrame:
     """Per site: pages kept and whether more remained."""
     return reached.groupBy("site_id").agg(
         F.count_if(F.col("rank") <= cap).alias("pages"), (F.max("rank") > cap).alias("capped")

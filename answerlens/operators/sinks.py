@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_bucket
+from ..session import materialise
 from .validate import first_of_key
 
 
@@ -71,15 +73,31 @@ def sink_checks(results: DataFrame) -> DataFrame:
 
 
 def append_checks(results: DataFrame, path: str) -> None:
-    """Append to the history, partitioned by day.
+    """Append to the history, partitioned by day; checks whose id the day already holds are left out, so a retried run adds nothing.
 
     The rebalance hint lets adaptive execution split a day with most of the rows over many writers and
     gather days with few, so neither one task nor many small files result.
     """
-    sink_checks(results).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    rows = sink_checks(results)
+    try:
+        stored = rows.sparkSession.read.parquet(path).select("check_id", F.col("day").cast("string").alias("day"))
+    except AnalysisException:  # the first run
+        stored = None
+    if stored is not None:
+        known = stored.select(F.col("check_id").alias("_id"), F.col("day").alias("_day"))
+        rows = rows.join(known, (F.col("check_id") == F.col("_id")) & (F.col("day").cast("string") == F.col("_day")), "left_anti")
+        rows = materialise(rows, "new_checks")  # the table written to is also read
+    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def overwrite_audits(rows: DataFrame, path: str) -> None:
-    """Replace only the month partitions present in ``rows``."""
+    """Write the months present in ``rows`` anew; stored audits of those months that ``rows`` does not hold stay."""
     tagged = rows.withColumn("month", F.date_format("started_at", "yyyy-MM"))
+    try:
+        stored = rows.sparkSession.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+    except AnalysisException:  # nothing stored yet
+        stored = None
+    if stored is not None:
+        others = stored.join(tagged.select("month").distinct(), "month", "left_semi").join(tagged.select("audit_id"), "audit_id", "left_anti")
+        tagged = materialise(tagged.unionByName(others, allowMissingColumns=True), "audits")  # the table written to is also read
     tagged.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)

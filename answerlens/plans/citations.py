@@ -47,13 +47,19 @@ def weekly_checks(
 
 def run_weekly(
     prompts: DataFrame, workspaces: DataFrame, sites: DataFrame, competitors: DataFrame, recorded: DataFrame,
-    as_of: datetime, history_path: str,
+    as_of: datetime, history_path: str, prompts_path: str | None = None,
 ) -> DataFrame:
-    """Append this run's checks and return its usage increments."""
+    """Append this run's checks and return its usage increments.
+
+    With ``prompts_path`` the prompts are stored there with their new ``last_checked_at``, so the next run
+    does not find them due again. A run repeated at the same ``as_of`` adds nothing.
+    """
     sinks.append_checks(weekly_checks(prompts, workspaces, sites, competitors, recorded, as_of), history_path)
     written = prompts.sparkSession.read.parquet(history_path).filter(
         (F.col("day") == as_of.strftime("%Y-%m-%d")) & (F.col("checked_at") == F.lit(as_of))
     )
+    if prompts_path is not None:
+        Q.prompts_touched(prompts, written.select("prompt_id", "checked_at")).write.mode("overwrite").parquet(prompts_path)
     return written.groupBy("workspace_id").agg(F.count("*").alias("count")).select(
         "workspace_id", F.lit(as_of.strftime("%Y-%m")).alias("period"), F.lit("citation_checks").alias("metric"), "count"
     )

@@ -132,6 +132,14 @@ def run_totals(s, sf):
     return flat(_totals(s, sf))
 
 
+def run_prompts_touched(s, sf):
+    return flat(Q.prompts_touched(V.prompts(s, sf), V.checks(s, sf)).select("prompt_id", "last_checked_at"))
+
+
+def run_log(s, sf):
+    return flat(Q.run_log(_totals(s, sf), AS_OF).select("workspace_id", "status", "prompts_run", "checks_written"))
+
+
 def run_summary(s, sf):
     return flat(Q.run_summary(V.view(s, sf, "workspaces"), _totals(s, sf)))
 
@@ -463,6 +471,12 @@ QUERIES = {
     "stale_prompts": (stale_prompts, f"WITH {_DUE} SELECT workspace_id, prompt_id, {_TS.format('last_checked_at')}, queue_pos FROM due"),
     "run_totals": (run_totals, f"WITH {_PLANS}, {_DUE}, r AS (SELECT workspace_id, count(*) AS n FROM due GROUP BY 1), c AS (SELECT workspace_id, count(*) AS m FROM v_checks GROUP BY 1) "
                    "SELECT workspace_id, plan, coalesce(n, 0) AS prompts_run, coalesce(m, 0) AS checks_written FROM wp LEFT JOIN r USING (workspace_id) LEFT JOIN c USING (workspace_id) WHERE weekly_checks AND plan_status IN ('active', 'trialing')"),
+    "run_prompts_touched": (run_prompts_touched, "WITH n AS (SELECT prompt_id, max(checked_at) AS seen FROM v_checks GROUP BY 1), "
+                            "t AS (SELECT prompt_id, CASE WHEN seen IS NULL THEN p.last_checked_at WHEN p.last_checked_at IS NULL THEN seen ELSE greatest(p.last_checked_at, seen) END AS last_checked_at "
+                            f"FROM v_prompts p LEFT JOIN n USING (prompt_id)) SELECT prompt_id, {_TS.format('last_checked_at')} FROM t"),
+    "run_log": (run_log, f"WITH {_PLANS}, {_DUE}, r AS (SELECT workspace_id, count(*) AS n FROM due GROUP BY 1), c AS (SELECT workspace_id, count(*) AS m FROM v_checks GROUP BY 1) "
+                "SELECT wp.workspace_id, 'complete' AS status, coalesce(n, 0) AS prompts_run, coalesce(m, 0) AS checks_written FROM wp LEFT JOIN r USING (workspace_id) LEFT JOIN c USING (workspace_id) "
+                "WHERE weekly_checks AND plan_status IN ('active', 'trialing')"),
     "run_summary": (run_summary, f"WITH {_PLANS}, {_DUE}, e AS (SELECT * FROM wp WHERE weekly_checks AND plan_status IN ('active', 'trialing')) "
                     "SELECT (SELECT count(*) FROM v_workspaces WHERE plan_status IN ('active', 'trialing')) AS workspaces_considered, (SELECT count(*) FROM e) AS workspaces_eligible, "
                     "(SELECT count(*) FROM due WHERE workspace_id IN (SELECT workspace_id FROM e)) AS prompts_run, (SELECT count(*) FROM v_checks WHERE workspace_id IN (SELECT workspace_id FROM e)) AS checks_written"),

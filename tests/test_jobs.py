@@ -167,3 +167,58 @@ def test_sql_functions_and_schemas(spark):
     assert tuple(row) == ("B", "a.example", "https://e.com/a")
     for ddl in TABLES.values():
         assert spark.createDataFrame([], ddl).columns
+
+
+def test_a_repeated_run_adds_nothing_and_months_keep_other_audits(spark, tmp_path):
+    from datetime import datetime
+
+    from answerlens.operators import sinks
+
+    at = datetime(2024, 1, 31)
+    checks = spark.createDataFrame([("c1", "p1", at), ("c2", "p2", at)], "check_id string, prompt_id string, checked_at timestamp")
+    path = f"{tmp_path}/checks"
+    for _ in range(2):
+        sinks.append_checks(checks, path)
+    assert spark.read.parquet(path).count() == 2
+    audits = spark.createDataFrame([(1, at, 10), (2, at, 20)], "audit_id int, started_at timestamp, overall_score int")
+    sinks.overwrite_audits(audits, f"{tmp_path}/audits")
+    sinks.overwrite_audits(audits.filter("audit_id = 1").withColumn("overall_score", F.lit(11)), f"{tmp_path}/audits")
+    assert {r["audit_id"]: r["overall_score"] for r in spark.read.parquet(f"{tmp_path}/audits").collect()} == {1: 11, 2: 20}
+
+
+def test_touched_prompts_are_not_due_again(spark):
+    from datetime import datetime
+
+    from answerlens.operators import quotas as Q
+
+    at = datetime(2024, 1, 31)
+    prompts = spark.createDataFrame([("p1", "w", True, None), ("p2", "w", True, datetime(2024, 1, 1)), ("p3", "w", True, at)], "prompt_id string, workspace_id string, is_active boolean, last_checked_at timestamp")
+    assert [(r["prompt_id"], r["queue_pos"]) for r in Q.stale_prompts(prompts, at).orderBy("queue_pos").collect()] == [("p1", 1), ("p2", 2)]
+    checks = spark.createDataFrame([("p1", at), ("p2", at)], "prompt_id string, checked_at timestamp")
+    assert Q.stale_prompts(Q.prompts_touched(prompts, checks), at).count() == 0
+
+
+def test_ranks_over_ranges_of_a_hot_key(spark):
+    from answerlens.operators.ranking import row_number_by_range
+
+    rows = [("hot" if k % 2 else f"k{k % 7}", (k * 7919) % 1000) for k in range(2000)]
+    got = row_number_by_range(spark.createDataFrame(rows, "k string, v int"), ["k"], [F.col("v")], ranges=9).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["k"], []).append((r["rn"], r["v"]))
+    for pairs in by.values():
+        assert [n for n, _ in sorted(pairs)] == list(range(1, len(pairs) + 1))
+        assert [v for _, v in sorted(pairs)] == sorted(v for _, v in pairs)
+
+
+def test_a_failed_site_has_a_reason_and_nothing_else(spark, tmp_path):
+    from answerlens.plans.audit import run_audit
+
+    pages = spark.createDataFrame([(1, "https://up.example/", "<h1>x</h1>", 200, 0), (2, "https://down.example/", "<h1>x</h1>", 503, 0)], "site_id int, url string, html string, status_code int, crawl_pos int")
+    sites = spark.createDataFrame([(1, "https://up.example", "Up"), (2, "https://down.example", "Down")], "site_id int, origin string, brand_name string")
+    files = spark.createDataFrame([("https://up.example", "robots", 200, ""), ("https://down.example", "robots", 200, "")], "origin string, kind string, status_code int, body string")
+    out = run_audit(spark, pages, sites, files, str(tmp_path))
+    scores = {r["site_id"]: r for r in out.scores.collect()}
+    assert scores[1]["overall"] is not None and scores[2]["overall"] is None and "503" in scores[2]["reason"]
+    for table in (out.checks, out.issues, out.action_plan):
+        assert {r["site_id"] for r in table.select("site_id").distinct().collect()} <= {1}
