@@ -134,7 +134,7 @@ def static_summary(with_issue_array: DataFrame, key: str = "site_id") -> DataFra
       WHEN n_critical > 0 THEN concat(host, ' scores ', overall, '/100 and has ', n_critical, ' critical ',
         {_PLURAL.format('n_critical', 'problem', 'problems')}, '. First: ', get(issues, 0).title, '. After that ', n_quick,
         {_PLURAL.format('n_quick', ' fix is quick.', ' fixes are quick.')})
-      WHEN overall >= 80 THEN concat(host, ' scores ', overall, '/100, which is strong. ', n_issues,
+      WHEN overall >= 80 THEN concat(host, ' is in good shape at ', overall, '/100. ', n_issues,
         {_PLURAL.format('n_issues', ' refinement remains', ' refinements remain')}, ', led by ', lead, '.')
       ELSE concat(host, ' scores ', overall, '/100 over ', pages_crawled,
         {_PLURAL.format('pages_crawled', ' page', ' pages')}, '. ', n_issues,

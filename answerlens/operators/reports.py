@@ -114,10 +114,11 @@ def site_detail_audits(audits: DataFrame, k: int = 20) -> DataFrame:
 
 
 def audit_pages_list(features: DataFrame, key: str = "site_id") -> DataFrame:
+    """The columns of the page list; a reader that shows one audit orders them by ``depth, url``."""
     return features.select(
         key, "depth", "url", "status_code", "title", "word_count", "h1_count", "js_dependent", "jsonld_blocks",
         "jsonld_invalid", "has_faq", "heading_skips", "error",
-    ).orderBy("depth", "url")
+    )
 
 
 def js_pages(features: DataFrame) -> DataFrame:

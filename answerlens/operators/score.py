@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import CAP_ALL_BLOCKED, CAP_PRIMARY_BLOCKED, PILLARS
+from ..dims import CAP_ALL_BLOCKED, CAP_PRIMARY_BLOCKED, CHECKS, PILLARS
 from ..functions.dates import grade_for
+from ..functions.fragments import q
 from .ranking import carry_forward
 
 
@@ -70,8 +71,8 @@ _SUMMARY_SQL = (
     "CASE WHEN ceiling_reason IS NOT NULL THEN concat(overall, '/100. ', ceiling_reason) "
     f"WHEN overall >= 85 THEN concat('Ready for AI search at ', overall, '/100; what is left lies in ', {_WEAKEST}, '.') "
     f"WHEN overall >= 65 THEN concat('Usable at ', overall, '/100; held back by ', {_WEAKEST}, '.') "
-    f"WHEN overall >= 40 THEN concat('Weak at ', overall, '/100; first improve ', {_WEAKEST}, '.') "
-    f"ELSE concat('Critical at ', overall, '/100; failing in ', {_WEAKEST}, '.') END"
+    f"WHEN overall >= 40 THEN concat('Held down to ', overall, '/100 above all by ', {_WEAKEST}, '.') "
+    f"ELSE concat('Only ', overall, '/100: begin with ', {_WEAKEST}, '.') END"
 )
 
 
@@ -79,10 +80,13 @@ def pillar_rows(scored: DataFrame, key: str = "site_id") -> DataFrame:
     return scored.selectExpr(key, "explode(slice(pillars, 1, 8)) AS p").select(key, "p.*")
 
 
+_LABELS = "map(" + ", ".join(f"{q(c[0])}, {q(c[5])}" for c in CHECKS) + ")"
+
+
 def serialise_pillars(scored: DataFrame, key: str = "site_id") -> DataFrame:
     """The nested pillar and check document that an audit row stores."""
     checks = (
-        "transform(filter(checks, c -> c.pillar = p.id), c -> named_struct('code', c.code, 'score', c.score, "
+        f"transform(filter(checks, c -> c.pillar = p.id), c -> named_struct('code', c.code, 'label', element_at({_LABELS}, c.code), 'score', c.score, "
         "'weight', c.weight, 'passed', c.passed, 'detail', c.detail))"
     )
     doc = F.to_json(
@@ -90,6 +94,7 @@ def serialise_pillars(scored: DataFrame, key: str = "site_id") -> DataFrame:
             "overall",
             "raw_overall",
             "ceiling_reason",
+            F.col("cap").alias("ceiling_cap"),
             "grade",
             "summary",
             F.expr(

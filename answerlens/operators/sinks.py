@@ -36,8 +36,11 @@ def sink_audit(audits: DataFrame, outcome: DataFrame) -> DataFrame:
     """Audit rows updated with their outcome; audits without one keep their state.
 
     ``outcome`` carries ``audit_id, status, reason, overall, grade, pillar_scores, action_plan, pages,
-    capped, summary, completed_at``. The action plan is kept inside the stored pillar document.
+    capped, summary, completed_at`` and may carry the crawler access (``robots``) and the answer surface
+    (``answer_surface``) as JSON, from which reports read. ``summary`` is the executive summary. The action
+    plan is kept inside the stored pillar document.
     """
+    extra = [c for c in ("robots", "answer_surface") if c in outcome.columns]
     done = outcome.select("audit_id", F.struct(*[c for c in outcome.columns if c != "audit_id"]).alias("o"))
     failed = F.col("o.status") == "failed"
     doc = F.when(
@@ -61,6 +64,7 @@ def sink_audit(audits: DataFrame, outcome: DataFrame) -> DataFrame:
         F.coalesce(F.when(~failed, F.col("o.pages")), F.lit(0)).alias("pages_crawled"),
         F.coalesce(F.when(~failed, F.col("o.capped")), F.lit(False)).alias("pages_capped"),
         F.when(~failed, F.col("o.summary")).alias("summary"),
+        *[F.when(~failed, F.col(f"o.{c}")).alias(c) for c in extra],
         F.when(failed, F.col("o.reason")).alias("error"),
         F.coalesce("o.completed_at", "completed_at").alias("completed_at"),
         took.alias("duration_ms"),

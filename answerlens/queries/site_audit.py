@@ -325,15 +325,23 @@ def sink_audit(s, sf):
     scored = materialise(_issues(s, sf, feats), "scored")
     plan = I.action_plan(scored).groupBy("site_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("step", "title", "detail", "timeframe")))).alias("action_plan"))
     gate = G.audit_gate(feats, "page_id")
-    outcome = (scored.select("site_id", "overall", "grade", F.col("pages_crawled").alias("pages"), "summary")
+    robots = _robots(s, sf)
+    # A fixed number of crawlers per origin.
+    access = B.ai_access_matrix(robots).groupBy("origin").agg(F.to_json(F.array_sort(F.collect_list(F.struct("ua", "allowed")))).alias("robots"))
+    surface = _surface(s, sf, robots).select("origin", F.to_json(F.struct("llms_txt", "llms_full_txt", "sitemap")).alias("answer_surface"))
+    outcome = (scored.select("site_id", "origin", "overall", "grade", F.col("pages_crawled").alias("pages"))
+               .join(I.static_summary(scored).withColumnRenamed("executive_summary", "summary"), "site_id").join(access, "origin").join(surface, "origin")
                .join(S.serialise_pillars(scored), "site_id").join(plan, "site_id", "left").join(gate, "site_id")
                .select(F.col("site_id").alias("audit_id"), "status", "reason", "overall", "grade", "pillar_scores", "action_plan", "pages",
-                       F.lit(False).alias("capped"), "summary", F.to_timestamp(F.lit("2024-01-31 00:01:30")).alias("completed_at")))
+                       F.lit(False).alias("capped"), "summary", "robots", "answer_surface", F.to_timestamp(F.lit("2024-01-31 00:01:30")).alias("completed_at")))
     audits = V.view(s, sf, "hosts").select(F.col("site_id").alias("audit_id"), "site_id", F.to_timestamp(F.lit("2024-01-31 00:00:00")).alias("started_at"),
                                            F.lit("running").alias("status"), F.lit(None).cast("int").alias("overall_score"), F.lit(None).cast("timestamp").alias("completed_at"))
     out = sinks.sink_audit(audits, outcome)
     return flat(out.select("audit_id", "status", "overall_score", "pages_crawled", "duration_ms",
-                           (F.get_json_object("pillar_scores", "$.action_plan[0].step") == "1").alias("has_plan"), F.col("error").isNotNull().alias("has_error")))
+                           (F.get_json_object("pillar_scores", "$.action_plan[0].step") == "1").alias("has_plan"), F.col("error").isNotNull().alias("has_error"),
+                           F.col("summary").isNotNull().alias("has_summary"), F.size(F.from_json("robots", "array<struct<ua:string,allowed:boolean>>")).alias("n_bots"),
+                           F.get_json_object("answer_surface", "$.llms_txt.present").alias("llms"),
+                           F.get_json_object("pillar_scores", "$.pillars[0].checks[0].label").alias("first_label")))
 
 
 # --- crawl graph -----------------------------------------------------------------------------
@@ -654,7 +662,7 @@ QUERIES = {
         f"WITH {_SCORE}, {_WK} SELECT site_id, CASE WHEN bitten AND cap = 25 THEN overall || '/100. A blanket rule in robots.txt keeps every engine out; the score stays capped until it is removed.' "
         "WHEN bitten THEN overall || '/100. ' || replace(blocked, '|', ', ') || CASE WHEN blocked LIKE '%|%' THEN ' are' ELSE ' is' END || ' blocked in robots.txt; the score stays capped at 60 until access is restored.' "
         "WHEN overall >= 85 THEN 'Ready for AI search at ' || overall || '/100; what is left lies in ' || weak || '.' WHEN overall >= 65 THEN 'Usable at ' || overall || '/100; held back by ' || weak || '.' "
-        "WHEN overall >= 40 THEN 'Weak at ' || overall || '/100; first improve ' || weak || '.' ELSE 'Critical at ' || overall || '/100; failing in ' || weak || '.' END AS summary FROM og JOIN wk USING (site_id)")),
+        "WHEN overall >= 40 THEN 'Held down to ' || overall || '/100 above all by ' || weak || '.' ELSE 'Only ' || overall || '/100: begin with ' || weak || '.' END AS summary FROM og JOIN wk USING (site_id)")),
     "serialise_pillars": (serialise_pillars, _sc("SELECT site_id, overall, grade, string_agg(id || ':' || score || ':' || n_checks, '|' ORDER BY ppos) AS pillars FROM pl JOIN og USING (site_id) GROUP BY 1, 2, 3")),
     "derive_issues": (derive_issues, _is("SELECT site_id, code, severity, effort, impact AS impact_points FROM iss")),
     "priority_score": (priority_score, _is("SELECT site_id, code, prio AS priority_score FROM iss")),
@@ -676,7 +684,7 @@ QUERIES = {
         f"WITH {_ISS}, {_COPYT}, pc AS (SELECT site_id, count(*) AS pages FROM v_page_rows GROUP BY 1), s AS (SELECT og.site_id, overall, pages, count(iss.code) AS ni, count(*) FILTER (severity = 'critical') AS nc, count(*) FILTER (effort = 'low' AND severity <> 'critical') AS nq, "
         "max(title) FILTER (rank = 1) AS lead FROM og JOIN pc USING (site_id) LEFT JOIN iss USING (site_id) LEFT JOIN cp ON cp.code = iss.code GROUP BY 1, 2, 3) "
         "SELECT site_id, CASE WHEN nc > 0 THEN site_id || ' scores ' || overall || '/100 and has ' || nc || ' critical ' || CASE WHEN nc = 1 THEN 'problem' ELSE 'problems' END || '. First: ' || lead || '. After that ' || nq || CASE WHEN nq = 1 THEN ' fix is quick.' ELSE ' fixes are quick.' END "
-        "WHEN overall >= 80 THEN site_id || ' scores ' || overall || '/100, which is strong. ' || ni || CASE WHEN ni = 1 THEN ' refinement remains' ELSE ' refinements remain' END || ', led by ' || lower(lead) || '.' "
+        "WHEN overall >= 80 THEN site_id || ' is in good shape at ' || overall || '/100. ' || ni || CASE WHEN ni = 1 THEN ' refinement remains' ELSE ' refinements remain' END || ', led by ' || lower(lead) || '.' "
         "ELSE site_id || ' scores ' || overall || '/100 over ' || pages || CASE WHEN pages = 1 THEN ' page' ELSE ' pages' END || '. ' || ni || CASE WHEN ni = 1 THEN ' issue limits' ELSE ' issues limit' END || ' citations. Start with ' || lower(lead) || '.' END AS executive_summary FROM s")),
     "action_plan": (action_plan, oracle(
         f"WITH {_ISS}, k AS (SELECT *, row_number() OVER (PARTITION BY site_id, CASE WHEN severity = 'critical' THEN 0 WHEN effort = 'low' THEN 1 ELSE 2 END ORDER BY rank) AS rn, "
@@ -703,7 +711,9 @@ QUERIES = {
     "sink_issues": (sink_issues, _is("SELECT site_id, code, severity = 'critical' AND length(site_id) % 2 = 0 AS ai_generated, severity = 'critical' AND length(site_id) % 2 = 0 AS tailored FROM iss")),
     "sink_audit": (sink_audit, oracle(
         f"WITH {_SCORE}, g AS (SELECT site_id, bool_or({_USE}) AS fine, count(*) AS k FROM pf GROUP BY 1) SELECT site_id AS audit_id, CASE WHEN fine THEN 'complete' ELSE 'failed' END AS status, CASE WHEN fine THEN overall END AS overall_score, "
-        "CASE WHEN fine THEN k ELSE 0 END AS pages_crawled, cast(90000 AS bigint) AS duration_ms, CASE WHEN fine THEN true END AS has_plan, NOT fine AS has_error FROM g JOIN og USING (site_id)")),
+        "CASE WHEN fine THEN k ELSE 0 END AS pages_crawled, cast(90000 AS bigint) AS duration_ms, CASE WHEN fine THEN true END AS has_plan, NOT fine AS has_error, "
+        "fine AS has_summary, CASE WHEN fine THEN cast(6 AS bigint) END AS n_bots, CASE WHEN fine THEN cast(sf.lp AS varchar) END AS llms, "
+        "CASE WHEN fine THEN 'GPTBot may not crawl the site' END AS first_label FROM g JOIN og USING (site_id) JOIN v_hosts h USING (site_id) JOIN sf ON sf.origin = h.origin")),
     "crawl_seeds": (crawl_seeds, oracle(
         "SELECT DISTINCT site_id, base || '0' AS url, site_id % 2 = 1 AS allowed, CASE WHEN site_id % 2 = 0 THEN 'robots.txt disallows VisibilityBot from /p/0' END AS error, "
         "1 - site_id % 2 AS skipped_by_robots FROM v_graph_pages")),

@@ -17,7 +17,7 @@ HEADLINE = [
     "robots_allowed", "ai_access_matrix", "overall_capped", "derive_issues", "check_affected", "crawl_reach",
     "count_mentions", "analyse_response", "scan_answers_serp", "latest_checks", "visibility_history", "current_visibility",
     "competitor_benchmark", "citation_report_data", "site_dashboard", "workspace_kpis", "previous_score", "free_rate_limit",
-    "issue_set_status", "order_issues_stored", "validate_unique", "subscription_state", "stream_daily_visibility", "stream_latest_state",
+    "issue_set_status", "order_issues_stored", "build_query", "audit_report_data", "audit_pages_list", "validate_unique", "subscription_state", "stream_daily_visibility", "stream_latest_state",
 ]
 
 
@@ -31,8 +31,6 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
             "spark.sql.shuffle.partitions": cpus,
-            "spark.sql.files.maxPartitionBytes": str(1024 * 1024),
-            "spark.sql.files.openCostInBytes": "65536",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
