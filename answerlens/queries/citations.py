@@ -208,6 +208,21 @@ _NEWEST = (
     "JOIN v_prompts p USING (prompt_id)), state AS (SELECT * FROM v_checks WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY site_id, prompt_id, engine ORDER BY checked_at DESC, check_id DESC) = 1)"
 )
 
+# Three names of two words each that share words. A word has one owner: "of the" takes its words first, then
+# "the in", then "in the"; none of them can overlap itself, so each pass is a test of the words beside it.
+_OWNED_WORDS = (
+    "WITH p AS (SELECT doc_id, unnest(ps) AS w, generate_subscripts(ps, 1) AS k FROM "
+    r"(SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS ps FROM v_docs)), "
+    "q AS (SELECT doc_id, k, w, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place, "
+    "lead(w, 1) OVER d AS g, lead(w, 2) OVER d AS nx FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY k)), "
+    r"t AS (SELECT *, coalesce(regexp_matches(g, '^[\s\-]+$'), false) AS glued FROM q), "
+    "a AS (SELECT *, glued AND w = 'of' AND nx = 'the' AS of_the FROM t), "
+    "b AS (SELECT *, glued AND w = 'the' AND nx = 'in' AND NOT coalesce(lag(of_the, 2) OVER d, false) AS the_in FROM a WINDOW d AS (PARTITION BY doc_id ORDER BY k)), "
+    "c AS (SELECT *, glued AND w = 'in' AND nx = 'the' AND NOT coalesce(lag(the_in, 2) OVER d, false) AND NOT coalesce(lead(the_in, 2) OVER d, false) AS in_the FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY k)), "
+    "m AS (SELECT doc_id, count(*) AS n, min(place) AS place FROM c WHERE of_the OR the_in OR in_the GROUP BY 1) "
+    "SELECT v.doc_id, cast(coalesce(n, 0) AS bigint) AS mentions, cast(coalesce(place, -1) AS bigint) AS first_index FROM v_docs v LEFT JOIN m USING (doc_id)"
+)
+
 QUERIES = {
     "scan_answers_openai": (_scan("chatgpt", _P_OPENAI), oracle(
         "SELECT conv_id, turn, array_to_string(list_filter([answer, 'More: ' || text], lambda x: trim(x) <> ''), chr(10) || chr(10)) AS answer, "
@@ -226,7 +241,7 @@ QUERIES = {
         "WITH l AS (SELECT prompt_id, lower(split_part(locale, '-', 1)) AS language, CASE WHEN locale LIKE '%-%' THEN upper(split_part(locale, '-', 2)) ELSE 'GB' END AS country FROM v_prompts) "
         "SELECT prompt_id, language, country, cast(CASE country WHEN 'DE' THEN 2276 ELSE 2826 END AS bigint) AS location_code FROM l")),
     "count_mentions": (_count(DOC_NAMES), oracle(f"SELECT doc_id, {_dcount('text', _ALT)} AS mentions, {_dfirst('text', _ALT)} AS first_index FROM v_docs")),
-    "count_mentions_overlap": (_count(OVERLAPPING), None),
+    "count_mentions_overlap": (_count(OVERLAPPING), oracle(_OWNED_WORDS)),
     "citation_url_key": (citation_url_key_q, oracle(
         f"WITH u AS (SELECT conv_id, turn, unnest([u1, u2, u3]) AS url FROM v_answers) SELECT conv_id, turn, url, {_KEY.format('url')} AS key FROM u")),
     "dedupe_citation_urls": (dedupe_citation_urls, oracle(

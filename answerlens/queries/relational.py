@@ -208,12 +208,10 @@ def query_competitors(s, sf):
 
 def issue_filter_status(s, sf):
     i = V.view(s, sf, "issues")
-    parts = [I.issue_filter_status(i, w).groupBy("audit_id").agg(F.count("*").alias("n")).withColumn("which", F.lit(w))
-             for w in ("all", "open", "done", "report")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return flat(out)
+    one = i.groupBy("audit_id").agg(
+        F.count("*").alias("every"), F.count_if(F.col("status").isin("open", "in_progress")).alias("open"),
+        F.count_if(F.col("status").isin("fixed", "ignored")).alias("done"), F.count_if(F.col("status") != "ignored").alias("report"))
+    return flat(one.select("audit_id", F.expr("stack(4, 'all', every, 'open', open, 'done', done, 'report', report) AS (which, n)")).filter("n > 0"))
 
 
 def issue_status_counts(s, sf):
