@@ -7,15 +7,15 @@ from pyspark.sql import SparkSession
 from ..dims import GRADE_BANDS
 from .fragments import let
 from .links import base_parts, normalise_links
+from .urls import domain_sql
 
 
 def register(spark: SparkSession) -> None:
     """Create ``grade_for``, ``domain_of``, ``normalise_link``, ``day_bucket`` and ``period_month``."""
     bands = " ".join(f"WHEN score >= {floor} THEN '{grade}'" for floor, grade in GRADE_BANDS)
-    host = "lower(regexp_replace(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1), '^.*@|:[0-9]*$', ''))"
     bodies = {
         "grade_for(score INT) RETURNS STRING": f"CASE {bands} ELSE 'F' END",
-        "domain_of(url STRING) RETURNS STRING": f"regexp_replace({host}, '^www[.]', '')",
+        "domain_of(url STRING) RETURNS STRING": domain_sql("url"),
         "normalise_link(href STRING, page_url STRING) RETURNS STRING": let(
             base_parts("page_url"), "bu", f"get({normalise_links('array(href)', 'bu')}, 0)"
         ),

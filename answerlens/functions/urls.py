@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fragments import let, q
 from .text import blank_to_null, trim_ws
 
 # Schemes never followed, asset endings, tracking parameter name prefixes.
@@ -14,6 +15,7 @@ ASSET_PATH = (
 )
 TRACKING_PARAM = r"(?i)^(utm_|fbclid|gclid|msclkid|ref|mc_cid|mc_eid)"
 
+_BAD_HOST = r"[\s<>^|%\\]"
 _AUTHORITY = r"(?i)^[a-z][a-z0-9+.\-]*:[/\\]{2,}([^/\\?#]*)"
 
 
@@ -43,7 +45,7 @@ def url_host(url: Column) -> Column:
 def url_hostname(url: Column) -> Column:
     """Host without port; '' when the text is no http(s) URL or the host is malformed."""
     host = F.regexp_replace(_host_port(url), r":[0-9]*$", "")
-    ok = scheme_of(url).isin("http", "https") & ~host.rlike(r"[\s<>^|%\\]") & (host != "")
+    ok = scheme_of(url).isin("http", "https") & ~host.rlike(_BAD_HOST) & (host != "")
     return F.when(ok, host).otherwise(F.lit(""))
 
 
@@ -60,6 +62,13 @@ def domain_of(url: Column) -> Column:
     return strip_www(url_hostname(url))
 
 
+def domain_sql(url: str) -> str:
+    """``domain_of`` as SQL text, for use inside lambdas and SQL functions; the same rules, malformed hosts included."""
+    authority = f"regexp_extract({url}, {q(r'(?i)^https?:[/\\]{2,}([^/\\?#]*)')}, 1)"
+    host = f"lower(regexp_replace(regexp_replace({authority}, '^.*@', ''), ':[0-9]*$', ''))"
+    return let(host, "dh", f"if(dh RLIKE {q(_BAD_HOST)}, '', regexp_replace(dh, '^www[.]', ''))")
+
+
 def domain_matches(candidate: Column, target: Column) -> Column:
     """Equal to the target, or a subdomain of it; an empty side never matches."""
     c, t = F.lower(strip_www(candidate)), F.lower(strip_www(target))

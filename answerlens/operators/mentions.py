@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..dims import ENGINES, NEGATIVE_TERMS, POSITIVE_TERMS
 from ..functions.fragments import collapse_ws, let, q
 from ..functions.text import SPACE_CHARS, SPACES
-from ..functions.urls import domain_suffixes
+from ..functions.urls import domain_sql, domain_suffixes
 
 EXCERPT = 420
 SENTIMENT_REACH = 250
@@ -150,11 +150,6 @@ def query_competitors(competitors: DataFrame) -> DataFrame:
     return competitors.select("site_id", "name", "domain", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
 
 
-def _domain(url: str) -> str:
-    authority = f"regexp_extract({url}, {q(r'(?i)^https?:[/\\]{2,}([^/\\?#]*)')}, 1)"
-    return f"regexp_replace(lower(regexp_replace({authority}, '^.*@|:[0-9]*$', '')), '^www[.]', '')"
-
-
 def _domain_matches(candidate: str, target: str) -> str:
     t = f"lower(regexp_replace({target}, '(?i)^www[.]', ''))"
     return (
@@ -170,7 +165,7 @@ def dedupe_urls_sql(urls: str) -> str:
         f"transform(dr, dk -> {key})", "dks",
         "filter(dr, (dx, di) -> array_position(dks, dks[di]) = di + 1)",
     )
-    dom = _domain("dd.url")
+    dom = domain_sql("dd.url")
     return let(
         f"coalesce({real}, array())", "dr",
         f"transform({first}, dd -> named_struct('url', dd.url, 'title', dd.title, 'domain', {dom}))",
