@@ -20,6 +20,8 @@ TOP = 3  # contexts shorter than this are held as one table, at most 256 ** TOP
 PAD = b"\n" * DEPTH
 END = -1  # key of the end token among the words
 HALF = np.log(0.5)
+FREE = -(1 << 63)  # a free slot of a key table
+LAST = (1 << 63) - 1
 
 
 def normal(text: str | None) -> bytes:
@@ -29,8 +31,7 @@ def normal(text: str | None) -> bytes:
 
 def word_key(word: bytes) -> int:
     """A negative key from the word's hash; n-gram keys are positive."""
-    h = xxhash.xxh64_intdigest(word, 7) | (1 << 63)
-    return h - (1 << 64)
+    return (xxhash.xxh64_intdigest(word, 7) >> 1) - LAST or -2
 
 
 def gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,12 +125,12 @@ class KeyTable:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, -1, "i8")
+        self.keys = np.full(1 << self.bits, FREE, "i8")
         self.values = np.zeros(1 << self.bits)
         slot, todo = self._slots(keys), np.arange(len(keys))
         while len(todo):
             at = slot[todo]
-            free = self.keys[at] == -1
+            free = self.keys[at] == FREE
             self.keys[at[free]] = keys[todo[free]]
             done = self.keys[at] == keys[todo]
             self.values[at[done]] = values[todo[done]]
@@ -140,14 +141,13 @@ class KeyTable:
         return ((keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype("i8")
 
     def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; 0 for keys that the table does not hold."""
         slot = self._slots(keys)
-        miss = np.flatnonzero(self.keys[slot] != keys)
+        miss = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] != FREE))
         while len(miss):
-            if (self.keys[slot[miss]] == -1).any():
-                raise KeyError("a key that no table entry holds")
             slot[miss] = (slot[miss] + 1) & (len(self.keys) - 1)
-            miss = miss[self.keys[slot[miss]] != keys[miss]]
-        return self.values[slot]
+            miss = miss[(self.keys[slot[miss]] != keys[miss]) & (self.keys[slot[miss]] != FREE)]
+        return np.where(self.keys[slot] == keys, self.values[slot], 0.0)
 
 
 def lower_levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
@@ -175,6 +175,13 @@ def _stretches(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterat
         yield held_k, held_c
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Small slices, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, count) of n-grams and words; those of texts not learned from get count 0, their words none."""
     grams: list[tuple[np.ndarray, np.ndarray]] = []
@@ -188,7 +195,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, c = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
         return _summed(k, c)
 
-    for batch in batches:
+    for batch in _slices(batches):
         learned = batch.column("learned").to_pylist()
         held: dict[bool, list[bytes]] = {True: [], False: []}
         size = {True: 0, False: 0}
@@ -212,11 +219,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 take(use)
         take(True)
         take(False)
-        if sum(len(g[0]) for g in grams) > 1_500_000:
+        if sum(len(g[0]) for g in grams) > 1_000_000:
             grams = [reduced()]
-            if len(grams[0][0]) > 750_000:
+            if len(grams[0][0]) > 500_000:
                 yield emit(*grams.pop())
-        if len(words) > 200_000:
+        if len(words) > 100_000:
             yield emit([word_key(w) for w in words], list(words.values()))
             words.clear()
     if grams:
@@ -237,11 +244,11 @@ def _requests(common):
 
         for batch in batches:
             block = batch.column("block").to_numpy()
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for b in np.unique(block):
                 parts, words, held, size = [], set(), [], 0
-                for i in np.flatnonzero(block == b):
-                    raw = normal(texts[i])
+                for i in np.flatnonzero(block == b).tolist():
+                    raw = normal(texts[i].as_py())
                     words.update(raw.split())
                     held.append(raw)
                     size += len(raw)
@@ -275,7 +282,7 @@ def _common(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return got["key"].to_numpy("i8"), got["v"].to_numpy("f8")
 
 
-def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 24 << 20, common: int = 400_000) -> DataFrame:
+def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 16 << 20, common: int = 400_000) -> DataFrame:
     """Scores every row of ``docs(doc_id, text)`` with models learned from the rows where ``learn`` holds.
 
     The text model weights all context depths from 0 to ``DEPTH`` bytes: each byte is eight binary decisions,
@@ -343,16 +350,17 @@ def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 24 <<
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         keys, first = np.unique(np.concatenate([right["key"].to_numpy(), often.value[0]]), return_index=True)
         values = np.concatenate([right["v"].to_numpy(), often.value[1]])[first]
-        split = int(np.searchsorted(keys, 0))
-        words = dict(zip(keys[:split].tolist(), values[:split].tolist(), strict=True))
-        end = words.get(END, 0.0)
-        table = KeyTable(keys[split:], values[split:])
+        table = KeyTable(keys, values)
+        del keys, values, first
+        end = float(table.get(np.array([END]))[0])
         memo: dict[bytes, float] = {}
         n_tokens, known, base, scores, sizes = [], [], [], [], []
 
         def counts(ws: list[bytes]) -> np.ndarray:
-            for w in set(ws).difference(memo):
-                memo[w] = words.get(word_key(w), 0.0)
+            if len(memo) > 100_000:
+                memo.clear()
+            new = list(set(ws).difference(memo))
+            memo.update(zip(new, table.get(np.fromiter(map(word_key, new), "i8", len(new))).tolist(), strict=True))
             return np.array([*map(memo.__getitem__, ws), end])
 
         def finish(held: list[bytes]) -> None:
