@@ -27,6 +27,7 @@ IDENTITY_TERMS = (
 )
 TRIM = ".,;:!?\"'()[]{}*#%$&|<>-"
 PREFIXES = (4, 5, 6)
+NO_EVIDENCE = -1.0  # highest logit of a text without any feature
 
 
 def features(words: list[str]) -> set[str]:
@@ -91,7 +92,7 @@ def _fit(rows: list[set[str]], y: np.ndarray, pairs: list[tuple[int, set[str]]],
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:d], b - step[d]
-    return ToxicityModel({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, float(b))
+    return ToxicityModel({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, min(float(b), NO_EVIDENCE))
 
 
 def train_toxicity(
@@ -103,7 +104,7 @@ def train_toxicity(
     Words and word beginnings whose log odds between the classes lie ``evidence`` standard errors from zero
     become features, the clearest first (without any, the twenty clearest); the loss is
     class-balanced logistic loss, plus ``fairness`` times the mean squared change of the logit over the
-    swapped sentences, plus a ridge. Rows without a label, id or text are not learned from; without any
+    swapped sentences, plus a ridge. A text without any feature scores below 0.5 whatever was learned. Rows without a label, id or text are not learned from; without any
     row of one of the classes nothing is learned and every text gets the same score below 0.5.
     """
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
@@ -128,7 +129,7 @@ def train_toxicity(
     sizes = {r["y"]: r["n"] for r in rows.where("alt = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return ToxicityModel({}, -1.0)
+        return ToxicityModel({}, NO_EVIDENCE)
     seen = rows.where("alt = 0").select("y", F.explode("feats").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     ranked = seen.where("a + b >= 3").select("f", (F.abs(odds) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))).alias("s"))
