@@ -102,10 +102,11 @@ def train_toxicity(
     """Learns from at most ``max_rows`` labelled rows, chosen by a hash of the id among those ``usable``.
 
     Words and word beginnings whose log odds between the classes lie ``evidence`` standard errors from zero
-    become features, the clearest first (without any, the twenty clearest); the loss is
-    class-balanced logistic loss, plus ``fairness`` times the mean squared change of the logit over the
-    swapped sentences, plus a ridge. A text without any feature scores below 0.5 whatever was learned. Rows without a label, id or text are not learned from; without any
-    row of one of the classes nothing is learned and every text gets the same score below 0.5.
+    become features, the clearest first (without any, the twenty clearest); the loss is class-balanced
+    logistic loss, plus ``fairness`` times the mean squared change of the logit over the swapped sentences,
+    plus a ridge. A text without any feature scores below 0.5 whatever was learned. Rows without a label, id
+    or text are not learned from; without any row of one of the classes nothing is learned and every text
+    gets the same score below 0.5.
     """
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     chosen = chosen.where(usable) if usable is not None else chosen
