@@ -14,7 +14,7 @@ import xxhash
 
 import __spark_entry__ as entry
 
-from llm_fixtures import AWKWARD, SF, rows, same, write
+from llm_fixtures import AWKWARD, PROSE, SF, rows, same, write
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 OPS = [k for k in entry.queries() if re.match(r"op\d+_", k)]
@@ -258,6 +258,28 @@ def test_random_tokens_are_secrets_and_words_are_not(spark):
     assert {r["clean"] for r in found if r["doc_id"] < 40} == {"see [secret] there"}
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF"])
+def test_rare_random_tokens_are_found(spark, alphabet):
+    """One random token in 150 is found at every length, also among ordinary tokens of its own alphabet."""
+    from answerlens.llm.secret_scan import find_secrets
+
+    rng = np.random.default_rng(11)
+    words = PROSE.split() + "config Handler get HTTP response value2 index v3 data user table item count page cache Builder default 2021 07".split()
+    shout = ["FACADE", "DECADE", "ACCEDE", "DEAF", "BEAD", "CAFE", "FADED", "2021", "0042"] if len(alphabet) == 16 else [w.upper() for w in PROSE.split()]
+    docs, planted = [], set()
+    for k in range(12_000):
+        n = (20, 32, 40, 64)[k // 150 % 4]
+        own = len(alphabet) < 64 and k % 2
+        token = "".join(rng.choice(list(alphabet), n)) if k % 150 == 0 else ("" if own else str(rng.choice(["", "-", "_", "/"]))).join(rng.choice(shout if own else words, 16))[:n]
+        planted |= {k} if k % 150 == 0 else set()
+        docs.append((k, f"see {token} there"))
+    got = {r["doc_id"] for r in find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).where("exists(secrets, s -> s.kind = 'random')").collect()}
+    for i, n in enumerate((20, 32, 40, 64)):
+        own = {k for k in planted if k // 150 % 4 == i}
+        assert len(got & own) >= (0.8 if n == 20 else 0.95) * len(own), n
+    assert len(got - planted) <= 0.03 * len(got)
+
+
 def test_shards(spark, tables):
     got = run(spark, "op10", tables, "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     same([g[:3] for g in got], [(i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in rows(tables)])
