@@ -31,7 +31,7 @@ class WordEncoder:
 
     The tokenizer's pattern never spans the place before a space that has a word on either side, so a text
     is the words with their leading spaces one after another. Texts with a space inside other white space
-    are encoded whole. At most ``most`` words are kept.
+    or with an added token of the tokenizer are encoded whole. At most ``most`` words are kept.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -39,7 +39,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = re.compile("|".join([ODD_SPACE.pattern, *added]))
         self.most = most
         self.kept: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
@@ -63,7 +64,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids as unsigned 16-bit numbers."""
-        split = [None if ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
         new = set().union(*(s[1:] for s in split if s)).difference(self.kept)
         if len(self.kept) + len(new) > self.most:
             self.kept.clear()

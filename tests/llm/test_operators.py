@@ -171,6 +171,20 @@ def test_packing(spark, tables):
         assert at <= 1024 and at & (at - 1) == 0  # nothing to pad
 
 
+def test_packing_has_the_ids_of_the_plain_tokenizer(spark, tmp_path):
+    """Texts with the tokenizer's own tokens, against a tokenizer with default settings."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|>", "a b <|endoftext|> c  d", "x <|endoftext|", PROSE]
+    ids = {i: np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4") for i, t in enumerate(texts)}
+    got = run(spark, "op5", write(tmp_path, docs=[(i, t, "en", "a") for i, t in enumerate(texts)]), "doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert {g[0] for g in got} == set(ids)
+    for i, start, length, crc, tokens in got:
+        assert tokens == len(ids[i]) and crc == zlib.crc32(ids[i][start : start + length].tobytes())
+
+
 def test_decontamination(spark, tables):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
