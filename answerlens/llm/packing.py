@@ -146,8 +146,8 @@ class BM25:
         self.of, self.begin = at[order], np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=n))])
         self.n = n
 
-    def query(self, doc: int, terms: int) -> np.ndarray:
-        """Scores of all texts of the shard for the rarest ``terms`` ids of a text that others hold too."""
+    def query(self, doc: int, terms: int | None = None) -> np.ndarray:
+        """Scores of all texts of the shard for all ids of a text that others hold too, or for the rarest ``terms``."""
         own = self.of[self.begin[doc] : self.begin[doc + 1]]
         scores = np.zeros(self.n)
         for t in own[self.df[own] > 1][:terms]:
@@ -156,12 +156,12 @@ class BM25:
         return scores
 
 
-def pack_shard(tails: list[np.ndarray], window: int, terms: int, ready: int = 128) -> list[list[tuple[int, int, int]]]:
+def pack_shard(tails: list[np.ndarray], window: int, terms: int | None = None, ready: int = 128) -> list[list[tuple[int, int, int]]]:
     """Sequences of (text, start, length) over the tails; each is full, or its length a power of two.
 
-    The longest unused text is the seed. Its neighbours follow in the order of their scores while they fit;
-    then the nearest that is left is cut to fill the window and its rest stays unused. Without neighbours
-    the next longest text stands in. What is left at the end is cut at powers of two.
+    The longest unused text is the seed. Its neighbours follow in the order of their scores, ``ready`` at a
+    time: first those that fit, then the nearest that is left is cut to fill the window and its rest stays
+    unused. When no text with a score is left the next longest text stands in. What is left at the end is cut at powers of two.
     """
     n = len(tails)
     left = np.array([len(t) for t in tails], "i8")
@@ -190,17 +190,20 @@ def pack_shard(tails: list[np.ndarray], window: int, terms: int, ready: int = 12
             scores = index.query(seed, terms)
             scores[left == 0] = 0
             near = np.flatnonzero(scores)
-            if len(near) > ready:
-                near = near[np.argpartition(-scores[near], ready)[:ready]]
-            near = near[np.lexsort((near, -scores[near]))]
-            for d in near.tolist():
-                if left[d] <= room:
-                    room -= take(d, room)
-                    if not room:
-                        break
-            for d in near.tolist():
-                if room and left[d]:
-                    room -= take(d, room)
+            while room and len(near):
+                batch, near = near, near[:0]
+                if len(batch) > ready:
+                    split = np.argpartition(-scores[batch], ready)
+                    batch, near = batch[split[:ready]], batch[split[ready:]]
+                batch = batch[np.lexsort((batch, -scores[batch]))].tolist()
+                for d in batch:
+                    if left[d] <= room:
+                        room -= take(d, room)
+                        if not room:
+                            break
+                for d in batch:
+                    if room and left[d]:
+                        room -= take(d, room)
         spare = at
         while room and spare < n:
             if left[order[spare]]:
@@ -226,7 +229,7 @@ def pack_shard(tails: list[np.ndarray], window: int, terms: int, ready: int = 12
     return out
 
 
-def pack(docs: DataFrame, window: int = 1024, shard_docs: int = 2000, terms: int = 24, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, shard_docs: int = 2000, terms: int | None = None, tokenizer: str | None = None) -> DataFrame:
     """Packs every token of ``docs(doc_id, text)`` into sequences of ``window`` tokens.
 
     Full windows of a document are sequences of their own; the tails meet in shards. A shard is a run of

@@ -185,6 +185,25 @@ def test_packing_has_the_ids_of_the_plain_tokenizer(spark, tmp_path):
         assert tokens == len(ids[i]) and crc == zlib.crc32(ids[i][start : start + length].tobytes())
 
 
+@pytest.mark.parametrize("case", ["common words", "short texts"])
+def test_packing_fills_a_window_with_every_neighbour_first(spark, case):
+    """A neighbour by commoner words than 24 rare ones, and more short neighbours than one batch."""
+    from answerlens.llm.packing import pack
+
+    if case == "common words":  # each rare word of the seed is in one short text, the ten common ones in the near texts
+        rare, common = [f" {w}" for w in PROSE.split()] + [f" {10 + i}" for i in range(30)], " music river garden winter summer history science village bridge island"
+        texts = [(0, common * 2 + "".join(rare) * 8)] + [(1 + i, w) for i, w in enumerate(rare)]
+        texts += [(200 + i, common * 4) for i in range(60)] + [(400 + i, " zebra" * 60) for i in range(60)]
+        near = set(range(200, 260))
+    else:
+        texts = [(0, " river" * 500)] + [(200 + i, " river") for i in range(300)] + [(500 + i, " zebra" * 60) for i in range(60)]
+        near = set(range(200, 500))
+    got = pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(1), shard_docs=1 << 20).collect()
+    seed = next(r["sequence_id"] for r in got if r["doc_id"] == 0)
+    ids = {r["doc_id"] for r in got if r["sequence_id"] == seed}
+    assert ids & near and not ids & set(range(400 if case == "common words" else 500, 600))
+
+
 def test_decontamination(spark, tables):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
