@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -102,3 +103,11 @@ def with_column(docs: DataFrame, name: str, kind: str, fn: Callable[[pa.RecordBa
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_batches(docs, run, f"{schema}, `{name}` {kind}" if schema else f"`{name}` {kind}")
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """One object per Python worker process, kept from task to task; it must not depend on what a task has read."""
+    held = sys.__dict__.setdefault("_answerlens_llm", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]

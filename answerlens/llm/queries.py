@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from answerlens.llm import context_tree, decontaminate, outliers, packing, quality, secret_scan, shards, simhash, substrings, toxicity
+from answerlens.llm import (
+    context_tree, decontaminate, hard_negatives, outliers, packing, periodic_runs, prefix_counts, quality, secret_scan, shards, simhash, substrings, toxicity,
+)
 
 QUERIES: dict = {
     "op1_mcd_outliers": (outliers.op1_mcd_outliers, None),
@@ -15,4 +17,7 @@ QUERIES: dict = {
     "op8_compression_quality": (quality.op8_compression_quality, None),
     "op9_randomness_battery": (secret_scan.op9_randomness_battery, None),
     "op10_sampled_splitters": (shards.op10_sampled_splitters, None),
+    "op11_gnat_hard_negatives": (hard_negatives.op11_gnat_hard_negatives, hard_negatives.SQL),
+    "op12_prefix_token_counts": (prefix_counts.op12_prefix_token_counts, None),
+    "op13_basic_factor_runs": (periodic_runs.op13_basic_factor_runs, None),
 }
