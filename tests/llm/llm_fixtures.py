@@ -25,7 +25,21 @@ AWKWARD = [
 ]
 
 
-def write(folder, docs=AWKWARD, labels=((1, 1, 0), (3, 0, 1), (None, 1, 1), (10, None, None)), benchmark=((0, ITEM), (1, None), (2, "fin"), (3, "")), extra=True):
+NAN, INF = float("nan"), float("inf")
+VECTORS = [
+    *[(100 * k, [0.1 * k, 0.5 - 0.05 * k, 0.25, 1.0], k % 2) for k in range(8)],
+    *[(k, [0.01 * (k % 13), 0.5, 0.02 * (k % 7), 0.3], k % 3) for k in range(1, 90)],  # many ties
+    *[(k, [0.4, 0.4, 0.4, 0.4], k % 2) for k in range(900, 960)],  # one vector
+    (100, [0.1, 0.45, 0.25, 1.0], 1),  # the row again
+    (200, [0.9, 0.1, 0.0, 0.2], 1), (200, [0.9, 0.1, 0.0, 0.2], 2),  # an anchor's id again
+    (None, [0.3, 0.3, 0.3, 0.3], 1), (None, [0.3, 0.3, 0.3, 0.3], 0), (None, [0.3, 0.3, 0.3, 0.3], 0),
+    (10_000, None, 1), (10_100, [0.1, None, 0.2, 0.3], 1), (10_200, [NAN, 0.1, 0.1, 0.1], 1), (10_300, [0.1, INF, 0.1, 0.1], 1), (10_400, [0.1] * 4, None),
+    (10_500, [], 1), (10_600, [0.5], 0), (10_700, [0.5] * 6, 0), (-500, [-0.3, -0.2, 0.1, -0.9], 1), ((1 << 53) + 1, [0.3, 0.3, 0.3, 0.31], 1),
+    (10_800, [0.2, 0.2, 0.2, 0.2], 77),  # the only row of its label
+]
+
+
+def write(folder, docs=AWKWARD, vectors=VECTORS, labels=((1, 1, 0), (3, 0, 1), (None, 1, 1), (10, None, None)), benchmark=((0, ITEM), (1, None), (2, "fin"), (3, "")), extra=True):
     """The tables as Parquet; ``extra`` adds columns whose names operators use themselves."""
     n = len(docs)
     cols = {
@@ -40,6 +54,13 @@ def write(folder, docs=AWKWARD, labels=((1, 1, 0), (3, 0, 1), (None, 1, 1), (10,
     pq.write_table(pa.table({
         "doc_id": pa.array([r[0] for r in labels], pa.int64()), "quality": pa.array([r[1] for r in labels], pa.int32()), "toxic": pa.array([r[2] for r in labels], pa.int32()),
     }), f"{folder}/labels.parquet")
+    cols = {
+        "vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())),
+        "label": pa.array([v[2] for v in vectors], pa.int32()),
+    }
+    for name in ("id", "vec", "score", "rank", "cell", "block", "aid", "mix") if extra else ():
+        cols[name] = pa.array(["mine"] * len(vectors), pa.string())
+    pq.write_table(pa.table(cols), f"{folder}/embeddings.parquet")
     pq.write_table(pa.table({"item_id": pa.array([r[0] for r in benchmark], pa.int64()), "text": pa.array([r[1] for r in benchmark], pa.string())}), f"{folder}/benchmark.parquet")
     return str(folder)
 

@@ -1,4 +1,4 @@
-"""The ten queries against plain versions, on the smallest given tables and on awkward ones."""
+"""The queries against plain versions, on the smallest given tables and on awkward ones."""
 
 import hashlib
 import math
@@ -30,13 +30,13 @@ def run(spark, name, folder, *columns):
     return [tuple(r) for r in entry.queries()[full](spark, folder).select(*columns).collect()]
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in OPS) == list(range(1, 11)) and "pipeline" in entry.queries()
+def test_operators_and_the_pipeline_are_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in OPS) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", OPS)
 def test_empty_tables(spark, name, tmp_path):
-    assert entry.queries()[name](spark, write(tmp_path, docs=[], labels=[], benchmark=[])).count() == 0
+    assert entry.queries()[name](spark, write(tmp_path, docs=[], labels=[], benchmark=[], vectors=[])).count() == 0
 
 
 def test_quality_rules(spark, tables):
@@ -343,5 +343,7 @@ def test_shards_split_a_hot_text_and_keep_small_groups(spark):
 def test_awkward_rows_are_all_answered(spark, tmp_path):
     folder = write(tmp_path)
     for name in OPS:
+        if name.startswith("op11_"):
+            continue  # reads no documents
         n = entry.queries()[name](spark, folder).count()
         assert n >= len(AWKWARD) if name.startswith("op5") else n == len(AWKWARD)
