@@ -1,13 +1,13 @@
-"""Sinks: what is stored, and how it is partitioned."""
+"""Sinks: what is stored, how it is partitioned, and that readers see whole versions of it (``sources/versions.py``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_bucket
 from ..session import materialise
+from ..sources import versions as V
 from .validate import first_of_key
 
 
@@ -76,32 +76,55 @@ def sink_checks(results: DataFrame) -> DataFrame:
     return results.withColumn("day", day_bucket(F.col("checked_at")))
 
 
-def append_checks(results: DataFrame, path: str) -> None:
-    """Append to the history, partitioned by day; checks whose id the day already holds are left out, so a retried run adds nothing.
+def append_once(rows: DataFrame, path: str, key: str, part: str) -> dict:
+    """Adds as one version the rows whose ``key`` their partition ``part`` does not hold, and reads only the partitions of ``rows``.
 
-    The rebalance hint lets adaptive execution split a day with most of the rows over many writers and
-    gather days with few, so neither one task nor many small files result.
+    A run that fails before its manifest is written has added nothing, and a repeated run adds nothing more; of two
+    runs at once the later one looks again. The rebalance hint lets adaptive execution split a partition with
+    most of the rows over many writers and gather those with few.
     """
-    rows = sink_checks(results)
-    try:
-        stored = rows.sparkSession.read.parquet(path).select("check_id", F.col("day").cast("string").alias("day"))
-    except AnalysisException:  # the first run
-        stored = None
-    if stored is not None:
-        known = stored.select(F.col("check_id").alias("_id"), F.col("day").alias("_day"))
-        rows = rows.join(known, (F.col("check_id") == F.col("_id")) & (F.col("day").cast("string") == F.col("_day")), "left_anti")
-        rows = materialise(rows, "new_checks")  # the table written to is also read
-    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
-
-
-def overwrite_audits(rows: DataFrame, path: str) -> None:
+    spark = rows.sparkSession
+    table = materialise(rows, "appended")
+
+    def change(at: dict) -> dict:
+        stored, new = V.read_version(spark, path, at), table
+        if stored is not None:
+            parts = [r[0] for r in table.select(part).distinct().collect()]  # days of one run
+            known = stored.where(F.col(part).isin(parts)).select(key, part)
+            new = table.join(known, [key, part], "left_anti").select(table.columns)
+        return {"dirs": at["dirs"] + V.stage(new.hint("rebalance", part), path, [part]), "schema": table.schema}
+
+    return V.rewrite(spark, path, change)
+
+
+def append_checks(results: DataFrame, path: str) -> dict:
+    """Append to the history of checks, partitioned by day; checks whose id the day holds already are left out."""
+    return append_once(sink_checks(results), path, "check_id", "day")
+
+
+def overwrite_parts(rows: DataFrame, path: str, key: str, part: str) -> dict:
+    """Writes the partitions present in ``rows`` anew, as one version; stored rows of those that ``rows`` does not hold stay."""
+    spark = rows.sparkSession
+    table = materialise(rows, "overwritten")
+
+    def change(at: dict) -> dict:
+        stored, whole, dirs = V.read_version(spark, path, at), table, at["dirs"]
+        if stored is not None:
+            parts = [r[0] for r in table.select(part).distinct().collect()]  # months of one run
+            others = stored.where(F.col(part).isin(parts)).join(table.select(key, part), [key, part], "left_anti")
+            whole = table.unionByName(others, allowMissingColumns=True)
+            dirs = [d for d in dirs if d.split(f"{part}=")[-1] not in parts]
+        schema = whole.schema if stored is None else table.limit(0).unionByName(stored.limit(0), allowMissingColumns=True).schema
+        return {"dirs": dirs + V.stage(whole.hint("rebalance", part), path, [part], by_value=True), "schema": schema}
+
+    return V.rewrite(spark, path, change)
+
+
+def overwrite_audits(rows: DataFrame, path: str) -> dict:
     """Write the months present in ``rows`` anew; stored audits of those months that ``rows`` does not hold stay."""
-    tagged = rows.withColumn("month", F.date_format("started_at", "yyyy-MM"))
-    try:
-        stored = rows.sparkSession.read.parquet(path).withColumn("month", F.col("month").cast("string"))
-    except AnalysisException:  # nothing stored yet
-        stored = None
-    if stored is not None:
-        others = stored.join(tagged.select("month").distinct(), "month", "left_semi").join(tagged.select("audit_id"), "audit_id", "left_anti")
-        tagged = materialise(tagged.unionByName(others, allowMissingColumns=True), "audits")  # the table written to is also read
-    tagged.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    return overwrite_parts(rows.withColumn("month", F.date_format("started_at", "yyyy-MM")), path, "audit_id", "month")
+
+
+def replace_rows(rows: DataFrame, path: str) -> dict:
+    """Makes ``rows`` the whole table, as one version."""
+    return V.rewrite(rows.sparkSession, path, lambda at: {"dirs": V.stage(rows, path), "schema": rows.schema})

@@ -11,6 +11,7 @@ from ..operators import mentions as M
 from ..operators import quotas as Q
 from ..operators import sinks
 from ..sources.answers import scan_answers
+from ..sources.versions import read_version
 
 
 def due_tasks(prompts: DataFrame, workspaces: DataFrame, as_of: datetime, stale_hours: int = Q.STALE_HOURS) -> DataFrame:
@@ -52,14 +53,14 @@ def run_weekly(
     """Append this run's checks and return its usage increments.
 
     With ``prompts_path`` the prompts are stored there with their new ``last_checked_at``, so the next run
-    does not find them due again. A run repeated at the same ``as_of`` adds nothing.
+    does not find them due again. A run repeated at the same ``as_of`` adds nothing. Both are versioned tables, read with ``read_version``.
     """
     sinks.append_checks(weekly_checks(prompts, workspaces, sites, competitors, recorded, as_of), history_path)
-    written = prompts.sparkSession.read.parquet(history_path).filter(
+    written = read_version(prompts.sparkSession, history_path).filter(
         (F.col("day") == as_of.strftime("%Y-%m-%d")) & (F.col("checked_at") == F.lit(as_of))
     )
     if prompts_path is not None:
-        Q.prompts_touched(prompts, written.select("prompt_id", "checked_at")).write.mode("overwrite").parquet(prompts_path)
+        sinks.replace_rows(Q.prompts_touched(prompts, written.select("prompt_id", "checked_at")), prompts_path)
     return written.groupBy("workspace_id").agg(F.count("*").alias("count")).select(
         "workspace_id", F.lit(as_of.strftime("%Y-%m")).alias("period"), F.lit("citation_checks").alias("metric"), "count"
     )

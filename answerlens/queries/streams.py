@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.quotas import subscription_state
+from ..session import scratch_path
 from ..streaming import streams as X
+from ..streaming.ledger import keep_ledger, read_ledger
+from ..streaming.rate_limit import rate_limit
 from . import views as V
 from .relational import QUERIES as BATCH
 from .views import flat, oracle
@@ -21,6 +24,8 @@ _EVENTS = T.StructType(
         T.StructField("props", T.StringType()),
     ]
 )
+#: Lateness that keeps every row of a table read in whatever order its files have.
+WHOLE = "36500 days"
 _LINEITEM = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_shipdate", T.TimestampNTZType())])
 
 
@@ -40,11 +45,15 @@ def stream_checks_append(s, sf):
 
 
 def stream_event_dedupe(s, sf):
-    return flat(X.drain_appends(X.event_dedupe(_stream(s, sf, "billing", "received_at")), "dedupe").select("event_id"))
+    path = scratch_path(s, "ledger")
+    keep_ledger(_stream(s, sf, "billing", "received_at"), path, scratch_path(s, "ledger_checkpoint")).awaitTermination()
+    return flat(read_ledger(s, path).select("event_id", "seq", "received_at"))
 
 
 def stream_daily_visibility(s, sf):
-    return flat(X.drain_updates(X.daily_visibility(_stream(s, sf, "checks", "checked_at")), ["site_id", "day", "engine"], "daily"))
+    path = scratch_path(s, "daily")
+    X.update_daily(_stream(s, sf, "checks", "checked_at"), path, scratch_path(s, "daily_checkpoint")).awaitTermination()
+    return flat(X.read_daily(s, path))
 
 
 def stream_usage_monthly(s, sf):
@@ -52,7 +61,7 @@ def stream_usage_monthly(s, sf):
 
 
 def stream_rate_limit(s, sf):
-    return flat(X.drain_updates(X.rate_limit(_stream(s, sf, "free_audits", "started_at")), ["created_ip", "window_start"], "rate"))
+    return flat(X.drain_updates(rate_limit(_stream(s, sf, "free_audits", "started_at"), WHOLE), ["audit_id"], "rate").select("audit_id", "created_ip", "used_24h", "remaining", "over_limit"))
 
 
 def stream_latest_state(s, sf):
@@ -69,13 +78,12 @@ def stream_view_counts(s, sf):
 
 QUERIES = {
     "stream_checks_append": (stream_checks_append, oracle("SELECT strftime(checked_at, '%Y-%m-%d') AS day, engine, count(*) AS checks, count(error) AS errors FROM v_checks GROUP BY 1, 2")),
-    "stream_event_dedupe": (stream_event_dedupe, oracle("SELECT DISTINCT event_id FROM v_billing")),
+    "stream_event_dedupe": (stream_event_dedupe, oracle("SELECT event_id, seq, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received_at FROM v_billing QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, seq) = 1")),
     "stream_daily_visibility": (stream_daily_visibility, oracle(
         "WITH g AS (SELECT site_id, strftime(checked_at, '%Y-%m-%d') AS day, engine, count(*) AS checks, count(*) FILTER (brand_cited) AS cited, cast(sum(cast(round(share_of_voice * 10000) AS bigint)) AS bigint) AS u "
         "FROM v_checks WHERE error IS NULL GROUP BY 1, 2, 3) SELECT site_id, day, engine, checks, cited, ((2000 * cited + checks) // (2 * checks)) / 10.0 AS visibility, ((2 * u + 10 * checks) // (20 * checks)) / 10.0 AS avg_sov FROM g")),
     "stream_usage_monthly": (stream_usage_monthly, oracle("SELECT workspace_id, period, metric, count(*) AS count FROM v_usage GROUP BY 1, 2, 3")),
-    "stream_rate_limit": (stream_rate_limit, oracle(
-        "WITH h AS (SELECT created_ip, date_trunc('hour', started_at) - to_hours(unnest(range(0, 24))) AS w FROM v_free_audits) SELECT created_ip, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS used FROM h GROUP BY 1, 2")),
+    "stream_rate_limit": (stream_rate_limit, BATCH["free_rate_limit"][1]),
     "stream_latest_state": (stream_latest_state, oracle(
         "SELECT prompt_id, engine, check_id, strftime(checked_at, '%Y-%m-%d %H:%M:%S') AS checked_at, brand_cited, mode, error FROM v_checks "
         "QUALIFY row_number() OVER (PARTITION BY prompt_id, engine ORDER BY checked_at DESC, check_id DESC) = 1")),

@@ -16,6 +16,7 @@ from answerlens.operators import validate as C
 from answerlens.plans.audit import run_audit
 from answerlens.plans.citations import run_weekly
 from answerlens.schemas import TABLES
+from answerlens.sources.versions import read_version
 from answerlens.streaming import streams as X
 
 T0 = datetime(2024, 1, 1)
@@ -156,7 +157,7 @@ def test_weekly_job(spark, tmp_path):
     recorded = spark.createDataFrame([("p1", "chatgpt", 200, '{"output_text":"Zoho, then Acme."}')], "prompt_id string, engine string, http_status int, payload string")
     usage = run_weekly(prompts, workspaces, sites, rivals, recorded, as_of, str(tmp_path / "checks"))
     assert [tuple(r) for r in usage.collect()] == [("w1", "2024-01", "citation_checks", 2)]
-    rows = {r["engine"]: r for r in spark.read.parquet(str(tmp_path / "checks")).collect()}
+    rows = {r["engine"]: r for r in read_version(spark, str(tmp_path / "checks")).collect()}
     assert (rows["chatgpt"]["brand_position"], rows["chatgpt"]["share_of_voice"], rows["chatgpt"]["error"]) == (2, 0.5, None)
     assert rows["perplexity"]["error"] == "No answer was recorded" and not rows["perplexity"]["brand_cited"]
 
@@ -179,11 +180,11 @@ def test_a_repeated_run_adds_nothing_and_months_keep_other_audits(spark, tmp_pat
     path = f"{tmp_path}/checks"
     for _ in range(2):
         sinks.append_checks(checks, path)
-    assert spark.read.parquet(path).count() == 2
+    assert read_version(spark, path).count() == 2
     audits = spark.createDataFrame([(1, at, 10), (2, at, 20)], "audit_id int, started_at timestamp, overall_score int")
     sinks.overwrite_audits(audits, f"{tmp_path}/audits")
     sinks.overwrite_audits(audits.filter("audit_id = 1").withColumn("overall_score", F.lit(11)), f"{tmp_path}/audits")
-    assert {r["audit_id"]: r["overall_score"] for r in spark.read.parquet(f"{tmp_path}/audits").collect()} == {1: 11, 2: 20}
+    assert {r["audit_id"]: r["overall_score"] for r in read_version(spark, f"{tmp_path}/audits").collect()} == {1: 11, 2: 20}
 
 
 def test_touched_prompts_are_not_due_again(spark):
