@@ -1,7 +1,7 @@
 """Answer analysis: brand and competitor mentions, order, links, share of voice, sentiment.
 
-A site's dictionary (brand and competitors, bounded by the plan) is one row; an answer joins it
-once and is analysed in its own row, so answers are never multiplied by names.
+A site's dictionary is a row a name. Names and answers meet in an inverted index on first words; an answer is then
+analysed in its own row with the names that it may hold, however many its site has.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ from ..dims import ENGINES, NEGATIVE_TERMS, POSITIVE_TERMS
 from ..functions.fragments import collapse_ws, let, q
 from ..functions.text import SPACE_CHARS, SPACES
 from ..functions.urls import domain_sql, domain_suffixes
+from ..session import materialise
 
 EXCERPT = 420
 SENTIMENT_REACH = 250
 SENTIMENT_HEAD = 600
 
+ENTITY = ["ord", "name", "domain", "names", "matcher"]
+
 _NOT_IN_WORD = r"(?<![\p{L}\p{N}])"
 _WORD_ENDS = r"(?![\p{L}\p{N}])"
 
@@ -107,8 +110,29 @@ def count_mentions(df: DataFrame, text: str = "text", names: str = "names") -> D
     )
 
 
+def _fold(token: str) -> str:
+    """One form for all spellings that a case-blind match takes as equal."""
+    return f"translate(lower(upper({token})), {q(chr(0x307))}, '')"
+
+
+def _tokens(text: str) -> str:
+    return f"transform(regexp_extract_all({text}, {q('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}, 0), tx -> {_fold('tx')})"
+
+
+def name_keys_sql(names: str) -> str:
+    """What a text must hold for one of ``names`` to match: its first two words, its only word, or nothing for a name without words."""
+    key = let(_tokens("kn"), "kt", "array_join(slice(kt, 1, 2), ' ')")
+    return f"array_distinct(transform({_name_list(names)}, kn -> {key}))"
+
+
+def text_keys_sql(text: str) -> str:
+    """Every word of a text, every two neighbouring words, and the empty key."""
+    pairs = "if(size(tk) > 1, transform(sequence(2, size(tk)), ti -> concat(get(tk, ti - 2), ' ', get(tk, ti - 1))), cast(array() AS array<string>))"
+    return let(_tokens(text), "tk", f"array_distinct(concat(tk, {pairs}, array('')))")
+
+
 def build_dictionary(sites: DataFrame, competitors: DataFrame) -> DataFrame:
-    """One row per site: ``entities`` with the brand first, then competitors by name."""
+    """One row per name to look for: each site's brand (``ord`` 0) and its competitors (1), any number of them."""
     brand = sites.select(
         "site_id",
         F.lit(0).alias("ord"),
@@ -123,11 +147,25 @@ def build_dictionary(sites: DataFrame, competitors: DataFrame) -> DataFrame:
         "domain",
         F.expr("filter(concat(array(name), coalesce(aliases, array())), n -> n != '')").alias("names"),
     )
-    named = with_names(brand.unionByName(rivals)).select(
-        "site_id", F.struct("ord", "name", "domain", "matcher").alias("entity")
-    )
-    grouped = named.groupBy("site_id").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
-    return grouped.join(sites.select("site_id", "brand_name", F.col("domain").alias("brand_domain")), "site_id")
+    return with_names(brand.unionByName(rivals.join(sites.select("site_id"), "site_id", "left_semi")))
+
+
+def candidates(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``(answer_no, entities)``: for each answer the competitors that its words or its links can name.
+
+    An inverted index: names are keyed by (site, first words), answers ask with their words, and the two meet by an equi
+    join; so do linked domains and their parents. An answer gets what it may mention, not its site's list.
+    ``answers`` carry ``answer_no, site_id, text, links``.
+    """
+    rivals = dictionary.where("ord = 1").select("site_id", F.struct(*ENTITY).alias("entity"), "names", "domain")
+    words = rivals.select("site_id", "entity", F.explode(F.expr(name_keys_sql("names"))).alias("key"))
+    asked = answers.where("text IS NOT NULL").select("answer_no", "site_id", F.explode(F.expr(text_keys_sql("text"))).alias("key"))
+    domain = F.lower(F.regexp_replace("domain", "(?i)^www[.]", ""))
+    homes = rivals.where(domain != "").select("site_id", "entity", domain.alias("key"))
+    linked = answers.select("answer_no", "site_id", F.explode("links").alias("l")).where("l.domain != ''")
+    linked = linked.select("answer_no", "site_id", F.explode(domain_suffixes(F.col("l.domain"))).alias("key")).distinct()
+    found = asked.join(words, ["site_id", "key"]).select("answer_no", "entity").unionByName(linked.join(homes, ["site_id", "key"]).select("answer_no", "entity"))
+    return found.distinct().groupBy("answer_no").agg(F.array_sort(F.collect_list("entity")).alias("entities"))  # no more than the answer has words and links for
 
 
 def build_query(prompts: DataFrame, sites: DataFrame, competitors: DataFrame) -> DataFrame:
@@ -194,23 +232,25 @@ def sentiment_sql(text: str, index: str) -> str:
     return let(window, "sw", let(score, "sc", verdict))
 
 
-def analyse_response(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
+def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = True) -> DataFrame:
     """Answers (``site_id``, ``answer``, ``urls``, optional ``error``) with the full analysis.
 
-    Errored rows come out uncited with empty lists and are kept. The join is on the site; a site with
-    most of the answers is split by the adaptive skew join, or its dictionary is broadcast when
-    Spark's own size estimate allows.
+    Errored rows come out uncited with empty lists and are kept. Competitors come from an inverted index
+    (:func:`candidates`), so a site may have any number of them. ``competitor_mentions`` holds all of the site's,
+    the unmentioned with 0, which puts a list of the site's length into every row; without ``absent`` it holds
+    only those that are mentioned or linked.
     """
     rows = answers if "error" in answers.columns else answers.withColumn("error", F.lit(None).cast("string"))
     if "excerpt_override" not in rows.columns:
         rows = rows.withColumn("excerpt_override", F.lit(None).cast("string"))
-    joined = rows.join(dictionary.select("site_id", "brand_domain", "entities"), "site_id", "left")
+    brands = dictionary.where("ord = 0").select("site_id", F.col("domain").alias("brand_domain"), F.struct(*ENTITY).alias("brand_entity"))
+    joined = rows.join(brands, "site_id", "left")
     # An answer whose site has no dictionary is kept as an errored row.
-    orphan = F.col("entities").isNull() & F.col("error").isNull()
+    orphan = F.col("brand_entity").isNull() & F.col("error").isNull()
     joined = joined.withColumn("error", F.when(orphan, F.lit("The site has no dictionary")).otherwise(F.col("error")))
-    joined = joined.withColumn("entities", F.coalesce("entities", F.array().cast(dictionary.schema["entities"].dataType)))
-    usable = joined.withColumns(
+    numbered = joined.withColumns(
         {
+            "answer_no": F.monotonically_increasing_id(),
             "usable": F.expr("error IS NULL AND excerpt_override IS NULL"),
             "text": F.expr("if(error IS NULL AND excerpt_override IS NULL, answer, NULL)"),
             "links": F.expr(
@@ -219,11 +259,14 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
             ),
         }
     )
+    numbered = materialise(numbered, "answers")  # the numbers must stay as they are
+    usable = numbered.join(candidates(numbered, dictionary), "answer_no", "left")
+    usable = usable.withColumn("entities", F.expr("concat(if(brand_entity IS NULL, array(), array(brand_entity)), coalesce(entities, array()))")).drop("brand_entity", "answer_no")
     linked = f"exists(links, lx -> {_domain_matches('lx.domain', 'en.domain')})"
     found = usable.withColumn(
         "found",
         F.expr(
-            "transform(entities, (en, ei) -> named_struct('pos', ei, 'name', en.name, 'is_brand', en.ord = 0, "
+            "transform(entities, (en, ei) -> named_struct('pos', ei, 'name', en.name, 'domain', en.domain, 'names', en.names, 'is_brand', en.ord = 0, "
             f"'m', {mentions_sql('text', 'en.matcher')}, 'linked', {linked}))"
         ),
     ).withColumn(
@@ -247,6 +290,15 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
             "brand_position": F.expr(f"get(transform(array(brand), f -> {position}), 0)"),
         }
     )
+    kind = "array<struct<name:string,mentions:int,position:int,linked:boolean>>"
+    entry = f"named_struct('name', f.name, 'mentions', f.m.count, 'position', {position}, 'linked', f.linked)"
+    listed = f"transform(filter(found, f -> NOT f.is_brand), f -> {entry})"
+    if absent:
+        everyone = dictionary.where("ord = 1").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("name", "domain", "names"))).alias("everyone"))
+        totals = totals.join(everyone, "site_id", "left")
+        same = "NOT f.is_brand AND f.name <=> ev.name AND f.domain <=> ev.domain AND f.names <=> ev.names"
+        zero = "named_struct('name', ev.name, 'mentions', 0, 'position', cast(NULL AS int), 'linked', false)"
+        listed = f"coalesce(transform(everyone, ev -> coalesce(get(transform(filter(found, f -> {same}), f -> {entry}), 0), {zero})), cast(array() AS {kind}))"
     return totals.withColumns(
         {
             "brand_cited": F.expr("brand_mentions > 0 OR domain_linked"),
@@ -257,11 +309,7 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
                 f"transform(links, lx -> named_struct('url', lx.url, 'title', lx.title, "
                 f"'domain', lx.domain, 'is_brand', {_domain_matches('lx.domain', 'brand_domain')}))"
             ),
-            "competitor_mentions": F.expr(
-                "if(usable, transform(filter(found, f -> NOT f.is_brand), f -> named_struct('name', f.name, "
-                f"'mentions', f.m.count, 'position', {position}, 'linked', f.linked)), "
-                "cast(array() AS array<struct<name:string,mentions:int,position:int,linked:boolean>>))"
-            ),
+            "competitor_mentions": F.expr(f"if(usable, {listed}, cast(array() AS {kind}))"),
             "response_excerpt": F.expr(f"coalesce(excerpt_override, {excerpt_sql('text', 'first_index')}, '')"),
             "sentiment": F.expr(
                 f"if(brand_mentions > 0 OR domain_linked, {sentiment_sql('text', 'first_index')}, NULL)"
@@ -269,7 +317,7 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
         }
     ).drop(
         "entities", "usable", "text", "links", "found", "ranked", "brand", "all_mentions", "brand_domain",
-        "excerpt_override", "urls",
+        "excerpt_override", "urls", "everyone",
     )
 
 

@@ -422,6 +422,17 @@ def cidr_contains_q(s, sf):
     return flat(V.view(s, sf, "checks").select("check_id", cidr_contains(ip, cidr).alias("inside")))
 
 
+def cidr_join(s, sf):
+    """Every address of the checks, IPv4 and IPv6, against ranges taken from them."""
+    from ..operators.ranges import address_ranges
+
+    c = V.view(s, sf, "checks")
+    ip = F.expr("CASE WHEN check_id % 5 = 0 THEN concat('2001:db8:', lower(hex(k)), '::', lower(hex(check_id % 1024))) ELSE concat(100 + check_id % 30, '.', k, '.', check_id % 256, '.', site_id) END")
+    cidr = F.expr("CASE WHEN check_id % 7 = 0 THEN concat('2001:db8:', lower(hex(k - k % 4)), '::/', 30 + check_id % 19) ELSE concat(100 + check_id % 25, '.', k - k % 4, '.0.0/', 8 + check_id % 25) END")
+    found = address_ranges(c.select(ip.alias("ip")), c.select(cidr.alias("cidr")))
+    return flat(found.groupBy("ip").agg(F.count("*").alias("n_ranges"), F.max("bits").cast("bigint").alias("bits"), F.min(F.when(F.col("narrowest"), F.col("cidr"))).alias("narrowest")))
+
+
 _ID = "regexp_extract(lower(trim(url)), '^(?:https?://)?([^/?#]*)', 1)"
 _IP = "concat(100 + check_id % 30, '.', k, '.', check_id % 300, '.', site_id)"
 
@@ -565,5 +576,12 @@ QUERIES = {
     "cidr_contains": (cidr_contains_q, "WITH p AS (SELECT check_id, CASE WHEN check_id % 9 = 0 THEN 33 ELSE check_id % 30 END AS bits, check_id % 300 AS o3, "
                       "(((100 + check_id % 30) * 256 + k) * 256 + check_id % 300) * 256 + site_id AS ip, (((100 + check_id % 25) * 256 + k - k % 4) * 256) * 256 AS net FROM v_checks) "
                       "SELECT check_id, o3 < 256 AND bits <= 32 AND (ip >> (32 - bits)) = (net >> (32 - bits)) AS inside FROM p"),
+    "cidr_join": (cidr_join, "WITH a AS (SELECT DISTINCT CASE WHEN check_id % 5 = 0 THEN 48 ELSE 32 END AS w, CASE WHEN check_id % 5 = 0 THEN '2001:db8:' || lower(hex(k)) || '::' || lower(hex(check_id % 1024)) "
+                  "ELSE concat(100 + check_id % 30, '.', k, '.', check_id % 256, '.', site_id) END AS ip, CASE WHEN check_id % 5 = 0 THEN cast(536939960 AS bigint) * 65536 + k ELSE (((100 + check_id % 30) * 256 + k) * 256 + check_id % 256) * 256 + site_id END AS n FROM v_checks), "
+                  "r AS (SELECT DISTINCT CASE WHEN check_id % 7 = 0 THEN 48 ELSE 32 END AS w, CASE WHEN check_id % 7 = 0 THEN 30 + check_id % 19 ELSE 8 + check_id % 25 END AS bits, "
+                  "CASE WHEN check_id % 7 = 0 THEN '2001:db8:' || lower(hex(k - k % 4)) || '::/' || (30 + check_id % 19) ELSE concat(100 + check_id % 25, '.', k - k % 4, '.0.0/', 8 + check_id % 25) END AS cidr, "
+                  "CASE WHEN check_id % 7 = 0 THEN cast(536939960 AS bigint) * 65536 + k - k % 4 ELSE ((100 + check_id % 25) * 256 + k - k % 4) * 65536 END AS net FROM v_checks), "
+                  "m AS (SELECT ip, cidr, bits, max(bits) OVER (PARTITION BY ip) AS most FROM a JOIN r ON a.w = r.w AND (cast(n AS bigint) >> (a.w - bits)) = (cast(net AS bigint) >> (a.w - bits))) "
+                  "SELECT ip, count(*) AS n_ranges, max(cast(bits AS bigint)) AS bits, min(cidr) FILTER (bits = most) AS narrowest FROM m GROUP BY 1"),
 }
 QUERIES = {k: (fn, oracle(sql)) for k, (fn, sql) in QUERIES.items()}

@@ -104,6 +104,31 @@ def test_sentiment_and_excerpt(analysed):
     assert analysed["long"]["response_excerpt"] == "…" + clean[at - 140 : at + 280].strip() + "…"
 
 
+def test_a_site_with_100_000_competitors(spark):
+    """Found by their first words or their domain; equal to the search through the whole list where that is short."""
+    sites = spark.createDataFrame([(1, "Old Quay Inn", [], "oldquay.example"), (2, "Tide", [], None)], "site_id int, brand_name string, brand_aliases array<string>, domain string")
+    many = spark.range(100_000).selectExpr("1 AS site_id", "concat('Rival ', id) AS name", "concat('r', id, '.example') AS domain", "array(concat('The ', id, 'th House'), 'Rival') AS aliases")
+    answers = [("a", 1, "Rival 77 and the 99998th house beat Old Quay Inn. RIVAL-77!", ["https://shop.r5.example/x", "https://r77.example"]), ("b", 1, "nothing here", []), ("c", 2, "Rival 77. Tide.", [])]
+    df = spark.createDataFrame([(k, i, t, [(u, None) for u in us]) for k, i, t, us in answers], "k string, site_id int, answer string, urls array<struct<url:string,title:string>>")
+    # The alias "Rival" is everyone's: without it an answer has its own few names only.
+    some = many.withColumn("aliases", F.slice("aliases", 1, 1))
+    got = {r["k"]: r for r in M.analyse_response(df, M.build_dictionary(sites, some), absent=False).collect()}
+    names = {k: [(c["name"], c["mentions"], c["position"], c["linked"]) for c in r["competitor_mentions"]] for k, r in got.items()}
+    assert names == {"a": [("Rival 5", 0, None, True), ("Rival 77", 2, 1, True), ("Rival 99998", 1, 2, False)], "b": [], "c": []}
+    assert (got["a"]["brand_position"], got["a"]["share_of_voice"], got["c"]["brand_mentions"], got["c"]["share_of_voice"]) == (3, 0.25, 1, 1.0)
+    assert len(M.analyse_response(df.where("k = 'b'"), M.build_dictionary(sites, some)).first()["competitor_mentions"]) == 100_000
+
+
+def test_index_keys_lose_no_match(spark):
+    """A text that a name matches asks for the name's key, whatever the spelling."""
+    names = ["F#", "x.y", "Old-Quay Inn", "île", "#1 Shop", "K2", "Straße", "istanbul", "--", "İzmir", "Kelvin", "a_b", " Old  Quay "]
+    texts = ["f# x.Y OLD quay\ninn ÎLE #1 shop", "k2 STRAßE İSTANBUL -- izmir", "\u212a2 \u212aelvin \u017fhop straße A_B", "old quay", "", "x y x.y"]
+    df = spark.createDataFrame([(t, n) for t in texts for n in names], "text string, name string").withColumn("names", F.array("name"))
+    df = M.count_mentions(df).withColumn("asked", F.expr(f"exists({M.name_keys_sql('names')}, k -> array_contains({M.text_keys_sql('text')}, k))"))
+    rows = df.collect()
+    assert sum(r["mentions"] > 0 for r in rows) >= 12 and all(r["asked"] for r in rows if r["mentions"])
+
+
 def test_domains(spark):
     cases = [("www.quay.co.example", "quay.co.example", True), ("log.quay.co.example", "quay.co.example", True), ("newquay.co.example", "quay.co.example", False), ("", "a", False), ("a", None, False)]
     df = spark.createDataFrame(cases, "c string, t string, want boolean")
