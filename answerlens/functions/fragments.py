@@ -14,7 +14,10 @@ from .text import SPACES
 
 # References that browsers also read without a semicolon in text (but not in attributes).
 _BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-_ENTITIES = json.dumps({n.removesuffix(";"): c for n, c in html5.items()}, ensure_ascii=False)
+_BY_LETTER: dict[str, dict[str, str]] = {}  # a map is searched from its start, so names are looked up by their first letter first
+for _name, _char in html5.items():
+    _BY_LETTER.setdefault(_name[0], {})[_name.removesuffix(";")] = _char
+_ENTITIES = json.dumps(_BY_LETTER, ensure_ascii=False)
 _CLOSED = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 _OPEN = f"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(_BARE)})"
 
@@ -29,6 +32,16 @@ def let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def nesting(json_text: str) -> str:
+    """How deep the brackets of a JSON text nest, at least 1; those in strings do not count."""
+    brackets = f"regexp_replace({json_text}, {q(r'(?s)"(?:[^"\\]++|\\.)*+"|[^\[\]{}]+')}, '')"
+    return (
+        f"coalesce(aggregate(split({brackets}, ''), named_struct('at', 0, 'most', 1), (da, dx) -> CASE WHEN dx IN ('{{', '[') "
+        "THEN named_struct('at', da.at + 1, 'most', greatest(da.most, da.at + 1)) WHEN dx IN ('}', ']') "
+        "THEN named_struct('at', greatest(da.at - 1, 0), 'most', da.most) ELSE da END, da -> da.most), 1)"
+    )
+
+
 def trim_ws(x: str) -> str:
     return f"regexp_replace({x}, {q(f'^{SPACES}|{SPACES}$')}, '')"
 
@@ -58,7 +71,7 @@ def _decode_piece(piece: str, in_text: bool) -> str:
         "if(en BETWEEN 1 AND 1114111 AND en NOT BETWEEN 55296 AND 57343, "
         "decode(unhex(lpad(hex(en), 8, '0')), 'UTF-32'), NULL)"
     )
-    value = f"if(startswith(er, '#'), {let(number, 'en', char)}, try_element_at(from_json({q(_ENTITIES)}, 'map<string,string>'), er))"
+    value = f"if(startswith(er, '#'), {let(number, 'en', char)}, try_element_at(try_element_at(from_json({q(_ENTITIES)}, 'map<string,map<string,string>>'), left(er, 1)), er))"
     return let(ref, "er", f"coalesce(concat(nullif({value}, ''), substr({piece}, length(er) + if(substr({piece}, length(er) + 1, 1) = ';', 2, 1))), concat('&', {piece}))")
 
 

@@ -6,7 +6,7 @@ last level, as many times as the deepest block nests. No recursion over a table,
 
 from __future__ import annotations
 
-from .fragments import blank_to_null, let, q, trim_ws
+from .fragments import blank_to_null, let, nesting, q, trim_ws
 from .html import TAG_END, attr
 
 NODES = "array<struct<path:array<int>,depth:int,raw:string>>"
@@ -49,13 +49,7 @@ def nodes(ld_blocks: str) -> str:
         f"'depth', 0, 'raw', rb)), rn -> try_parse_json(rn.raw) IS NOT NULL AND rn.raw RLIKE {_CONTAINER}) AS {NODES})"
     )
     level = f"flatten(transform(filter(na, nn -> nn.depth = nl - 1), nc -> {_children('nc')}))"
-    brackets = f"regexp_replace(array_join({ld_blocks}, ''), {q(r'(?s)"(?:[^"\\]++|\\.)*+"|[^\[\]{}]+')}, '')"
-    deepest = (
-        f"aggregate(split({brackets}, ''), named_struct('at', 0, 'most', 1), (da, dx) -> CASE WHEN dx IN ('{{', '[') "
-        "THEN named_struct('at', da.at + 1, 'most', greatest(da.most, da.at + 1)) WHEN dx IN ('}', ']') "
-        "THEN named_struct('at', greatest(da.at - 1, 0), 'most', da.most) ELSE da END, da -> da.most)"
-    )
-    walked = f"aggregate(sequence(1, {deepest}), {roots}, (na, nl) -> cast(concat(na, {level}) AS {NODES}))"
+    walked = f"aggregate(sequence(1, {nesting(f'array_join({ld_blocks}, {q(chr(32))})')}), {roots}, (na, nl) -> cast(concat(na, {level}) AS {NODES}))"
     return f"if(size({ld_blocks}) > 0, array_sort({walked}), {_NO_NODES})"
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import LOCATION_CODES
+from ..functions.fragments import nesting, q
 from ..functions.text import lit_map, trim_ws
 
 URLS = "array<struct<url:string,title:string>>"
-SERP_DEPTH = 8
 NO_OVERVIEW = "No AI Overview was shown for this query."
 
 _OPENAI = (
@@ -29,12 +29,10 @@ _ANTHROPIC = (
 )
 
 
-def _serp_item(depth: int) -> str:
-    own = "type:string,text:string,title:string,references:array<struct<url:string,title:string,source:string>>"
-    return f"struct<{own},items:array<{_serp_item(depth - 1)}>>" if depth else f"struct<{own}>"
-
-
-_SERP = f"tasks array<struct<status_code:bigint,status_message:string,result:array<struct<items:array<{_serp_item(SERP_DEPTH)}>>>>>"
+# Items stay text until their level is reached, so they may nest as deep as they like.
+_SERP = "tasks array<struct<status_code:bigint,status_message:string,result:array<struct<items:array<string>>>>>"
+_SERP_ITEM = "title string, text string, references array<struct<url:string,title:string,source:string>>, items array<string>"
+_SERP_NODES = "array<struct<path:array<int>,depth:int,item:struct<title:string,text:string,references:array<struct<url:string,title:string,source:string>>,items:array<string>>>>"
 
 
 def _with_json(df: DataFrame, schema: str) -> DataFrame:
@@ -78,36 +76,29 @@ def scan_answers_anthropic(df: DataFrame) -> DataFrame:
     return _finish(_with_json(df, _ANTHROPIC), texts, links)
 
 
-def _serp_walk(node: str, depth: int, own: str) -> str:
-    """Pre-order list of a per-node array over the bounded nesting."""
-    here = own.format(n=node)
-    if depth == 0:
-        return here
-    child = f"n{depth}"
-    below = _serp_walk(child, depth - 1, own)
-    return f"concat({here}, flatten(transform(coalesce({node}.items, array()), {child} -> {below})))"
+def _serp_nodes(raw: str) -> str:
+    """The item ``raw`` and all below it in document order: as many levels as its brackets nest, inside the row."""
+    item = f"from_json({{}}, {q(_SERP_ITEM)})"
+    root = f"cast(if({raw} IS NULL, array(), array(named_struct('path', cast(array() AS array<int>), 'depth', 0, 'item', {item.format(raw)}))) AS {_SERP_NODES})"
+    below = f"transform(coalesce(sn.item.items, array()), (sc, si) -> named_struct('path', array_append(sn.path, si), 'depth', sl, 'item', {item.format('sc')}))"
+    level = f"flatten(transform(filter(sa, sf -> sf.depth = sl - 1), sn -> {below}))"
+    # An item's children lie two brackets below it.
+    return f"array_sort(aggregate(sequence(0, {nesting(raw)} div 2), {root}, (sa, sl) -> cast(concat(sa, {level}) AS {_SERP_NODES})))"
 
 
 def scan_answers_serp(df: DataFrame) -> DataFrame:
-    """The first AI overview of a result page, walked in document order to depth 8."""
+    """The first AI overview of a result page, walked in document order to any depth."""
+    overview = "get(filter(get(get(p.tasks, 0).result, 0).items, i -> get_json_object(i, '$.type') = 'ai_overview'), 0)"
     parsed = _with_json(df, _SERP).withColumns(
-        {
-            "task_code": F.expr("get(p.tasks, 0).status_code"),
-            "task_message": F.expr("get(p.tasks, 0).status_message"),
-            "overview": F.expr(
-                "get(filter(get(get(p.tasks, 0).result, 0).items, i -> i.type = 'ai_overview'), 0)"
-            ),
-        }
-    )
-    texts = _serp_walk("overview", SERP_DEPTH, "filter(array(trim({n}.title), trim({n}.text)), s -> s != '')")
-    links = _serp_walk(
-        "overview",
-        SERP_DEPTH,
-        "transform(filter(coalesce({n}.references, array()), r -> r.url != ''), "
-        "r -> named_struct('url', r.url, 'title', coalesce(r.title, r.source)))",
+        {"task_code": F.expr("get(p.tasks, 0).status_code"), "task_message": F.expr("get(p.tasks, 0).status_message"), "overview": F.expr(overview)}
+    ).withColumn("nodes", F.expr(_serp_nodes("overview")))
+    texts = "flatten(transform(nodes, n -> filter(array(trim(n.item.title), trim(n.item.text)), s -> s != '')))"
+    links = (
+        "flatten(transform(nodes, n -> transform(filter(coalesce(n.item.references, array()), r -> r.url != ''), "
+        "r -> named_struct('url', r.url, 'title', coalesce(r.title, r.source)))))"
     )
-    out = _finish(parsed, f"array_join({texts}, '\\n')", links)
-    return out.withColumn("has_overview", F.col("overview").isNotNull()).drop("overview")
+    out = _finish(parsed, f"array_join({texts}, '\n')", links)
+    return out.withColumn("has_overview", F.col("overview").isNotNull()).drop("overview", "nodes")
 
 
 PROVIDERS = {

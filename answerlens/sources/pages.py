@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,25 @@ _DEFAULTS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out a scan of fewer splits than there are cores, as analysis costs far more than moving so few pages.
+
+    A table with as many splits as cores, or one that is more than a scan, is left as it is.
+    """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if re.search(r"Join|Aggregate|Exchange|Window|Sort|Generate|Limit|Python|Arrow|LocalTable|Scan ExistingRDD|Relation\[", plan):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_pages(source: DataFrame | str, spark: SparkSession | None = None) -> DataFrame:
     """Read a page table (path or DataFrame) and add the columns it lacks."""
     df = spark.read.parquet(source) if isinstance(source, str) else source
     if "body" not in df.columns:
         df = df.withColumnRenamed("html", "body")
     missing = {k: F.lit(v).cast(t) for k, (v, t) in _DEFAULTS.items() if k not in df.columns}
-    return df.withColumns(missing) if missing else df
+    return spread(df.withColumns(missing) if missing else df)
 
 
 def body_is_truncated(body: Column, cap: int | None = None) -> Column:
