@@ -1,19 +1,19 @@
 """The crawl frontier as link-graph reachability.
 
-Level-synchronous breadth-first search over an edge table, for all sites at once. Each level is one
-join, one anti join against what was seen, and a rank that keeps at most the page cap per site
-before any shuffle. Levels are written to the shared folder, so lineage stays short and a lost
-executor costs one level at most.
+Level-synchronous breadth-first search over an edge table, for all sites at once. Each level is one job: one
+join, one anti join against what was seen, and a rank. Levels are written to the shared folder, so lineage
+stays short and a lost executor costs one level at most.
 """
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import scratch_path
 from .ranking import row_number_by_range
 from .robots import robots_allowed
 
@@ -57,16 +57,45 @@ def crawl_seeds(seeds: DataFrame, robots: DataFrame, sites: DataFrame, ua: str)
     )
 
 
-def _rank_level(level: DataFrame, cap: int | None) -> DataFrame:
+#: Up to so many edges a level is numbered by one window; beyond, over ranges, as one site may hold most of it.
+WINDOW_EDGES = 5_000_000
+
+
+def _rank_level(level: DataFrame, cap: int | None, by_range: bool) -> DataFrame:
     """Discovery order inside a level: parent's rank, then link position; no more than can be used.
 
-    ``cap + 1`` rows per site are enough to fill the cap and to know that more remained; without a cap a
-    level is ranked over ranges, as a site may hold most of it.
+    ``cap + 1`` rows per site are enough to fill the cap and to know that more remained.
     """
-    if cap is None:
+    if cap is None and by_range:
         return row_number_by_range(level, ["site_id"], [F.col("parent_rank"), F.col("pos")], "level_rank")
     w = Window.partitionBy("site_id").orderBy("parent_rank", "pos")
-    return level.withColumn("level_rank", F.row_number().over(w)).filter(F.col("level_rank") <= cap + 1)
+    ranked = level.withColumn("level_rank", F.row_number().over(w))
+    return ranked if cap is None else ranked.filter(F.col("level_rank") <= cap + 1)
+
+
+class _Bucketed:
+    """A table in the shared folder whose rows lie in hash buckets of their keys, so joins on these move only the other side."""
+
+    def __init__(self, spark, keys: list[str]):
+        self.spark, self.keys = spark, keys
+        self.name, self.path = f"answerlens_{uuid.uuid4().hex}", scratch_path(spark, "buckets")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, rows: DataFrame) -> int:
+        """Adds rows; their number comes from the write itself."""
+        seen = Observation()
+        placed = rows.repartition(self.buckets, *self.keys).observe(seen, F.count(F.lit(1)).alias("n"))
+        placed.write.format("parquet").bucketBy(self.buckets, *self.keys).option("path", self.path).mode("append").saveAsTable(self.name)
+        return seen.get["n"]
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def detach(self) -> DataFrame:
+        """The files without the name in the catalog."""
+        schema = self.rows().schema
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(schema).parquet(self.path)
 
 
 def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int | None = None, max_depth: int | None = None) -> DataFrame:
@@ -75,45 +104,42 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int | None = None, max_
     First visit wins. The whole graph is walked; with ``cap`` a page past it is not expanded, with ``max_depth``
     the walk ends at that level. Edges may carry ``allowed``; those that do
     not are dropped. The result keeps one row beyond the cap where a site had more (``rank > cap``).
+
+    Edges lie in buckets of (site, source) and visited pages in buckets of (site, url), so a level is one job that
+    moves only its frontier and what it finds, and whose own row count ends the walk.
     """
+    spark = edges.sparkSession
     if "allowed" in edges.columns:
         edges = edges.filter("allowed").drop("allowed")
-    edges = materialise(edges.select("site_id", "src", "pos", "dst"), "edges")
-    visited = materialise(
-        seeds.select("site_id", "url", F.lit(0).alias("depth"), F.lit(1).alias("rank")), "reach_0"
-    )
-    frontier, levels = visited, [visited]
+    links, visited = _Bucketed(spark, ["site_id", "src"]), _Bucketed(spark, ["site_id", "url"])
+    by_range = links.append(edges.select("site_id", "src", "pos", "dst")) > WINDOW_EDGES
+    visited.append(seeds.select("site_id", "url", F.lit(0).alias("depth"), F.lit(1).alias("rank")))
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        known = visited.rows()
+        frontier = known.where(F.col("depth") == depth - 1)
         open_pages = (frontier if cap is None else frontier.filter(F.col("rank") < cap)).select(
             "site_id", F.col("url").alias("src"), F.col("rank").alias("parent_rank")
         )
         found = (
-            open_pages.join(edges, ["site_id", "src"])
+            open_pages.join(links.rows(), ["site_id", "src"])
             .groupBy("site_id", F.col("dst").alias("url"))
             .agg(F.min(F.struct("parent_rank", "pos")).alias("first"))
             .select("site_id", "url", "first.parent_rank", "first.pos")
-            .join(visited.select("site_id", "url"), ["site_id", "url"], "left_anti")
+            .join(known.select("site_id", "url"), ["site_id", "url"], "left_anti")
         )
         # One row per site; the last level holds the highest rank of every site still growing.
         so_far = frontier.groupBy("site_id").agg(F.max("rank").alias("reached"))
         level = (
-            _rank_level(found, cap)
+            _rank_level(found, cap, by_range)
             .join(so_far, "site_id")
             .withColumn("rank", F.col("level_rank") + F.col("reached"))
             .filter(F.lit(True) if cap is None else F.col("rank") <= cap + 1)
             .select("site_id", "url", F.lit(depth).alias("depth"), "rank")
         )
-        frontier = materialise(level, f"reach_{depth}")
-        if frontier.isEmpty():
+        if not visited.append(level):
             break
-        levels.append(frontier)
-        visited = levels[0]
-        for more in levels[1:]:
-            visited = visited.unionByName(more)
-        if depth % 16 == 0:
-            visited = materialise(visited, f"visited_{depth}")
-            levels = [visited]
-    return visited.select(*_VISITED)
+    links.detach()
+    return visited.detach().select(*_VISITED)
 
 
 def skipped_by_robots(edges: DataFrame, reached: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:

@@ -223,3 +223,41 @@ def test_a_failed_site_has_a_reason_and_nothing_else(spark, tmp_path):
     assert scores[1]["overall"] is not None and scores[2]["overall"] is None and "503" in scores[2]["reason"]
     for table in (out.checks, out.issues, out.action_plan):
         assert {r["site_id"] for r in table.select("site_id").distinct().collect()} <= {1}
+
+
+def test_a_crawl_level_moves_no_edges(spark):
+    """Edges and visited pages are read in buckets: no exchange above their scans, and one write a level."""
+    n = 40
+    edges = spark.createDataFrame([("a", f"p{i}", k, f"p{j}") for i in range(n) for k, j in enumerate((2 * i + 1, 2 * i + 2)) if j < n], "site_id string, src string, pos int, dst string")
+    seeds = spark.createDataFrame([("a", "p0")], "site_id string, url string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, append = [], G._Bucketed.append
+
+    def noted(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return append(self, rows)
+
+    try:
+        G._Bucketed.append = noted
+        assert G.crawl_reach(edges, seeds).count() == n
+    finally:
+        G._Bucketed.append = append
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    levels = plans[2:]
+    assert len(levels) == 6  # depths 1 to 5, and the empty one
+    for plan in levels:
+        lines = plan.splitlines()
+        for k, line in enumerate(lines):
+            if "FileScan parquet" in line and "src#" in line:
+                assert "Bucketed: true" in line
+                above = lines[k - 4 : k]
+                assert not any("Exchange" in x for x in above)
+
+
+def test_a_long_chain_is_walked_to_its_end(spark):
+    edges = spark.createDataFrame([("a", f"p{i}", 0, f"p{i + 1}") for i in range(25)], "site_id string, src string, pos int, dst string")
+    seeds = spark.createDataFrame([("a", "p0")], "site_id string, url string")
+    got = {r["url"]: (r["depth"], r["rank"]) for r in G.crawl_reach(edges, seeds).collect()}
+    assert got == {f"p{i}": (i, i + 1) for i in range(26)}
+    assert G.crawl_reach(edges.limit(0), seeds).count() == 1 and G.crawl_reach(edges, seeds, max_depth=3).count() == 4
