@@ -1,8 +1,7 @@
 """HTML extraction as SQL fragments. All native; nothing here leaves the JVM.
 
-An unclosed stripped block runs to the end of the page, and so does a tag that never ends
-(``close_tail`` cuts it first). Every pattern consumes a page once, so a page full of unclosed
-tags stays linear.
+A tag that never ends runs to the end of the page (``close_tail`` cuts it first). Every pattern consumes a
+page once, so a page full of unclosed tags stays linear.
 """
 
 from __future__ import annotations
@@ -17,6 +16,13 @@ _BEFORE = r"""(?:[^<>"'\s]++|\s|"[^"]*+"|'[^']*+')*?\s"""
 
 # Elements whose text is not page content; mount points of script frameworks.
 STRIPPED = "script|style|noscript|template|svg|iframe|nav|footer|header|aside"
+#: Elements that shape the tree around stripped ones, and block elements that end a drawing they stand in.
+_STRUCTURE = (
+    STRIPPED + "|foreignobject|address|article|blockquote|button|center|details|dialog|div|dl|dd|dt|fieldset|figcaption|figure|form|"
+    "h[1-6]|hgroup|li|main|menu|object|ol|p|pre|section|summary|table|caption|tbody|thead|tfoot|tr|td|th|ul"
+)
+_KEPT_STACK = 4096  # characters of open elements, some 600 of them; browsers keep 512
+_LEAVES_SVG = "'blockquote', 'center', 'dd', 'div', 'dl', 'h1', 'li', 'menu', 'ol', 'p', 'pre', 'table', 'ul'"
 MOUNT_IDS = ["root", "__next", "app", "application"]
 QUESTION_START = r"(?i)^(who|what|when|where|why|how|which|can|do|does|is|are|should|will)(?![A-Za-z0-9_])"
 FAQ_PHRASE = r"(?i)(?<![A-Za-z0-9_])(frequently asked questions|faqs?)(?![A-Za-z0-9_])"
@@ -59,24 +65,72 @@ def body_of(no_comments: str) -> str:
     return f"if({no_comments} RLIKE {q(r'(?i)<body[\s>/]')}, {after}, {headless})"
 
 
+def _stack_step(piece: str) -> str:
+    """State of the walk after a piece that starts with a tag of ``_STRUCTURE``; ``st`` holds open elements, outermost first.
+
+    A heading of any level is ``h1``, a header cell ``td``, a term ``dd``. ``wo.raw`` names an element whose content is no markup.
+    """
+    tok = "concat('|', tn, ';')"
+    rest = f"substring_index(st, {tok}, -1)"
+    popped = f"left(st, length(st) - length({rest}) - length({tok}))"
+
+    def pop_if(clear: str) -> str:
+        return f"if(contains(st, {tok}) AND NOT {rest} RLIKE {q(clear)}, {popped}, st)"
+
+    scope = r"\|(?:table|td|template|object|foreignobject);"
+    closing = (
+        f"CASE WHEN tn IN ('template', 'svg') THEN {pop_if('a^')} WHEN tn = 'table' THEN {pop_if(r'\|template;')} "
+        f"WHEN tn = 'td' THEN {pop_if(r'\|(?:table|template);')} WHEN tn = 'li' THEN {pop_if(scope + r'|\|(?:ol|ul);')} "
+        f"ELSE {pop_if(scope)} END"
+    )
+    table = "substring_index(st, '|table;', -1)"
+    in_table = f"contains(st, '|table;') AND NOT contains({table}, '|template;')"
+    to_table = f"left(st, length(st) - length({table}))"
+    item = f"concat(if(contains(st, {tok}) AND {rest} RLIKE {q(r'^(?:\|(?:div|address);)*$')}, {popped}, st), {tok})"
+    opening = (
+        f"CASE WHEN tn = 'p' THEN st WHEN tn IN ('li', 'dd') THEN {item} "
+        f"WHEN tn = 'h1' THEN concat(if(endswith(st, '|h1;'), left(st, length(st) - 4), st), '|h1;') "
+        f"WHEN tn IN ('td', 'tr') THEN if({in_table}, concat({to_table}, if(tn = 'td', '|td;', '')), st) "
+        f"WHEN tn IN ('svg', 'foreignobject') AND wp RLIKE {q(r'^<[^>]*/>')} THEN st ELSE concat(st, {tok}) END"
+    )
+    svg = "substring_index(wo.st, '|svg;', -1)"
+    left_svg = f"if(contains(wo.st, '|svg;') AND NOT contains({svg}, '|foreignobject;') AND tn IN ({_LEAVES_SVG}), left(wo.st, length(wo.st) - length({svg}) - 5), wo.st)"
+    same = "named_struct('st', {0}, 'raw', {1}, 'over', wo.over)"
+    # Beyond the depth that is kept, tags are only counted: each start is taken to meet its end, a stripped one its next.
+    deep = "NOT te AND tn IN ('template', 'svg', 'nav', 'footer', 'header', 'aside')"
+    beyond = f"if({deep}, named_struct('st', wo.st, 'raw', tn, 'over', wo.over), named_struct('st', wo.st, 'raw', '', 'over', wo.over + if(te, -1, 1)))"
+    return (
+        "CASE WHEN wo.raw != '' THEN if(te AND tn = wo.raw, " + same.format("wo.st", "''") + ", " + same.format("wo.st", "wo.raw") + ") "
+        "WHEN tn IN ('script', 'style', 'iframe', 'noscript') THEN " + same.format("wo.st", "if(te, '', tn)") + " "
+        f"WHEN wo.over > 0 OR (NOT te AND length(wo.st) > {_KEPT_STACK}) THEN {beyond} "
+        "WHEN te THEN " + let("wo.st", "st", same.format(closing, "''")) + " ELSE " + let(left_svg, "st", same.format(opening, "''")) + " END"
+    )
+
+
 def strip_blocks(body: str) -> str:
-    """Without the stripped elements; one nested in its like ends with the outer one. Scripts and styles do not nest."""
-    pieces = f"split(concat(' ', {body}), {q(rf'(?i)(?=</?(?:{STRIPPED})[\s>/])')}, -1)"
-    name = f"lower(regexp_extract(bp, {q('^</?([A-Za-z]+)')}, 1))"
-    after = f"regexp_replace(bp, {q(rf'(?s)^</[A-Za-z]+{TAG_END}')}, '')"
-    outside = (
-        "if(startswith(bp, '<') AND NOT startswith(bp, '</'), named_struct('out', ba.out, 'inside', bn, 'depth', 1), "
-        "named_struct('out', concat(ba.out, bp), 'inside', '', 'depth', 0))"
+    """Without the stripped elements, as a parser sees them in markup that is unclosed or wrongly nested.
+
+    A walk over the structural tags with a stack of open elements: an end tag closes its element and all in it where that is
+    in scope, else nothing; items, cells and rows end those before them; text elements run to their own end tag; block
+    elements leave a drawing. Inline elements cannot end a stripped one and are passed over. Only where stripped
+    content begins and ends is noted, and the pieces between are joined once.
+    """
+    pieces = f"split(concat(' ', {body}), {q(rf'(?i)(?=</?(?:{_STRUCTURE})[\s>/])')}, -1)"
+    name = (
+        f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(wp, {q('^</?([A-Za-z]+[1-6]?)')}, 1)), "
+        "'^h[1-6]$', 'h1'), '^th$|^caption$', 'td'), '^dt$', 'dd'), '^t(?:body|head|foot)$', 'tr')"
     )
-    inside = (
-        "CASE WHEN bn != ba.inside OR (NOT startswith(bp, '</') AND bn IN ('script', 'style')) THEN ba "
-        "WHEN NOT startswith(bp, '</') THEN named_struct('out', ba.out, 'inside', bn, 'depth', ba.depth + 1) "
-        f"WHEN ba.depth = 1 THEN named_struct('out', concat(ba.out, {after}), 'inside', '', 'depth', 0) "
-        "ELSE named_struct('out', ba.out, 'inside', bn, 'depth', ba.depth - 1) END"
+    tag = let(name, "tn", let("startswith(wp, '</')", "te", let("named_struct('st', wa.st, 'raw', wa.raw, 'over', wa.over)", "wo", _stack_step("wp"))))
+    hidden = f"ws.raw != '' OR ws.st RLIKE {q(r'\|(?:template|svg|nav|footer|header|aside);')}"
+    noted = "named_struct('st', ws.st, 'raw', ws.raw, 'over', ws.over, 'hid', wh, 'at', wa.at + 1, 'cuts', if(wh = wa.hid, wa.cuts, array_append(wa.cuts, wa.at)))"
+    step = f"if(wa.at = 0, named_struct('st', wa.st, 'raw', wa.raw, 'over', 0, 'hid', wa.hid, 'at', 1, 'cuts', wa.cuts), {let(tag, 'ws', let(hidden, 'wh', noted))})"
+    start = "named_struct('st', '', 'raw', '', 'over', 0, 'hid', false, 'at', 0, 'cuts', cast(array() AS array<int>))"
+    ranges = (
+        "array_join(transform(filter(concat(array(0), cuts), (c, i) -> i % 2 = 0), (c, i) -> "
+        "array_join(slice(bp, c + 1, coalesce(get(cuts, 2 * i), size(bp)) - c), '')), '')"
     )
-    step = let(name, "bn", f"if(ba.depth = 0, {outside}, {inside})")
-    start = "named_struct('out', '', 'inside', '', 'depth', 0)"
-    return f"substr(aggregate({pieces}, {start}, (ba, bp) -> {step}, ba -> ba.out), 2)"
+    walked = let(f"aggregate(bp, {start}, (wa, wp) -> {step}, wa -> wa.cuts)", "cuts", f"if(size(cuts) = 0, array_join(bp, ''), {ranges})")
+    return f"substr({let(pieces, 'bp', walked)}, 2)"
 
 
 def attr(tag: str, name: str) -> str:
