@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 import corpus_pipeline
 from llm_fixtures import PROSE, SF, write
@@ -42,17 +43,58 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {**{k: 100 for k in range(101, 161)}, **{k: 500 for k in range(501, 560)}, 9: 8}
 
 
-def test_word_encoder_equals_the_tokenizer():
-    from answerlens.llm.packing import WordEncoder, default_tokenizer
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from answerlens.llm.packing import Encoder, default_tokenizer
 
     rng = random.Random(1)
-    bits = ["a", "don't", " ", "  ", "\n", "\t", "é", "12", "!?", "<|endoftext|>", "　", "\x1c", "\xa0", "日本", "𝄞", "x's", "'ll"]
+    bits = ["a", "don't", " ", "  ", "\n", "\t", "é", "12", "!?", "<|endoftext|>", "\u3000", "\x1c", "\xa0", "日本", "𝄞", "x's", "'ll"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3000)]
-    texts += [r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
-    encoder = WordEncoder(default_tokenizer(), most=2000)
-    for at in range(0, len(texts), 100):
-        for t, ids in zip(texts[at : at + 100], encoder.encode(texts[at : at + 100]), strict=True):
-            assert ids.tolist() == encoder.whole(t).tolist(), repr(t)
+    texts += ["".join(chr(rng.choice([rng.randrange(0x300), rng.randrange(0x2000, 0x2070), 32, 32])) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    texts += [r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    texts += [" " * 150_000 + "x", "a" * 3000, "\n" * 2000, "ab " * 20_000]
+    encoder, tok = Encoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    assert encoder.plain is not None
+    for t in texts:
+        assert encoder.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t[:60])
+
+
+def test_scores_in_bulk_equal_plain_bm25():
+    """Every pair's score against the formula, for common and for rare ids, and the order of the neighbours."""
+    import math
+    from collections import Counter
+
+    from answerlens.llm.packing import BM25
+
+    rng = np.random.default_rng(6)
+    texts = [np.minimum(rng.zipf(1.3, rng.integers(1, 60)), 400).astype("<u2") for _ in range(120)] + [np.array([7, 7, 9], "<u2")] * 2
+    index, mean = BM25(texts), sum(map(len, texts)) / len(texts)
+    count = [Counter(t.tolist()) for t in texts]
+    df = Counter(w for c in count for w in c)
+    assert len(index.rows) and (index.row < 0).any()
+    for k in range(len(texts)):
+        want = [
+            sum(
+                math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(t) / mean))
+                for w in count[k] if df[w] > 1 and c[w]
+            )
+            for c, t in zip(count, texts, strict=True)
+        ]
+        got = index.query(k)
+        assert got == pytest.approx(want, rel=1e-9)
+        assert np.argsort(-np.round(got, 9), kind="stable").tolist() == np.argsort(-np.round(want, 9), kind="stable").tolist()
+
+
+def test_packing_keeps_large_ids_beside_a_null_and_spreads_equal_rows(spark):
+    from answerlens.llm.packing import pack
+
+    big = (1 << 53) + 1
+    docs = [(big, "one two three"), (None, "one two three"), (big + 2, "four")] + [(None, "the same row again")] * 90
+    got = pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shard_docs=20).collect()
+    assert {r["doc_id"] for r in got} == {big, big + 2, None}
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == sum(r["doc_tokens"] for r in got if r["doc_id"] is None and r["start"] == 0)
+    assert len({r["sequence_id"] >> 32 for r in got}) > 3
 
 
 def test_run_length_index_finds_what_stands_earlier():
