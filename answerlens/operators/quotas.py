@@ -141,31 +141,45 @@ def free_rate_limit(audits: DataFrame, limit: int = FREE_AUDITS_PER_DAY) -> Data
     )
 
 
-def subscription_state(events: DataFrame) -> DataFrame:
-    """Newest subscription state of each workspace.
+def subscription_state(events: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+    """Newest subscription state of each workspace: plan, status, customer, subscription and end of the paid period.
 
-    ``events`` carry ``event_id, received_at, type, workspace_id, status, price_plan, meta_plan``.
-    A failed payment only marks the workspace past due and leaves its plan as it was.
+    ``events`` carry ``event_id, received_at, type, workspace_id, status, price_plan, meta_plan`` and may carry
+    ``customer_id, subscription_id, period_end`` (epoch seconds). An event that names no workspace belongs to the one that
+    ``customers`` (``customer_id, workspace_id``) has for its customer. A failed payment only marks the workspace past due and
+    leaves the rest as it was; a subscription that has ended leaves no subscription id.
     """
+    for name, kind in (("customer_id", "string"), ("subscription_id", "string"), ("period_end", "bigint")):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast(kind))
+    if customers is not None:
+        known_as = customers.select(F.col("customer_id").alias("_customer"), F.col("workspace_id").alias("_workspace"))
+        asked = F.when(F.col("workspace_id").isNull(), F.col("customer_id"))
+        events = events.join(known_as, asked == F.col("_customer"), "left").withColumn("workspace_id", F.coalesce("workspace_id", "_workspace"))
     known = ("free", "starter", "growth", "agency")
     terminal = F.coalesce(F.col("status").isin("canceled", "incomplete_expired", "unpaid"), F.lit(False))
     plan = F.coalesce("price_plan", F.when(F.col("meta_plan").isin(*known), F.col("meta_plan")))
+    order = F.struct("received_at", "event_id")
+    told = F.when(F.col("type") != "payment_failed", order)
     mapped = events.filter(F.col("workspace_id").isNotNull()).select(
         "workspace_id",
-        "event_id",
-        "received_at",
+        order.alias("order"),
+        told.alias("told"),
         F.when(F.col("type") != "payment_failed", F.when(terminal, "free").otherwise(F.coalesce(plan, F.lit("free")))).alias("plan"),
         F.when(F.col("type") == "payment_failed", "past_due")
         .when(F.col("status").isin("active", "trialing", "past_due"), F.col("status"))
         .when(terminal, "canceled")
         .otherwise(F.lit("active"))
         .alias("plan_status"),
+        "customer_id",
+        F.struct(F.when(~terminal, F.col("subscription_id")).alias("id"), F.timestamp_seconds("period_end").alias("end")).alias("paid"),
     )
-    order = F.struct("received_at", "event_id")
     return mapped.groupBy("workspace_id").agg(
-        F.max_by("plan", F.when(F.col("plan").isNotNull(), order)).alias("plan"),
-        F.max_by("plan_status", order).alias("plan_status"),
-    )
+        F.max_by("plan", F.when(F.col("plan").isNotNull(), F.col("order"))).alias("plan"),
+        F.max_by("plan_status", "order").alias("plan_status"),
+        F.max_by("customer_id", F.when(F.col("customer_id").isNotNull(), F.col("told"))).alias("customer_id"),
+        F.max_by("paid", "told").alias("paid"),
+    ).select("workspace_id", "plan", "plan_status", "customer_id", F.col("paid.id").alias("subscription_id"), F.col("paid.end").alias("current_period_end"))
 
 
 def event_ledger(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

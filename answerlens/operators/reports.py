@@ -14,6 +14,7 @@ from ..dims import plan_dim
 from ..functions.text import percent_1dp
 from ..functions.urls import host_of
 from . import tracker as T
+from .issues import stored_order
 from .page_features import keep_where
 
 DEFAULT_PRODUCT = "AnswerLens"
@@ -210,47 +211,48 @@ def share_view_counts(links: DataFrame, views: DataFrame) -> DataFrame:
     ).drop("views")
 
 
-def audit_report_data(
-    audits: DataFrame, sites: DataFrame, pillars: DataFrame, access: DataFrame, issues: DataFrame, plan: DataFrame
-) -> DataFrame:
-    """One nested document per complete audit. Lists per audit are bounded by the catalogue."""
-    key = "audit_id"
+#: What a report reads of the stored pillar document and of the stored crawler access.
+STORED = (
+    "summary string, pillars array<struct<label:string,score:double,weight:int>>, action_plan array<struct<title:string,detail:string,timeframe:string>>"
+)
+ACCESS = "array<struct<ua:string,vendor:string,allowed:boolean>>"
+REPORT_ISSUE = [
+    "title", "severity", "effort", "pillar", "what_it_means", "why_it_matters", "how_to_fix", "code_snippet", "impact_points", "priority_score",
+    "affected_count", "affected_sample",
+]
 
-    def gather(df: DataFrame, order: str, fields: list[str], name: str) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order])))
-        return df.groupBy(key).agg(rows.alias(name))
 
-    return (
-        audits.filter("status = 'complete'")
-        .join(sites.select("site_id", F.col("name").alias("site_name"), F.col("brand_name").alias("site_brand")), "site_id", "left")
-        .join(gather(pillars, "pos", ["label", "score", "weight"], "pillars"), key, "left")
-        .join(gather(access, "ua", ["vendor", "allowed"], "ai_access"), key, "left")
-        .join(
-            gather(
-                issues.filter("status != 'ignored'"), "stored_rank",
-                ["title", "severity", "effort", "pillar", "what_it_means", "why_it_matters", "how_to_fix",
-                 "code_snippet", "impact_points", "priority_score", "affected_count", "affected_sample"],
-                "issues",
-            ),
-            key, "left",
-        )
-        .join(gather(plan, "step", ["title", "detail", "timeframe"], "action_plan"), key, "left")
-        .select(
-            key,
-            F.struct(
-                F.coalesce("site_name", host_of(F.col("origin"))).alias("name"),
-                "origin",
-                F.coalesce("site_brand", host_of(F.col("origin"))).alias("brand_name"),
-            ).alias("site"),
-            F.struct(
-                F.coalesce("overall_score", F.lit(0)).alias("overall"),
-                F.coalesce("grade", F.lit("-")).alias("grade"),
-                F.col("previous_score").alias("previous"),
-                F.coalesce("summary", F.lit("")).alias("summary"),
-            ).alias("score"),
-            "pillars", "ai_access", "issues", "action_plan", "pages_crawled",
-        )
+def audit_report_data(audits: DataFrame, sites: DataFrame, issues: DataFrame) -> dict[str, DataFrame]:
+    """The report of every complete audit, those without a site included: a ``header`` document per audit, and ``issues`` rows.
+
+    Pillars, plan and crawler access come from what the audit stored (``pillar_scores`` and ``robots``, JSON as
+    ``sink_audit`` writes them); these lists are as long as that document. Issues can be any number, so they
+    stay rows, each with its place in the storage order among those that are not ignored.
+    """
+    complete = audits.filter("status = 'complete'")
+    for name in ("grade", "pillar_scores", "robots"):
+        if name not in audits.columns:
+            complete = complete.withColumn(name, F.lit(None).cast("string"))
+    if "previous_score" not in audits.columns:
+        complete = complete.withColumn("previous_score", F.lit(None).cast("int"))
+    named = complete.join(sites.select("site_id", F.col("name").alias("site_name"), F.col("brand_name").alias("site_brand")), "site_id", "left")
+    host = host_of(F.col("origin"))
+    header = named.withColumns({"stored": F.from_json("pillar_scores", STORED), "access": F.from_json("robots", ACCESS)}).select(
+        "audit_id",
+        F.struct(F.coalesce("site_name", host).alias("name"), "origin", F.coalesce("site_brand", host).alias("brand_name")).alias("site"),
+        F.struct(
+            F.coalesce("overall_score", F.lit(0)).alias("overall"),
+            F.coalesce("grade", F.lit("-")).alias("grade"),
+            F.col("previous_score").alias("previous"),
+            F.coalesce("summary", "stored.summary", F.lit("")).alias("summary"),
+        ).alias("score"),
+        F.coalesce("stored.pillars", F.array()).alias("pillars"),
+        F.coalesce("access", F.array()).alias("ai_access"),
+        F.coalesce("stored.action_plan", F.array()).alias("action_plan"),
+        "pages_crawled",
     )
+    kept = issues.filter("status != 'ignored'").join(complete.select("audit_id"), "audit_id", "left_semi")
+    return {"header": header, "issues": stored_order(kept, "audit_id").select("audit_id", "stored_rank", "code", *REPORT_ISSUE)}
 
 
 def citation_report_data(sites: DataFrame, checks: DataFrame, prompts: DataFrame, as_of: datetime) -> dict[str, DataFrame]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import citation_url_key
@@ -150,20 +149,32 @@ def citation_report_prompts(s, sf):
     return flat(_report(s, sf)["prompts"].select("site_id", "prompt_id", F.expr("array_join(transform(results, r -> r.engine), '|')").alias("engines")))
 
 
-def audit_report_data(s, sf):
-    audits = V.view(s, sf, "audits").filter("site_id IS NOT NULL").withColumns({"grade": F.lit(None).cast("string"), "previous_score": F.lit(None).cast("int")})
+def _audit_report(s, sf):
+    """Audits with the documents they store, and their issues."""
+    pillars = "array(named_struct('label', 'AI crawler access', 'score', overall_score, 'weight', 25, 'checks', array(audit_id)), named_struct('label', 'Entity clarity', 'score', audit_id % 7 / 2, 'weight', 5, 'checks', array(1)))"
+    plan = "transform(sequence(1, cast(1 + audit_id % 5 AS int)), k -> named_struct('code', 'c', 'title', concat('Step ', k), 'detail', 'd', 'timeframe', 'This week'))"
+    doc = F.expr(f"to_json(named_struct('overall', overall_score, 'summary', concat('Stored ', audit_id), 'pillars', {pillars}, 'action_plan', {plan}))")
+    access = F.expr("to_json(array(named_struct('ua', 'GPTBot', 'vendor', 'OpenAI', 'allowed', audit_id % 2 = 0), named_struct('ua', 'CCBot', 'vendor', 'Common Crawl', 'allowed', audit_id % 3 = 0)))")
+    audits = V.view(s, sf, "audits").withColumns({
+        "pillar_scores": F.when(F.col("audit_id") % 11 != 0, doc), "robots": F.when(F.col("audit_id") % 13 != 0, access),
+        "summary": F.when(F.col("audit_id") % 4 != 0, F.col("summary"))})
     issues = V.view(s, sf, "issues").select(
-        "audit_id", F.row_number().over(Window.partitionBy("audit_id").orderBy("issue_id")).alias("stored_rank"),
-        F.col("code").alias("title"), "severity", "effort", F.lit("p").alias("pillar"), F.lit("w").alias("what_it_means"), F.lit("y").alias("why_it_matters"),
-        F.lit("h").alias("how_to_fix"), F.lit(None).cast("string").alias("code_snippet"), "impact_points", "priority_score",
+        "audit_id", F.col("issue_id").alias("code"), F.col("code").alias("title"), "severity", "effort", F.lit("p").alias("pillar"), F.lit("w").alias("what_it_means"),
+        F.lit("y").alias("why_it_matters"), F.lit("h").alias("how_to_fix"), F.lit(None).cast("string").alias("code_snippet"), "impact_points", "priority_score",
         F.lit(0).alias("affected_count"), F.array().cast("array<string>").alias("affected_sample"), "status")
-    keys = V.view(s, sf, "audits").select("audit_id", "overall_score")
-    pillars = keys.select("audit_id", F.lit(0).alias("pos"), F.lit("AI crawler access").alias("label"), F.col("overall_score").alias("score"), F.lit(25).alias("weight"))
-    access = keys.select("audit_id", F.lit("GPTBot").alias("ua"), F.lit("OpenAI").alias("vendor"), (F.col("audit_id") % 2 == 0).alias("allowed"))
-    plan = keys.select("audit_id", F.lit(1).alias("step"), F.lit("t").alias("title"), F.lit("d").alias("detail"), F.lit("This week").alias("timeframe"))
-    doc = R.audit_report_data(audits, V.sites(s, sf), pillars, access, issues, plan)
-    return flat(doc.select("audit_id", F.col("site.name").alias("name"), F.col("score.overall").alias("overall"), F.col("score.grade").alias("grade"),
-                           F.expr("coalesce(size(issues), 0)").alias("n_issues"), F.expr("get(ai_access, 0).allowed").alias("allowed"), "pages_crawled"))
+    return R.audit_report_data(audits, V.sites(s, sf), issues)
+
+
+def audit_report_data(s, sf):
+    return flat(_audit_report(s, sf)["header"].select(
+        "audit_id", F.col("site.name").alias("name"), F.col("site.brand_name").alias("brand"), F.col("score.overall").alias("overall"), F.col("score.grade").alias("grade"),
+        F.col("score.summary").alias("summary"), F.expr("array_join(transform(pillars, p -> concat(p.label, ':', cast(p.score * 2 AS bigint), ':', p.weight)), '|')").alias("pillars"),
+        F.expr("array_join(transform(ai_access, a -> concat(a.ua, ':', a.allowed)), '|')").alias("access"),
+        F.expr("array_join(transform(action_plan, a -> a.title), '|')").alias("plan"), "pages_crawled"))
+
+
+def audit_report_issues(s, sf):
+    return flat(_audit_report(s, sf)["issues"].select("audit_id", F.col("stored_rank").cast("bigint").alias("stored_rank"), "code", "title", "severity", "priority_score"))
 
 
 # --- DuckDB side -----------------------------------------------------------------------------
@@ -275,6 +286,13 @@ QUERIES = {
         "FROM v_sites s LEFT JOIN v USING (site_id) LEFT JOIN e USING (site_id) LEFT JOIN n USING (site_id) LEFT JOIN h USING (site_id)")),
     "citation_report_prompts": (citation_report_prompts, oracle(f"WITH {_NEWEST} SELECT site_id, prompt_id, string_agg(engine, '|' ORDER BY engine, check_id) AS engines FROM newest GROUP BY 1, 2")),
     "audit_report_data": (audit_report_data, oracle(
-        "WITH i AS (SELECT audit_id, count(*) AS k FROM v_issues WHERE status <> 'ignored' GROUP BY 1) SELECT a.audit_id, coalesce(s.name, regexp_replace(a.origin, '^https://', '')) AS name, overall_score AS overall, '-' AS grade, coalesce(k, 0) AS n_issues, "
-        "a.audit_id % 2 = 0 AS allowed, pages_crawled FROM v_audits a LEFT JOIN v_sites s USING (site_id) LEFT JOIN i USING (audit_id) WHERE status = 'complete' AND a.site_id IS NOT NULL")),
+        "SELECT a.audit_id, coalesce(s.name, regexp_replace(a.origin, '^https://', '')) AS name, coalesce(s.brand_name, regexp_replace(a.origin, '^https://', '')) AS brand, coalesce(overall_score, 0) AS overall, '-' AS grade, "
+        "CASE WHEN audit_id % 4 <> 0 THEN summary WHEN audit_id % 11 <> 0 THEN 'Stored ' || audit_id ELSE '' END AS summary, "
+        "CASE WHEN audit_id % 11 <> 0 THEN 'AI crawler access:' || (overall_score * 2) || ':25|Entity clarity:' || (audit_id % 7) || ':5' ELSE '' END AS pillars, "
+        "CASE WHEN audit_id % 13 <> 0 THEN 'GPTBot:' || (audit_id % 2 = 0) || '|CCBot:' || (audit_id % 3 = 0) ELSE '' END AS access, "
+        "CASE WHEN audit_id % 11 <> 0 THEN array_to_string(list_transform(range(1, 2 + audit_id % 5), lambda k: 'Step ' || k), '|') ELSE '' END AS plan, pages_crawled "
+        "FROM v_audits a LEFT JOIN v_sites s USING (site_id) WHERE status = 'complete'")),
+    "audit_report_issues": (audit_report_issues, oracle(
+        "SELECT i.audit_id, row_number() OVER (PARTITION BY i.audit_id ORDER BY i.severity = 'critical' DESC, i.priority_score DESC, i.issue_id) AS stored_rank, i.issue_id AS code, i.code AS title, i.severity, i.priority_score "
+        "FROM v_issues i WHERE i.status <> 'ignored' AND i.audit_id IN (SELECT audit_id FROM v_audits WHERE status = 'complete')")),
 }

@@ -172,7 +172,11 @@ def free_rate_limit(s, sf):
 
 
 def subscription_state(s, sf):
-    return flat(Q.subscription_state(V.view(s, sf, "billing")))
+    return flat(Q.subscription_state(V.view(s, sf, "billing"), customers(s, sf)))
+
+
+def customers(s, sf):
+    return V.view(s, sf, "workspaces").select(F.concat(F.lit("cus_"), F.col("workspace_id")).alias("customer_id"), "workspace_id")
 
 
 def event_ledger(s, sf):
@@ -502,10 +506,13 @@ QUERIES = {
     "free_rate_limit": (free_rate_limit, "SELECT a.audit_id, a.created_ip, count(*) AS used_24h, greatest(0, 5 - count(*)) AS remaining, count(*) > 5 AS over_limit "
                         "FROM v_free_audits a JOIN v_free_audits b ON a.created_ip = b.created_ip AND b.started_at > a.started_at - INTERVAL 24 HOURS "
                         "AND (b.started_at < a.started_at OR (b.started_at = a.started_at AND b.audit_id <= a.audit_id)) GROUP BY 1, 2"),
-    "subscription_state": (subscription_state, "WITH m AS (SELECT *, CASE WHEN type <> 'payment_failed' THEN CASE WHEN status IN ('canceled', 'unpaid', 'incomplete_expired') THEN 'free' "
+    "subscription_state": (subscription_state, "WITH e AS (SELECT b.* REPLACE (coalesce(b.workspace_id, w.workspace_id) AS workspace_id) FROM v_billing b LEFT JOIN v_workspaces w ON b.workspace_id IS NULL AND b.customer_id = 'cus_' || w.workspace_id), "
+                           "m AS (SELECT *, status IN ('canceled', 'unpaid', 'incomplete_expired') IS TRUE AS over, type <> 'payment_failed' AS told, CASE WHEN type <> 'payment_failed' THEN CASE WHEN status IN ('canceled', 'unpaid', 'incomplete_expired') THEN 'free' "
                            "ELSE coalesce(price_plan, CASE WHEN meta_plan IN ('free', 'starter', 'growth', 'agency') THEN meta_plan END, 'free') END END AS p, "
-                           "CASE WHEN type = 'payment_failed' THEN 'past_due' WHEN status IN ('active', 'trialing', 'past_due') THEN status WHEN status IN ('canceled', 'unpaid', 'incomplete_expired') THEN 'canceled' ELSE 'active' END AS st FROM v_billing) "
-                           "SELECT workspace_id, arg_max(p, (received_at, event_id)) FILTER (p IS NOT NULL) AS plan, arg_max(st, (received_at, event_id)) AS plan_status FROM m GROUP BY 1"),
+                           "CASE WHEN type = 'payment_failed' THEN 'past_due' WHEN status IN ('active', 'trialing', 'past_due') THEN status WHEN status IN ('canceled', 'unpaid', 'incomplete_expired') THEN 'canceled' ELSE 'active' END AS st FROM e WHERE workspace_id IS NOT NULL), "
+                           "g AS (SELECT workspace_id, arg_max(p, (received_at, event_id)) FILTER (p IS NOT NULL) AS plan, arg_max(st, (received_at, event_id)) AS plan_status, arg_max(customer_id, (received_at, event_id)) FILTER (told AND customer_id IS NOT NULL) AS customer_id, "
+                           "arg_max({'i': CASE WHEN NOT over THEN subscription_id END, 'e': period_end}, (received_at, event_id)) FILTER (told) AS paid FROM m GROUP BY 1) "
+                           "SELECT workspace_id, plan, plan_status, customer_id, paid.i AS subscription_id, strftime(make_timestamp(cast(paid.e * 1000000 AS bigint)), '%Y-%m-%d %H:%M:%S') AS current_period_end FROM g"),
     "event_ledger": (event_ledger, "SELECT event_id, seq, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received_at, type FROM v_billing WHERE event_id NOT IN (SELECT 'evt_' || (o_orderkey * 7) FROM orders) "
                      "QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, seq) = 1"),
     "engines_allowed": (engines_allowed, "SELECT prompt_id, array_to_string(list_filter(string_split(engine_csv, ','), lambda e: list_contains(list_slice(['chatgpt', 'perplexity', 'google_aio', 'claude'], 1, engines_limit), e)), '|') AS allowed_engines FROM v_prompts"),

@@ -12,6 +12,7 @@ from ..streaming.ledger import keep_ledger, read_ledger
 from ..streaming.rate_limit import rate_limit
 from . import views as V
 from .relational import QUERIES as BATCH
+from .relational import customers
 from .views import flat, oracle
 
 _EVENTS = T.StructType(
@@ -69,7 +70,7 @@ def stream_latest_state(s, sf):
 
 
 def stream_subscription_state(s, sf):
-    return flat(X.drain_updates(subscription_state(_stream(s, sf, "billing", "received_at")), ["workspace_id"], "subs"))
+    return flat(X.drain_updates(subscription_state(_stream(s, sf, "billing", "received_at"), customers(s, sf)), ["workspace_id"], "subs"))
 
 
 def stream_view_counts(s, sf):

@@ -172,7 +172,9 @@ VIEWS: dict[str, tuple[str, list[tuple[str, object]]]] = {
     ]),
     "views": ("lineitem", [("link_id", "l_orderkey"), ("viewed_at", "l_shipdate")]),
     "billing": ("events", [
-        ("event_id", "concat('evt_', cast(floor(event_id / 2) AS bigint))"), ("seq", "event_id"), ("received_at", "ts"), ("workspace_id", "user_id"),
+        ("event_id", "concat('evt_', cast(floor(event_id / 2) AS bigint))"), ("seq", "event_id"), ("received_at", "ts"),
+        ("workspace_id", "CASE WHEN event_id % 6 <> 5 THEN user_id END"), ("customer_id", "CASE WHEN event_id % 4 <> 3 THEN concat('cus_', user_id) END"),
+        ("subscription_id", "concat('sub_', event_id % 1000)"), ("period_end", "event_id * 1000"),
         ("type", "CASE WHEN event_type = 'error' THEN 'payment_failed' ELSE 'subscription' END"),
         ("status", "CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'trialing' WHEN 'purchase' THEN 'past_due' WHEN 'signup' THEN CASE event_id % 3 WHEN 0 THEN 'unpaid' WHEN 1 THEN 'canceled' ELSE 'incomplete' END END"),
         ("price_plan", "CASE event_id % 4 WHEN 0 THEN 'starter' WHEN 1 THEN 'growth' END"),

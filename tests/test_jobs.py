@@ -114,6 +114,18 @@ def test_payment_failure_keeps_the_plan(spark):
     assert got == {"w": ("growth", "past_due"), "x": ("free", "canceled"), "y": ("agency", "trialing")}
 
 
+def test_subscription_by_customer_with_period_and_id(spark):
+    day = lambda n: T0 + timedelta(days=n)
+    rows = [
+        ("e1", day(0), "subscription", "w", "active", "growth", "cus_w", "sub_1", 100), ("e2", day(1), "subscription", None, "active", "agency", "cus_w", "sub_2", 200),
+        ("e3", day(2), "payment_failed", None, None, None, "cus_w", None, None), ("e4", day(1), "subscription", None, "unpaid", "growth", "cus_x", "sub_3", 300),
+        ("e5", day(1), "subscription", None, "active", "growth", "cus_nobody", "sub_4", 400), ("e6", day(3), "subscription", "y", "trialing", "starter", None, "sub_5", None)]
+    df = spark.createDataFrame(rows, "event_id string, received_at timestamp, type string, workspace_id string, status string, price_plan string, customer_id string, subscription_id string, period_end long").withColumn("meta_plan", F.lit(None).cast("string"))
+    known = spark.createDataFrame([("cus_w", "w"), ("cus_x", "x")], "customer_id string, workspace_id string")
+    got = {r[0]: tuple(r[1:]) for r in Q.subscription_state(df, known).withColumn("current_period_end", F.unix_seconds("current_period_end")).collect()}
+    assert got == {"w": ("agency", "past_due", "cus_w", "sub_2", 200), "x": ("free", "canceled", "cus_x", None, 300), "y": ("starter", "trialing", None, "sub_5", None)}
+
+
 def test_quarantine_split(spark):
     df = spark.createDataFrame([("ok", None, "en-GB", ["claude"]), ("x", "shop", "en_GB", ["bing"])], "prompt string, intent string, locale string, engines array<string>")
     good, bad = C.split(C.validate_prompts(df.replace("ok", "long enough")))
