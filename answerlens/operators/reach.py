@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from .ranking import row_number_by_range
 from .robots import robots_allowed
 
@@ -113,29 +113,30 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, cap: int | None = None, max_
         edges = edges.filter("allowed").drop("allowed")
     links, visited = _Bucketed(spark, ["site_id", "src"]), _Bucketed(spark, ["site_id", "url"])
     by_range = links.append(edges.select("site_id", "src", "pos", "dst")) > WINDOW_EDGES
-    visited.append(seeds.select("site_id", "url", F.lit(0).alias("depth"), F.lit(1).alias("rank")))
+    visited.append(seeds.select("site_id", "url", F.lit(0).alias("depth"), F.lit(1).alias("rank"), F.lit(1).alias("reached")))
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         known = visited.rows()
         frontier = known.where(F.col("depth") == depth - 1)
         open_pages = (frontier if cap is None else frontier.filter(F.col("rank") < cap)).select(
-            "site_id", F.col("url").alias("src"), F.col("rank").alias("parent_rank")
+            "site_id", F.col("url").alias("src"), F.col("rank").alias("parent_rank"), "reached"
         )
         found = (
             open_pages.join(links.rows(), ["site_id", "src"])
             .groupBy("site_id", F.col("dst").alias("url"))
-            .agg(F.min(F.struct("parent_rank", "pos")).alias("first"))
-            .select("site_id", "url", "first.parent_rank", "first.pos")
+            .agg(F.min(F.struct("parent_rank", "pos")).alias("first"), F.max("reached").alias("reached"))
+            .select("site_id", "url", "first.parent_rank", "first.pos", "reached")
             .join(known.select("site_id", "url"), ["site_id", "url"], "left_anti")
         )
-        # One row per site; the last level holds the highest rank of every site still growing.
-        so_far = frontier.groupBy("site_id").agg(F.max("rank").alias("reached"))
-        level = (
-            _rank_level(found, cap, by_range)
-            .join(so_far, "site_id")
-            .withColumn("rank", F.col("level_rank") + F.col("reached"))
-            .filter(F.lit(True) if cap is None else F.col("rank") <= cap + 1)
-            .select("site_id", "url", F.lit(depth).alias("depth"), "rank")
-        )
+        # ``reached`` is the highest rank of the site so far; every row of a level carries it to the next.
+        level = _rank_level(found, cap, by_range).withColumn("rank", F.col("level_rank") + F.col("reached"))
+        if cap is not None:
+            level = level.filter(F.col("rank") <= cap + 1)
+        if by_range and cap is None:
+            level = materialise(level, f"level_{depth}")
+            level = level.drop("reached").join(level.groupBy("site_id").agg(F.max("rank").alias("reached")), "site_id")
+        else:
+            level = level.withColumn("reached", F.max("rank").over(Window.partitionBy("site_id")))
+        level = level.select("site_id", "url", F.lit(depth).alias("depth"), "rank", "reached")
         if not visited.append(level):
             break
     links.detach()

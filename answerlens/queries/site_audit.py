@@ -350,10 +350,9 @@ GRAPH_CAP = 60
 
 
 def _edges(s, sf):
-    g = V.view(s, sf, "graph_pages")
-    links = F.expr("transform(array(2 * local + 1, 2 * local + 2, 0, local), n -> concat(base, n))")
-    feats = g.select("site_id", "url", "local", links.alias("internal_links"), F.lit(None).cast("string").alias("error"))
-    return G.crawl_edges(feats)
+    """The links of the pages' html, as a crawl finds them."""
+    pages = scan_pages(V.view(s, sf, "graph_pages").select("site_id", "url", "html"))
+    return G.crawl_edges(page_features(pages, ["internal_links"]))
 
 
 def _seeds(s, sf):
@@ -380,7 +379,7 @@ def _graph_robots(s, sf):
 
 def _guarded(s, sf):
     sites = _seeds(s, sf).select("site_id", F.regexp_extract("url", "^(https://[^/]+)", 1).alias("origin"))
-    return G.crawl_robots_skip(_edges(s, sf), _graph_robots(s, sf), sites, "VisibilityBot")
+    return materialise(G.crawl_robots_skip(_edges(s, sf), _graph_robots(s, sf), sites, "VisibilityBot"), "guarded")
 
 
 def crawl_robots_skip(s, sf):
@@ -717,7 +716,9 @@ QUERIES = {
     "crawl_seeds": (crawl_seeds, oracle(
         "SELECT DISTINCT site_id, base || '0' AS url, site_id % 2 = 1 AS allowed, CASE WHEN site_id % 2 = 0 THEN 'robots.txt disallows VisibilityBot from /p/0' END AS error, "
         "1 - site_id % 2 AS skipped_by_robots FROM v_graph_pages")),
-    "crawl_edges": (crawl_edges, oracle("SELECT site_id, url AS src, unnest(range(0, 4)) AS pos, base || unnest([2 * local + 1, 2 * local + 2, 0, local]) AS dst FROM v_graph_pages")),
+    "crawl_edges": (crawl_edges, oracle(
+        "WITH l AS (SELECT *, CASE WHEN local = 0 THEN [1, 2, 0] ELSE [2 * local + 1, 2 * local + 2, 0, local] END AS ns FROM v_graph_pages) "
+        "SELECT site_id, url AS src, unnest(range(0, len(ns))) AS pos, base || unnest(ns) AS dst FROM l")),
     "crawl_reach": (crawl_reach, oracle(f"WITH RECURSIVE {_TREE} SELECT site_id, {_U8} AS url, depth, n + 1 AS rank FROM walk")),
     "crawl_cap": (crawl_cap, oracle(f"WITH RECURSIVE {_TREE}, f AS (SELECT site_id, count(*) AS all_found FROM walk WHERE n < 2 * {GRAPH_CAP - 1} + 1 GROUP BY 1) SELECT site_id, least({GRAPH_CAP}, all_found) AS pages, all_found > {GRAPH_CAP} AS capped FROM f")),
     "crawl_robots_skip": (crawl_robots_skip, oracle(f"WITH RECURSIVE {_WALKG}, a AS (SELECT site_id, count(*) AS reached FROM walk GROUP BY 1), s AS (SELECT site_id, count(*) AS k FROM ref GROUP BY 1) SELECT site_id, coalesce(k, 0) AS skipped_by_robots, reached FROM a LEFT JOIN s USING (site_id)")),

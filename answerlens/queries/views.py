@@ -77,11 +77,15 @@ VIEWS: dict[str, tuple[str, list[tuple[str, object]]]] = {
                              ("full_body", "CASE WHEN length(host) % 6 = 0 THEN '<p>x</p>' ELSE concat('full text of ', host) END"),
                              ("map_code", "CASE WHEN length(host) % 5 = 0 THEN 404 ELSE 200 END"),
                              ("map_body", "concat('<?xml version=\"1.0\"?><urlset>', repeat('<url><loc>u</loc></url>', cast(length(host) % 8 AS int)), '</urlset>')")]),
-    # A page graph: site page_id % 8, page i links to 2i+1 and 2i+2 of its site, back to 0 and to itself.
+    # A page graph: site page_id % 8, page i links to 2i+1 and 2i+2 of its site, back to 0 and to itself, as links at the end of
+    # the page's own html, whose other links are taken out.
     "graph_pages": ("pages", [("page_id", "page_id"), ("site_id", "page_id % 8"),
                               ("local", "cast(floor(page_id / 8) AS bigint)"),
                               ("url", "concat('https://s', page_id % 8, '.example.com/p/', cast(floor(page_id / 8) AS bigint))"),
-                              ("base", "concat('https://s', page_id % 8, '.example.com/p/')")]),
+                              ("base", "concat('https://s', page_id % 8, '.example.com/p/')"),
+                              ("html", "concat(replace(html, '<a ', '<i '), '<a href=\"/p/', 2 * cast(floor(page_id / 8) AS bigint) + 1, '#top\">down</a><a href=\"', "
+                                       "2 * cast(floor(page_id / 8) AS bigint) + 2, '\">on</a><a href=\"https://s', page_id % 8, '.example.com/p/0?utm_source=x\">home</a>"
+                                       "<a href=\"../p/./', cast(floor(page_id / 8) AS bigint), '\">here</a><a href=\"https://elsewhere.example/p/1\">out</a>')")]),
     "checks": ("events", [
         ("check_id", "event_id"), ("checked_at", "ts"), ("prompt_id", "user_id"), ("site_id", "user_id % 25"),
         ("workspace_id", "user_id % 25 % 20"),

@@ -267,6 +267,16 @@ def test_a_crawl_level_moves_no_edges(spark):
                 assert not any("Exchange" in x for x in above)
 
 
+def test_levels_numbered_over_ranges(spark, monkeypatch):
+    """The way for graphs with more edges than one window takes gives the same order."""
+    rng = random.Random(1)
+    edges = spark.createDataFrame([(s, f"p{i}", k, f"p{rng.randrange(80)}") for s in "ab" for i in range(80) for k in range(3)], "site_id string, src string, pos int, dst string")
+    seeds = spark.createDataFrame([("a", "p0"), ("b", "p0")], "site_id string, url string")
+    one = sorted(map(tuple, G.crawl_reach(edges, seeds).collect()))
+    monkeypatch.setattr(G, "WINDOW_EDGES", 1)
+    assert sorted(map(tuple, G.crawl_reach(edges, seeds).collect())) == one
+
+
 def test_a_long_chain_is_walked_to_its_end(spark):
     edges = spark.createDataFrame([("a", f"p{i}", 0, f"p{i + 1}") for i in range(25)], "site_id string, src string, pos int, dst string")
     seeds = spark.createDataFrame([("a", "p0")], "site_id string, url string")
