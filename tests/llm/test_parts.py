@@ -168,3 +168,9 @@ def test_stages_keep_columns_and_drop_what_they_should(spark, tmp_path):
 
 def test_pipeline_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(tmp_path, docs=[], labels=[], benchmark=[])).count() == 0
+
+
+def test_near_duplicates_leave_clashing_columns_alone(spark):
+    docs = spark.createDataFrame([(1, PROSE, "a", "b"), (2, PROSE, "c", "d"), (3, PROSE[::-1], "e", "f")], "doc_id long, text string, _text_hash string, _id string")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()))
+    assert got == [(1, PROSE, "a", "b"), (3, PROSE[::-1], "e", "f")]
