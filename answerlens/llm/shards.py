@@ -46,7 +46,7 @@ def range_shards(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = RA
     The key is a hash of the text, so equal texts share a range. A size-weighted sample of keys (a set
     number, ``n_shards * ranges_per_shard * samples_per_range`` expected) gives quantile splitters. The
     ranges are then weighed exactly: one that is over twice its share is cut again by splitters drawn
-    from it alone, or, if it holds one key, by a hash of the id. Shards are bundles of whole ranges,
+    from it alone, or, if it holds one key, by a number drawn for each row, which rows without id or with equal ids have as well. Shards are bundles of whole ranges,
     the heaviest dealt first to the lightest shard.
 
     Null text has no bytes and the key of the empty text; null ids and repeated rows are kept. An empty
@@ -55,7 +55,7 @@ def range_shards(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = RA
     text = F.coalesce(F.col("text"), F.lit(""))
     table = materialise(docs.select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text), 2).alias("k"),
+        F.shiftrightunsigned(F.xxhash64(text), 2).alias("k"), unit(F.col("doc_id"), F.monotonically_increasing_id()).alias("u"),
     ), "sizes")
     total, rows = table.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     parts = n_shards * ranges_per_shard
@@ -79,7 +79,7 @@ def range_shards(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = RA
     def piece(r: pd.Series, u: pd.Series) -> pd.Series:
         return (r.map(alone).fillna(1) * u).astype("int32")
 
-    cut = placed.withColumn("p", piece("r", unit(F.col("doc_id"), F.lit("piece"))))
+    cut = placed.withColumn("p", piece("r", F.col("u")))
     loads = [(0, s) for s in range(n_shards)]
     plan = []
     for r, p, size in cut.groupBy("r", "p").agg(F.sum("size").alias("bytes")).orderBy(F.desc("bytes"), "r", "p").toPandas().itertuples(index=False):
@@ -89,9 +89,12 @@ def range_shards(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = RA
     spark = docs.sparkSession
     # At most twice the ranges asked for, and a piece for each share of the bytes: a fixed number of rows.
     dealt = spark.createDataFrame(plan, "r int, p int, shard int")
-    return numbered(cut.join(F.broadcast(dealt), ["r", "p"]), "shard", ["doc_id", "text_crc32"], "slot", rows).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return numbered(cut.join(F.broadcast(dealt), ["r", "p"]), "shard", ["doc_id", "text_crc32", "u"], "slot", rows).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of ``documents``, by nearly equal bytes. Null and empty texts weigh 16 bytes; very long ones lie whole in one
+    shard; equal texts share a range unless it is cut as too heavy; null ids and repeated rows are kept; an empty table gives no rows.
+    """
     out = range_shards(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -340,6 +340,20 @@ def test_shards_split_a_hot_text_and_keep_small_groups(spark):
     assert sum(len(s) > 1 for t, s in where.items() if t != "hot text") == 0
 
 
+@pytest.mark.parametrize("ids", ["two thirds null", "all equal"])
+def test_shards_split_a_hot_text_without_ids(spark, ids):
+    from answerlens.llm.shards import range_shards
+
+    docs = [((None if k % 3 else k) if ids == "two thirds null" else 7, "the hot text") for k in range(3000)]
+    got = range_shards(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect()
+    load, slots = Counter(), defaultdict(list)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 3000 and len(load) == 8 and max(load.values()) < 1.15 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_awkward_rows_are_all_answered(spark, tmp_path):
     folder = write(tmp_path)
     for name in OPS:
