@@ -398,6 +398,9 @@ def context_tree_scores(docs: DataFrame, learn: Column, block_bytes: int = 16 <<
 
 
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``. Null and empty texts are their end token alone; texts are scored whole in blocks, repeated rows row by row.
+    A null id counts as empty text in crc32 and stays null. Further columns are not read; an empty table gives no rows.
+    """
     held_out = fold("doc_id", 7) == 2
     out = context_tree_scores(documents(spark, sf_dir, "doc_id", "text"), ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -254,6 +254,9 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 
 def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``. Null and empty texts have no words and no hit; null and empty items have no window; texts are searched whole, repeated
+    rows row by row, null ids are kept. Further columns are not read; an empty table gives no rows.
+    """
     found = find_contamination(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     ids = F.array_sort(F.transform("hit_items", lambda x: x.cast("string")))
     return found.select(

@@ -170,4 +170,7 @@ def mcd_outliers(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), coverage:
 
 
 def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``. Null, empty and blank texts have zero counts and fail the base rule. Texts are counted whole, repeated rows row
+    by row; null ids, languages and sources are kept as they are. Further columns are not read; an empty table gives no rows.
+    """
     return mcd_outliers(documents(spark, sf_dir, "doc_id", "text", "lang", "source")).drop("distance")

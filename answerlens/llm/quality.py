@@ -92,8 +92,6 @@ def train_quality(
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where("text IS NOT NULL")
     sample = materialise(sample.select("_id", "text", "_y", (F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 0).alias("for_dict")), "labelled")
 
-    cut = F.udf(pieces, "array<binary>")
-
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, y = batch.column("_id").to_pylist(), batch.column("_y").to_pylist()
         got = [(i, label, k, p) for i, label, t in zip(ids, y, batch.column("text").to_pylist(), strict=True) for k, p in enumerate(pieces(t))]
@@ -126,6 +124,9 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
 
 
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``. Null and empty texts have a score as well; texts are compressed whole, repeated rows score alike. A null id counts as empty text in crc32 and is
+    never joined to a label. Further columns are not read; an empty table gives no rows.
+    """
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 5) != 0)
     return predictions(docs, lambda d: score_quality(d, model), "quality", 0.3)

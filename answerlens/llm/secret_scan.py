@@ -202,6 +202,9 @@ def redacted(text: str = "text", secrets: str = "secrets", mark: str = "[secret]
 
 
 def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``. Null and empty texts have no span; texts are scanned whole, repeated rows row by row, null ids are kept. Spans that start
+    together are ordered by kind. Further columns are not read; an empty table gives no rows.
+    """
     out = find_secrets(documents(spark, sf_dir, "doc_id", "text"), keep_text=False)
 
     def shown(spans: Column) -> Column:

@@ -199,5 +199,8 @@ def near_groups(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 2
 
 
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``. Null, empty and blank texts have fingerprint zero and link like any other; texts are hashed whole, repeated rows
+    share a component. A null id is kept and never names a component that has an id. Further columns are not read; an empty table gives no rows.
+    """
     out = near_groups(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

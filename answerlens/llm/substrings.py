@@ -349,6 +349,9 @@ def repeated_bytes(docs: DataFrame, length: int = 100, hot: int = 20_000, flush:
 
 
 def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``. Null and empty texts have no bytes; texts are searched whole. Of equal strings the first by id and start stays, null ids
+    come last, rows that share an id are told apart. Further columns are not read; an empty table gives no rows.
+    """
     found = repeated_bytes(documents(spark, sf_dir, "doc_id", "text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,6 +154,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
 
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``. Null, empty and blank texts, having no evidence, score below 0.5; texts are scored whole, repeated rows alike. A null id counts as empty text in
+    crc32 and is never joined to a label. Further columns are not read; an empty table gives no rows.
+    """
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 5) != 0)
     return predictions(docs, lambda d: score_toxicity(d, model), "toxicity", 0.5)
