@@ -198,6 +198,112 @@ def near_groups(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 2
     return table.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id", *(["text_hash"] if keep_hash else []))
 
 
+def shingle_hashes(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of the ``width``-word shingles in order; of the whole sequence where there are fewer words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    runs = zip(*[words[i:] for i in range(width)], strict=False) if len(words) >= width else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), seed) for s in runs), dtype="<u8"))
+
+
+def fragment_prints(hashes: np.ndarray, parts: int = 8) -> list[int]:
+    """SimHashes, as signed longs, of fragments of a shingle set; [0] of an empty set.
+
+    Hashes deal the set into 2^k fragments of three to six shingles; fragments 0 to ``parts`` - 1 are printed.
+    Sets of 4.8 shingles a fragment or more also print the next k, so two sets at a similarity of 0.8 share
+    one; so do sets with fewer fragments than ``parts``.
+    """
+    n = len(hashes)
+    if not n:
+        return [0]
+    k = max(0, int(np.ceil(np.log2(n / 6))))
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    prints: set[int] = set()
+    for bits in (k, k + 1) if (1 << k) < parts or n >= 4.8 * (1 << k) else (k,):
+        at = mixed >> np.uint64(64 - bits) if bits else np.zeros(n, "u8")
+        own = np.flatnonzero(at < parts)
+        own = own[np.argsort(at[own], kind="stable")]
+        if not len(own):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at[own].astype("i8")) != 0]))
+        size = np.diff(np.concatenate([first, [len(own)]]))
+        ones = np.add.reduceat(np.unpackbits(hashes[own].view("u1").reshape(-1, 8), axis=1, bitorder="little").astype("int64"), first, axis=0)
+        prints.update(np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view("<i8").ravel().tolist())
+    return sorted(prints)
+
+
+def _confirmed(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(u, v, su, sv)`` whose sets of hashes have at least that Jaccard similarity; empty sets are alike."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = []
+        for x, y in zip(batch.column("su"), batch.column("sv"), strict=True):
+            a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            near.append(both >= similarity * (len(a) + len(b) - both))
+        return batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return map_batches(pairs, run, "u long, v long")
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, parts: int = 8, per_salt: int = 2_000) -> DataFrame:
+    """``(text_hash, doc_id, component)`` for each different text of ``docs(doc_id, text)``; doc_id is its smallest.
+
+    Whole-text fingerprints at a similarity of 0.8 differ in about ten bits, a budget at which a trie join meets
+    nearly all pairs. So the prints of small fragments of the shingle set are joined by ``near_links``: similar
+    texts have several fragments whole. Texts that share a linked print, or two neighbouring ones, are compared
+    with one centre of that group each, so candidates are linear in the prints however large a group is. Every
+    candidate is confirmed by the exact Jaccard similarity of the two shingle sets before components are built.
+
+    Null and empty texts are one text, and texts without words one component; repeated rows are one text. A text of null
+    ids alone has a null doc_id. Texts are taken whole; further columns are not read; an empty table gives no rows.
+    """
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = pa.array([fragment_prints(shingle_hashes(t, width), parts) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), own], ["doc_id", "text_hash", "prints"])
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = pa.array([shingle_hashes(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("text_hash"), own], ["text_hash", "hashes"])
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+    table = map_batches(named, prints, "doc_id long, text_hash long, prints array<long>")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "prints")).alias("s")
+    texts = materialise(table.groupBy("text_hash").agg(first).select("text_hash", "s.doc_id", "s.prints"), "texts")
+    spots = texts.select("text_hash", F.explode("prints").alias("fp"))
+    roots = components(near_links(spots.select("fp", F.col("fp").alias("node")).distinct()))
+    placed = materialise(spots.join(roots, F.col("fp") == F.col("node"), "left").select("text_hash", F.coalesce("root", "fp").alias("at")), "spots")
+    pairs_of = placed.groupBy("text_hash").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    twos = pairs_of.select("text_hash", F.explode(F.expr("transform(ats, (a, i) -> xxhash64(a, ats[(i + 1) % size(ats)]))")).alias("at"), F.lit(2).alias("order"))
+    # Prints are sorted by value, so texts that share two neighbours in that order share a finer group.
+    # One order of all texts for each kind of group, so that a large family mostly meets the same centres.
+    members = placed.withColumn("order", F.lit(1)).unionByName(twos).distinct()
+    centre = F.min(F.struct(F.xxhash64("order", "text_hash").alias("by"), F.col("text_hash").alias("u"))).alias("c")
+    centres = members.groupBy("at").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "c.u", "n")
+    pairs = members.join(centres, "at").where("u <> text_hash").select("n", F.least("u", "text_hash").alias("u"), F.greatest("u", "text_hash").alias("v"))
+    pairs = materialise(pairs.groupBy("u", "v").agg(F.max("n").alias("n")), "candidates")
+    # The sets of texts in candidates; one row bears each text.
+    used = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
+    bearer = texts.join(used, "text_hash").select(F.col("text_hash").alias("_th"), F.col("doc_id").alias("_id"))
+    borne = named.join(bearer, (F.col("text_hash") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    held = materialise(map_batches(borne.select("text_hash", "text"), sets, "text_hash long, hashes binary").dropDuplicates(["text_hash"]), "sets")
+    # Both ends may be hot: each is met in as many salts as its largest group asks for.
+    links = pairs
+    for end, side in (("u", "su"), ("v", "sv")):
+        other = "v" if end == "u" else "u"
+        salts = links.groupBy(end).agg(F.count(F.lit(1)).alias("_m"))
+        copies = held.join(salts, F.col("text_hash") == F.col(end)).select(
+            F.col(end).alias("_k"), F.col("hashes").alias(side), F.explode(F.expr(f"sequence(0L, _m div {per_salt})")).alias("_s")
+        )
+        many = salts.where(f"_m >= {per_salt}").select(F.col(end).alias("_e"), "_m")
+        salted = pairs.join(many, F.col(end) == F.col("_e"), "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce(F.expr(f"_m div {per_salt}"), F.lit(0)) + 1))
+        pairs = salted.join(copies, (F.col(end) == F.col("_k")) & (F.col("_salt") == F.col("_s"))).drop("_e", "_m", "_salt", "_k", "_s")
+    linked = components(_confirmed(pairs.select("u", "v", "su", "sv"), similarity))
+    return texts.join(linked, F.col("text_hash") == F.col("node"), "left").select("text_hash", "doc_id", F.coalesce("root", "text_hash").alias("component"))
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per row of ``documents``. Null, empty and blank texts have fingerprint zero and link like any other; texts are hashed whole, repeated rows
     share a component. A null id is kept and never names a component that has an id. Further columns are not read; an empty table gives no rows.

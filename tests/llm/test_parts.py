@@ -174,3 +174,76 @@ def test_near_duplicates_leave_clashing_columns_alone(spark):
     docs = spark.createDataFrame([(1, PROSE, "a", "b"), (2, PROSE, "c", "d"), (3, PROSE[::-1], "e", "f")], "doc_id long, text string, _text_hash string, _id string")
     got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()))
     assert got == [(1, PROSE, "a", "b"), (3, PROSE[::-1], "e", "f")]
+
+
+def _shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _altered(words, rng, low, high):
+    """A copy of the words with random words replaced until its similarity lies in the band; None if it jumps over."""
+    out, own = list(words), _shingles(" ".join(words))
+    while True:
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**9)}"
+        other = _shingles(" ".join(out))
+        jaccard = len(own & other) / len(own | other)
+        if jaccard < high:
+            return (" ".join(out), jaccard) if jaccard >= low else None
+
+
+@pytest.mark.parametrize(("low", "high"), [(0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 0.99)])
+def test_similar_texts_recall_by_band(spark, low, high):
+    from answerlens.llm.simhash import similar_texts
+
+    rng = random.Random(int(100 * low))
+    made = []
+    while len(made) < 400:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 700))]
+        copy = _altered(words, rng, low, high)
+        if copy:
+            made.append((" ".join(words), copy[0]))
+    docs = [(2 * k + side, pair[side]) for k, pair in enumerate(made) for side in (0, 1)]
+    got = {r["doc_id"]: r["component"] for r in similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(400)) >= 380
+    assert len({got[2 * k] for k in range(400)}) == 400
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """One large family, texts that share a passage, short texts: components are those of all pairs at 0.8."""
+    from answerlens.llm.simhash import similar_texts
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, passage = [word() for _ in range(200)], [word() for _ in range(60)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        out = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            out[rng.randrange(200)] = word()
+        texts.append(" ".join(out))
+    texts += [" ".join(passage + [word() for _ in range(60)]) for _ in range(150)]
+    texts += [" ".join(base[:k]) for k in (0, 1, 4, 5, 6)] + ["", " \n", " ".join(base).upper(), " ".join(base[:5] * 2)]
+    docs = list(enumerate(texts))
+    got = {r["doc_id"]: r["component"] for r in similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = [_shingles(t) if t.split() else frozenset() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    want = {i: find(i) for i in first.values()}
+    names = {}
+    for i in sorted(want):
+        assert names.setdefault(want[i], got[i]) == got[i], texts[i][:60]
+    assert len(set(names.values())) == len(names)
