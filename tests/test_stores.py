@@ -4,6 +4,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from answerlens.plans.audit import read_audit, run_audit
 from answerlens.sources import versions as V
 from answerlens.streaming import ledger as L
 from answerlens.streaming import streams as X
-from answerlens.streaming.rate_limit import rate_limit, use_rocksdb
+from answerlens.streaming.rate_limit import TrailingCounts, rate_limit, use_rocksdb
 
 T0 = datetime(2024, 1, 1)
 
@@ -226,3 +227,55 @@ def test_rate_limit_frees_its_state(spark, tmp_path):
     read = spark.read.format("statestore").option("stateVarName", "sizes").load(f"{tmp_path}/check")
     assert {r["key"]["created_ip"] for r in read.select("key").collect()} == {"last"}
     assert V.read_keyed(spark, f"{tmp_path}/out", ["audit_id"]).count() == 102
+
+
+class _Held:
+    """A map state in memory that counts how often it is used."""
+
+    def __init__(self):
+        self.at, self.calls = {}, 0
+
+    def _use(self, value):
+        self.calls += 1
+        return value
+
+    def iterator(self):
+        return self._use(iter(self.at.items()))
+
+    def containsKey(self, key):
+        return self._use(key in self.at)
+
+    def getValue(self, key):
+        return self._use(self.at[key])
+
+    def updateValue(self, key, value):
+        self._use(self.at.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self._use(self.at.pop(key))
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = [], []
+
+    def getMapState(self, *_):
+        self.states.append(_Held())
+        return self.states[-1]
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_rate_limit_uses_its_state_by_hours_not_by_minutes():
+    rng, handle, counts = random.Random(7), _Handle(), TrailingCounts(86400)
+    counts.init(handle)
+    rows = [(rng.randrange(10 * 86400) * 1_000_000, n) for n in range(3_000)]  # nearly each in a minute of its own
+    got = {}
+    for part in (rows[:2_000], rows[1_900:]):  # the second comes late, and repeats some
+        frame = pd.DataFrame(part, columns=["t", "audit_id"])
+        for out in counts.handleInputRows(("ip",), iter([frame[:700], frame[700:]]), None):
+            got |= dict(zip(out["audit_id"], out["used_24h"], strict=True))
+    assert got == {i: sum((t - 86_400_000_000 < u) and (u, j) <= (t, i) for u, j in rows) for t, i in rows}
+    assert len(handle.timers) == 10
+    assert sum(s.calls for s in handle.states) < 3 * 2 * 240
