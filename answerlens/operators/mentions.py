@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dims import ENGINES, NEGATIVE_TERMS, POSITIVE_TERMS
 from ..functions.fragments import collapse_ws, let, q
@@ -19,6 +20,9 @@ EXCERPT = 420
 SENTIMENT_REACH = 250
 SENTIMENT_HEAD = 600
 
+#: Answers of one site that meet its names in one place; a site with more is dealt over so many places more.
+PER_SALT = 10_000
+
 ENTITY = ["ord", "name", "domain", "names", "matcher"]
 
 _NOT_IN_WORD = r"(?<![\p{L}\p{N}])"
@@ -150,21 +154,34 @@ def build_dictionary(sites: DataFrame, competitors: DataFrame) -> DataFrame:
     return with_names(brand.unionByName(rivals.join(sites.select("site_id"), "site_id", "left_semi")))
 
 
-def candidates(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _busy_sites(answers: DataFrame, per_salt: int) -> DataFrame:
+    """``(site_id, salts)`` of the sites with more than ``per_salt`` answers; at most a row for so many answers."""
+    sizes = answers.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where((F.col("n") > per_salt) & F.col("site_id").isNotNull()).select("site_id", F.floor(F.col("n") / per_salt).cast("int").alias("salts"))
+
+
+def _dealt(per_site: DataFrame, busy: DataFrame) -> DataFrame:
+    """Rows of a site once for each of its salts, as ``salt``."""
+    return per_site.join(F.broadcast(busy), "site_id", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 0))"))).drop("salts")
+
+
+def candidates(answers: DataFrame, dictionary: DataFrame, busy: DataFrame) -> DataFrame:
     """``(answer_no, entities)``: for each answer the competitors that its words or its links can name.
 
     An inverted index: names are keyed by (site, first words), answers ask with their words, and the two meet by an equi
     join; so do linked domains and their parents. An answer gets what it may mention, not its site's list.
-    ``answers`` carry ``answer_no, site_id, text, links``.
+    ``answers`` carry ``answer_no, site_id, salt, text, links``; names lie at each salt of their site, as a frequent
+    word of a busy site is one key.
     """
     rivals = dictionary.where("ord = 1").select("site_id", F.struct(*ENTITY).alias("entity"), "names", "domain")
     words = rivals.select("site_id", "entity", F.explode(F.expr(name_keys_sql("names"))).alias("key"))
-    asked = answers.where("text IS NOT NULL").select("answer_no", "site_id", F.explode(F.expr(text_keys_sql("text"))).alias("key"))
+    asked = answers.where("text IS NOT NULL").select("answer_no", "site_id", "salt", F.explode(F.expr(text_keys_sql("text"))).alias("key"))
     domain = F.lower(F.regexp_replace("domain", "(?i)^www[.]", ""))
     homes = rivals.where(domain != "").select("site_id", "entity", domain.alias("key"))
-    linked = answers.select("answer_no", "site_id", F.explode("links").alias("l")).where("l.domain != ''")
-    linked = linked.select("answer_no", "site_id", F.explode(domain_suffixes(F.col("l.domain"))).alias("key")).distinct()
-    found = asked.join(words, ["site_id", "key"]).select("answer_no", "entity").unionByName(linked.join(homes, ["site_id", "key"]).select("answer_no", "entity"))
+    linked = answers.select("answer_no", "site_id", "salt", F.explode("links").alias("l")).where("l.domain != ''")
+    linked = linked.select("answer_no", "site_id", "salt", F.explode(domain_suffixes(F.col("l.domain"))).alias("key")).distinct()
+    at = ["site_id", "salt", "key"]
+    found = asked.join(_dealt(words, busy), at).select("answer_no", "entity").unionByName(linked.join(_dealt(homes, busy), at).select("answer_no", "entity"))
     return found.distinct().groupBy("answer_no").agg(F.array_sort(F.collect_list("entity")).alias("entities"))  # no more than the answer has words and links for
 
 
@@ -232,23 +249,28 @@ def sentiment_sql(text: str, index: str) -> str:
     return let(window, "sw", let(score, "sc", verdict))
 
 
-def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = True) -> DataFrame:
+def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = True, per_salt: int = PER_SALT) -> DataFrame:
     """Answers (``site_id``, ``answer``, ``urls``, optional ``error``) with the full analysis.
 
     Errored rows come out uncited with empty lists and are kept. Competitors come from an inverted index
     (:func:`candidates`), so a site may have any number of them. ``competitor_mentions`` holds all of the site's,
     the unmentioned with 0, which puts a list of the site's length into every row; without ``absent`` it holds
-    only those that are mentioned or linked.
+    only those that are mentioned or linked. A site with many answers meets its names in many places (``per_salt``).
     """
     rows = answers if "error" in answers.columns else answers.withColumn("error", F.lit(None).cast("string"))
     if "excerpt_override" not in rows.columns:
         rows = rows.withColumn("excerpt_override", F.lit(None).cast("string"))
     brands = dictionary.where("ord = 0").select("site_id", F.col("domain").alias("brand_domain"), F.struct(*ENTITY).alias("brand_entity"))
-    joined = rows.join(brands, "site_id", "left")
+    busy = _busy_sites(rows, per_salt)
+    # Answers without a site have no names to meet and are dealt like the others.
+    own = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    rows = rows.join(F.broadcast(busy), "site_id", "left").withColumn("salt", F.pmod(own, F.expr("if(site_id IS NULL, 64, coalesce(salts, 0) + 1)")).cast("int")).drop("salts")
+    joined = rows.join(_dealt(brands, busy), ["site_id", "salt"], "left")
     # An answer whose site has no dictionary is kept as an errored row.
     orphan = F.col("brand_entity").isNull() & F.col("error").isNull()
     joined = joined.withColumn("error", F.when(orphan, F.lit("The site has no dictionary")).otherwise(F.col("error")))
-    numbered = joined.withColumns(
+    # A scan of few splits or a join met in place leaves the answers in few tasks, and each word of an answer becomes a row there.
+    numbered = joined.repartition(own).withColumns(
         {
             "answer_no": F.monotonically_increasing_id(),
             "usable": F.expr("error IS NULL AND excerpt_override IS NULL"),
@@ -260,7 +282,7 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = T
         }
     )
     numbered = materialise(numbered, "answers")  # the numbers must stay as they are
-    usable = numbered.join(candidates(numbered, dictionary), "answer_no", "left")
+    usable = numbered.join(candidates(numbered, dictionary, busy), "answer_no", "left")
     usable = usable.withColumn("entities", F.expr("concat(if(brand_entity IS NULL, array(), array(brand_entity)), coalesce(entities, array()))")).drop("brand_entity", "answer_no")
     linked = f"exists(links, lx -> {_domain_matches('lx.domain', 'en.domain')})"
     found = usable.withColumn(
@@ -295,7 +317,7 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = T
     listed = f"transform(filter(found, f -> NOT f.is_brand), f -> {entry})"
     if absent:
         everyone = dictionary.where("ord = 1").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("name", "domain", "names"))).alias("everyone"))
-        totals = totals.join(everyone, "site_id", "left")
+        totals = totals.join(_dealt(everyone, busy), ["site_id", "salt"], "left")
         same = "NOT f.is_brand AND f.name <=> ev.name AND f.domain <=> ev.domain AND f.names <=> ev.names"
         zero = "named_struct('name', ev.name, 'mentions', 0, 'position', cast(NULL AS int), 'linked', false)"
         listed = f"coalesce(transform(everyone, ev -> coalesce(get(transform(filter(found, f -> {same}), f -> {entry}), 0), {zero})), cast(array() AS {kind}))"
@@ -317,7 +339,7 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = T
         }
     ).drop(
         "entities", "usable", "text", "links", "found", "ranked", "brand", "all_mentions", "brand_domain",
-        "excerpt_override", "urls", "everyone",
+        "excerpt_override", "urls", "everyone", "salt",
     )
 
 

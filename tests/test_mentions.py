@@ -147,3 +147,18 @@ def test_public_urls(spark):
     }
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     assert {r["u"]: r["p"] for r in df.select("u", is_public_url(F.col("u")).alias("p")).collect()} == cases
+
+
+def test_a_busy_site_meets_its_names_in_many_places(spark):
+    rows = [(n, None if n % 50 == 49 else "none" if n % 50 == 48 else "busy", f"Acme and Rival {n % 7}" if n % 3 else "nothing") for n in range(300)]
+    urls = "array(named_struct('url', 'https://shop.rival.example/a', 'title', 't'))"
+    answers = spark.createDataFrame(rows, "k int, site_id string, answer string").withColumn("urls", F.expr(urls))
+    sites = spark.sql("SELECT 'busy' AS site_id, 'Acme' AS brand_name, cast(array() AS array<string>) AS brand_aliases, 'acme.example' AS domain")
+    rivals = spark.sql("SELECT 'busy' AS site_id, concat('Rival ', id) AS name, if(id = 0, 'rival.example', '') AS domain, cast(array() AS array<string>) AS aliases FROM range(7)")
+    names = M.build_dictionary(sites, rivals)
+    plain, dealt = ({r["k"]: r for r in M.analyse_response(answers, names, per_salt=n).collect()} for n in (10_000, 20))
+    assert dealt == plain and len(plain) == 300
+    assert plain[1]["brand_mentions"] == 1 and [m["name"] for m in plain[1]["competitor_mentions"] if m["mentions"]] == ["Rival 1"]
+    busy = M._busy_sites(answers, 20)
+    assert [tuple(r) for r in busy.collect()] == [("busy", 14)]  # 288 answers
+    assert M._dealt(names, busy).count() == 15 * names.count()
