@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerlens.llm.common import components, documents, map_batches, materialise
@@ -207,101 +208,154 @@ def shingle_hashes(text: str | None, width: int = 5, seed: int = 42) -> np.ndarr
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), seed) for s in runs), dtype="<u8"))
 
 
-def fragment_prints(hashes: np.ndarray, parts: int = 8) -> list[int]:
-    """SimHashes, as signed longs, of fragments of a shingle set; [0] of an empty set.
+def _shingle_rows(width: int, rows: int = 1 << 20):
+    """Texts as rows ``(node, token)``, one for each different shingle."""
 
-    Hashes deal the set into 2^k fragments of three to six shingles; fragments 0 to ``parts`` - 1 are printed.
-    Sets of 4.8 shingles a fragment or more also print the next k, so two sets at a similarity of 0.8 share
-    one; so do sets with fewer fragments than ``parts``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            node = np.repeat(np.array(nodes, "i8"), [len(h) for h in sets])
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).view("<i8"))], ["node", "token"])
+
+        nodes, sets, size = [], [], 0
+        for batch in batches:
+            for node, text in zip(batch.column("text_hash").to_pylist(), batch.column("text"), strict=True):
+                nodes.append(node)
+                sets.append(shingle_hashes(text.as_py(), width))
+                size += len(sets[-1])
+                if size >= rows:
+                    yield flat(nodes, sets)
+                    nodes, sets, size = [], [], 0
+        if nodes:
+            yield flat(nodes, sets)
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, similarity: float, per_salt: int) -> DataFrame:
+    """The pairs ``(u, v)`` whose sets in ``held(node, n, tokens)`` have at least that Jaccard similarity.
+
+    ``tokens`` lack those that no other set has, ``n`` counts them. Both ends may be hot: each is met in as many salts as its rows ask for.
     """
-    n = len(hashes)
-    if not n:
-        return [0]
-    k = max(0, int(np.ceil(np.log2(n / 6))))
-    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
-    prints: set[int] = set()
-    for bits in (k, k + 1) if (1 << k) < parts or n >= 4.8 * (1 << k) else (k,):
-        at = mixed >> np.uint64(64 - bits) if bits else np.zeros(n, "u8")
-        own = np.flatnonzero(at < parts)
-        own = own[np.argsort(at[own], kind="stable")]
-        if not len(own):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], np.diff(at[own].astype("i8")) != 0]))
-        size = np.diff(np.concatenate([first, [len(own)]]))
-        ones = np.add.reduceat(np.unpackbits(hashes[own].view("u1").reshape(-1, 8), axis=1, bitorder="little").astype("int64"), first, axis=0)
-        prints.update(np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view("<i8").ravel().tolist())
-    return sorted(prints)
-
-
-def _confirmed(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(u, v, su, sv)`` whose sets of hashes have at least that Jaccard similarity; empty sets are alike."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         near = []
-        for x, y in zip(batch.column("su"), batch.column("sv"), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            near.append(both >= similarity * (len(a) + len(b) - both))
+        for x, y, both in zip(batch.column("su"), batch.column("sv"), batch.column("n").to_pylist(), strict=True):
+            same = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
+            near.append(same >= similarity * (both - same))
         return batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return map_batches(pairs, run, "u long, v long")
+    links = pairs
+    for end, side in (("u", "su"), ("v", "sv")):
+        other = "v" if end == "u" else "u"
+        salts = links.groupBy(end).agg(F.count(F.lit(1)).alias("_m"))
+        copies = held.join(salts, F.col("node") == F.col(end)).select(
+            F.col(end).alias("_k"), F.col("tokens").alias(side), F.col("n").alias(f"n{side}"), F.explode(F.expr(f"sequence(0L, _m div {per_salt})")).alias("_s")
+        )
+        many = salts.where(f"_m >= {per_salt}").select(F.col(end).alias("_e"), "_m")
+        salted = pairs.join(many, F.col(end) == F.col("_e"), "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce(F.expr(f"_m div {per_salt}"), F.lit(0)) + 1))
+        pairs = salted.join(copies, (F.col(end) == F.col("_k")) & (F.col("_salt") == F.col("_s"))).drop("_e", "_m", "_salt", "_k", "_s")
+    return map_batches(pairs.select("u", "v", "su", "sv", (F.col("nsu") + F.col("nsv")).alias("n")), run, "u long, v long")
+
 
+def similar_sets(sets: DataFrame, tokens: DataFrame, similarity: float, per_salt: int = 2_000, direct: int = 2_000_000) -> DataFrame:
+    """``(node, root)``: components of all pairs of ``sets(node, n)`` with a Jaccard similarity of ``similarity`` or more.
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, parts: int = 8, per_salt: int = 2_000) -> DataFrame:
+    ``tokens(node, token)`` has each member once. A set holds ``need`` = ceil(similarity * n) tokens of any partner, so fewer
+    tokens shared with any set rule it out, and of two partners both have a common token among their n - need + 1 rarest
+    (prefix filter; one order of all tokens, by frequency). The sets of each such token are compared, all that are not yet
+    in one component, and each pair is confirmed by the exact similarity: no link is missed and none is by chance.
+
+    Where that would be more than ``direct`` comparisons, and more than four a row, all sets of a token first meet one centre, again and
+    again while this links any; a large family then is one component, and only what stays outside it meets its members.
+    """
+    spread = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    gathered = spread.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    need = F.expr(f"cast(ceil({similarity}D * n - 1e-9D) AS int)")
+    able = gathered.join(sets.select("node", "n"), "node").withColumn("need", need).where("size(own) >= need")
+    held = materialise(able.select("node", "n", F.col("own.token").alias("tokens"), F.expr("size(own) - need + 1").alias("first")), "sets")
+    met = held.select("node", "n", F.size("tokens").alias("m"), F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("at", "token"))
+    met = materialise(met.select("token", "node", "n", F.expr("n - m + at").alias("at")), "prefixes")
+    # What two sets can share from this token on, where it is their first common one.
+    fits = F.expr(f"least(n - at, n2 - at2) >= {similarity / (1 + similarity)}D * (n + n2) - 1e-6D")
+    links, roots = None, None
+    for turn in count():
+        placed = met.withColumn("label", F.col("node")) if roots is None else met.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("root", "node")).drop("_n", "root")
+        if roots is not None:
+            placed = materialise(placed, "placed")
+        lists = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+        lists = lists.agg(F.sum("k").alias("members"), F.max(F.struct("k", "label")).alias("most")).where("members > most.k")
+        lists = materialise(lists.select("token", "members", F.col("most.label").alias("main"), F.expr("members - most.k").alias("outside")), "lists")
+        size = lists.agg(F.sum(F.expr("cast(outside AS double) * members")).alias("pairs"), F.sum("members").alias("rows")).first()
+        if not size["rows"]:
+            break
+        last = size["pairs"] <= max(direct, 4 * size["rows"])
+        there = placed.join(lists, "token")
+        if not last:
+            by = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("by"), "node", "n", "at", "label")).alias("c")
+            centres = there.groupBy("token").agg(by).select("token", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.at").alias("at2"), F.col("c.label").alias("label2"))
+            found = there.join(centres, "token").where("label <> label2")
+            got = materialise(_confirmed(_pairs(found.where(fits)), held, similarity, per_salt), "links")
+            last = got.isEmpty()
+            if not last:
+                links = got if links is None else links.unionByName(got)
+                roots = components(links)
+                continue
+        # Each set outside a token's largest component meets all of that token, which lie in as many places as they ask for.
+        salts = F.expr(f"members div {per_salt}")
+        others = there.select("token", "label", "main", F.pmod(F.xxhash64("node"), salts + 1).alias("salt"), "node", "n", "at")
+        outside = there.where("label <> main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
+        found = others.join(outside, ["token", "salt"]).where("label <> label2 AND (label = main OR node < node2)")
+        got = materialise(_confirmed(_pairs(found.where(fits)), held, similarity, per_salt), "links")
+        links = got if links is None else links.unionByName(got)
+        roots = components(links)
+        break
+    return roots if roots is not None else held.select("node", F.col("node").alias("root"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return materialise(found.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct(), "candidates")
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, per_salt: int = 2_000) -> DataFrame:
     """``(text_hash, doc_id, component)`` for each different text of ``docs(doc_id, text)``; doc_id is its smallest.
 
-    Whole-text fingerprints at a similarity of 0.8 differ in about ten bits, a budget at which a trie join meets
-    nearly all pairs. So the prints of small fragments of the shingle set are joined by ``near_links``: similar
-    texts have several fragments whole. Texts that share a linked print, or two neighbouring ones, are compared
-    with one centre of that group each, so candidates are linear in the prints however large a group is. Every
-    candidate is confirmed by the exact Jaccard similarity of the two shingle sets before components are built.
+    Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more are linked, all such pairs
+    (:func:`similar_sets`); texts with one set are one node. Shingles are compared by 64-bit hashes.
+
+    Of two partners both have a common shingle among their n - ceil(similarity * n) + 1 least hashes. Sets that share none of these
+    with another set are done at once, and only the texts of the others are read again.
 
     Null and empty texts are one text, and texts without words one component; repeated rows are one text. A text of null
     ids alone has a null doc_id. Texts are taken whole; further columns are not read; an empty table gives no rows.
     """
 
-    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = pa.array([fragment_prints(shingle_hashes(t, width), parts) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), own], ["doc_id", "text_hash", "prints"])
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = pa.array([shingle_hashes(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("text_hash"), own], ["text_hash", "hashes"])
-
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
-    table = map_batches(named, prints, "doc_id long, text_hash long, prints array<long>")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "prints")).alias("s")
-    texts = materialise(table.groupBy("text_hash").agg(first).select("text_hash", "s.doc_id", "s.prints"), "texts")
-    spots = texts.select("text_hash", F.explode("prints").alias("fp"))
-    roots = components(near_links(spots.select("fp", F.col("fp").alias("node")).distinct()))
-    placed = materialise(spots.join(roots, F.col("fp") == F.col("node"), "left").select("text_hash", F.coalesce("root", "fp").alias("at")), "spots")
-    pairs_of = placed.groupBy("text_hash").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    twos = pairs_of.select("text_hash", F.explode(F.expr("transform(ats, (a, i) -> xxhash64(a, ats[(i + 1) % size(ats)]))")).alias("at"), F.lit(2).alias("order"))
-    # Prints are sorted by value, so texts that share two neighbours in that order share a finer group.
-    # One order of all texts for each kind of group, so that a large family mostly meets the same centres.
-    members = placed.withColumn("order", F.lit(1)).unionByName(twos).distinct()
-    centre = F.min(F.struct(F.xxhash64("order", "text_hash").alias("by"), F.col("text_hash").alias("u"))).alias("c")
-    centres = members.groupBy("at").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "c.u", "n")
-    pairs = members.join(centres, "at").where("u <> text_hash").select("n", F.least("u", "text_hash").alias("u"), F.greatest("u", "text_hash").alias("v"))
-    pairs = materialise(pairs.groupBy("u", "v").agg(F.max("n").alias("n")), "candidates")
-    # The sets of texts in candidates; one row bears each text.
-    used = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
-    bearer = texts.join(used, "text_hash").select(F.col("text_hash").alias("_th"), F.col("doc_id").alias("_id"))
-    borne = named.join(bearer, (F.col("text_hash") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    held = materialise(map_batches(borne.select("text_hash", "text"), sets, "text_hash long, hashes binary").dropDuplicates(["text_hash"]), "sets")
-    # Both ends may be hot: each is met in as many salts as its largest group asks for.
-    links = pairs
-    for end, side in (("u", "su"), ("v", "sv")):
-        other = "v" if end == "u" else "u"
-        salts = links.groupBy(end).agg(F.count(F.lit(1)).alias("_m"))
-        copies = held.join(salts, F.col("text_hash") == F.col(end)).select(
-            F.col(end).alias("_k"), F.col("hashes").alias(side), F.explode(F.expr(f"sequence(0L, _m div {per_salt})")).alias("_s")
+    def sizes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_hashes(t.as_py(), width) for t in batch.column("text")]
+        n, set_id = np.array([len(h) for h in sets], "i4"), np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], "u8").view("i8")
+        least = [h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view("<i8") for h in sets]
+        ends = np.concatenate([[0], np.cumsum([len(h) for h in least])]).astype("i4")
+        own = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(least)))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("none"), batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(set_id), own], ["none", "id", "text_hash", "n", "set_id", "least"]
         )
-        many = salts.where(f"_m >= {per_salt}").select(F.col(end).alias("_e"), "_m")
-        salted = pairs.join(many, F.col(end) == F.col("_e"), "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce(F.expr(f"_m div {per_salt}"), F.lit(0)) + 1))
-        pairs = salted.join(copies, (F.col(end) == F.col("_k")) & (F.col("_salt") == F.col("_s"))).drop("_e", "_m", "_salt", "_k", "_s")
-    linked = components(_confirmed(pairs.select("u", "v", "su", "sv"), similarity))
-    return texts.join(linked, F.col("text_hash") == F.col("node"), "left").select("text_hash", "doc_id", F.coalesce("root", "text_hash").alias("component"))
+
+    ids = F.col("doc_id").cast("long")
+    named = docs.select(ids.isNull().alias("none"), F.coalesce(ids, F.lit(0)).alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+    table = materialise(map_batches(named, sizes, "none boolean, id long, text_hash long, n int, set_id long, least array<long>"), "sizes")
+    texts = table.groupBy("text_hash").agg(F.min(F.struct("none", "id", "n", "set_id")).alias("s"))
+    texts = materialise(texts.select("text_hash", "s.*"), "texts")
+    sets = materialise(texts.groupBy("set_id").agg(F.min(F.struct("text_hash", "none", "id", "n")).alias("s")).select("set_id", "s.*"), "heads")
+    low = table.select("set_id", F.explode("least").alias("token")).repartition("token").distinct()
+    alone = F.count(F.lit(1)).over(Window.partitionBy("token")) == 1
+    some = low.withColumn("alone", alone).where("NOT alone").select("set_id").distinct()
+    some = materialise(sets.join(some, "set_id", "left_semi"), "some")
+    # One row bears each set.
+    key = ["text_hash", "none", "id"]
+    borne = named.join(some.select(*key), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
+    tokens = borne.select("text_hash", "text").mapInArrow(_shingle_rows(width), "node long, token long")
+    roots = similar_sets(some.select(F.col("text_hash").alias("node"), "n"), tokens, similarity, per_salt)
+    heads = sets.select("set_id", F.col("text_hash").alias("node")).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("component"))
+    return texts.join(heads, "set_id").select("text_hash", F.when(~F.col("none"), F.col("id")).alias("doc_id"), "component")
 
 
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

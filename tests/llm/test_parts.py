@@ -247,3 +247,43 @@ def test_similar_texts_against_all_pairs(spark):
     for i in sorted(want):
         assert names.setdefault(want[i], got[i]) == got[i], texts[i][:60]
     assert len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("direct", [0, 2_000_000])
+def test_similar_sets_misses_no_link(spark, direct):
+    """A chain whose neighbours alone are alike, a family, a common line and sets just above and below the threshold: links are those of all pairs."""
+    from answerlens.llm.simhash import similar_sets
+
+    rng = random.Random(11)
+    sets = [set(range(at, at + 18)) for at in range(0, 120, 2)]  # neighbours: 16 of 20; the next but one: 14 of 22
+    base = list(range(1000, 1040))
+    sets += [set(rng.sample(base, 36)) | {2000 + i} for i in range(60)]
+    sets += [set(range(3000, 3006)) | {4000 + 100 * i + j for j in range(3)} for i in range(30)]
+    for k in range(40):
+        own = list(range(10_000 + 1000 * k, 10_000 + 1000 * k + rng.randrange(2, 60)))
+        sets += [set(own), set(own[: round(len(own) * rng.choice([0.76, 0.8, 0.84]))])]
+    rows = [(i, len(s)) for i, s in enumerate(sets)]
+    members = [(i, t) for i, s in enumerate(sets) for t in s]
+    got = dict(map(tuple, similar_sets(spark.createDataFrame(rows, "node long, n int"), spark.createDataFrame(members, "node long, token long"), 0.8, 20, direct).collect()))
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert [got.get(i, i) for i in range(len(sets))] == root
+
+
+def test_similar_texts_finds_every_pair_near_the_threshold(spark):
+    from answerlens.llm.simhash import similar_texts
+
+    rng = random.Random(3)
+    made = []
+    while len(made) < 500:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 200))]
+        copy = _altered(words, rng, 0.8, 0.83)
+        if copy:
+            made.append((" ".join(words), copy[0]))
+    docs = [(2 * k + side, pair[side]) for k, pair in enumerate(made) for side in (0, 1)]
+    got = {r["doc_id"]: r["component"] for r in similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [k for k in range(500) if got[2 * k] != got[2 * k + 1]] == []
