@@ -23,6 +23,9 @@ SENTIMENT_HEAD = 600
 #: Answers of one site that meet its names in one place; a site with more is dealt over so many places more.
 PER_SALT = 10_000
 
+#: Bits of the filter that says which keys of a text can be a name's.
+KEY_BITS = 1 << 20
+
 ENTITY = ["ord", "name", "domain", "names", "matcher"]
 
 _NOT_IN_WORD = r"(?<![\p{L}\p{N}])"
@@ -165,11 +168,25 @@ def _dealt(per_site: DataFrame, busy: DataFrame) -> DataFrame:
     return per_site.join(F.broadcast(busy), "site_id", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 0))"))).drop("salts")
 
 
+def may_name(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``asked`` whose ``key`` may be one of ``named(key)``: all that are, and few others.
+
+    A bit for each hash of a named key, in one row of 128 KB however many names there are; only the rows that stay are shuffled.
+    """
+    place = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS))
+    word, mask = F.floor(place / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {KEY_BITS}) % 64 AS int))")
+    none = named.sparkSession.range(KEY_BITS // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("mask"))
+    words = none.unionByName(named.select(word.alias("word"), mask.alias("mask"))).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    bits = words.agg(F.expr("transform(array_sort(collect_list(struct(word, mask))), w -> w.mask)").alias("bits"))
+    return asked.where(F.get(bits.scalar(), word).bitwiseAND(mask) != 0)
+
+
 def candidates(answers: DataFrame, dictionary: DataFrame, busy: DataFrame) -> DataFrame:
     """``(answer_no, entities)``: for each answer the competitors that its words or its links can name.
 
     An inverted index: names are keyed by (site, first words), answers ask with their words, and the two meet by an equi
-    join; so do linked domains and their parents. An answer gets what it may mention, not its site's list.
+    join; so do linked domains and their parents. An answer gets what it may mention, not its site's list. Words that are in no
+    name are left out before the shuffle.
     ``answers`` carry ``answer_no, site_id, salt, text, links``; names lie at each salt of their site, as a frequent
     word of a busy site is one key.
     """
@@ -179,8 +196,9 @@ def candidates(answers: DataFrame, dictionary: DataFrame, busy: DataFrame) -> Da
     domain = F.lower(F.regexp_replace("domain", "(?i)^www[.]", ""))
     homes = rivals.where(domain != "").select("site_id", "entity", domain.alias("key"))
     linked = answers.select("answer_no", "site_id", "salt", F.explode("links").alias("l")).where("l.domain != ''")
-    linked = linked.select("answer_no", "site_id", "salt", F.explode(domain_suffixes(F.col("l.domain"))).alias("key")).distinct()
+    linked = linked.select("answer_no", "site_id", "salt", F.explode(domain_suffixes(F.col("l.domain"))).alias("key"))
     at = ["site_id", "salt", "key"]
+    asked, linked = may_name(asked, words.select("key")), may_name(linked, homes.select("key")).distinct()
     found = asked.join(_dealt(words, busy), at).select("answer_no", "entity").unionByName(linked.join(_dealt(homes, busy), at).select("answer_no", "entity"))
     return found.distinct().groupBy("answer_no").agg(F.array_sort(F.collect_list("entity")).alias("entities"))  # no more than the answer has words and links for
 

@@ -162,3 +162,12 @@ def test_a_busy_site_meets_its_names_in_many_places(spark):
     busy = M._busy_sites(answers, 20)
     assert [tuple(r) for r in busy.collect()] == [("busy", 14)]  # 288 answers
     assert M._dealt(names, busy).count() == 15 * names.count()
+
+
+def test_only_words_that_can_name_something_are_shuffled(spark):
+    """An answer's words were all rows of the join, named or not."""
+    asked = spark.range(20_000).select("id", F.concat(F.lit("word "), F.col("id") % 5_000).alias("key"))
+    named = spark.createDataFrame([("word 7",), ("word 4999",), ("",), (None,)], "key string")
+    got = [r["id"] for r in M.may_name(asked, named).collect()]
+    assert {i for i in range(20_000) if i % 5_000 in (7, 4999)} <= set(got) and len(got) < 40
+    assert M.may_name(asked, named.limit(0)).count() == 0
