@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -231,30 +231,63 @@ def _shingle_rows(width: int, rows: int = 1 << 20):
     return run
 
 
-def _confirmed(pairs: DataFrame, held: DataFrame, similarity: float, per_salt: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose sets in ``held(node, n, tokens)`` have at least that Jaccard similarity.
+def _sketch(tokens: np.ndarray) -> bytes:
+    """For each residue of the tokens modulo a power of two, at least their number, whether an odd number has it."""
+    width = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype("i8"), minlength=width) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").tobytes()
 
-    ``tokens`` lack those that no other set has, ``n`` counts them. Both ends may be hot: each is met in as many salts as its rows ask for.
-    """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = []
-        for x, y, both in zip(batch.column("su"), batch.column("sv"), batch.column("n").to_pylist(), strict=True):
-            same = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
-            near.append(same >= similarity * (both - same))
-        return batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+def _differ(x: bytes, y: bytes) -> int:
+    """So many tokens at least are in one of two sets alone, by their sketches; the longer is folded to the shorter."""
+    short = min(len(x), len(y))
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(s, "u1").reshape(-1, short), axis=0) for s in (x, y))
+    return int(np.bitwise_count(a ^ b).sum())
+
 
+def _with_ends(pairs: DataFrame, held: DataFrame, what: str, per_salt: int) -> DataFrame:
+    """``pairs(u, v)`` with what ``held(node, n, what)`` has of both ends, as ``su`` and ``sv``, and the sum of their ``n``.
+
+    Both ends may be hot: each is met in as many salts as its rows ask for.
+    """
     links = pairs
     for end, side in (("u", "su"), ("v", "sv")):
         other = "v" if end == "u" else "u"
         salts = links.groupBy(end).agg(F.count(F.lit(1)).alias("_m"))
         copies = held.join(salts, F.col("node") == F.col(end)).select(
-            F.col(end).alias("_k"), F.col("tokens").alias(side), F.col("n").alias(f"n{side}"), F.explode(F.expr(f"sequence(0L, _m div {per_salt})")).alias("_s")
+            F.col(end).alias("_k"), F.col(what).alias(side), F.col("n").alias(f"n{side}"), F.explode(F.expr(f"sequence(0L, _m div {per_salt})")).alias("_s")
         )
         many = salts.where(f"_m >= {per_salt}").select(F.col(end).alias("_e"), "_m")
         salted = pairs.join(many, F.col(end) == F.col("_e"), "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce(F.expr(f"_m div {per_salt}"), F.lit(0)) + 1))
         pairs = salted.join(copies, (F.col(end) == F.col("_k")) & (F.col("_salt") == F.col("_s"))).drop("_e", "_m", "_salt", "_k", "_s")
-    return map_batches(pairs.select("u", "v", "su", "sv", (F.col("nsu") + F.col("nsv")).alias("n")), run, "u long, v long")
+    return pairs.select("u", "v", "su", "sv", (F.col("nsu") + F.col("nsv")).alias("n"))
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float, per_salt: int) -> DataFrame:
+    """The pairs ``(u, v)`` that the sketches in ``sketches(node, n, sketch)`` do not rule out; all that are similar are among them."""
+    apart = (1 - similarity) / (1 + similarity)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist(), batch.column("n").to_pylist(), strict=True)
+        return batch.select(["u", "v"]).filter(pa.array([_differ(x, y) <= apart * both + 1e-6 for x, y, both in rows], pa.bool_()))
+
+    return map_batches(_with_ends(pairs, sketches, "sketch", per_salt), run, "u long, v long")
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, similarity: float, per_salt: int) -> DataFrame:
+    """The pairs ``(u, v)`` whose sets in ``held(node, n, tokens)`` have at least that Jaccard similarity.
+
+    ``tokens`` may lack those that no other set has, ``n`` counts them.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = []
+        for x, y, both in zip(batch.column("su"), batch.column("sv"), batch.column("n").to_pylist(), strict=True):
+            same = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
+            near.append(same >= similarity * (both - same))
+        return batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return map_batches(_with_ends(pairs, held, "tokens", per_salt), run, "u long, v long")
 
 
 def similar_sets(sets: DataFrame, tokens: DataFrame, similarity: float, per_salt: int = 2_000, direct: int = 2_000_000) -> DataFrame:
@@ -262,11 +295,7 @@ def similar_sets(sets: DataFrame, tokens: DataFrame, similarity: float, per_salt
 
     ``tokens(node, token)`` has each member once. A set holds ``need`` = ceil(similarity * n) tokens of any partner, so fewer
     tokens shared with any set rule it out, and of two partners both have a common token among their n - need + 1 rarest
-    (prefix filter; one order of all tokens, by frequency). The sets of each such token are compared, all that are not yet
-    in one component, and each pair is confirmed by the exact similarity: no link is missed and none is by chance.
-
-    Where that would be more than ``direct`` comparisons, and more than four a row, all sets of a token first meet one centre, again and
-    again while this links any; a large family then is one component, and only what stays outside it meets its members.
+    (prefix filter; one order of all tokens, by frequency), where :func:`_linked` lets them meet.
     """
     spread = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     gathered = spread.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
@@ -275,9 +304,23 @@ def similar_sets(sets: DataFrame, tokens: DataFrame, similarity: float, per_salt
     held = materialise(able.select("node", "n", F.col("own.token").alias("tokens"), F.expr("size(own) - need + 1").alias("first")), "sets")
     met = held.select("node", "n", F.size("tokens").alias("m"), F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("at", "token"))
     met = materialise(met.select("token", "node", "n", F.expr("n - m + at").alias("at")), "prefixes")
+    roots = _linked(met, lambda pairs: _confirmed(pairs, held, similarity, per_salt), similarity, per_salt, direct)
+    return roots if roots is not None else held.select("node", F.col("node").alias("root"))
+
+
+def _linked(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], similarity: float, per_salt: int, direct: int) -> DataFrame | None:
+    """``(node, root)``: components of the sets in ``met(token, node, n, at)`` by the pairs that ``confirm`` keeps; none without any two.
+
+    ``at`` is the token's place in its set of ``n`` tokens, in one order for all sets; of two similar sets both have a common token in
+    ``met``. The sets of each token are compared, all that are not yet in one component, and each pair is confirmed by the exact
+    similarity: no link is missed and none is by chance.
+
+    Where that would be more than ``direct`` comparisons, and more than four a row, all sets of a token first meet one centre, again and
+    again while this saves a tenth of the comparisons; a large family then is one component, and only what stays outside it meets its members.
+    """
     # What two sets can share from this token on, where it is their first common one.
     fits = F.expr(f"least(n - at, n2 - at2) >= {similarity / (1 + similarity)}D * (n + n2) - 1e-6D")
-    links, roots = None, None
+    links, roots, before = None, None, float("inf")
     for turn in count():
         placed = met.withColumn("label", F.col("node")) if roots is None else met.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("root", "node")).drop("_n", "root")
         if roots is not None:
@@ -288,13 +331,14 @@ def similar_sets(sets: DataFrame, tokens: DataFrame, similarity: float, per_salt
         size = lists.agg(F.sum(F.expr("cast(outside AS double) * members")).alias("pairs"), F.sum("members").alias("rows")).first()
         if not size["rows"]:
             break
-        last = size["pairs"] <= max(direct, 4 * size["rows"])
+        last = size["pairs"] <= max(direct, 4 * size["rows"]) or size["pairs"] > 0.9 * before
+        before = size["pairs"]
         there = placed.join(lists, "token")
         if not last:
             by = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("by"), "node", "n", "at", "label")).alias("c")
             centres = there.groupBy("token").agg(by).select("token", F.col("c.node").alias("node2"), F.col("c.n").alias("n2"), F.col("c.at").alias("at2"), F.col("c.label").alias("label2"))
             found = there.join(centres, "token").where("label <> label2")
-            got = materialise(_confirmed(_pairs(found.where(fits)), held, similarity, per_salt), "links")
+            got = materialise(confirm(_pairs(found.where(fits))), "links")
             last = got.isEmpty()
             if not last:
                 links = got if links is None else links.unionByName(got)
@@ -305,56 +349,103 @@ def similar_sets(sets: DataFrame, tokens: DataFrame, similarity: float, per_salt
         others = there.select("token", "label", "main", F.pmod(F.xxhash64("node"), salts + 1).alias("salt"), "node", "n", "at")
         outside = there.where("label <> main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
         found = others.join(outside, ["token", "salt"]).where("label <> label2 AND (label = main OR node < node2)")
-        got = materialise(_confirmed(_pairs(found.where(fits)), held, similarity, per_salt), "links")
+        got = materialise(confirm(_pairs(found.where(fits))), "links")
         links = got if links is None else links.unionByName(got)
         roots = components(links)
         break
-    return roots if roots is not None else held.select("node", F.col("node").alias("root"))
+    return roots
 
 
 def _pairs(found: DataFrame) -> DataFrame:
     return materialise(found.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct(), "candidates")
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, per_salt: int = 2_000) -> DataFrame:
+def _frequent(texts: DataFrame, width: int, every: int = 16, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that ``least`` or more of every ``every``-th text have, and their counts there; the most frequent ``most`` or fewer.
+
+    They only go last in the order of tokens, so that few sets meet at each; which they are has no bearing on what is found.
+    """
+    sample = texts.where(F.pmod("text_hash", F.lit(every)) == 0).groupBy("text_hash").agg(F.first("text").alias("text"))
+    counts = sample.mapInArrow(_shingle_rows(width), "node long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialise(counts.where(F.col("c") >= least), "frequent")
+    total, lowest = 0, None
+    for c, n in sorted(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        lowest = c
+    rows = counts.where(F.col("c") >= lowest).toArrow() if lowest is not None else None
+    tokens, times = (rows.column(c).to_numpy() for c in ("token", "c")) if rows is not None else (np.empty(0, "i8"), np.empty(0, "i8"))
+    order = np.argsort(tokens.view("u8"))
+    return tokens.view("u8")[order], times[order].astype("i4")
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, per_salt: int = 2_000, direct: int = 2_000_000, few: int = 200_000) -> DataFrame:
     """``(text_hash, doc_id, component)`` for each different text of ``docs(doc_id, text)``; doc_id is its smallest.
 
-    Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more are linked, all such pairs
-    (:func:`similar_sets`); texts with one set are one node. Shingles are compared by 64-bit hashes.
+    Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more are linked, all such pairs;
+    texts with one set are one node. Shingles are compared by 64-bit hashes.
 
-    Of two partners both have a common shingle among their n - ceil(similarity * n) + 1 least hashes. Sets that share none of these
-    with another set are done at once, and only the texts of the others are read again.
+    Of two partners both have a common shingle among the first n - ceil(similarity * n) + 1 in any one order of all shingles; here the
+    frequent ones are last (:func:`_frequent`), the others go by their hashes. Only these first shingles are shuffled, and sets that share
+    none with another set are done at once. Pairs that meet (:func:`_linked`) are compared by sketches of an eighth of a byte a shingle or two,
+    and only the texts of those that may be similar are read again and compared in full.
 
     Null and empty texts are one text, and texts without words one component; repeated rows are one text. A text of null
     ids alone has a null doc_id. Texts are taken whole; further columns are not read; an empty table gives no rows.
     """
+    ids = F.col("doc_id").cast("long")
+    named = docs.select(ids.isNull().alias("none"), F.coalesce(ids, F.lit(0)).alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+    often, times = _frequent(named.select("text", "text_hash"), width)
+
+    def first(tokens: np.ndarray) -> np.ndarray:
+        last = np.zeros(len(tokens), "i4")
+        if len(often):
+            at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
+            last = np.where(often[at] == tokens, times[at], 0)
+        return tokens[np.argsort(last, kind="stable")[: len(tokens) - int(np.ceil(similarity * len(tokens) - 1e-9)) + 1]]
 
     def sizes(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(t.as_py(), width) for t in batch.column("text")]
         n, set_id = np.array([len(h) for h in sets], "i4"), np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], "u8").view("i8")
-        least = [h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view("<i8") for h in sets]
-        ends = np.concatenate([[0], np.cumsum([len(h) for h in least])]).astype("i4")
-        own = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(least)))
+        firsts = [first(h).view("<i8") for h in sets]
+        ends = np.concatenate([[0], np.cumsum([len(h) for h in firsts])]).astype("i4")
+        own = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+        kept = [batch.column(c) for c in ("none", "id", "text_hash")]
         return pa.RecordBatch.from_arrays(
-            [batch.column("none"), batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(set_id), own], ["none", "id", "text_hash", "n", "set_id", "least"]
+            [*kept, pa.array(n), pa.array(set_id), own, pa.array([_sketch(h) for h in sets], pa.binary())], ["none", "id", "text_hash", "n", "set_id", "firsts", "sketch"]
         )
 
-    ids = F.col("doc_id").cast("long")
-    named = docs.select(ids.isNull().alias("none"), F.coalesce(ids, F.lit(0)).alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
-    table = materialise(map_batches(named, sizes, "none boolean, id long, text_hash long, n int, set_id long, least array<long>"), "sizes")
+    table = materialise(map_batches(named, sizes, "none boolean, id long, text_hash long, n int, set_id long, firsts array<long>, sketch binary"), "sizes")
     texts = table.groupBy("text_hash").agg(F.min(F.struct("none", "id", "n", "set_id")).alias("s"))
     texts = materialise(texts.select("text_hash", "s.*"), "texts")
     sets = materialise(texts.groupBy("set_id").agg(F.min(F.struct("text_hash", "none", "id", "n")).alias("s")).select("set_id", "s.*"), "heads")
-    low = table.select("set_id", F.explode("least").alias("token")).repartition("token").distinct()
-    alone = F.count(F.lit(1)).over(Window.partitionBy("token")) == 1
-    some = low.withColumn("alone", alone).where("NOT alone").select("set_id").distinct()
-    some = materialise(sets.join(some, "set_id", "left_semi"), "some")
-    # One row bears each set.
+    # One row bears each set; a repeated row may bear it twice, before the tokens are told apart.
     key = ["text_hash", "none", "id"]
-    borne = named.join(some.select(*key), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
-    tokens = borne.select("text_hash", "text").mapInArrow(_shingle_rows(width), "node long, token long")
-    roots = similar_sets(some.select(F.col("text_hash").alias("node"), "n"), tokens, similarity, per_salt)
-    heads = sets.select("set_id", F.col("text_hash").alias("node")).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("component"))
+    heads = table.join(sets.select(*key), key, "left_semi")
+    low = heads.select("n", F.col("text_hash").alias("node"), F.posexplode("firsts").alias("at", "token")).repartition("token").dropDuplicates(["token", "node"])
+    met = low.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("token")) == 1).where("NOT alone")
+    met = materialise(met.select("token", "node", "n", "at"), "prefixes")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("text_hash")).distinct()
+        sketches = heads.join(ends, "text_hash", "left_semi").groupBy(F.col("text_hash").alias("node"), "n").agg(F.first("sketch").alias("sketch"))
+        likely = materialise(_likely(pairs, sketches, similarity, per_salt), "likely")
+        ends = likely.select(F.explode(F.array("u", "v")).alias("text_hash")).distinct()
+        wanted = materialise(sets.join(ends, "text_hash", "left_semi").select(*key, "n"), "wanted")
+        # Few of the texts are wanted; a short list of them is sent to the texts rather than all texts to the list.
+        borne = named.join(F.broadcast(wanted) if wanted.count() <= few else wanted, key).groupBy("text_hash", "n").agg(F.first("text").alias("text"))
+
+        def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = [shingle_hashes(t.as_py(), width).view("<i8") for t in batch.column("text")]
+            return pa.RecordBatch.from_arrays([batch.column("text_hash"), batch.column("n"), pa.array(own, pa.list_(pa.int64()))], ["node", "n", "tokens"])
+
+        held = materialise(map_batches(borne, whole, "node long, n int, tokens array<long>"), "held")
+        return _confirmed(likely, held, similarity, per_salt)
+
+    roots = _linked(met, confirm, similarity, per_salt, direct)
+    named_sets = sets.select("set_id", F.col("text_hash").alias("node"))
+    heads = named_sets.join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("component")) if roots is not None else named_sets.withColumnRenamed("node", "component")
     return texts.join(heads, "set_id").select("text_hash", F.when(~F.col("none"), F.col("id")).alias("doc_id"), "component")
 
 

@@ -287,3 +287,37 @@ def test_similar_texts_finds_every_pair_near_the_threshold(spark):
     docs = [(2 * k + side, pair[side]) for k, pair in enumerate(made) for side in (0, 1)]
     got = {r["doc_id"]: r["component"] for r in similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [k for k in range(500) if got[2 * k] != got[2 * k + 1]] == []
+
+
+def _shuffled(spark) -> int:
+    """Records written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_similar_texts_shuffles_few_shingles(spark):
+    """Texts with one common passage share shingles, yet only the first fifth of each text's shingles is shuffled, and links stay whole."""
+    from answerlens.llm.simhash import similar_texts
+
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(100)]
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(1000)] for _ in range(300)]
+    texts = [t[:500] + passage + t[500:] for t in texts]
+    texts += [[*t[:-1], "end"] for t in texts[:20]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = _shuffled(spark)
+    got = {r["doc_id"]: r["component"] for r in similar_texts(docs).collect()}
+    assert _shuffled(spark) - before < 0.5 * sum(len(t) for t in texts)
+    assert all(got[k] == got[300 + k] for k in range(20))
+    assert len({got[k] for k in range(300)}) == 300
+
+
+def test_sketches_bound_the_difference():
+    from answerlens.llm.simhash import _differ, _sketch
+
+    rng = np.random.default_rng(4)
+    for n, m, both in [(0, 1, 0), (1, 1, 1), (5, 900, 5), (300, 310, 290), (1025, 1000, 900), (4000, 60, 30)]:
+        shared, own, other = (rng.integers(0, 1 << 63, k, "u8") for k in (both, n - both, m - both))
+        x, y = np.concatenate([shared, own]), np.concatenate([shared, other])
+        assert _differ(_sketch(x), _sketch(y)) <= n + m - 2 * both
