@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import ipv4_number
+from .mentions import may_name
 
 #: Ranges this short hold large shares of all addresses; their keys are dealt over so many salts.
 WIDE_BITS, SALTS = 16, 64
@@ -84,13 +85,16 @@ def address_ranges(addresses: DataFrame, ranges: DataFrame, ip: str = "ip", cidr
     """``(ip, cidr, bits, narrowest)``: each different address with every range that holds it, the narrowest ones marked.
 
     Ranges are keyed by (width, bits, masked prefix). An address asks for one key for each length that occurs
-    (161 at most), so the join is on equal keys and never a comparison of all pairs. Each address is looked up once however many
+    (161 at most), so the join is on equal keys and never a comparison of all pairs; keys that no range has are left out before
+    the shuffle, by a filter of 128 KB. Each address is looked up once however many
     rows have it, and the keys of wide ranges, which hold most addresses, are salted. Malformed addresses and ranges match nothing;
     equal ranges written in two ways are both there.
     """
     keyed = range_keys(ranges.select(F.col(cidr).alias("cidr")).distinct())
     lengths = sorted((r["width"], r["bits"]) for r in keyed.select("width", "bits").distinct().collect())  # 33 + 129 at most
     wide = F.col("bits") < WIDE_BITS
+    key = F.concat_ws("/", "width", "bits", "prefix").alias("key")
+    held = keyed.select(key)
     keyed = keyed.withColumn("salt", F.explode(F.when(wide, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     known = addresses.select(F.col(ip).alias("ip")).distinct().withColumn("_digits", address_hex(F.col("ip"))).where("_digits IS NOT NULL")
     sizes = {w: F.array(*[F.lit(b) for v, b in lengths if v == w]).cast("array<int>") for w in (8, 32)}
@@ -99,6 +103,7 @@ def address_ranges(addresses: DataFrame, ranges: DataFrame, ip: str = "ip", cidr
         "prefix": prefix_of(F.col("_digits"), F.col("bits")),
         "salt": F.when(wide, F.pmod(F.xxhash64("ip"), F.lit(SALTS))).otherwise(0).cast("int"),
     })
+    asked = may_name(asked.select("ip", "width", "bits", "prefix", "salt", key), held)
     found = asked.join(keyed, ["width", "bits", "prefix", "salt"]).select("ip", "cidr", "bits")
     most = F.max("bits").over(Window.partitionBy("ip"))  # rows of one address: the ranges that hold it
     return found.withColumn("narrowest", F.col("bits") == most)

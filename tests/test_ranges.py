@@ -50,3 +50,24 @@ def test_rows_in_ranges_keep_their_copies(spark):
     got = R.in_ranges(rows, spark.createDataFrame([("10.0.0.0/31",)], "cidr string"), "host")
     assert sorted(r["id"] for r in got.collect()) == [k for k in range(30) if k % 3 < 2]
     assert R.in_ranges(rows, spark.createDataFrame([], "cidr string"), "host").count() == 0 and F
+
+
+def test_keys_that_no_range_has_are_not_shuffled(spark):
+    sc = spark.sparkContext
+
+    def shuffled() -> int:
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    addresses = spark.range(5000).selectExpr("concat('10.', id % 200, '.', id % 250, '.', id % 7) AS ip").distinct()
+    cidrs = [(f"10.{200 + bits}.0.0/{bits}",) for bits in range(16, 33)] + [("10.0.0.0/8",)]
+    n, limit = addresses.count(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled()
+        found = R.address_ranges(addresses, spark.createDataFrame(cidrs, "cidr string")).collect()
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {(r["cidr"], r["narrowest"]) for r in found} == {("10.0.0.0/8", True)} and len(found) == n
+    assert moved < 8 * n
