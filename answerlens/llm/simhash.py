@@ -16,6 +16,7 @@ from answerlens.llm.common import components, documents, map_batches, materialis
 BITS = 64
 TURNS = (0, 22, 43)  # where each third of the bits begins
 STEP = 10  # bits by which a node too large for one task is split
+HELD = 1_000  # texts whose shingles a worker holds at a time
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -277,17 +278,10 @@ def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float, per_salt:
 def _confirmed(pairs: DataFrame, held: DataFrame, similarity: float, per_salt: int) -> DataFrame:
     """The pairs ``(u, v)`` whose sets in ``held(node, n, tokens)`` have at least that Jaccard similarity.
 
-    ``tokens`` may lack those that no other set has, ``n`` counts them.
+    ``tokens`` may lack those that no other set has, ``n`` counts them. Two sets of any size are compared in their row, so no batch of them is ever held.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = []
-        for x, y, both in zip(batch.column("su"), batch.column("sv"), batch.column("n").to_pylist(), strict=True):
-            same = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
-            near.append(same >= similarity * (both - same))
-        return batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-    return map_batches(_with_ends(pairs, held, "tokens", per_salt), run, "u long, v long")
+    near = f"exists(array(size(array_intersect(su, sv))), same -> same >= {similarity}D * (n - same))"
+    return _with_ends(pairs, held, "tokens", per_salt).where(near).select("u", "v")
 
 
 def similar_sets(sets: DataFrame, tokens: DataFrame, similarity: float, per_salt: int = 2_000, direct: int = 2_000_000) -> DataFrame:
@@ -416,7 +410,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, per_
             [*kept, pa.array(n), pa.array(set_id), own, pa.array([_sketch(h) for h in sets], pa.binary())], ["none", "id", "text_hash", "n", "set_id", "firsts", "sketch"]
         )
 
-    table = materialise(map_batches(named, sizes, "none boolean, id long, text_hash long, n int, set_id long, firsts array<long>, sketch binary"), "sizes")
+    table = materialise(map_batches(named, sizes, "none boolean, id long, text_hash long, n int, set_id long, firsts array<long>, sketch binary", HELD), "sizes")
     texts = table.groupBy("text_hash").agg(F.min(F.struct("none", "id", "n", "set_id")).alias("s"))
     texts = materialise(texts.select("text_hash", "s.*"), "texts")
     sets = materialise(texts.groupBy("set_id").agg(F.min(F.struct("text_hash", "none", "id", "n")).alias("s")).select("set_id", "s.*"), "heads")
@@ -440,7 +434,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, per_
             own = [shingle_hashes(t.as_py(), width).view("<i8") for t in batch.column("text")]
             return pa.RecordBatch.from_arrays([batch.column("text_hash"), batch.column("n"), pa.array(own, pa.list_(pa.int64()))], ["node", "n", "tokens"])
 
-        held = materialise(map_batches(borne, whole, "node long, n int, tokens array<long>"), "held")
+        held = materialise(map_batches(borne, whole, "node long, n int, tokens array<long>", HELD), "held")
         return _confirmed(likely, held, similarity, per_salt)
 
     roots = _linked(met, confirm, similarity, per_salt, direct)

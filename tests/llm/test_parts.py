@@ -321,3 +321,27 @@ def test_sketches_bound_the_difference():
         shared, own, other = (rng.integers(0, 1 << 63, k, "u8") for k in (both, n - both, m - both))
         x, y = np.concatenate([shared, own]), np.concatenate([shared, other])
         assert _differ(_sketch(x), _sketch(y)) <= n + m - 2 * both
+
+
+def test_pairs_are_confirmed_in_their_row(spark):
+    """Sets on both sides of the threshold, one of them hot; no worker gets batches of whole sets."""
+    from answerlens.llm.simhash import _confirmed
+
+    sets = {0: range(9), 1: range(8), 2: range(1, 10), 3: range(4), 4: range(5), 5: range(6), 6: [], 7: range(-3, 6)}
+    sets = {k: set(v) for k, v in sets.items()}
+    held = spark.createDataFrame([(k, len(v), sorted(v)) for k, v in sets.items()], "node long, n int, tokens array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    out = _confirmed(spark.createDataFrame(pairs, "u long, v long"), held, 0.8, 2)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} == {(0, 1), (0, 2), (3, 4), (4, 5)}
+    assert "InArrow" not in out._jdf.queryExecution().toString()
+
+
+def test_batches_are_cut_to_the_rows_asked_for(spark):
+    from answerlens.llm.common import map_batches
+
+    df = spark.range(0, 2_500, 1, 1)
+    counted = lambda batch: type(batch).from_pydict({"n": [batch.num_rows]})
+    assert [r.n for r in map_batches(df, counted, "n long", 1_000).collect()] == [1_000, 1_000, 500]
+    assert [r.n for r in map_batches(df, counted, "n long").collect()] == [2_500]
