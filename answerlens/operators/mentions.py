@@ -279,11 +279,13 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = T
     if "excerpt_override" not in rows.columns:
         rows = rows.withColumn("excerpt_override", F.lit(None).cast("string"))
     brands = dictionary.where("ord = 0").select("site_id", F.col("domain").alias("brand_domain"), F.struct(*ENTITY).alias("brand_entity"))
-    busy = _busy_sites(rows, per_salt)
+    # What is one row a site lies in ten times as many places as its names: whole answers meet it, by few keys one task would read many times its share.
+    busy, parted = _busy_sites(rows, per_salt), _busy_sites(rows, max(1, per_salt // 10))
     # Answers without a site have no names to meet and are dealt like the others.
     own = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
-    rows = rows.join(F.broadcast(busy), "site_id", "left").withColumn("salt", F.pmod(own, F.expr("if(site_id IS NULL, 64, coalesce(salts, 0) + 1)")).cast("int")).drop("salts")
-    joined = rows.join(_dealt(brands, busy), ["site_id", "salt"], "left")
+    for place, per in (("salt", busy), ("site_part", parted)):
+        rows = rows.join(F.broadcast(per), "site_id", "left").withColumn(place, F.pmod(own, F.expr("if(site_id IS NULL, 64, coalesce(salts, 0) + 1)")).cast("int")).drop("salts")
+    joined = rows.join(_dealt(brands, parted).withColumnRenamed("salt", "site_part"), ["site_id", "site_part"], "left")
     # An answer whose site has no dictionary is kept as an errored row.
     orphan = F.col("brand_entity").isNull() & F.col("error").isNull()
     joined = joined.withColumn("error", F.when(orphan, F.lit("The site has no dictionary")).otherwise(F.col("error")))
@@ -335,7 +337,7 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = T
     listed = f"transform(filter(found, f -> NOT f.is_brand), f -> {entry})"
     if absent:
         everyone = dictionary.where("ord = 1").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("name", "domain", "names"))).alias("everyone"))
-        totals = totals.join(_dealt(everyone, busy), ["site_id", "salt"], "left")
+        totals = totals.join(_dealt(everyone, parted).withColumnRenamed("salt", "site_part"), ["site_id", "site_part"], "left")
         same = "NOT f.is_brand AND f.name <=> ev.name AND f.domain <=> ev.domain AND f.names <=> ev.names"
         zero = "named_struct('name', ev.name, 'mentions', 0, 'position', cast(NULL AS int), 'linked', false)"
         listed = f"coalesce(transform(everyone, ev -> coalesce(get(transform(filter(found, f -> {same}), f -> {entry}), 0), {zero})), cast(array() AS {kind}))"
@@ -357,7 +359,7 @@ def analyse_response(answers: DataFrame, dictionary: DataFrame, absent: bool = T
         }
     ).drop(
         "entities", "usable", "text", "links", "found", "ranked", "brand", "all_mentions", "brand_domain",
-        "excerpt_override", "urls", "everyone", "salt",
+        "excerpt_override", "urls", "everyone", "salt", "site_part",
     )
 
 

@@ -171,3 +171,18 @@ def test_only_words_that_can_name_something_are_shuffled(spark):
     got = [r["id"] for r in M.may_name(asked, named).collect()]
     assert {i for i in range(20_000) if i % 5_000 in (7, 4999)} <= set(got) and len(got) < 40
     assert M.may_name(asked, named.limit(0)).count() == 0
+
+
+def test_whole_answers_move_by_many_keys(spark):
+    """A site's answers meet its brand in ten times as many places as its names, so no task gets many times its share."""
+    answers = spark.range(300).selectExpr("1L AS site_id", "concat('Acme ', id) AS answer", "array(named_struct('url', '', 'title', '')) AS urls")
+    sites = spark.sql("SELECT 1L AS site_id, 'Acme' AS brand_name, cast(array() AS array<string>) AS brand_aliases, 'acme.example' AS domain")
+    rivals = spark.sql("SELECT 1L AS site_id, 'Rival' AS name, '' AS domain, cast(array() AS array<string>) AS aliases")
+    sized, kept = M._busy_sites, []
+    M._busy_sites = lambda *a: kept.append(sized(*a)) or kept[-1]
+    try:
+        rows = M.analyse_response(answers, M.build_dictionary(sites, rivals), per_salt=100).collect()
+    finally:
+        M._busy_sites = sized
+    assert [[tuple(r) for r in k.collect()] for k in kept] == [[(1, 3)], [(1, 30)]]
+    assert len(rows) == 300 and all(r["brand_mentions"] == 1 and r["competitor_mentions"][0]["mentions"] == 0 for r in rows)
