@@ -283,3 +283,10 @@ def test_a_long_chain_is_walked_to_its_end(spark):
     got = {r["url"]: (r["depth"], r["rank"]) for r in G.crawl_reach(edges, seeds).collect()}
     assert got == {f"p{i}": (i, i + 1) for i in range(26)}
     assert G.crawl_reach(edges.limit(0), seeds).count() == 1 and G.crawl_reach(edges, seeds, max_depth=3).count() == 4
+
+
+def test_sink_issues_reads_the_pages_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["sink_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan and "body" not in plan
